@@ -1,3 +1,54 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"\x20\x09-\x0D"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP4 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT row_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT row_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+hits AS (SELECT row_id, k, p, g FROM dw SEMI JOIN iw USING (k, g)),
+words AS (SELECT row_id, count(*) AS n_hit FROM (SELECT DISTINCT row_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY row_id),
+items AS (
+  SELECT row_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN iw USING (k, g) WHERE item_id IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)
+"""
+
+OP7 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+lines AS (
+  SELECT row_id, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^{_SPACE}]')] AS l FROM d),
+grams AS (
+  SELECT row_id, p, w[p:p + 2] AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+twice AS (SELECT row_id, p FROM (SELECT row_id, p, count(*) OVER (PARTITION BY row_id, g) AS n FROM grams) WHERE n > 1),
+rep AS (SELECT row_id, count(*) AS n FROM (SELECT DISTINCT row_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY row_id),
+f AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[{_SPACE}]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]', '', 'g')) AS low,
+         len([x for x in w if regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')]) AS letter_words
+  FROM d JOIN lines USING (row_id) LEFT JOIN rep USING (row_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * up > 60 * (up + low) OR 100 * letter_words < 70 * n_words) AS kept
+FROM b
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_winnowed_decontamination": OP4,
+    "op7_quality_cascade": OP7,
+}

@@ -124,10 +124,10 @@ class Words:
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     total = np.zeros(n, dtype=np.uint64)
-    factor = np.uint64(1)
+    factor = 1
     for i in range(min(k, n)):
-        factor = factor * _M2 + np.uint64(2 * k)
-        total[: n - i] += words[i:] * (factor | np.uint64(1))
+        factor = (factor * int(_M2) + 2 * k) % 2**64
+        total[: n - i] += words[i:] * np.uint64(factor | 1)
     return mix(total)
 
 
