@@ -3,6 +3,41 @@
 _SPACE = r"\x20\x09-\x0D"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ["password", "passwd", "secret", "token", "api_?key"])
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(pattern: str) -> str:
+    """SQL list of (start, value) of the matches of ``pattern`` in t."""
+    found, gaps = f"regexp_extract_all(t, '{pattern}')", f"regexp_split_to_array(t, '{pattern}')"
+    return f"(SELECT list({{'s': CAST(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT), 'v': m[i]}} ORDER BY i) FROM (SELECT m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {found} AS m, {gaps} AS g)))"
+
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+raw AS (
+  SELECT row_id, 'assign' AS kind, 0 AS o, unnest({_spans(_ASSIGN)}) AS x FROM d
+  UNION ALL SELECT row_id, 'access', 1, unnest({_spans('AKIA[A-Z0-9]+')}) FROM d
+  UNION ALL SELECT row_id, 'hex', 2, unnest({_spans('[0-9a-f]+')}) FROM d WHERE regexp_matches(t, '[0-9a-f]{{32}}')
+  UNION ALL SELECT row_id, 'owned', 3, unnest({_spans('[A-Za-z0-9_-]+')}) FROM d WHERE regexp_matches(t, '[A-Za-z0-9_-]{{20}}')),
+s AS (
+  SELECT row_id, kind, o, x.s AS a, x.s + length(x.v) AS e, CASE WHEN kind = 'assign' THEN regexp_extract(x.v, '{_ASSIGN}', 2) ELSE x.v END AS v FROM raw),
+base AS (SELECT * FROM s WHERE kind = 'assign' AND length(v) >= 8 OR kind = 'access' AND length(v) >= 16 OR kind = 'hex' AND length(v) >= 32),
+more AS (
+  SELECT * FROM s WHERE kind = 'owned' AND length(v) >= 20 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+    AND len(list_distinct(string_split(v, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = s.row_id AND b.a < s.e AND s.a < b.e)),
+spread AS (SELECT v, count(DISTINCT owner) AS owners FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN d USING (row_id) GROUP BY v),
+kept AS (SELECT * FROM base JOIN spread USING (v) UNION ALL SELECT * FROM more JOIN spread USING (v) WHERE owners = 1),
+k AS (
+  SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS spans,
+    count(*) FILTER (owners = 1) AS one, count(*) FILTER (owners >= 3) AS wide FROM kept GROUP BY row_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(one, 0) AS BIGINT) AS n_owner_specific, CAST(coalesce(wide, 0) AS BIGINT) AS n_widely_copied
+FROM d LEFT JOIN k USING (row_id)
+"""
+
 OP4 = rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS row_id,
@@ -49,6 +84,7 @@ FROM b
 """
 
 ORACLES: dict[str, str] = {
+    "op1_secret_ownership": OP1,
     "op4_winnowed_decontamination": OP4,
     "op7_quality_cascade": OP7,
 }
