@@ -94,3 +94,15 @@ def test_plan_covers_every_piece_once_and_is_tight():
             at += length
         assert at <= 100
     assert len(room) <= int(lengths.sum() / 100) + 3
+
+
+def test_words_are_encoded_as_the_tokenizer_does():
+    import random
+
+    rng = random.Random(1)
+    letters = "abzAZéÀßÿÖø×÷'s.$09|<>-’中²µªº\x1c\xa0ſİ'll'd"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(20000)] + ["a<|endoftext|>b", "don't", "zuß,"]
+    ids = packing.WordIds(packing.default_tokenizer())
+    flat, sizes = ids._encode(words)
+    want = [e.ids for e in ids.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert sizes == [len(x) for x in want] and flat == [i for x in want for i in x]

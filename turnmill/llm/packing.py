@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,7 +17,18 @@ from turnmill.llm.ranking import with_global_rank
 from turnmill.llm.wordhash import Texts, Words, slices
 
 SEPARATOR = 0  # id that ends each document
-CACHED_WORDS = 400_000  # of a task's word cache, which starts anew when it is full
+CACHED_WORDS = 1_000_000  # of a Python worker's word cache, which starts anew when it is full
+_PIECES = 200_000
+# The vocabulary's pattern, for the characters of a plain word.
+_LATIN = "\u00df-\u00f6\u00f8-\u00ff"
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+").findall
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+#: The byte-level alphabet: a byte that isn't printable stands as a character from 256 on, in byte order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_LETTERS = {c: "".join(chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+_workers: dict = {}  # of this Python worker, so that its later tasks know the words
 
 _IDS = T.ArrayType(T.IntegerType())
 
@@ -41,7 +53,8 @@ def tokenised_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, i
     schema = T.StructType([*fields, *([T.StructField("ids", _IDS)] if with_ids else [])])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = _workers.get(path) or WordIds(path)
+        _workers[path] = words
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _pieces(part, words, size, with_ids, [f.name for f in fields])
@@ -50,35 +63,35 @@ def tokenised_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, i
 
 
 class WordIds:
-    """Token ids by word, kept in one flat pool."""
+    """Token ids by word hash: sorted keys, and the ids of all known words in one flat pool."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(1 << 20, dtype=np.uint32)
-        self.offset = np.zeros(1 << 16, dtype=np.int64)
+        self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.used = 0
 
     def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids in one array (a separator after each document), and each document's end in it."""
         words = Words(texts)
         distinct, example, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > CACHED_WORDS:
+        if len(self.keys) + len(distinct) > CACHED_WORDS:
             self.clear()
-        keys, place = distinct.tolist(), self.place
-        missing = [i for i, k in enumerate(keys) if k not in place]
-        if missing:
-            raw, data = texts.data, words
-            spell = [bytes(raw[data.start[example[i]] : data.end[example[i]]]).decode("utf-8", "replace") for i in missing]
-            for i, found in zip(missing, self.tokenizer.encode_batch_fast(spell, add_special_tokens=False), strict=True):
-                self._add(keys[i], found.ids)
-        at = np.fromiter((place[k] for k in keys), dtype=np.int64, count=len(keys))[inverse]
-        first, size = self.offset[at], self.offset[at + 1] - self.offset[at]
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != distinct
+        if new.any():
+            chosen = example[new]
+            self._learn(distinct[new], place[new], texts.data, words.start[chosen], words.end[chosen])
+        at = self.slots[np.searchsorted(self.keys, distinct)][inverse]
+        first, size = self.first[at], self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         row = words.row_of()
@@ -88,16 +101,38 @@ class WordIds:
         through = np.r_[0, ends][words.first[1:]]
         return out, through + np.arange(1, len(texts) + 1)
 
-    def _add(self, key: int, ids: list[int]) -> None:
-        end = self.used + len(ids)
-        while end > len(self.pool):
+    def _learn(self, keys: np.ndarray, place: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = data.tobytes()
+        flat, sizes = self._encode([raw[a:b].decode("utf-8") for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        n = len(self.place)
-        if n + 2 > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        self.pool[self.used : end] = ids
-        self.offset[n], self.offset[n + 1] = self.used, end
-        self.place[key], self.used = n, end
+        self.pool[self.used : self.used + len(flat)] = flat
+        size = np.array(sizes, dtype=np.int64)
+        self.slots = np.insert(self.slots, place, np.arange(len(keys)) + len(self.first))
+        self.keys = np.insert(self.keys, place, keys)
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(flat)
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of each word.  A plain word (printable ASCII and Latin-1 letters) is cut into the vocabulary's
+        own pieces here and each piece goes to the model; any other goes through the whole tokenizer."""
+        tokenize, known, flat, sizes = self.tokenizer.model.tokenize, self.pieces, [], []
+        if len(known) > _PIECES:
+            known.clear()
+        for word in words:
+            before = len(flat)
+            if _PLAIN(word) and "<|" not in word:
+                low = word.lower()
+                for piece in (low,) if low.isalpha() else _CUT(low):
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = known[piece] = [t.id for t in tokenize(piece if piece.isascii() else piece.translate(_BYTE_LETTERS))]
+                    flat += ids
+            else:
+                flat += self.tokenizer.encode(word, add_special_tokens=False).ids
+            sizes.append(len(flat) - before)
+        return flat, sizes
 
 
 def _pieces(part: pa.RecordBatch, words: WordIds, size: int, with_ids: bool, names: list[str]) -> pa.RecordBatch:
