@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import decontamination, language, packing, quality, secrets, sharding, warc
+from turnmill.llm import decontamination, language, packing, pii, quality, secrets, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op4_winnowed_decontamination": op4_winnowed_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_pii_weak_supervision": op6_pii_weak_supervision,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_language_id": op9_language_id,
