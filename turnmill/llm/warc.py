@@ -88,10 +88,14 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    narrow = page.filter(F.octet_length("html") >= revisit_bytes).groupBy("digest")
-    repeated = narrow.agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1 and first is not null").select("digest", "first")
-    placed = page.join(repeated, "digest", "left").select("page_id", "url", "html", "first")
-    placed = placed.repartition("page_id", F.xxhash64("html")).sortWithinPartitions("page_id", "html", "url")
+    same = ["digest", "key"]
+    keyed = page.withColumn("key", F.coalesce("page_id", F.lit(-(2**63)).cast("long")))
+    narrow = keyed.filter(F.octet_length("html") >= revisit_bytes).select("page_id", *same)
+    repeated = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1 and first is not null")
+    firsts = narrow.select(*same).distinct().join(repeated.select("digest", "first"), "digest")
+    # the payloads are shuffled once, so that equal ids with equal payloads meet in one task
+    placed = keyed.repartition(*same).join(firsts, same, "left")
+    placed = placed.sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "html", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
