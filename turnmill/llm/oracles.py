@@ -83,8 +83,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+OP10 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+g AS (
+  SELECT row_id, doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT row_id, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+hits AS (SELECT row_id, p FROM (SELECT row_id, p, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id OR least IS NOT NULL AND doc_id IS NULL),
+gone AS (SELECT row_id, list(q) AS qs FROM (SELECT DISTINCT row_id, unnest(range(p, p + 13)) AS q FROM hits) GROUP BY row_id),
+k AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(qs), 0) AS n_removed,
+         CASE WHEN qs IS NULL THEN w ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(qs, i)] END AS kept
+  FROM d LEFT JOIN gone USING (row_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_ownership": OP1,
     "op4_winnowed_decontamination": OP4,
+    "op10_substring_recompression": OP10,
     "op7_quality_cascade": OP7,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import decontamination, language, packing, pii, quality, secrets, sharding, warc
+from turnmill.llm import decontamination, language, packing, pii, quality, secrets, sharding, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -57,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_cascade": op7_quality_cascade,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_language_id": op9_language_id,
+    "op10_substring_recompression": op10_substring_recompression,
 }
