@@ -67,5 +67,16 @@ def test_equal_windows_have_equal_anchors():
     assert len(key) < 0.45 * len(own)
 
 
+def test_equal_windows_have_equal_anchors_in_repetitive_text():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abc", weights=(6, 2, 1), k=rng.randint(10, 400))) for _ in range(200)]
+    words = Words(Texts(pa.array(texts)))
+    key, start, n = substrings.anchors(words)
+    by = {}
+    for k, s, m in zip(key.tolist(), start.tolist(), n.tolist(), strict=True):
+        for at in range(s, s + m):
+            assert by.setdefault(tuple(words.hash[at : at + K].tolist()), k) == k
+
+
 def test_no_rows(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0

@@ -53,22 +53,23 @@ class Symbols:
         name, context = self.name[head], self.context[head]
         name = np.where(run, mix(name + size.astype(np.uint64) * _A + salt), name)
         context = np.where(run, mix(context * _B + self.context[last] * _C + size.astype(np.uint64)), context)
-        row, lo, hi = self.row[head], self.lo[head], self.hi[last]
+        row = self.row[head]
 
-        right = (mix(name + salt) & np.uint64(1)).astype(bool)
+        # halves go by the repeated symbol, so one element of a neighbouring run tells its half
+        right = (mix(self.name[head] + salt) & np.uint64(1)).astype(bool)
         joined = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
         begin = np.flatnonzero(np.r_[True, ~joined])
         end = np.r_[begin[1:], len(name)] - 1
         pair = end > begin
-        left_edge = np.r_[True, row[begin[1:]] != row[begin[1:] - 1]] if len(begin) else begin
-        right_edge = np.r_[left_edge[1:], True]
-        # what stands on either side decided that neither run nor pair went on
-        before, after = np.maximum(begin - 1, 0), np.minimum(end + 1, len(name) - 1)
         own_row = row[begin]
-        new_lo = np.where(left_edge, first[own_row] - 1, lo[before])
-        new_hi = np.where(right_edge, first[own_row + 1] + 1, hi[after])
+        left_edge = np.r_[True, own_row[1:] != own_row[:-1]]
+        right_edge = np.r_[left_edge[1:], True]
+        # the elements on either side decided that neither run nor pair went on
+        before, after = np.maximum(head[begin] - 1, 0), np.minimum(last[end] + 1, n - 1)
+        new_lo = np.where(left_edge, first[own_row] - 1, self.lo[before])
+        new_hi = np.where(right_edge, first[own_row + 1] + 1, self.hi[after])
         inner = np.where(pair, mix(context[begin] * _A + context[end] * _B), context[begin])
-        new_context = mix(context[before] * _C + inner * _A + context[after] * _B + salt)
+        new_context = mix(self.context[before] * _C + inner * _A + self.context[after] * _B + salt)
         new_name = np.where(pair, mix(name[begin] * _A + name[end] * _B + salt), name[begin])
         return Symbols(new_name, new_context, own_row, new_lo, new_hi)
 
