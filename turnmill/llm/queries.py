@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import decontamination, language, packing, pii, quality, secrets, sharding, substrings, warc
+from turnmill.llm import decontamination, jaccard, language, packing, pii, quality, secrets, sharding, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), size=2048)
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def op10_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_shard_by_bytes": op2_shard_by_bytes,
+    "op3_parity_sketch_join": op3_parity_sketch_join,
     "op4_winnowed_decontamination": op4_winnowed_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_pii_weak_supervision": op6_pii_weak_supervision,
