@@ -32,7 +32,8 @@ def with_global_rank(df: DataFrame, group: str | None, order: Sequence[str], wei
     """
     group_key = F.col(group) if group else F.lit(0).cast("long")
     weighed = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
-    rows = df.select("*", group_key.alias("_group"), weighed.alias("_weight"))
+    # written first, as range partitioning reads its input twice (once for a sample)
+    rows = materialise(df.select("*", group_key.alias("_group"), weighed.alias("_weight")), "rows")
     keys = [F.col("_group"), *[F.col(c).asc_nulls_first() for c in order]]
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType([*placed.schema.fields, *(T.StructField(c, T.LongType()) for c in (PART, "_rank", "_before"))])
