@@ -120,7 +120,7 @@ def _cover(n: int, at: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_postings: int = BROADCAST_POSTINGS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_postings: int = BROADCAST_POSTINGS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document inside any occurrence of a benchmark window, and the items they come from.
 
     Training and test fingerprints (winnowed ``GRAM``-grams) are joined; every
@@ -134,27 +134,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     comma-joined item ids, sorted as strings) and ``contaminated``.  A null text
     has no words, an item with a null id marks words but isn't listed, equal ids
     of items count once, repeated documents are judged alike, an empty table
-    gives no rows, an empty benchmark no hits, other columns are ignored.
+    gives no rows, an empty benchmark no hits.  Other columns are ignored but for
+    those named in ``keep``, which are carried along.
     """
     windows = materialise(benchmark_windows(benchmark), "windows")
     if windows.count() <= broadcast_postings:
-        return _by_broadcast(docs, windows, id_col, text_col)
-    return _by_join(docs, windows, id_col, text_col)
+        return _by_broadcast(docs, windows, id_col, text_col, keep)
+    return _by_join(docs, windows, id_col, text_col, keep)
 
 
-def _schema(docs: DataFrame, id_col: str) -> T.StructType:
+def _carried(keep: tuple[str, ...]) -> list:
+    return [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+
+
+def _schema(docs: DataFrame, id_col: str, keep: tuple[str, ...]) -> T.StructType:
     return T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")),
+        *(docs.schema[c] for c in (id_col, *keep)), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")),
         T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
     ])
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     rows = windows.toArrow()
     to_unsigned = lambda c: rows.column(c).to_numpy().astype(np.int64).view(np.uint64)
     index = Index(rows.column("item").to_pylist(), to_unsigned("window"), to_unsigned("print"), rows.column("size").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = _schema(docs, id_col)
+    schema = _schema(docs, id_col, keep)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -189,17 +194,17 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
                 sums = np.r_[0, np.cumsum(hit)]
                 n_hit = np.diff(sums[words.first])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items.astype(np.int64)), pa.array(sha), pa.array(n_hit > 0)],
+                    [part.column(0), *part.columns[2:], pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items.astype(np.int64)), pa.array(sha), pa.array(n_hit > 0)],
                     names=[f.name for f in schema.fields],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(search, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_carried(keep)).mapInArrow(search, schema)
 
 
-def _by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The same for a benchmark of any size.  Results depend on the text alone, so rows are keyed by its digest."""
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # WINDOW values at most
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("key"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("key"), *_carried(keep))
     texts = keyed.select("key", "text")
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +246,13 @@ def _by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) ->
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(Texts(part.column(2)), ALNUM_WORD, LOWER, hashes=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words.count.astype(np.int64))], names=[id_col, "key", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], pa.array(words.count.astype(np.int64))], names=schema.names)
 
-    schema = T.StructType([_schema(docs, id_col).fields[0], T.StructField("key", T.StringType()), T.StructField("n_words", T.LongType())])
-    counted = keyed.select("id", "key", "text").mapInArrow(count_words, schema)
+    fields = _schema(docs, id_col, keep).fields
+    kept = [T.StructField(f"_keep{i}", f.dataType) for i, f in enumerate(fields[1 : 1 + len(keep)])]
+    schema = T.StructType([T.StructField("id", fields[0].dataType), T.StructField("key", T.StringType()), *kept, T.StructField("n_words", T.LongType())])
+    counted = keyed.select("id", "key", "text", *(f.name for f in kept)).mapInArrow(count_words, schema)
     return counted.join(covered, "key", "left").join(listed, "key", "left").select(
-        id_col, "n_words", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")),
+        F.col("id").alias(id_col), *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)), "n_words", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")),
         F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

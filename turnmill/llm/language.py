@@ -159,7 +159,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 names[~known], score[~known] = UNDETERMINED, 0.0
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(label, schema)
+    carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried).mapInArrow(label, schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

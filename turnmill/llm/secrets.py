@@ -69,14 +69,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included, whose value has one owner, or ``WIDE_OWNERS`` or more).  A null
     text is empty, null owners are one owner, null repositories one repository;
     repeated rows are scanned each, an empty table gives no rows, other columns
-    are ignored.
+    are ignored.  ``text_hash`` tells texts of equal ids apart.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"),
         F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     base, more = candidate_spans(F.col("text"))
-    found = rows.select("row", "id", "owner", "repo", base.alias("base"), more.alias("more"))
+    found = rows.select("row", "id", "owner", "repo", F.xxhash64("text").alias("text_hash"), base.alias("base"), more.alias("more"))
     found = found.withColumn("more", F.filter("more", lambda s: ~overlaps(s, F.col("base"))))
     table = materialise(found, "secrets")
 
@@ -90,5 +90,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return table.join(judged, "row", "left").withColumn("kept", kept).select(
         F.col("id").alias(id_col), *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("kept")).alias("spans"),
         F.size(F.filter("kept", lambda s: owners_of(s) == 1)).cast("long").alias("n_owner_specific"),
-        F.size(F.filter("kept", lambda s: owners_of(s) >= WIDE_OWNERS)).cast("long").alias("n_widely_copied"),
+        F.size(F.filter("kept", lambda s: owners_of(s) >= WIDE_OWNERS)).cast("long").alias("n_widely_copied"), "text_hash",
     )
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **columns: str) -> DataFrame:
+    """The documents with every span of ``scan_secrets`` replaced by ``mark``; spans that meet are one.
+
+    All rows and columns stay.  A null text stays null, a text without spans is
+    untouched, rows of equal ids are told apart by their texts.
+    """
+    found = scan_secrets(docs, id_col, text_col, **columns).filter("spans <> ''").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "spans").distinct()
+    text = F.col(text_col)
+    parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    walked = F.aggregate(F.array_sort(parts), zero, lambda acc, s: F.struct(
+        F.greatest(acc["at"], s.end).alias("at"),
+        F.when(s.start < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s.start - acc["at"]), F.lit(mark))).alias("out"),
+    ), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash"))
+    joined = docs.join(found.withColumnRenamed("spans", "_spans"), same, "left")
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(walked)).select(*docs.columns)
