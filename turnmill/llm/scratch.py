@@ -1,21 +1,20 @@
 """Intermediate tables that outlive a lost executor.
 
 ``materialise`` writes a DataFrame as Parquet under the shared folder named by
-``spark.checkpoint.dir`` and reads it back, which cuts lineage and frees the
-shuffle files behind it.  Only when that setting is missing (local tests) is a
+``spark.checkpoint.dir`` and reads it back, which cuts lineage.  Only when that setting is missing (local tests) is a
 folder of this process used.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, str] = {}
 
 
@@ -36,20 +35,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+    """Write ``df`` once and return the written table.
+
+    The shuffle files of the write are removed as soon as it has ended, as
+    nothing reads them again, so an operator's disk use is that of its largest
+    step and not the sum of all.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
