@@ -108,29 +108,53 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of a set's sketch: a power of two, two to four for each shingle."""
+    return max(64, 1 << int(2 * size - 1).bit_length())
+
+
+def near_pairs(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int, int]]:
+    """(distance, i, j) of the pairs whose sketches allow a link, nearest first.
+
+    Sizes and Hamming distances bound a pair's similarity from above.  A sketch
+    of twice the bits is folded by XOR to its partner's width.  With ``cross``
+    only pairs of unequal ``side`` are compared.
+    """
+    pairs, widths = [], {}
+    for i in np.argsort(size, kind="stable").tolist():
+        widths.setdefault(len(sketches[i]), []).append(i)
+    matrix = {w: np.stack([sketches[i] for i in own]) for w, own in widths.items()}
+    for w, own in widths.items():
+        partners = [(np.array(own), matrix[w], True)]
+        if 2 * w in widths:
+            wide = matrix[2 * w]
+            partners.append((np.array(widths[2 * w]), wide[:, :w] ^ wide[:, w:], False))
+        for x, i in enumerate(own):
+            for other, rows, same in partners:
+                lo = x + 1 if same else 0
+                to = np.searchsorted(size[other], size[i] * 100 // PERCENT, side="right")
+                if to <= lo:
+                    continue
+                distance = np.bitwise_count(rows[lo:to] ^ matrix[w][x]).sum(axis=1, dtype=np.int64)
+                fit = distance * (100 + PERCENT) <= (size[i] + size[other[lo:to]]) * (100 - PERCENT)
+                if cross:
+                    fit &= side[other[lo:to]] != side[i]
+                at = np.flatnonzero(fit)
+                pairs += [(d, i, j) for d, j in zip(distance[at].tolist(), other[lo:to][at].tolist(), strict=True)]
+    return sorted(pairs)
+
+
 def group_edges(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
     """Verified links of a group that connect all its linked members (a forest, not all pairs).
 
-    Bit sketches bound each pair's symmetric difference from below; what passes
-    is verified on the sets, nearest first, unless already connected.  With
-    ``cross`` only pairs of unequal ``side`` are compared.
+    The pairs that sketches allow are verified on the sets, nearest first, unless
+    already connected.
     """
     size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
     if len(sets) == 2:
         pairs = [(0, 0, 1)] if not cross or side[0] != side[1] else []
     else:
-        bits = max(64, 1 << int(2 * size.max() - 1).bit_length())
-        sketch, sorted_size, pairs = bit_sketches([sets[i] for i in order], bits), size[order], []
-        for x in range(len(order) - 1):
-            to = np.searchsorted(sorted_size, sorted_size[x] * 100 // PERCENT, side="right")
-            distance = np.bitwise_count(sketch[x + 1 : to] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero(distance * (100 + PERCENT) <= (sorted_size[x] + sorted_size[x + 1 : to]) * (100 - PERCENT))
-            for y, d in zip(near.tolist(), distance[near].tolist(), strict=True):
-                i, j = order[x], order[x + 1 + y]
-                if not cross or side[i] != side[j]:
-                    pairs.append((d, i, j))
-        pairs.sort()
+        pairs = near_pairs(size, [bit_sketches([s], sketch_bits(len(s)))[0] for s in sets], side, cross)
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -153,7 +177,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             sets = shingle_sets(Words(Texts(part.column(1)), BLANK_WORD, LOWER))
             names = [int(set_name(s).view(np.int64)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "node", "n"])
+            sketch = [bit_sketches([s], sketch_bits(len(s)))[0].tobytes() if len(s) >= 4 else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary())], names=["doc", "node", "n", "sketch"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,28 +194,55 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, names)], names=["key", "node"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (center, one, other): compare the members of each block pair."""
-    group, members = None, {}
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
+    """Rows that are equal in their first ``keys`` columns, as (key, columns' values), from sorted batches."""
+    group, rows = None, []
+    for batch in batches:
+        for *values, in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if values[:keys] != group:
+                if rows:
+                    yield group, list(map(list, zip(*rows, strict=True)))
+                group, rows = values[:keys], []
+            rows.append(values[keys:])
+    if rows:
+        yield group, list(map(list, zip(*rows, strict=True)))
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (center, one, other): the members that some member's sketch allows a link with."""
+    for key, (block, node, doc, n, sketch) in _runs(batches, 3):
+        side, size = np.array(block), np.array(n)
+        alive = sorted({k for _, i, j in near_pairs(size, [np.frombuffer(s, dtype=np.uint64) for s in sketch], side, key[1] != key[2]) for k in (i, j)})
+        if alive:
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([k] * len(alive), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([block[i] for i in alive], pa.int32()), pa.array([node[i] for i in alive], pa.int64()), pa.array([doc[i] for i in alive], pa.int64())],
+                names=["center", "one", "other", "block", "node", "doc"])
+
 
-    def flush() -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (center, one, other): verified links that connect the members of each block pair."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, dict]]:
+        group, members = None, {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(Words(Texts(part.column(5)), BLANK_WORD, LOWER))
+                for *key, block, node, s in zip(*(c.to_pylist() for c in part.columns[:5]), sets, strict=True):
+                    if key != group:
+                        if members:
+                            yield group, members
+                        group, members = key, {}
+                    if len(s) and int(set_name(s).view(np.int64)) == node:  # an id may stand for several texts
+                        members[node] = (s, block)
+        if members:
+            yield group, members
+
+    for key, members in sets_of(batches):
         if len(members) > 1:
-            names = np.array(list(members))
-            edges = group_edges(names, [s for s, _ in members.values()], np.array([b for _, b in members.values()]), group[1] != group[2])
+            edges = group_edges(np.array(list(members)), [s for s, _ in members.values()], np.array([b for _, b in members.values()]), key[1] != key[2])
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])
 
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(Words(Texts(part.column(5)), BLANK_WORD, LOWER))
-            for *key, block, node, s in zip(*(c.to_pylist() for c in part.columns[:5]), sets, strict=True):
-                if key != group:
-                    yield from flush()
-                    group, members = key, {}
-                if len(s) and int(set_name(s).view(np.int64)) == node:  # an id may stand for several texts
-                    members[node] = (s, block)
-    yield from flush()
-
 
 def candidate_groups(entries: DataFrame) -> DataFrame:
     """(center, node) groups such that linked sets are together in one.
@@ -230,18 +282,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``id_col`` is an integer column.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    base = materialise(rows.mapInArrow(_names, "doc long, node long, n long"), "sets")
-    first = base.filter("node is not null").groupBy("node").agg(F.min("doc").alias("first"), F.max("n").alias("n"))
+    base = materialise(rows.mapInArrow(_names, "doc long, node long, n long, sketch binary"), "sets")
+    first = base.filter("node is not null").groupBy("node").agg(F.min("doc").alias("first"))
+    sketched = base.filter("sketch is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
 
     groups = materialise(candidate_groups(rows.select("text").mapInArrow(_entries, "key long, node long")), "groups")
-    members = groups.join(first, "node")
-    totals = groups.join(first, "node").groupBy("center").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = groups.join(sketched, "node")
+    totals = groups.join(sketched.select("node", "n"), "node").groupBy("center").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("total") / BLOCK_TOKENS).cast("int")
-    members = members.join(totals, "center").select("center", "node", F.col("first").alias("doc"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    members = materialise(members, "members")
-    pairs = members.join(rows, "doc").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = pairs.select("center", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "node", "text")
-    placed = placed.repartition("center", "one", "other").sortWithinPartitions("center", "one", "other")
+    members = members.join(totals, "center").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
+    keys = ["center", "one", "other"]
+    screened = pairs.select(*keys, "block", "node", "doc", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    alive = materialise(screened.mapInArrow(_screen, "center long, one int, other int, block int, node long, doc long"), "alive")
+    placed = alive.join(rows, "doc").select(*keys, "block", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
     roots = connected_components(placed.mapInArrow(_compare, "a long, b long"))
 
     least = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))
