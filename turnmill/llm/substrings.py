@@ -155,14 +155,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ends = np.cumsum(n)
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
             row = np.repeat(row, n)
-            place = (_text_tags(words)[row] << 32) | (at - words.first[row])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(place)], names=["window", "doc", "at"])
-
-
-def _text_tags(words: Words) -> np.ndarray:
-    """31 bits of each row's words, to tell apart the texts of one id."""
-    sums = np.r_[np.uint64(0), np.cumsum(mix(words.hash + words.row_place()), dtype=np.uint64)]
-    return ((sums[words.first[1:]] - sums[words.first[:-1]]) >> np.uint64(33)).astype(np.int64)
+            _, once = np.unique(mix(gram[at] + row.astype(np.uint64) * _A), return_index=True)  # a text's repeats of one window are one row
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at[once]].view(np.int64)), part.column(0).take(pa.array(row[once]))], names=["window", "doc"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -177,8 +171,8 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], with_text: bool) -
                 cuts = part.column(2)[i]
                 if cuts.is_valid:
                     own = Words(Texts(part.column(1).slice(i, 1)))
-                    at = cuts.values.to_numpy(zero_copy_only=False)
-                    at = at[at >> 32 == _text_tags(own)[0]] & 0xFFFFFFFF
+                    gram = own.grams(WINDOW)[: max(0, len(words) - WINDOW + 1)]
+                    at = np.flatnonzero(np.isin(gram.view(np.int64), cuts.values.to_numpy(zero_copy_only=False)))
                     covered = np.zeros(len(words) + WINDOW, dtype=np.int64)
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + WINDOW, -1)
@@ -214,9 +208,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = marks.withColumn("least", F.min("doc").over(by_key)).withColumn("most", F.max("doc").over(by_key)).filter("least < most")
     spans = materialise(shared.groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")  # of one document
 
-    windows = rows.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_emit_windows, "window long, doc long, at long")
+    windows = rows.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_emit_windows, "window long, doc long")
     repeated = windows.withColumn("least", F.min("doc").over(Window.partitionBy("window"))).filter("least < doc")
-    cuts = materialise(repeated.groupBy("doc").agg(F.collect_list("at").alias("cuts")), "cuts")
+    cuts = materialise(repeated.groupBy("doc").agg(F.collect_list("window").alias("cuts")), "cuts")
 
     schema = T.StructType([
         docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),

@@ -111,10 +111,6 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def row_place(self) -> np.ndarray:
-        """Each word's number in its row."""
-        return (np.arange(len(self.start)) - np.repeat(self.first[:-1], self.count)).astype(np.uint64)
-
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k - 1 words of a row have none that counts."""
         return gram_hashes(self.hash, k)
