@@ -97,3 +97,25 @@ def test_bit_sketches_bound_the_difference_from_below():
 
 def test_no_rows(no_docs):
     assert jaccard.similar_components(no_docs).count() == 0
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from turnmill.llm.components import connected_components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (-5, 300), (300, 301), (301, -5)]
+    edges += [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is a written table.
     """
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    mark = None
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    mark = state(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))  # v has the neighbour u
         least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
@@ -28,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
         edges = materialise(small.filter("v <> u").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        now = state(edges)
         if now == mark:
             break
         mark = now

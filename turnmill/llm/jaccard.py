@@ -145,7 +145,7 @@ def near_pairs(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, c
 
 
 def group_edges(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """Verified links of a group that connect all its linked members (a forest, not all pairs).
+    """What verified links connect in a group, as a star from each part's least name (not all pairs).
 
     The pairs that sketches allow are verified on the sets, nearest first, unless
     already connected.
@@ -163,13 +163,14 @@ def group_edges(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cro
             i = root[i]
         return i
 
-    edges = []
     for _, i, j in pairs:
         a, b = find(i), find(j)
         if a != b and linked(sets[i], sets[j]):
             root[a] = b
-            edges.append((names[i], names[j]))
-    return edges
+    together: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        together.setdefault(find(i), []).append(int(names[i]))
+    return [(least, name) for own in together.values() for least in (min(own),) for name in own if name != least]
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
