@@ -296,7 +296,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = ["center", "one", "other"]
     screened = pairs.select(*keys, "block", "node", "doc", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     alive = materialise(screened.mapInArrow(_screen, "center long, one int, other int, block int, node long, doc long"), "alive")
-    placed = alive.join(rows, "doc").select(*keys, "block", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
+    # texts are long and ``alive`` grows with the corpus, so it is never sent to all tasks
+    placed = rows.join(alive.hint("merge"), "doc").select(*keys, "block", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
     roots = connected_components(placed.mapInArrow(_compare, "a long, b long"))
 
     least = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))
