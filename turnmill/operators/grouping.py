@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,12 @@ def validate_grouping(tasks: DataFrame, misc: DataFrame, inputs: DataFrame) -> D
     return out
 
 
+def unique_slugs(tasks: DataFrame, order: list[str]) -> DataFrame:
+    """Tasks of several windows with the n-th equal slug numbered in ``order``."""
+    n = F.row_number().over(Window.partitionBy("slug").orderBy(*order))
+    return tasks.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") == 1, F.col("slug")).otherwise(t.suffix_slug(F.col("slug"), F.col("_n")))).drop("_n")
+
+
 def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     """Tasks after merging: (slug, title, members, kind, note).
 

@@ -111,6 +111,19 @@ def funnel(manifest: DataFrame, digests: DataFrame, tasks: DataFrame, misc: Data
     return stage("exported", manifest).union(stage("digested", digested)).union(stage("clustered", grouped)).union(stage("misc", misc)).union(stage("authored", authored)).union(stage("tasks", tasks))
 
 
+def task_marks(tasks: DataFrame, members: DataFrame, digests: DataFrame, library: DataFrame, generation: str) -> DataFrame:
+    """(slug, mark): authored, skipped with its outcomes, or pending."""
+    now = library.filter(F.col("generation").eqNullSafe(generation)).select("slug").distinct().withColumn("_now", F.lit(True))
+    good = viable_tasks(members, digests).withColumn("_good", F.lit(True))
+    out = tasks.select("slug").join(now, "slug", "left").join(good, "slug", "left").join(outcome_summary(members, digests), "slug", "left")
+    return out.select("slug", F.when(F.col("_now"), "authored").when(F.col("_good").isNull(), F.concat(F.lit("skipped: "), F.coalesce("outcome_summary", F.lit("")))).otherwise("pending").alias("mark"))
+
+
+def group_by_folder(sessions: DataFrame) -> DataFrame:
+    """Sessions of both stores by working folder: (cwd, sessions, latest); no folder is ''."""
+    return sessions.groupBy(F.coalesce("cwd", F.lit("")).alias("cwd")).agg(F.count(F.lit(1)).alias("sessions"), F.max("mtime").alias("latest"))
+
+
 def failure_streaks(runs: DataFrame, run: str, order: list[str], trip: int = 5) -> DataFrame:
     """Runs of equal consecutive failures: one row a streak that reached ``trip``.
 

@@ -191,4 +191,16 @@ ORACLES: dict[str, str] = {
         SELECT cut.sid AS export, sha256(cut || '|' || turns || '|' || coalesce(reply, '')) AS prompt_hash, dropped FROM cut JOIN t USING (sid) LEFT JOIN a USING (sid)""",
     "export_manifest": f"""WITH {_EVENTS}, s AS (SELECT sid, project, count(*) AS messages, arg_min(ts, idx) AS first_ts, arg_max(ts, idx) AS last_ts FROM kept GROUP BY sid, project)
         SELECT project || '-' || left(sid, 8) || '.md' AS export, project, sid AS session_id, messages, first_ts, last_ts FROM s""",
+    "export_statistics": f"""WITH {_CONTEXT},
+        a AS (SELECT sid, count(*) AS n FROM said GROUP BY sid), b AS (SELECT sid, count(*) AS n FROM kept GROUP BY sid), x AS (SELECT a.sid, a.n AS all_, coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (sid)),
+        e AS (SELECT sid FROM x WHERE n >= 2)
+        SELECT 'exported' AS counter, count(*) AS n FROM e UNION ALL SELECT 'messages', CAST(coalesce(sum(n), 0) AS BIGINT) FROM x WHERE n >= 2 UNION ALL SELECT 'duplicates', CAST(coalesce(sum(all_ - n), 0) AS BIGINT) FROM x
+        UNION ALL SELECT 'zero_message', count(*) FROM x WHERE n = 0 UNION ALL SELECT 'below_minimum', count(*) FROM x WHERE n = 1 UNION ALL SELECT 'bad_lines', 0
+        UNION ALL SELECT 'short_turns', count(*) FROM ctx WHERE session_id IN (SELECT sid FROM e) UNION ALL SELECT 'with_decision', count(*) FROM ctx WHERE decision_kind IS NOT NULL AND session_id IN (SELECT sid FROM e) UNION ALL SELECT 'outcome_sessions', count(*) FROM e""",
+    "task_marks": f"""WITH {_MEMBERS}, {_DIGESTS}, {_LIBRARY}, {_SUMMARY}, v AS (SELECT DISTINCT slug FROM m JOIN g USING (export) WHERE outcome IN ('completed', 'partial'))
+        SELECT lib.slug, CASE WHEN generation = 'g1' THEN 'authored' WHEN v.slug IS NULL THEN 'skipped: ' || outcome_summary ELSE 'pending' END AS mark FROM lib LEFT JOIN v USING (slug) LEFT JOIN summary USING (slug) WHERE lib.slug <> 'src1'""",
+    "cross_window_slugs": """WITH x AS (SELECT 'task-' || (doc_id % 60) AS slug, doc_id % 7 AS win, doc_id AS pos FROM documents)
+        SELECT CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS slug, win, pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY win, pos) AS n FROM x)""",
+    "library_read": f"""SELECT 's' || doc_id AS slug, 's' || doc_id AS title, source AS members, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, {_STAMP.format('doc_id')} AS authored_at, 1.0::DOUBLE AS coverage FROM documents WHERE doc_id % 5 > 1""",
+    "library_issues": """SELECT 's' || doc_id AS slug, CASE WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'not JSON' ELSE 'fails schema' END AS issue FROM documents WHERE doc_id % 10 = 7 OR doc_id % 5 < 2""",
 }

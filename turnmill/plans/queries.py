@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
 from turnmill.operators import context, corpus, grouping, names, preferences, tasks
-from turnmill.plans import prompts
-from turnmill.sources import dialects
+from turnmill.plans import export, prompts
+from turnmill.sources import artifacts, dialects
 from turnmill.sources.lines import KEYS
 
 
@@ -369,10 +369,42 @@ def digest_prompts(spark: SparkSession, d: str) -> DataFrame:
     return prompts.digest_prompts(documents, outcomes, budget=1000, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
 
 
+def export_statistics(spark: SparkSession, d: str) -> DataFrame:
+    events = _turns(spark, d)
+    bad = events.select(*KEYS).distinct().withColumn("bad_lines", F.lit(0).cast("long"))
+    return export.statistics(export.export_tables(events, bad, min_messages=2))
+
+
+def task_marks(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.task_marks(_tasks(spark, d), _members(spark, d), _digests(spark, d), _library(spark, d), "g1")
+
+
+def cross_window_slugs(spark: SparkSession, d: str) -> DataFrame:
+    made = _table(spark, d, "documents").select(F.concat(F.lit("task-"), (F.col("doc_id") % 60).cast("string")).alias("slug"), (F.col("doc_id") % 7).alias("win"), F.col("doc_id").alias("pos"))
+    return grouping.unique_slugs(made, ["win", "pos"])
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """A library record as JSON for each document: some cut short, some without a slug or with odd fields."""
+    n = F.col("doc_id")
+    whole = F.to_json(F.struct(F.concat(F.lit("s"), n.cast("string")).alias("slug"), F.array("source").alias("members"), F.when(n % 3 == 0, "high").otherwise("odd").alias("confidence"), _stamp(n).alias("authored_at")))
+    body = F.when(n % 5 == 0, F.left(whole, F.lit(10))).when(n % 5 == 1, F.lit('{"title":"x"}')).otherwise(whole)
+    return _table(spark, d, "documents").select(F.concat(F.lit("s"), n.cast("string")).alias("slug_dir"), body.alias("value"))
+
+
+def library_read(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts.parse_library(_records(spark, d)).select("slug", "title", F.array_join("members", ",").alias("members"), "confidence", "authored_at", "coverage")
+
+
+def library_issues(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    return artifacts.library_issues(records.select(F.col("slug_dir").alias("slug")), records.filter("slug_dir not like '%7'"))
+
+
 QUERIES = {f.__name__: f for f in (
     short_turn_context, context_lines, outcome_evidence, fork_dedupe, corpus_sessions, export_documents, export_manifest, project_inventory, origin_rollup, law_check,
     extract_dialect_a, extract_dialect_k2, extract_dialect_k3, bad_lines, drops_a, classify_sessions, middle_cut, text_functions, oversized_sessions, task_budget,
     outcome_summary, viable_tasks, distinct_domains, author_work, provenance, orphans, funnel, resume_work, stale_keys, apply_ratings, preferences_ranked, preference_block,
     recurring_preferences, normalized_duplicates, cluster_validation, id_canonicalise, window_packing, apply_merges, single_session_tasks, failure_streaks, edited_flag,
-    project_names, core_ids, fence_strip, response_parse, plan_counts, digest_prompts,
+    project_names, core_ids, fence_strip, response_parse, plan_counts, digest_prompts, export_statistics, task_marks, cross_window_slugs, library_read, library_issues,
 )}
