@@ -137,7 +137,9 @@ def estimate_rules(docs: DataFrame, rules: list[str], sample_rows: int = SAMPLE_
                     out.append((name, time.perf_counter() - began, rejected, part.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["rule", "seconds", "rejected", "rows"])
 
-    sample = docs.orderBy(F.xxhash64(F.col(id_col))).limit(sample_rows).select(F.col(text_col).alias("text"))
+    order = F.xxhash64(F.col(id_col))  # ranked alone, so that no task gathers texts of all others
+    last = docs.select(order.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = docs.filter(order <= F.lit(last)).limit(sample_rows).select(F.col(text_col).alias("text"))
     found = sample.mapInArrow(measure, "rule string, seconds double, rejected long, rows long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "rows")))
     by = {r.rule: r for r in found.collect()}  # a row a rule
     return [(name, by[name].seconds / by[name].rows, by[name].rejected / by[name].rows) if name in by else (name, 0.0, 0.0) for name in rules]
