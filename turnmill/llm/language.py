@@ -80,27 +80,34 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, labels: list[str]) -> Model:
+def fit(packed: np.ndarray, labels: list[str]) -> Model:
     """Nyström features on landmarks, then one-versus-rest kernel ridge regression.
 
-    The features are linear in the presence vector but for its norm, so the
-    landmarks fold into one weight matrix (buckets x languages).
+    ``packed`` has a row of presence bits a document; they are unpacked some rows
+    at a time.  The features are linear in the presence vector but for its norm,
+    so the landmarks fold into one weight matrix (buckets x languages).
     """
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(packed[rows], axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+
     languages = sorted(set(labels))
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    unit = x.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None].astype(np.float32)
     each = max(1, LANDMARKS // len(languages))
     chosen = np.concatenate([np.flatnonzero(np.array(labels) == name)[:each] for name in languages])
-    marks = unit[chosen]
+    marks = unit(chosen)
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     use = value > 1e-6 * value.max()
     root = vector[:, use] / np.sqrt(value[use])
-    phi = (unit @ marks.T).astype(np.float64) @ root
+    every = np.arange(len(labels))
+    kernel = np.concatenate([unit(every[i : i + _ROWS_AT_ONCE]) @ marks.T for i in range(0, len(every), _ROWS_AT_ONCE)])
+    phi = kernel.astype(np.float64) @ root
     share = 1.0 / y.clip(0).sum(axis=0)  # languages weigh alike, however many rows each has
     weight = (y.clip(0) * share).sum(axis=1)
     weight /= weight.mean()
     ridge = np.linalg.solve(phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1]), phi.T @ (y * weight[:, None]))
-    return Model(languages, (marks.T.astype(np.float64) @ (root @ ridge)).astype(np.float32))
+    return Model(languages, (marks.T @ (root @ ridge).astype(np.float32)).astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -130,7 +137,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
     if not rows:
         return None
-    return fit(np.unpackbits(np.array([np.frombuffer(b, dtype=np.uint8) for _, b in rows]), axis=1).astype(bool), [name for name, _ in rows])
+    return fit(np.array([np.frombuffer(b, dtype=np.uint8) for _, b in rows]), [name for name, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
