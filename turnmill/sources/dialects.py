@@ -264,9 +264,15 @@ def parse_lines(lines: DataFrame, dialect: str) -> DataFrame:
     return out.select(*KEYS, "line_key", "v", bad.alias("is_bad"), only("events", EVENT), only("drops", DROP))
 
 
+def _exploded(df: DataFrame, column: str) -> DataFrame:
+    """Rows of an outer explode without the empty ones.  An inner explode would make the optimizer
+    infer a filter on the array, and push that array's whole expression down again and again."""
+    return df.filter(F.col(column).isNotNull())
+
+
 def timeline(parsed: DataFrame) -> DataFrame:
     """Events of every session in file order, with ``event_pos`` from 0."""
-    flat = parsed.select(*KEYS, "line_key", F.posexplode("events").alias("at", "e"))
+    flat = _exploded(parsed.select(*KEYS, "line_key", F.posexplode_outer("events").alias("at", "e")), "e")
     order = Window.partitionBy(*KEYS).orderBy("line_key", "at")
     return flat.select(*KEYS, (F.row_number().over(order) - 1).cast("long").alias("event_pos"), "e.kind", "e.timestamp", "e.text")
 
@@ -277,7 +283,7 @@ def messages(events: DataFrame) -> DataFrame:
 
 def drops(parsed: DataFrame, dialect: str) -> DataFrame:
     """What was taken for machine text or left out, with its reason."""
-    out = parsed.select(*KEYS, F.explode("drops").alias("d")).select(*KEYS, "d.*")
+    out = _exploded(parsed.select(*KEYS, F.explode_outer("drops").alias("d")), "d").select(*KEYS, "d.*")
     return out.unionByName(snapshot_only(parsed)) if dialect == "k2" else out
 
 
@@ -285,7 +291,7 @@ def snapshot_only(parsed: DataFrame) -> DataFrame:
     """Prompts of a compaction snapshot that never appear live in the same file."""
     items = parsed.filter(v.text(F.col("v"), "$.kind") == "Compaction").select(*KEYS, F.explode(v.array(F.col("v"), "$.data.messages_snapshot")).alias("i"))
     said = items.filter(v.text(F.col("i"), "$.role") == "user").select(*KEYS, _k2_time(F.col("i")).alias("timestamp"), _joined(_prompt_pieces(F.col("i"))).alias("text"))
-    live = parsed.select(*KEYS, F.explode("events").alias("e")).filter("e.kind = 'human'").select(*KEYS, "e.timestamp", "e.text").distinct()
+    live = parsed.select(*KEYS, F.explode_outer("events").alias("e")).filter("e.kind = 'human'").select(*KEYS, "e.timestamp", "e.text").distinct()
     gone = said.filter("text is not null").distinct().join(live, [*KEYS, "timestamp", "text"], "left_anti")
     return gone.select(*KEYS, F.lit("snapshot only").alias("reason"), t.snippet(F.col("text")).alias("snippet"), F.when(F.col("timestamp") != "", F.col("timestamp")).alias("timestamp"))
 
