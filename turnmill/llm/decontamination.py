@@ -143,8 +143,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _by_join(docs, windows, id_col, text_col, keep)
 
 
-def _carried(keep: tuple[str, ...]) -> list:
-    return [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+def _carried(keep: tuple[str, ...], once: str | None = None) -> list:
+    """Columns to carry along; the column ``once`` is there already."""
+    return [F.lit(None).alias(f"_keep{i}") if c == once else F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
 
 
 def _schema(docs: DataFrame, id_col: str, keep: tuple[str, ...]) -> T.StructType:
@@ -193,12 +194,13 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
                         sha[i] = hashlib.sha256(",".join(index.names[j] for j in item[cuts[i] : cuts[i + 1]]).encode()).hexdigest()
                 sums = np.r_[0, np.cumsum(hit)]
                 n_hit = np.diff(sums[words.first])
+                kept = [part.column(1) if c == text_col else x for c, x in zip(keep, part.columns[2:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items.astype(np.int64)), pa.array(sha), pa.array(n_hit > 0)],
+                    [part.column(0), *kept, pa.array(words.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items.astype(np.int64)), pa.array(sha), pa.array(n_hit > 0)],
                     names=[f.name for f in schema.fields],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_carried(keep)).mapInArrow(search, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_carried(keep, text_col)).mapInArrow(search, schema)
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:

@@ -164,9 +164,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     names[i:to] = np.array(model.languages, dtype=object)[best]
                     score[i:to] = found[np.arange(to - i), best]
                 names[~known], score[~known] = UNDETERMINED, 0.0
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.names)
+                kept = [part.column(1) if c == text_col else x for c, x in zip(keep, part.columns[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *kept, pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.names)
 
-    carried = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    carried = [F.lit(None).alias(f"_keep{i}") if c == text_col else F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]  # the text goes once
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried).mapInArrow(label, schema)
 
 
