@@ -14,8 +14,16 @@ from turnmill.llm import decontamination, jaccard, language, packing, secrets
 from turnmill.llm.scratch import materialise
 
 
+BATCH_ROWS = 2_000  # of Arrow batches that carry whole texts; Spark's default of 10,000 takes a worker five times the memory
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; a missing label is filled with the predicted one."""
+    _small_batches(spark)
     others = tuple(c for c in docs.columns if c != "doc_id")
     found = language.identify(docs, language.train(docs), keep=others).filter(F.col("lang_pred") != language.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -23,6 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays, once."""
+    _small_batches(spark)
     found = jaccard.similar_components(docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(first, docs.doc_id.eqNullSafe(first._kept), "left_semi").dropDuplicates(["doc_id", "text"])
@@ -30,6 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     others = tuple(c for c in docs.columns if c != "doc_id")
     return decontamination.contamination(docs, benchmark, keep=others).filter("not contaminated").select(*docs.columns)
@@ -42,6 +52,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place."""
+    _small_batches(spark)
     return packing.pack_documents(docs, size=2048)
 
 
