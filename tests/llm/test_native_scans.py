@@ -75,6 +75,18 @@ def test_owner_specific_and_copied_secrets(spark):
     assert (got[5].n_owner_specific, got[5].n_widely_copied, got[5].n_assign) == (0, 1, 1)
 
 
+def test_secrets_that_many_documents_of_one_owner_share(spark):
+    hot, own = "zZ9_hotSource-Example-v1", "qQ7_owned-Live-value00002"
+    rows = [(i, f"x {hot} y", "owner1") for i in range(40)] + [(40, f"token={hot}", "owner1"), (41, f"x {own} y", "owner1"), (41, f"x {own} y", "owner1"), (42, f"x {own} z", "owner1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert got[0].spans == "" and (got[0].n_owner_specific, got[0].n_widely_copied, got[0].repos) == (0, 0, "")
+    assert (got[40].n_assign, got[40].n_owner_specific, got[40].n_widely_copied, got[40].repos) == (1, 0, 1, "41")
+    assert got[41].spans == f"owned:2:{2 + len(own)}" and (got[41].n_owner_specific, got[41].repos) == (1, "2")
+    texts = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert texts[0] == rows[0][1] and texts[40] == "[SECRET]" and texts[41] == "x [SECRET] y"
+
+
 def test_labelers_teach_the_classifier(spark):
     rows = [(i, f"please call phone +1 743 555 {1000 + i} or mail to a{i}@b.com today") for i in range(60)]
     rows += [(100, "call phone (743) 555-3824 now"), (101, "mail to me (at) site.com now"), (102, "version 743 555 38240 of table 11")]

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("repos", "text_hash")
 
 
 def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

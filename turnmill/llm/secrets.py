@@ -25,6 +25,7 @@ ASSIGN_CHARS = 8
 OWNED = r"[A-Za-z0-9_-]{20,}"
 OWNED_DISTINCT = 10
 WIDE_OWNERS = 3  # values seen at so many owners are copied examples
+WIDE_REPOS = 10  # and so are values seen in so many repositories, of however few owners
 
 
 def _span(kind: Column | str, order: int, s: Column, value: Column) -> Column:
@@ -59,14 +60,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of every whole text, and how their values are spread over the corpus.
 
     Base spans are pattern matches and always stay.  Further candidates (long
-    mixed runs) become spans of kind ``owned`` if their value occurs at one
-    owner only and looks live; values at ``WIDE_OWNERS`` owners or more are
-    widely copied examples.  Hashes, not values, are aggregated by distinct
+    mixed runs) become spans of kind ``owned`` if their value is owner-specific (one
+    owner and less than ``WIDE_REPOS`` repositories) and looks live; values at
+    ``WIDE_OWNERS`` owners or more, or in ``WIDE_REPOS`` repositories or more,
+    are widely copied examples.  Hashes, not values, are aggregated by distinct
     repository (``repo_col`` within owner) and owner.
 
     Returns id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``,
     ``spans``, ``n_owner_specific`` and ``n_widely_copied`` (spans, base ones
-    included, whose value has one owner, or ``WIDE_OWNERS`` or more).  A null
+    included, of either verdict) and ``repos``, each span's number of
+    repositories in the order of ``spans``.  A null
     text is empty, null owners are one owner, null repositories one repository;
     repeated rows are scanned each, an empty table gives no rows, other columns
     are ignored.  ``text_hash`` tells texts of equal ids apart.
@@ -83,14 +86,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = table.select("row", "owner", "repo", F.explode(F.concat("base", "more")).alias("s"))
     flat = spans.select("row", "owner", "repo", "s.*")
     spread = ownership(flat)
-    judged = flat.select("row", "hash").distinct().join(spread, "hash").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", "owners"))).alias("owners"))
-    owners_of = lambda s: F.element_at(F.col("owners"), s["hash"])
-    kept = F.array_sort(F.concat("base", F.filter("more", lambda s: owners_of(s) == 1)))
+    judged = flat.select("row", "hash").distinct().join(spread, "hash").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repos")))).alias("spread"))
+    spread_of = lambda s: F.element_at(F.col("spread"), s["hash"])
+    specific = lambda s: (spread_of(s)["owners"] == 1) & (spread_of(s)["repos"] < WIDE_REPOS)
+    wide = lambda s: (spread_of(s)["owners"] >= WIDE_OWNERS) | (spread_of(s)["repos"] >= WIDE_REPOS)
+    kept = F.array_sort(F.concat("base", F.filter("more", specific)))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return table.join(judged, "row", "left").withColumn("kept", kept).select(
         F.col("id").alias(id_col), *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("kept")).alias("spans"),
-        F.size(F.filter("kept", lambda s: owners_of(s) == 1)).cast("long").alias("n_owner_specific"),
-        F.size(F.filter("kept", lambda s: owners_of(s) >= WIDE_OWNERS)).cast("long").alias("n_widely_copied"), "text_hash",
+        F.size(F.filter("kept", specific)).cast("long").alias("n_owner_specific"), F.size(F.filter("kept", wide)).cast("long").alias("n_widely_copied"),
+        F.array_join(F.transform("kept", lambda s: spread_of(s)["repos"].cast("string")), ",").alias("repos"), "text_hash",
     )
 
 
