@@ -43,10 +43,42 @@ def check(docs):
     assert Counter(map(tuple, jaccard.similar_components(docs).collect())) == brute(rows)
 
 
+def check_links(docs):
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.select("doc_id", "text").collect()]
+    want = Counter((k, sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, (_, b) in enumerate(rows))) for i, (k, a) in enumerate(rows))
+    got = jaccard.similar_components(docs, with_links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == want
+    return got
+
+
 def test_edges(edge_docs):
     check(edge_docs)
 
 
+def test_links_of_edges(edge_docs, no_docs):
+    check_links(edge_docs)
+    assert jaccard.similar_components(no_docs, with_links=True).count() == 0
+
+
+@pytest.mark.parametrize("block", [1_000_000, 300])
+def test_every_link_counts_once(spark, monkeypatch, block):
+    """Dense clusters, chains whose ends don't link, exact copies and pairs that meet in several groups."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
+    rng = random.Random(block)
+    texts = []
+    for size in (4, 9, 12, 30, 60, 150):
+        w = sentence(rng, size).split()
+        for _ in range(25):
+            w = list(w)
+            w[rng.randrange(len(w))] = f"w{rng.randrange(9)}"
+            texts += [" ".join(w)] * rng.choice([1, 1, 1, 3])
+            near = w + ["end"]
+            texts.append(" ".join(near[rng.randrange(2):]))
+    rows = rows_of(texts) + [(None, texts[40], *[None] * 7), (7, texts[80], *[None] * 7)]
+    got = check_links(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert max(r.n_links for r in got) > 5
+
+
 @pytest.mark.parametrize("block", [1_000_000, 700])
 def test_near_copies_at_every_size_and_distance(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)

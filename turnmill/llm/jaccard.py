@@ -144,33 +144,61 @@ def near_pairs(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, c
     return sorted(pairs)
 
 
-def group_edges(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """What verified links connect in a group, as a star from each part's least name (not all pairs).
+def common_counts(sets: list[np.ndarray], asked: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, shingles that set i has in common with each set) of every i in ``asked``; exact for the sets in ``held``, 0 for others.
 
-    The pairs that sketches allow are verified on the sets, nearest first, unless
-    already connected.
+    Each shingle lists the sets that hold it, so that a set takes a few passes over
+    its shingles' lists, not one a partner.  If ``asked`` and ``held`` are the same,
+    a pair is counted at the first of its two sets only.
+    """
+    own, each = asked is held, np.array([len(sets[j]) for j in held])
+    known, code = np.unique(np.concatenate([sets[j] for j in held]), return_inverse=True)
+    holder = np.repeat(held, each)[np.argsort(code, kind="stable")]
+    end = np.cumsum(np.bincount(code, minlength=len(known)))
+    start = np.r_[0, end[:-1]]
+    for i in asked.tolist():
+        at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+        at = at[known[at] == sets[i]]
+        if own:
+            start[at] += 1  # the list's first one is i itself
+        n = end[at] - start[at]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)
+        yield i, np.bincount(holder[place], minlength=len(sets))
+
+
+def group_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, copies: np.ndarray, centers: list[list[int]], center: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """What links connect in a group, as a star from each part's least name, and the linked copies of each set.
+
+    Every pair is verified on the sets.  Two sets may meet in several groups;
+    their link is counted in the one with the least of the ``centers`` that both have.
     """
     size = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        pairs = [(0, 0, 1)] if not cross or side[0] != side[1] else []
-    else:
-        pairs = near_pairs(size, [bit_sketches([s], sketch_bits(len(s)))[0] for s in sets], side, cross)
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for _, i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b and linked(sets[i], sets[j]):
-            root[a] = b
+    part, found = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    elsewhere: dict[int, list[int]] = {}
+    for i, own in enumerate(centers):
+        for c in own:
+            if c < center:
+                elsewhere.setdefault(c, []).append(i)
+    asked = held = np.arange(len(sets))
+    if cross:
+        asked, held = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+    for i, common in common_counts(sets, asked, held) if len(held) else ():
+        link = (common > 0) & (100 * common >= PERCENT * (size[i] + size - common))
+        to = np.flatnonzero(link)
+        met = part[to]
+        if (met != part[i]).any():
+            part[np.isin(part, np.append(met, part[i]))] = min(int(met.min()), int(part[i]))
+        for c in centers[i]:
+            if c < center:
+                link[elsewhere[c]] = False
+        to = np.flatnonzero(link)
+        found[i] += copies[to].sum()
+        found[to] += copies[i]
     together: dict[int, list[int]] = {}
-    for i in range(len(sets)):
-        together.setdefault(find(i), []).append(int(names[i]))
-    return [(least, name) for own in together.values() for least in (min(own),) for name in own if name != least]
+    for i, k in enumerate(part.tolist()):
+        together.setdefault(k, []).append(int(names[i]))
+    return [(least, name) for own in together.values() for least in (min(own),) for name in own if name != least], found
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,28 +249,31 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (center, one, other): verified links that connect the members of each block pair."""
+    """Rows sorted by (center, one, other): verified links that connect the members of each block pair (n is 0), and a member's number of links (a is b)."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, dict]]:
         group, members = None, {}
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(Words(Texts(part.column(5)), BLANK_WORD, LOWER))
-                for *key, block, node, s in zip(*(c.to_pylist() for c in part.columns[:5]), sets, strict=True):
+                sets = shingle_sets(Words(Texts(part.column(7)), BLANK_WORD, LOWER))
+                for *key, block, node, copies, centers, s in zip(*(c.to_pylist() for c in part.columns[:7]), sets, strict=True):
                     if key != group:
                         if members:
                             yield group, members
                         group, members = key, {}
                     if len(s) and int(set_name(s).view(np.int64)) == node:  # an id may stand for several texts
-                        members[node] = (s, block)
+                        members[node] = (s, block, copies, centers)
         if members:
             yield group, members
 
     for key, members in sets_of(batches):
         if len(members) > 1:
-            edges = group_edges(np.array(list(members)), [s for s, _ in members.values()], np.array([b for _, b in members.values()]), key[1] != key[2])
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])
+            sets, block, copies, centers = zip(*members.values(), strict=True)
+            names = np.array(list(members))
+            edges, found = group_links(names, list(sets), np.array(block), key[1] != key[2], np.array(copies), list(centers), key[0])
+            rows = [*((a, b, 0) for a, b in edges), *((k, k, n) for k, n in zip(names.tolist(), found.tolist(), strict=True) if n)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "b", "n"])
 
 
 def candidate_groups(entries: DataFrame) -> DataFrame:
@@ -265,18 +296,19 @@ def candidate_groups(entries: DataFrame) -> DataFrame:
     return placed.select("center", "node").distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """Exact near-duplicate components of whole texts.
 
     Words are runs of non-blank characters, A-Z lower-cased; a document's set is
     its distinct ``SHINGLE``-word shingles (fewer words: the whole sequence as
     one).  Documents link when their sets' Jaccard similarity is ``PERCENT`` % or
     more.  Equal sets are one node; nodes meet by shared sketch pieces, and the
-    groups' members are compared block against block inside tasks, which emit
-    verified links that connect them, never all pairs.
+    groups' members are compared block against block inside tasks, which verify
+    every pair and emit links that connect them and counts of links, never all pairs.
 
     Returns id, ``n_shingles`` and ``component_id``, the smallest id reachable by
-    links, itself included.  A null or empty text has no shingles and is linked
+    links, itself included; with ``with_links`` also ``n_links``, the number of
+    other rows that link with the row, its copies included.  A null or empty text has no shingles and is linked
     with nothing; a null id counts as largest and its row's component is null
     only if no row of the component has an id; rows of equal ids are judged each
     by its text; an empty table gives no rows; other columns are ignored.
@@ -285,10 +317,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     base = materialise(rows.mapInArrow(_names, "doc long, node long, n long, sketch binary"), "sets")
     first = base.filter("node is not null").groupBy("node").agg(F.min("doc").alias("first"))
-    sketched = base.filter("sketch is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketched = base.filter("sketch is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
 
     groups = materialise(candidate_groups(rows.select("text").mapInArrow(_entries, "key long, node long")), "groups")
-    members = groups.join(sketched, "node")
+    members = groups.join(sketched.drop("copies"), "node")
     totals = groups.join(sketched.select("node", "n"), "node").groupBy("center").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("total") / BLOCK_TOKENS).cast("int")
     members = members.join(totals, "center").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -297,12 +329,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     screened = pairs.select(*keys, "block", "node", "doc", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     alive = materialise(screened.mapInArrow(_screen, "center long, one int, other int, block int, node long, doc long"), "alive")
     # texts are long and ``alive`` grows with the corpus, so it is never sent to all tasks
-    placed = rows.join(alive.hint("merge"), "doc").select(*keys, "block", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
-    roots = connected_components(placed.mapInArrow(_compare, "a long, b long"))
+    met = alive.groupBy("node").agg(F.collect_set("center").alias("centers")).join(sketched.select("node", "copies"), "node")
+    known_of = alive.join(met, "node")
+    placed = rows.join(known_of.hint("merge"), "doc").select(*keys, "block", "node", "copies", "centers", "text").repartition(*keys).sortWithinPartitions(*keys)
+    links = materialise(placed.mapInArrow(_compare, "a long, b long, n long"), "links")
+    roots = connected_components(links.select("a", "b"))
 
     least = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))
     found = roots.join(least, "root").select("node", "component")
     out = base.join(first.select("node", "first"), "node", "left").join(found, "node", "left")
     known = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    counts = []
+    if with_links:
+        copies = base.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        near = links.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
+        out = out.join(copies.join(near, "node", "left"), "node", "left")
+        counts = [F.coalesce(F.col("copies") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).alias("n_links")]
     return out.withColumn("component", F.coalesce("component", "first", "doc")).select(
-        known("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+        known("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"), *counts)

@@ -28,7 +28,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op4_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
