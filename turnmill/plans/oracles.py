@@ -204,3 +204,10 @@ ORACLES: dict[str, str] = {
     "library_read": f"""SELECT 's' || doc_id AS slug, 's' || doc_id AS title, source AS members, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, {_STAMP.format('doc_id')} AS authored_at, 1.0::DOUBLE AS coverage FROM documents WHERE doc_id % 5 > 1""",
     "library_issues": """SELECT 's' || doc_id AS slug, CASE WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'not JSON' ELSE 'fails schema' END AS issue FROM documents WHERE doc_id % 10 = 7 OR doc_id % 5 < 2""",
 }
+
+#: The same over whole texts, whole first lines and the operator's default budget.
+ORACLES |= {
+    "fence_strip_whole": ORACLES["fence_strip"].replace("left(text, 300)", "text"),
+    **{f"{name}_whole": ORACLES[name].replace("left(split_part(text, chr(10), 1), 12)", "split_part(text, chr(10), 1)") for name in ("preferences_ranked", "preference_block", "recurring_preferences")},
+    "digest_prompts_whole": ORACLES["digest_prompts"].replace(_cut("doc", "sid", "content", 1000), _cut("doc", "sid", "content", 400_000)),
+}

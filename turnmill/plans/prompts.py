@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from turnmill.functions import text as t
 
+BUDGET = 400_000  # characters of a document in a prompt
 DIGEST = "Summarise this session.\n\n{document}\n\nLast turns:\n{turns}\n\nLast reply:\n{reply}"
 
 
-def digest_prompts(documents: DataFrame, outcomes: DataFrame, budget: int = 400_000, template: str = DIGEST) -> DataFrame:
+def digest_prompts(documents: DataFrame, outcomes: DataFrame, budget: int = BUDGET, template: str = DIGEST) -> DataFrame:
     """(export, prompt, dropped): document, cut to the budget, with its outcome evidence."""
     cut = t.middle_cut(F.col("content"), budget)
     joined = documents.withColumn("_c", cut).join(outcomes, "export", "left")

@@ -253,25 +253,38 @@ def apply_ratings(spark: SparkSession, d: str) -> DataFrame:
     return tasks.apply_ratings(_library(spark, d).select("slug", "generation"), ratings.filter("slug <> 'src2'"))
 
 
-def _preferences(spark: SparkSession, d: str) -> DataFrame:
-    """The first line of each document as a preference of its source."""
-    line = F.left(F.substring_index(F.col("text"), "\n", 1), F.lit(12))
+def _preferences(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The first line of each document, or its first 12 characters, as a preference of its source."""
+    line = F.substring_index(F.col("text"), "\n", 1)
+    line = line if whole else F.left(line, F.lit(12))
     number = F.regexp_replace("source", "[^0-9]", "").cast("long")
     return _table(spark, d, "documents").select(F.col("source").alias("slug"), _stamp(number).alias("authored_at"), number.alias("task_pos"), F.col("doc_id").alias("pos"), line.alias("text"), F.col("doc_id").cast("string").alias("evidence"))
 
 
-def preferences_ranked(spark: SparkSession, d: str) -> DataFrame:
-    ranked = preferences.aggregate_preferences(_preferences(spark, d))
+def preferences_ranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    ranked = preferences.aggregate_preferences(_preferences(spark, d, whole))
     return ranked.select("key", "text", "count", "last_authored_at", F.array_join(F.transform("occurrences", lambda o: F.concat_ws("=", o.slug, o.evidence)), ",").alias("occurrences"))
 
 
-def preference_block(spark: SparkSession, d: str) -> DataFrame:
-    ranked = preferences.aggregate_preferences(_preferences(spark, d))
+def preferences_ranked_whole(spark: SparkSession, d: str) -> DataFrame:
+    return preferences_ranked(spark, d, whole=True)
+
+
+def preference_block(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    ranked = preferences.aggregate_preferences(_preferences(spark, d, whole))
     return preferences.render_block(ranked, 20, "<!-- preferences -->")
 
 
-def recurring_preferences(spark: SparkSession, d: str) -> DataFrame:
-    return preferences.recurring_count(preferences.aggregate_preferences(_preferences(spark, d)))
+def preference_block_whole(spark: SparkSession, d: str) -> DataFrame:
+    return preference_block(spark, d, whole=True)
+
+
+def recurring_preferences(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return preferences.recurring_count(preferences.aggregate_preferences(_preferences(spark, d, whole)))
+
+
+def recurring_preferences_whole(spark: SparkSession, d: str) -> DataFrame:
+    return recurring_preferences(spark, d, whole=True)
 
 
 def normalized_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -337,12 +350,16 @@ def core_ids(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", t.core_uuid(name).alias("core"), t.sanitize_name(F.col("url")).alias("safe"))
 
 
-def fence_strip(spark: SparkSession, d: str) -> DataFrame:
-    body = F.left(F.col("text"), F.lit(300))
+def fence_strip(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    body = F.col("text") if whole else F.left(F.col("text"), F.lit(300))
     wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```JSON\n"), body, F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("  "), body))
     return _table(spark, d, "documents").select("doc_id", t.strip_fence(wrapped).alias("body"))
 
 
+def fence_strip_whole(spark: SparkSession, d: str) -> DataFrame:
+    return fence_strip(spark, d, whole=True)
+
+
 def response_parse(spark: SparkSession, d: str) -> DataFrame:
     """Digests wrapped as response envelopes of each shape, parsed and validated."""
     from turnmill.functions import variant as v
@@ -362,11 +379,16 @@ def plan_counts(spark: SparkSession, d: str) -> DataFrame:
     return prompts.plan_counts(eligible, grouped=True)
 
 
-def digest_prompts(spark: SparkSession, d: str) -> DataFrame:
+def digest_prompts(spark: SparkSession, d: str, **budget: int) -> DataFrame:
     events, _, kept = _corpus(spark, d)
     documents = corpus.render_documents(kept).select(F.col("session_id").alias("export"), "content")
     outcomes = context.outcome_evidence(events, kept).withColumnRenamed("session_id", "export").select("export", "final_human_turns", "final_assistant_tail")
-    return prompts.digest_prompts(documents, outcomes, budget=1000, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
+    return prompts.digest_prompts(documents, outcomes, **budget or {"budget": 1000}, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
+
+
+def digest_prompts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """With the operator's default budget."""
+    return digest_prompts(spark, d, budget=prompts.BUDGET)
 
 
 def export_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -407,4 +429,5 @@ QUERIES = {f.__name__: f for f in (
     outcome_summary, viable_tasks, distinct_domains, author_work, provenance, orphans, funnel, resume_work, stale_keys, apply_ratings, preferences_ranked, preference_block,
     recurring_preferences, normalized_duplicates, cluster_validation, id_canonicalise, window_packing, apply_merges, single_session_tasks, failure_streaks, edited_flag,
     project_names, core_ids, fence_strip, response_parse, plan_counts, digest_prompts, export_statistics, task_marks, cross_window_slugs, library_read, library_issues,
+    fence_strip_whole, preferences_ranked_whole, preference_block_whole, recurring_preferences_whole, digest_prompts_whole,
 )}
