@@ -79,6 +79,22 @@ def test_languages_are_told_apart(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
 
 
+def test_empty_and_tiny_labelled_rows_leave_the_landmarks_to_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    sounds = {"aa": ["bra", "ko", "mi", "ta"], "bb": ["sch", "ung", "er", "ein"], "cc": ["eau", "oi", "lu", "tion"]}
+    said = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, said(list(sounds)[i % 3], 30), list(sounds)[i % 3]) for i in range(180)]
+    rows += [(1000 + i, [None, "", "12 34", "  "][i // 3 % 4], list(sounds)[i % 3]) for i in range(900)]
+    rows += [(3000 + i, "x", list(sounds)[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r.lang_pred for r in language.language_id(docs).collect()}
+    assert [got[i] for i in range(180)] == [list(sounds)[i % 3] for i in range(180)]
+    assert {got[1000 + i] for i in range(900)} == {"und"}
+    assert language.train(docs.filter("doc_id >= 1000 and doc_id < 3000")) is None
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     docs = spark.createDataFrame(rows_of([sentence(__import__("random").Random(i), 30) for i in range(60)]), SCHEMA)
     flipped = docs.withColumn("lang", F.when(language.held_out("doc_id"), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("q"))

@@ -85,7 +85,8 @@ def fit(packed: np.ndarray, labels: list[str]) -> Model:
 
     ``packed`` has a row of presence bits a document; they are unpacked some rows
     at a time.  The features are linear in the presence vector but for its norm,
-    so the landmarks fold into one weight matrix (buckets x languages).
+    so the landmarks fold into one weight matrix (buckets x languages).  Landmarks
+    are the first rows of each language: the rows come in an order of chance.
     """
 
     def unit(rows: np.ndarray) -> np.ndarray:
@@ -111,12 +112,13 @@ def fit(packed: np.ndarray, labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from a bounded sample of the labelled rows outside the held-out fold; None without any.
+    """Learn from a bounded sample of the labelled rows with a letter outside the held-out fold; None without any.
 
     Rows are chosen by the hash of their id, about ``SAMPLE_PER_LANGUAGE`` of
-    each language; the driver gets their packed presence bits, not their texts.
+    each language; the driver gets their packed presence bits, not their texts,
+    and orders them by a hash of id and text.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col))
+    labelled = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return None
@@ -131,13 +133,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 texts, found = Texts(part.column(1)), []
                 for i in range(0, len(texts), _ROWS_AT_ONCE):
                     found += [b.tobytes() for b in np.packbits(presence(texts, i, min(len(texts), i + _ROWS_AT_ONCE)), axis=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["lang", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary())], names=["lang", "place", "bits"])
 
-    rows = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(bits, "lang string, bits binary").collect()
-    rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
+    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("place")).alias("place")
+    rows = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place).mapInArrow(bits, "lang string, place long, bits binary").collect()
+    rows = sorted((r["lang"], r["place"], bytes(r["bits"])) for r in rows)
     if not rows:
         return None
-    return fit(np.array([np.frombuffer(b, dtype=np.uint8) for _, b in rows]), [name for name, _ in rows])
+    return fit(np.array([np.frombuffer(b, dtype=np.uint8) for *_, b in rows]), [name for name, *_ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
