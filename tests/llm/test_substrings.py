@@ -78,5 +78,25 @@ def test_equal_windows_have_equal_anchors_in_repetitive_text():
             assert by.setdefault(tuple(words.hash[at : at + K].tolist()), k) == k
 
 
+def test_blocks_do_not_change_anchors(monkeypatch):
+    rng = random.Random(6)
+    words = Words(Texts(pa.array([sentence(rng, rng.randint(0, 300)) + " x" * rng.randint(0, 40) for _ in range(40)])))
+    whole = substrings.anchors(words)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(substrings, "BLOCK_WORDS", block)
+        assert all((a == b).all() for a, b in zip(whole, substrings.anchors(words), strict=True))
+
+
+def test_windows_beyond_two_to_the_24_words_keep_their_own_symbols():
+    n = (1 << 24) + 2000
+    at = np.arange(n)
+    names = substrings.mix(at.astype(np.uint64) % np.uint64(1000))  # words come again each 1000
+    symbols = substrings.Symbols(names, names, None, at, at + 1)
+    starts = np.r_[np.arange(1000), np.arange(1000) + (1 << 24) // 1000 * 1000 + 1000]
+    found, some = substrings._least_inside(symbols, 0, n, starts)
+    assert some.all() and ((found >= starts) & (found < starts + K)).all()
+    assert (found[:1000] - starts[:1000] == found[1000:] - starts[1000:]).all()
+
+
 def test_no_rows(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0

@@ -16,6 +16,7 @@ from turnmill.llm.wordhash import Texts, Words, mix, slices
 
 WINDOW = 13  # words of a repeat
 LEVELS = 2  # rounds of recompression
+BLOCK_WORDS = 1 << 20  # words of a text whose symbols are ranked at once
 
 _NULL_ID = 2**63 - 1
 _A, _B, _C = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -75,7 +76,11 @@ class Symbols:
 
 
 def _least_inside(symbols: Symbols, level: int, total: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start: the index of the least-named symbol decided inside the window, and whether there is one."""
+    """For each window start (ascending): the index of the least-named symbol decided inside the window, and whether there is one.
+
+    A rank keeps a symbol's index in its low 24 bits, so windows are taken in
+    blocks of ``BLOCK_WORDS`` words and indices count from the block's first symbol.
+    """
     n = len(symbols.name)
     if not n or not len(starts):
         return np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
@@ -85,20 +90,30 @@ def _least_inside(symbols: Symbols, level: int, total: int, starts: np.ndarray)
     np.cumsum(np.bincount(np.clip(symbols.hi, 0, total + 2), minlength=total + 3), out=upto)
     i, j = below[starts], upto[starts + WINDOW]
     some = j > i
-    rank = (mix(symbols.context + np.uint64(level)) & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
-    best = np.full(len(starts), np.iinfo(np.uint64).max, dtype=np.uint64)
-    width = np.where(some, j - i, 0)
+    found = np.zeros(len(starts), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(starts // BLOCK_WORDS, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+        base, top = int(i[a]), int(j[b - 1])  # both ascend with the starts
+        if top > base:
+            found[a:b] = base + _least_of(symbols.context[base:top], level, i[a:b] - base, np.where(some[a:b], j[a:b] - i[a:b], 0))
+    return found, some
+
+
+def _least_of(context: np.ndarray, level: int, first: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Of each range of ``width`` symbols from ``first`` on, the index of the least-named one; of no use where ``width`` is 0."""
+    rank = (mix(context + np.uint64(level)) & ~np.uint64(0xFFFFFF)) | np.arange(len(context), dtype=np.uint64)
+    best = np.full(len(first), np.iinfo(np.uint64).max, dtype=np.uint64)
     span, power = rank, 1
     while True:
         own = (width >= power) & (width < 2 * power)
         if own.any():
-            best[own] = np.minimum(span[i[own]], span[j[own] - power])
+            best[own] = np.minimum(span[first[own]], span[first[own] + width[own] - power])
         power *= 2
         if power > width.max(initial=0):
             break
         half = power // 2
         span = np.minimum(span[:-half], span[half:]) if len(span) > half else span
-    return (best & np.uint64(0xFFFFFF)).astype(np.int64), some
+    return (best & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
