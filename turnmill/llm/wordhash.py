@@ -12,11 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WINDOW = 1 << 19
-_tables: dict[str, np.ndarray] = {}
+_BLOCKS = 1 << 17  # 8-byte blocks that are hashed at once
 
 BYTES = np.arange(256)
 SPACES = (BYTES == 0x20) | ((BYTES >= 0x09) & (BYTES <= 0x0D))
@@ -38,16 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables or len(_tables["up"]) < n:
-        size = max(n, _WINDOW + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _tables[name] = np.cumprod(row, dtype=np.uint64)
-    return _tables["up"], _tables["down"]
-
-
 class Texts:
     """A slice of an Arrow string array: its bytes and the byte bounds of each row.
 
@@ -121,10 +108,11 @@ class Words:
         return np.arange(len(self.start)) + k <= ends
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """A hash of the k words from each word on; another ``salt`` gives hashes that are independent of the first."""
     n = len(words)
     total = np.zeros(n, dtype=np.uint64)
-    factor = 1
+    factor = 1 + salt
     for i in range(min(k, n)):
         factor = (factor * int(_M2) + 2 * k) % 2**64
         total[: n - i] += words[i:] * np.uint64(factor | 1)
@@ -136,19 +124,37 @@ def hash_spans(texts: Texts, start: np.ndarray, end: np.ndarray, fold: np.ndarra
 
 
 def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans (ascending, apart): differences of a prefix polynomial, then ``mix``."""
+    """64-bit hashes of byte spans (ascending, apart).
+
+    A span is cut into blocks of eight bytes from its own start.  Each block is
+    mixed together with its place before the blocks are summed, so that no
+    arithmetic between blocks (as in a polynomial modulo 2**64) makes unlike
+    spans collide.
+    """
     out = np.empty(len(start), dtype=np.uint64)
-    value = fold.astype(np.uint64) + np.uint64(1)
+    blocks = (end - start + 7) >> 3
+    total = np.cumsum(blocks)
     i, n = 0, len(start)
     while i < n:
-        base = start[i]
-        j = max(i + 1, int(np.searchsorted(end, base + _WINDOW, side="right")))
-        piece = data[base : end[j - 1]]
-        up, down = _powers(len(piece) + 1)
-        sums = np.empty(len(piece) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(value[piece] * up[: len(piece)], out=sums[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M1)
+        done = int(total[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + _BLOCKS, side="right")))
+        base, top = int(start[i]), int(end[j - 1])
+        piece = np.zeros(top - base + 8, dtype=np.uint8)
+        piece[:-8] = data[base:top] if fold is SAME else fold[data[base:top]]
+        eight = np.ndarray(len(piece) - 7, dtype="<u8", buffer=piece.data, strides=(1,))  # the eight bytes from each byte on
+        size, own = end[i:j] - start[i:j], blocks[i:j]
+        if int(own.max(initial=0)) <= 1:
+            rest, value, place, first = size, eight[start[i:j] - base], np.uint64(1), None
+        else:
+            first = np.cumsum(own) - own
+            at = np.arange(int(own.sum())) - np.repeat(first, own)
+            value = eight[np.repeat(start[i:j] - base, own) + (at << 3)]
+            rest = np.repeat(size, own) - (at << 3)
+            place = at.astype(np.uint64) + np.uint64(1)
+        value = value & (~np.uint64(0) >> ((8 - np.minimum(rest, 8)) << 3).astype(np.uint64))
+        mixed = mix(value * _M2 + mix(np.atleast_1d(place * _M1)))
+        if first is not None:
+            mixed = np.add.reduceat(mixed, first)
+        out[i:j] = mix(mixed + size.astype(np.uint64) * _M1)
         i = j
     return out
