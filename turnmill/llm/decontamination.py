@@ -18,6 +18,8 @@ WINDOW = 10  # words of a window
 GRAM = 5  # words of a fingerprint; the least of WINDOW - GRAM + 1 neighbours is kept
 BROADCAST_POSTINGS = 2_000_000  # (window, item) pairs up to which the benchmark is sent to every task
 
+CHECK = 1  # salt of the second hash of a window
+
 _GRAMS = WINDOW - GRAM + 1
 
 
@@ -35,13 +37,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct (item, window, fingerprint, n_words) of the items; a shorter item is one window and its own fingerprint."""
+    """Distinct (item, window, check, fingerprint, n_words) of the items; a shorter item is one window and its own fingerprint.
+
+    ``check`` is a second hash of the window's words: a hit needs both.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(Texts(part.column(1)), ALNUM_WORD, LOWER)
-                rows, found, prints, sizes = [], [], [], []
+                rows, found, checks, prints, sizes = [], [], [], [], []
                 for i in range(part.num_rows):
                     own = words.hash[words.first[i] : words.first[i + 1]]
                     if not len(own):
@@ -50,22 +55,23 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
                     window = gram_hashes(own, k)[: len(own) - k + 1]
                     rows.append(np.full(len(window), i))
                     found.append(window)
+                    checks.append(gram_hashes(own, k, CHECK)[: len(own) - k + 1])
                     prints.append(_least(gram_hashes(own, GRAM)[: len(own) - GRAM + 1]) if k == WINDOW else window)
                     sizes.append(np.full(len(window), k))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.concatenate(rows))), _signed(np.concatenate(found)), _signed(np.concatenate(prints)), pa.array(np.concatenate(sizes), pa.int32())],
-                        names=["item", "window", "print", "size"],
+                        [part.column(0).take(pa.array(np.concatenate(rows))), *(_signed(np.concatenate(x)) for x in (found, checks, prints)), pa.array(np.concatenate(sizes), pa.int32())],
+                        names=["item", "window", "check", "print", "size"],
                     )
 
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    return items.mapInArrow(windows, "item string, window long, print long, size int").distinct()
+    return items.mapInArrow(windows, "item string, window long, check long, print long, size int").distinct()
 
 
 class Index:
     """Windows and postings of a bounded benchmark, for use inside tasks."""
 
-    def __init__(self, item: list[str | None], window: np.ndarray, prints: np.ndarray, size: np.ndarray):
+    def __init__(self, item: list[str | None], window: np.ndarray, check: np.ndarray, prints: np.ndarray, size: np.ndarray):
         self.names = sorted({x for x in item if x is not None})
         number = {x: i for i, x in enumerate(self.names)}
         numbers = np.array([-1 if x is None else number[x] for x in item], dtype=np.int64)
@@ -74,7 +80,7 @@ class Index:
             own = np.flatnonzero(size == k)
             order = own[np.argsort(window[own], kind="stable")]
             keys, first = np.unique(window[order], return_index=True)
-            self.by_size[k] = (keys, np.r_[first, len(order)], numbers[order])
+            self.by_size[k] = (keys, check[order][first], np.r_[first, len(order)], numbers[order])
         full = np.unique(prints[size == WINDOW])
         self.prints = full
         self.bits = np.zeros(1 << 22, dtype=bool)  # a cheap first look before the search
@@ -106,11 +112,11 @@ def _candidates(words: Words, sizes: list[int], has_print) -> Iterator[tuple[int
         yield k, at, hashes
 
 
-def _grams_at(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+def _grams_at(words: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """``gram_hashes`` at some positions only."""
     if not len(at):
         return np.zeros(0, dtype=np.uint64)
-    return gram_hashes(words[(at[:, None] + np.arange(k)).ravel()], k)[::k]
+    return gram_hashes(words[(at[:, None] + np.arange(k)).ravel()], k, salt)[::k]
 
 
 def _cover(n: int, at: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +164,10 @@ def _schema(docs: DataFrame, id_col: str, keep: tuple[str, ...]) -> T.StructType
 def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     rows = windows.toArrow()
     to_unsigned = lambda c: rows.column(c).to_numpy().astype(np.int64).view(np.uint64)
-    index = Index(rows.column("item").to_pylist(), to_unsigned("window"), to_unsigned("print"), rows.column("size").to_numpy())
+    window, check, size = to_unsigned("window"), to_unsigned("check"), rows.column("size").to_numpy()
+    if any(len(np.unique(window[size == k])) < len(np.unique(np.stack([window, check])[:, size == k], axis=1).T) for k in np.unique(size)):
+        return _by_join(docs, windows, id_col, text_col, keep)  # one hash of two windows, which the index can't tell apart
+    index = Index(rows.column("item").to_pylist(), window, check, to_unsigned("print"), size)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = _schema(docs, id_col, keep)
 
@@ -172,9 +181,11 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
                 hit, pairs = np.zeros(total, dtype=bool), []
                 row_of = words.row_of()
                 for k, at, hashes in _candidates(words, sorted(index.by_size), index.has_print):
-                    keys, first, items = index.by_size[k]
+                    keys, checks, first, items = index.by_size[k]
                     found = _in(keys, hashes)
                     at, slot = at[found], np.searchsorted(keys, hashes[found])
+                    same = checks[slot] == _grams_at(words.hash, at, k, CHECK)
+                    at, slot = at[same], slot[same]
                     if not len(at):
                         continue
                     hit |= _cover(total, at, k)
@@ -235,13 +246,16 @@ def _by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, ke
                     for k, at, hashes in _candidates(words, sizes, lambda least, p=prints: np.flatnonzero(_in(p, least))):
                         if k != WINDOW:
                             at, hashes = at[_in(prints, hashes)], hashes[_in(prints, hashes)]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.zeros(len(at), np.int64) + i)), _signed(hashes), pa.array(at, pa.int64()), pa.array(np.full(len(at), k), pa.int32())], names=["key", "window", "at", "size"])
+                        row, check = pa.array(np.full(len(at), i)), _grams_at(words.hash, at, k, CHECK)
+                        columns = [part.column(0).take(row), _signed(hashes), _signed(check), pa.array(at, pa.int64()), pa.array(np.full(len(at), k), pa.int32())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "window", "check", "at", "size"])
 
     once = texts.join(by_text, "key").dropDuplicates(["key"]).select("key", "text", "prints")
-    found = once.mapInArrow(extend, "key string, window long, at long, size int")
-    found = materialise(found.join(windows.select("window", "size").distinct(), ["window", "size"]), "hits")
+    found = once.mapInArrow(extend, "key string, window long, check long, at long, size int")
+    same = ["window", "check", "size"]
+    found = materialise(found.join(windows.select(*same).distinct(), same), "hits")
     covered = found.select("key", F.explode(F.expr("sequence(at, at + size - 1)")).alias("word")).distinct().groupBy("key").agg(F.count("word").alias("n_hit"))
-    items = found.select("key", "window", "size").distinct().join(windows, ["window", "size"]).filter("item is not null").select("key", "item").distinct()
+    items = found.select("key", *same).distinct().join(windows, same).filter("item is not null").select("key", "item").distinct()
     listed = items.groupBy("key").agg(F.count("item").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
