@@ -100,3 +100,14 @@ def test_windows_beyond_two_to_the_24_words_keep_their_own_symbols():
 
 def test_no_rows(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
+
+
+def test_a_window_of_a_third_of_all_documents_and_words_of_equal_arithmetic(spark):
+    """One passage in every third document; words whose polynomial hashes agree aren't equal."""
+    from tests.llm.test_wordhash import mirrored
+
+    rng = random.Random(3)
+    hot, (a, b) = sentence(rng, 16), mirrored(1024)
+    texts = [sentence(rng, 20) + " " + (hot if i % 3 == 0 else sentence(rng, 12)) for i in range(300)]
+    texts += [f"{a} {sentence(random.Random(1), 14)}", f"{b} {sentence(random.Random(1), 14)}", f"x {a} {hot}"]
+    check(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(6))

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.llm.scratch import materialise
-from turnmill.llm.wordhash import Texts, Words, mix, slices
+from turnmill.llm.scratch import free, materialise
+from turnmill.llm.wordhash import Texts, Words, gram_hashes, mix, slices
 
 WINDOW = 13  # words of a repeat
 LEVELS = 2  # rounds of recompression
@@ -160,7 +160,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(Texts(part.column(1)))
-            gram = words.grams(WINDOW)
+            gram, check = words.grams(WINDOW), gram_hashes(words.hash, WINDOW, 1)
             spans = part.column(2)
             flat = spans.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(part.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
@@ -171,7 +171,9 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
             row = np.repeat(row, n)
             _, once = np.unique(mix(gram[at] + row.astype(np.uint64) * _A), return_index=True)  # a text's repeats of one window are one row
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at[once]].view(np.int64)), part.column(0).take(pa.array(row[once]))], names=["window", "doc"])
+            at, row = at[once], row[once]
+            second = (check[at] >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(second), part.column(0).take(pa.array(row))], names=["window", "check", "doc"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -206,26 +208,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove each word covered by a ``WINDOW``-word sequence that also starts in a document with a smaller id.
 
     Every window is reduced to its anchor symbol (see ``anchors``).  Anchors that
-    two documents share reveal the candidate windows, whose own hashes are then
-    joined to verify the repeats exactly.  Windows are judged on the input.
+    two documents share reveal the candidate windows, which are then verified by
+    hashes of their own words (95 bits) and joined with the least document that
+    holds them.  What is shared is found by aggregates, which combine before
+    their shuffle, and joined back as plain tables, so that a passage of a third
+    of all documents is a skewed join that Spark splits, never one task's rows.
+    Windows are judged on the input.
 
     Returns id, ``n_words``, ``n_removed``, ``kept_sha256`` (kept words joined by
     one space) and, with ``with_text``, ``kept_text``.  A null text has no
-    words; a null id counts as larger than every id; rows with equal ids don't
-    remove each other's words; an empty table gives no rows; other columns are
+    words; a null id counts as larger than every id (as does 2**63 - 1, the one
+    number that stands for it); rows with equal ids don't remove each other's words; an empty table gives no rows; other columns are
     ignored.  ``id_col`` is an integer column.
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc")
     rows = docs.select(doc, F.col(text_col).alias("text"))
 
     marks = rows.mapInArrow(_emit_anchors, "key long, doc long, span long")
-    by_key = Window.partitionBy("key")
-    shared = marks.withColumn("least", F.min("doc").over(by_key)).withColumn("most", F.max("doc").over(by_key)).filter("least < most")
-    spans = materialise(shared.groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")  # of one document
-
-    windows = rows.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_emit_windows, "window long, doc long")
-    repeated = windows.withColumn("least", F.min("doc").over(Window.partitionBy("window"))).filter("least < doc")
+    shared = marks.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
+    shared = materialise(shared, "shared")
+    spans = materialise(marks.join(shared, "key").groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")  # of one document
+
+    windows = rows.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_emit_windows, "window long, check int, doc long")
+    windows, same = materialise(windows, "windows"), ["window", "check"]
+    least = windows.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select(*same, "least")
+    repeated = windows.join(materialise(least, "least"), same).filter("least < doc")
     cuts = materialise(repeated.groupBy("doc").agg(F.collect_list("window").alias("cuts")), "cuts")
+    free(windows)
 
     schema = T.StructType([
         docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
