@@ -151,3 +151,40 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_near_copies_in_a_group_take_little_memory():
+    """Screening and comparing hold a row of pairs at a time, not all of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[base[5:], rng.integers(0, 2**63, 5).astype(np.uint64)]) for _ in range(3000)]
+    size, side = np.array([len(s) for s in sets]), np.zeros(len(sets), dtype=int)
+    sketch = [jaccard.bit_sketches([s], jaccard.sketch_bits(len(s)))[0] for s in sets]
+    names = np.array([jaccard.set_name(s) for s in sets]).view(np.int64)
+    tracemalloc.start()
+    assert jaccard.near_members(size, sketch, side, False).all()
+    edges, found = jaccard.group_links(names, sets, side, False, np.ones(len(sets), dtype=int), [[1]] * len(sets), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) == len(sets) - 1 and (found == len(sets) - 1).all() and peak < 40 << 20
+
+
+def test_words_of_equal_arithmetic_are_no_copies(spark):
+    from tests.llm.test_wordhash import mirrored
+
+    check(spark.createDataFrame(rows_of([*mirrored(1024), *mirrored(4096)]), SCHEMA))
+
+
+def test_first_rows_are_rows_not_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(7, a), (9, b), (9, a + " more"), (None, c), (None, c + " more"), (None, c), (12, None), (12, None), (None, None), (13, ""), (9, b), (2**63 - 1, d)]
+    docs = spark.createDataFrame([(i, t, k, k, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key1 int, node int, `row` string, first int").repartition(3)
+    got = jaccard.first_rows(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert {k: n for k, n in kept.items() if k[1] and k[1][:9] == c[:9]} in ({(None, c): 1}, {(None, c + " more"): 1})
+    assert {k: n for k, n in kept.items() if not (k[1] and k[1][:9] == c[:9])} == {(7, a): 1, (9, b): 1, (12, None): 1, (None, None): 1, (13, ""): 1, (2**63 - 1, d): 1}
+    assert jaccard.first_rows(docs.limit(0)).count() == 0

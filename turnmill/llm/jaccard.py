@@ -113,14 +113,15 @@ def sketch_bits(size: int) -> int:
     return max(64, 1 << int(2 * size - 1).bit_length())
 
 
-def near_pairs(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int, int]]:
-    """(distance, i, j) of the pairs whose sketches allow a link, nearest first.
+def near_members(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, cross: bool) -> np.ndarray:
+    """Whether any other member's sketch allows a link with each member.
 
     Sizes and Hamming distances bound a pair's similarity from above.  A sketch
     of twice the bits is folded by XOR to its partner's width.  With ``cross``
-    only pairs of unequal ``side`` are compared.
+    only pairs of unequal ``side`` are compared.  One row of distances is held at
+    a time, and a pair of which both are known to have a partner isn't compared.
     """
-    pairs, widths = [], {}
+    alive, widths = np.zeros(len(size), dtype=bool), {}
     for i in np.argsort(size, kind="stable").tolist():
         widths.setdefault(len(sketches[i]), []).append(i)
     matrix = {w: np.stack([sketches[i] for i in own]) for w, own in widths.items()}
@@ -132,16 +133,19 @@ def near_pairs(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, c
         for x, i in enumerate(own):
             for other, rows, same in partners:
                 lo = x + 1 if same else 0
-                to = np.searchsorted(size[other], size[i] * 100 // PERCENT, side="right")
-                if to <= lo:
-                    continue
-                distance = np.bitwise_count(rows[lo:to] ^ matrix[w][x]).sum(axis=1, dtype=np.int64)
-                fit = distance * (100 + PERCENT) <= (size[i] + size[other[lo:to]]) * (100 - PERCENT)
+                to = int(np.searchsorted(size[other], size[i] * 100 // PERCENT, side="right"))
+                at = np.arange(lo, max(lo, to))
+                if alive[i]:
+                    at = at[~alive[other[at]]]
                 if cross:
-                    fit &= side[other[lo:to]] != side[i]
-                at = np.flatnonzero(fit)
-                pairs += [(d, i, j) for d, j in zip(distance[at].tolist(), other[lo:to][at].tolist(), strict=True)]
-    return sorted(pairs)
+                    at = at[side[other[at]] != side[i]]
+                if not len(at):
+                    continue
+                distance = np.bitwise_count(rows[at] ^ matrix[w][x]).sum(axis=1, dtype=np.int64)
+                fit = other[at[distance * (100 + PERCENT) <= (size[i] + size[other[at]]) * (100 - PERCENT)]]
+                alive[fit] = True
+                alive[i] |= len(fit) > 0
+    return alive
 
 
 def common_counts(sets: list[np.ndarray], asked: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,7 +211,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(Words(Texts(part.column(1)), BLANK_WORD, LOWER))
             names = [int(set_name(s).view(np.int64)) if len(s) else None for s in sets]
             sketch = [bit_sketches([s], sketch_bits(len(s)))[0].tobytes() if len(s) >= 4 else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary())], names=["doc", "node", "n", "sketch"])
+            found = [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *found, *part.columns[2:]], names=["doc", "node", "n", "sketch", *part.schema.names[2:]])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (center, one, other): the members that some member's sketch allows a link with."""
     for key, (block, node, doc, n, sketch) in _runs(batches, 3):
         side, size = np.array(block), np.array(n)
-        alive = sorted({k for _, i, j in near_pairs(size, [np.frombuffer(s, dtype=np.uint64) for s in sketch], side, key[1] != key[2]) for k in (i, j)})
+        alive = np.flatnonzero(near_members(size, [np.frombuffer(s, dtype=np.uint64) for s in sketch], side, key[1] != key[2])).tolist()
         if alive:
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([k] * len(alive), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([block[i] for i in alive], pa.int32()), pa.array([node[i] for i in alive], pa.int64()), pa.array([doc[i] for i in alive], pa.int64())],
@@ -282,17 +287,22 @@ def candidate_groups(entries: DataFrame) -> DataFrame:
     A key that two sets share is a bucket, and its center is the member that is
     in most buckets (so one original gathers all its copies).  Every set leaves
     the COMMON - 1 most populous of its buckets, as linked sets share COMMON: a
-    passage that many unlike documents hold seldom brings them together.
+    passage that many unlike documents hold seldom brings them together.  Repeated
+    rows count once; buckets of equal size are ordered by key and members of equal
+    degree by node, so ties are settled alike in every run; no entries give no groups.
     """
-    by_key = Window.partitionBy("key")
-    met = entries.withColumn("least", F.min("node").over(by_key)).withColumn("most", F.max("node").over(by_key)).filter("least <> most")
-    buckets = materialise(met.groupBy("key", "node").agg(F.first("least").alias("least")).select("key", "node", F.count(F.lit(1)).over(by_key).alias("members")), "buckets")
+    ends = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = materialise(ends.filter("least <> most").select("key"), "shared")
+    buckets = materialise(entries.join(shared, "key").distinct(), "buckets")
+    # aggregates of a key are written before they are joined back, so that Spark can split a hot key's join
+    sizes = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "sizes")
     band = F.col("key").bitwiseAND(31)
     by_node = Window.partitionBy("node")
-    ranked = buckets.withColumn("degree", F.count(F.lit(1)).over(by_node))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node", band).orderBy(F.desc("members"), F.desc("key"))))
-    best = F.max(F.struct("degree", "node")).over(by_key)
-    placed = ranked.select("node", "place", band.alias("band"), best["node"].alias("center")).filter(f"band = 0 or place > {COMMON - 1}")
+    ranked = buckets.join(sizes, "key").withColumn("degree", F.count(F.lit(1)).over(by_node))
+    order = Window.partitionBy("node", band).orderBy(F.desc("members"), F.desc("key"))
+    ranked = materialise(ranked.select("key", "node", "degree", F.row_number().over(order).alias("place")), "ranked")
+    centers = materialise(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best")).select("key", F.col("best.node").alias("center")), "centers")
+    placed = ranked.filter((band == 0) | (F.col("place") > COMMON - 1)).select("key", "node").join(centers, "key")
     return placed.select("center", "node").distinct()
 
 
@@ -309,13 +319,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns id, ``n_shingles`` and ``component_id``, the smallest id reachable by
     links, itself included; with ``with_links`` also ``n_links``, the number of
     other rows that link with the row, its copies included.  A null or empty text has no shingles and is linked
-    with nothing; a null id counts as largest and its row's component is null
-    only if no row of the component has an id; rows of equal ids are judged each
-    by its text; an empty table gives no rows; other columns are ignored.
-    ``id_col`` is an integer column.
+    with nothing; a null id counts as largest (as does 2**63 - 1, the one number
+    that stands for it) and its row's component is null only if no row of the
+    component has an id; rows of equal ids are judged each by its text; an empty
+    table gives no rows; other columns are ignored.  ``id_col`` is an integer column.
+    """
+    known = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    found = _classes(docs, id_col, text_col, with_links)
+    return found.select(known("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"), *(["n_links"] if with_links else []))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without their near duplicates: of each component the row with the smallest id stays.
+
+    Rows, not ids, are chosen: of equal ids, and of null ids (the largest), the
+    text's hash decides.  Rows equal in id and text are one document, of which one
+    row stays; a document without shingles has no near duplicates.  All columns
+    are kept, whatever their names; texts are shuffled once; an empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    base = materialise(rows.mapInArrow(_names, "doc long, node long, n long, sketch binary"), "sets")
+    key = lambda: (F.xxhash64(id_col, text_col).alias("key1"), F.xxhash64(F.lit("row"), text_col, id_col).alias("key2"))
+    found = materialise(_classes(docs.select(id_col, text_col, *key()), id_col, text_col, False, ("key1", "key2")), "classes")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc", "key1", "key2")).alias("first")).select("first.key1", "first.key2")
+    kept = first.union(found.filter("root is null").select("key1", "key2").distinct())
+    rows = docs.select(*key(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept, ["key1", "key2"]).dropDuplicates(["key1", "key2"]).select("row.*")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, with_links: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc (a null id is ``_NULL_ID``), n, component, root (the component's node; null without shingles), n_links, and the LONG columns ``keep``."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"), *keep)
+    base = materialise(rows.mapInArrow(_names, ", ".join(["doc long, node long, n long, sketch binary", *(f"{c} long" for c in keep)])), "sets")
     first = base.filter("node is not null").groupBy("node").agg(F.min("doc").alias("first"))
     sketched = base.filter("sketch is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
 
@@ -331,19 +364,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # texts are long and ``alive`` grows with the corpus, so it is never sent to all tasks
     met = alive.groupBy("node").agg(F.collect_set("center").alias("centers")).join(sketched.select("node", "copies"), "node")
     known_of = alive.join(met, "node")
-    placed = rows.join(known_of.hint("merge"), "doc").select(*keys, "block", "node", "copies", "centers", "text").repartition(*keys).sortWithinPartitions(*keys)
+    placed = rows.select("doc", "text").join(known_of.hint("merge"), "doc").select(*keys, "block", "node", "copies", "centers", "text").repartition(*keys).sortWithinPartitions(*keys)
     links = materialise(placed.mapInArrow(_compare, "a long, b long, n long"), "links")
     roots = connected_components(links.select("a", "b"))
 
     least = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))
-    found = roots.join(least, "root").select("node", "component")
-    out = base.join(first.select("node", "first"), "node", "left").join(found, "node", "left")
-    known = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    found = roots.join(least, "root").select("node", "root", "component")
+    out = base.drop("sketch").join(first.select("node", "first"), "node", "left").join(found, "node", "left")
     counts = []
     if with_links:
         copies = base.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
         near = links.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
         out = out.join(copies.join(near, "node", "left"), "node", "left")
         counts = [F.coalesce(F.col("copies") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).alias("n_links")]
-    return out.withColumn("component", F.coalesce("component", "first", "doc")).select(
-        known("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"), *counts)
+    return out.select("doc", "n", F.coalesce("component", "first", "doc").alias("component"), F.coalesce("root", "node").alias("root"), *counts, *keep)
