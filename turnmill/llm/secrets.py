@@ -26,6 +26,7 @@ OWNED = r"[A-Za-z0-9_-]{20,}"
 OWNED_DISTINCT = 10
 WIDE_OWNERS = 3  # values seen at so many owners are copied examples
 WIDE_REPOS = 10  # and so are values seen in so many repositories, of however few owners
+HOT_SHARE = 10_000  # a value in more than one of so many candidates is joined by broadcast; there are fewer of them than this
 
 
 def _span(kind: Column | str, order: int, s: Column, value: Column) -> Column:
@@ -46,14 +47,27 @@ def candidate_spans(text: Column) -> tuple[Column, Column]:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct owners and distinct (owner, repository) pairs of each candidate hash.
+    """Distinct owners, distinct (owner, repository) pairs and rows of each candidate hash.
 
     Each step aggregates before its shuffle, so a value that a third of all
     documents hold is one row a task, not one row a document.
     """
     per_repo = candidates.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    per_owner = per_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    per_owner = per_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
+
+
+def _with_spread(rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """Rows joined with what ``ownership`` found of their hash.
+
+    Hashes that hold more than one in ``HOT_SHARE`` of all candidates are fewer
+    than ``HOT_SHARE`` by count, so they are broadcast; a hash of the others is a
+    small part of their join.
+    """
+    spread = materialise(spread, "spread")
+    cut = (spread.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(spread.filter(F.col("n") > cut))
+    return rows.join(hot, "hash").unionByName(rows.join(hot.select("hash"), "hash", "left_anti").join(spread.filter(F.col("n") <= cut), "hash"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
@@ -86,7 +100,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = table.select("row", "owner", "repo", F.explode(F.concat("base", "more")).alias("s"))
     flat = spans.select("row", "owner", "repo", "s.*")
     spread = ownership(flat)
-    judged = flat.select("row", "hash").distinct().join(spread, "hash").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repos")))).alias("spread"))
+    judged = _with_spread(flat.select("row", "hash").distinct(), spread).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repos")))).alias("spread"))
     spread_of = lambda s: F.element_at(F.col("spread"), s["hash"])
     specific = lambda s: (spread_of(s)["owners"] == 1) & (spread_of(s)["repos"] < WIDE_REPOS)
     wide = lambda s: (spread_of(s)["owners"] >= WIDE_OWNERS) | (spread_of(s)["repos"] >= WIDE_REPOS)
@@ -105,14 +119,16 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     All rows and columns stay.  A null text stays null, a text without spans is
     untouched, rows of equal ids are told apart by their texts.
     """
-    found = scan_secrets(docs, id_col, text_col, **columns).filter("spans <> ''").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "spans").distinct()
-    text = F.col(text_col)
-    parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
+    found = scan_secrets(docs, id_col, text_col, **columns).filter("spans <> ''").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), F.col("spans").alias("spans")).distinct()
+    # the row is one struct beside the join's own columns, whatever its columns are named
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row")[text_col]
+    parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     walked = F.aggregate(F.array_sort(parts), zero, lambda acc, s: F.struct(
         F.greatest(acc["at"], s.end).alias("at"),
         F.when(s.start < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s.start - acc["at"]), F.lit(mark))).alias("out"),
     ), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash"))
-    joined = docs.join(found.withColumnRenamed("spans", "_spans"), same, "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(walked)).select(*docs.columns)
+    joined = rows.join(found, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    redacted = F.when(F.col("spans").isNull(), text).otherwise(walked).alias(text_col)
+    return joined.select(*(redacted if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
