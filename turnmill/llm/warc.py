@@ -20,6 +20,7 @@ GAP, RANGE = 256 << 10, 8 << 20  # ranges closer than GAP are read at once, up t
 BLOCK = 64 << 20  # bytes of an archive that one reading task takes
 GZIP_LEVEL = 3
 CAPTURED = "1970-01-01T00:00:00Z"  # pages carry no capture time
+BROADCAST_REPEATS = 500_000  # repeated payloads up to which their digests (40 characters and an id) are sent to the tasks
 
 _INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string, intact boolean"
@@ -72,13 +73,19 @@ def parse(member: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
     """Write one archive a task under ``folder`` and return the index of all records.
 
+    Which record is a response is decided on digests and ids alone.  Up to
+    ``broadcast_repeats`` repeated payloads, their digests go to the tasks and no
+    payload is shuffled; beyond that, or where a page stands twice with one
+    payload, payloads are shuffled once to meet the decision.
+
     Of records with equal payloads of at least ``revisit_bytes``, the one with
     the smallest page id is the response and the others revisit it; equal ids
     with equal payloads give one response and revisits of it.  A null page id is
-    never chosen before another id; a group of null ids alone is all responses.
+    never chosen before another id (an id of -2**63 stands for it and is one with it);
+    a group of null ids alone is all responses.
     A null html is an empty payload, a null url has no target line, line breaks in a
     url are percent-encoded.  An archive
     has a name of its own, so a task that runs again leaves the first file unused
@@ -91,11 +98,19 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col
     same = ["digest", "key"]
     keyed = page.withColumn("key", F.coalesce("page_id", F.lit(-(2**63)).cast("long")))
     narrow = keyed.filter(F.octet_length("html") >= revisit_bytes).select("page_id", *same)
-    repeated = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1 and first is not null")
-    firsts = narrow.select(*same).distinct().join(repeated.select("digest", "first"), "digest")
-    # the payloads are shuffled once, so that equal ids with equal payloads meet in one task
-    placed = keyed.repartition(*same).join(firsts, same, "left")
-    placed = placed.sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "html", "first")
+    counted = narrow.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+    repeated = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("n").alias("most")).filter("n > 1 and first is not null")
+    repeated = materialise(repeated, "repeated")
+    size = repeated.agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most")).first()
+    if size["n"] <= broadcast_repeats and (size["most"] or 1) == 1:
+        enough = F.octet_length("html") >= revisit_bytes
+        placed = keyed.join(F.broadcast(repeated.select("digest", "first")), "digest", "left").withColumn("first", F.when(enough, F.col("first")))
+        placed = placed.select("page_id", "url", "html", "first")
+    else:
+        firsts = counted.select(*same).join(repeated.select("digest", "first"), "digest")
+        # equal ids with equal payloads meet in one task
+        placed = keyed.repartition(*same).join(firsts, same, "left")
+        placed = placed.sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "html", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -162,8 +177,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def round_trip(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, revisit_bytes: int = 0, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
     """Write all pages, keep the index as a table, and read every record back through it."""
     folder = new_path(pages.sparkSession, "warc")
-    index = materialise(write_archives(pages, folder, revisit_bytes), "warc-index")
+    index = materialise(write_archives(pages, folder, revisit_bytes, broadcast_repeats=broadcast_repeats), "warc-index")
     return read_archives(index, folder)
