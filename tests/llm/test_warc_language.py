@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnmill.llm import language, warc
@@ -28,11 +29,12 @@ def brute_types(rows):
     return sorted(out, key=str)
 
 
-def test_round_trip(spark):
-    rows = [(1, "http://a/%20x", "<p>é𝔘</p>"), (2, None, None), (3, "u\r\nX: y", ""), (7, "http://b", "same"), (5, "http://c", "same"), (5, "http://c", "same"),
+@pytest.mark.parametrize("twice, bound", [(True, 100), (False, 100), (False, 0)])
+def test_round_trip(spark, twice, bound):
+    rows = [(1, "http://a/%20x", "<p>é𝔘</p>"), (2, None, None), (3, "u\r\nX: y", ""), (7, "http://b", "same"), (5, "http://c", "same"), (5 if twice else 6, "http://c", "same"),
             (None, "http://d", "same"), (None, "http://e", "alone"), (None, "http://f", "alone"), (9, "http://g", "long " * 60000), (4, "h", "a\r\n\r\nb")]
     pages = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], PAGES).repartition(4)
-    got = warc.round_trip(pages).collect()
+    got = warc.round_trip(pages, broadcast_repeats=bound).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute_types(rows)
     assert all(r.intact for r in got)
     want = {p: h or "" for p, _, h in rows}
@@ -106,3 +108,43 @@ def test_without_labels_or_rows(spark, no_docs):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.language_id(docs).collect()] == [("und", 0.0)]
     assert language.language_id(no_docs).count() == 0
+
+
+def test_parts_of_a_long_text_give_its_presence(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from turnmill.llm.wordhash import Texts
+
+    rng = random.Random(4)
+    texts = Texts(pa.array([sentence(rng, rng.randint(0, 60)) for _ in range(20)] + ["", None, "é", "ab", sentence(rng, 900)]))
+    whole = language.presence(texts, 3, 25)
+    for size in (1, 2, 3, 50, 1000):
+        monkeypatch.setattr(language, "_BYTES_AT_ONCE", size)
+        assert (language.presence(texts, 3, 25) == whole).all()
+    row = set()
+    for n in (1, 2, 3):  # "ab", from its own n-grams alone
+        codes = [98, 99][:3]
+        for i in range(len(codes) - n + 1):
+            gram = 0
+            for c in codes[i : i + n]:
+                gram = (gram * 263 + c) % 2**32
+            row.add(((gram + n) * 2654435761 % 2**32) >> 17)
+    assert set(np.flatnonzero(whole[20]).tolist()) == row
+
+
+def test_a_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from turnmill.llm.wordhash import Texts
+
+    texts = Texts(pa.array(["some words of a long text " * 400_000]))
+    tracemalloc.start()
+    language.presence(texts, 0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

@@ -22,40 +22,42 @@ BUCKETS = 1 << 15
 UNDETERMINED = "und"
 
 _ROWS_AT_ONCE = 128
+_BYTES_AT_ONCE = 1 << 19
 #: ASCII letters fold to lower case, all other ASCII to one separator, other bytes stay.
 _FOLD = np.where((BYTES >= 65) & (BYTES <= 90), BYTES + 32, np.where(((BYTES >= 97) & (BYTES <= 122)) | (BYTES >= 128), BYTES, 32)).astype(np.uint32)
 _ASCII_LETTER = ((BYTES >= 65) & (BYTES <= 90)) | ((BYTES >= 97) & (BYTES <= 122))
 
 
 def presence(texts: Texts, first: int, last: int) -> np.ndarray:
-    """Which hashed n-grams rows ``first`` to ``last`` hold, as a (rows x BUCKETS) boolean matrix."""
-    start, end = texts.bounds[first], texts.bounds[last]
-    code = _FOLD[texts.data[start:end]]
-    bounds = texts.bounds[first : last + 1] - start
-    lengths = np.diff(bounds)
-    row = np.repeat(np.arange(last - first, dtype=np.int64) * BUCKETS, lengths)
+    """Which hashed n-grams rows ``first`` to ``last`` hold, as a (rows x BUCKETS) boolean matrix.
+
+    Bytes are taken ``_BYTES_AT_ONCE`` at a time, so a long text takes no more memory than a short one.
+    """
+    begin, end = int(texts.bounds[first]), int(texts.bounds[last])
+    starts, ends = texts.bounds[first:last], texts.bounds[first + 1 : last + 1]
     out = np.zeros((last - first) * BUCKETS, dtype=bool)
-    gram = np.zeros(len(code), dtype=np.uint32)
-    for n in range(1, max(SPECTRUM) + 1):
-        gram = gram * np.uint32(263)
-        gram[: len(code) - n + 1] += code[n - 1 :] + np.uint32(1)
-        if n not in SPECTRUM:
-            continue
-        ok = np.ones(len(code), dtype=bool)
-        for back in range(1, n):  # n-grams don't reach into the next row
-            at = bounds[1:][lengths >= back] - back
-            ok[at] = False
-        bucket = ((gram + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
-        if n == 1:
-            out[row + bucket] = True
-        else:
+    for at in range(begin, end, _BYTES_AT_ONCE):
+        to = min(end, at + _BYTES_AT_ONCE)
+        code = _FOLD[texts.data[at : min(end, to + max(SPECTRUM) - 1)]]  # n-grams may reach into the next part
+        parts = np.clip(ends, at, to) - np.clip(starts, at, to)
+        row = np.repeat(np.arange(last - first, dtype=np.int64) * BUCKETS, parts)
+        left = np.repeat(ends, parts) - np.arange(at, to)  # bytes to the end of the row, which n-grams don't pass
+        gram = np.zeros(to - at, dtype=np.uint32)
+        for n in range(1, max(SPECTRUM) + 1):
+            more = code[n - 1 : n - 1 + to - at] + np.uint32(1)
+            gram *= np.uint32(263)
+            gram[: len(more)] += more
+            if n not in SPECTRUM:
+                continue
+            bucket = ((gram + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+            ok = left >= n
             out[(row + bucket)[ok]] = True
     return out.reshape(last - first, BUCKETS)
 
 
 def _has_letter(part: pa.RecordBatch, texts: Texts) -> np.ndarray:
-    sums = np.r_[0, np.cumsum(_ASCII_LETTER[texts.data])]
-    found = np.diff(sums[texts.bounds]) > 0
+    at = np.flatnonzero(_ASCII_LETTER[texts.data])
+    found = np.diff(np.searchsorted(at, texts.bounds)) > 0
     for i in np.flatnonzero(~found & (np.diff(texts.bounds) > 0)):
         found[i] = any(c.isalpha() for c in part.column(1)[i].as_py())
     return found
