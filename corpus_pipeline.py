@@ -1,8 +1,12 @@
 """From documents to packed token sequences: five stages, each over all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir); ``docs`` has the columns of documents,
-and all stages but the last return them.  Rows with nulls, repeated rows and
-empty tables pass through as the operators' docstrings say.
+Each stage takes (spark, docs, sf_dir); ``docs`` has the columns of documents and
+may have others of any name, and all stages but the last return them.  Rows with
+nulls, repeated rows and empty tables pass through as the operators' docstrings say.
+
+Stages that carry whole texts through Python set ``BATCH_ROWS`` on the session,
+where it must stand until their result is written; ``run`` brings the session's
+own setting back.
 """
 
 from __future__ import annotations
@@ -11,43 +15,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import decontamination, jaccard, language, packing, secrets
-from turnmill.llm.scratch import materialise
-
+from turnmill.llm.scratch import free_all, materialise, written
 
 BATCH_ROWS = 2_000  # of Arrow batches that carry whole texts; Spark's default of 10,000 takes a worker five times the memory
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def _folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and lang, and all other columns in one struct, so that none clashes with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    return docs.select("doc_id", "text", "lang", F.struct(F.lit(True), *others).alias("rest"))
+
+
+def _unfolded(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(c) if c in ("doc_id", "text", "lang") else F.col(f"rest.`{c}`") for c in columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; a missing label is filled with the predicted one."""
     _small_batches(spark)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language.identify(docs, language.train(docs), keep=others).filter(F.col("lang_pred") != language.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.identify(_folded(docs), language.train(docs), keep=("text", "lang", "rest")).filter(F.col("lang_pred") != language.UNDETERMINED)
+    return _unfolded(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
+    """Of each group of near duplicates the row with the smallest id stays, once."""
     _small_batches(spark)
-    found = jaccard.similar_components(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first._kept), "left_semi").dropDuplicates(["doc_id", "text"])
+    return jaccard.first_rows(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return decontamination.contamination(docs, benchmark, keep=others).filter("not contaminated").select(*docs.columns)
+    found = decontamination.contamination(_folded(docs), benchmark, keep=("text", "lang", "rest"))
+    return _unfolded(found.filter("not contaminated"), docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; the secrets in their texts are replaced and the length follows."""
-    return secrets.redact_secrets(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return secrets.redact_secrets(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +79,13 @@ ORACLE_SQL = None  # a trained classifier and a tokenizer decide
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; a stage's own tables and its input are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    batch, before = spark.conf.get(_BATCH), written(spark)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            free_all(spark, written(spark) - before - {docs._scratch_path})
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(_BATCH, batch)
