@@ -59,3 +59,33 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    """Names that the operators use themselves, and the session's settings afterwards."""
+    clashing = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "lang_pred", "score", "_spans", "_id", "_hash", "spans", "row", "rest", "key1", "key2", "text_hash", "doc", "id", "hash", "a.b", "node", "component"]
+    rng = random.Random(5)
+    texts = [sentence(rng, 40) for _ in range(12)] + ["password=abcdefgh12 " + sentence(rng, 20), None, "12"]
+    rows = [(i, t, "en", "s", 3, *[f"{c}{i}" for c in clashing]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sentence(rng, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert all(got[i][5:] == rows[i][5:] for i in got) and len(got) == (13 if name == "language" else 15)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 777)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 13
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_near_duplicates_of_equal_and_null_ids_do_not_leak(spark):
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(7, a), (9, b), (9, a + " more"), (None, c), (None, c + " more"), (9, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len(got) == 3 and {(7, a), (9, b)} < set(got)
