@@ -48,5 +48,36 @@ def test_rules_are_ordered_by_rejection_per_cost():
     assert quality.order_rules([("a", 1.0, 0.1), ("b", 0.1, 0.05), ("c", 1.0, 0.0)]) == ["b", "a", "c"]
 
 
+def test_a_rule_costs_what_it_adds():
+    """Facts that the result states are free; the others are asked of the remaining rows alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [sentence(random.Random(i), 60) for i in range(9)] + ["short", None, "a | " * 80, sentence(random.Random(1), 80).upper()]
+    facts, failed = quality._base(pa.array(texts))
+    asked, read = [], quality.Facts.get
+    quality.Facts.get = lambda self, name: (asked.append((name, len(self))) if name not in self._known else None, read(self, name))[1]
+    try:
+        for name in ("many_symbols", "repeated_lines", "odd_word_length"):
+            quality.RULES[name](facts.only(~failed))
+        assert not asked
+        kept = quality.cascade(facts, failed, ["many_symbols", "mostly_capitals", "few_letter_words", "repeated_lines", "odd_word_length"])
+        upper, letters = (next(n for x, n in asked if x == f) for f in ("upper", "letter_words"))
+        assert upper == int((~failed).sum()) - int((quality.RULES["many_symbols"](facts) & ~failed).sum()) and letters < upper
+    finally:
+        quality.Facts.get = read
+    assert kept.tolist() == [brute(t)[-1] for t in texts]
+    part = facts.only(np.arange(len(texts)) % 2 == 0)
+    assert part.get("letter_words").tolist() == facts.get("letter_words")[::2].tolist() and len(part) == 7
+
+
+def test_words_and_lines_of_equal_arithmetic_are_no_repeats(spark):
+    from tests.llm.test_wordhash import mirrored
+
+    a, b = mirrored(1024)
+    docs = spark.createDataFrame(rows_of([f"x y {a} x y {b}", f"{a}\n{b}\n{a}"]), SCHEMA)
+    assert Counter(tuple(r)[:8] for r in quality.quality_rules(docs).collect()) == Counter((r.doc_id, *brute(r.text)) for r in docs.collect())
+
+
 def test_no_rows(no_docs):
     assert quality.quality_rules(no_docs).count() == 0

@@ -24,17 +24,41 @@ _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 class Facts:
-    """What rules may ask of a slice of texts; each fact is computed once, and only if asked for."""
+    """What rules may ask of a slice of texts; each fact is computed once, and only if asked for.
 
-    def __init__(self, texts: Texts):
-        self.texts, self._known = texts, {}
+    ``only`` gives the facts of some rows: what is known of them is sliced, and
+    what is asked for later reads their texts alone.
+    """
+
+    def __init__(self, array: pa.Array, rows: np.ndarray | None = None, known: dict | None = None):
+        self.array, self.rows, self._known = array, rows, dict(known or {})
+
+    def __len__(self) -> int:
+        return len(self.array) if self.rows is None else len(self.rows)
+
+    def only(self, keep: np.ndarray) -> Facts:
+        if keep.all():
+            return self
+        rows = np.flatnonzero(keep) if self.rows is None else self.rows[keep]
+        return Facts(self.array, rows, {name: value[keep] for name, value in self._known.items() if isinstance(value, np.ndarray)})
+
+    def again(self) -> Facts:
+        """The same rows with the same knowledge, to which later facts of the one aren't known in the other."""
+        return Facts(self.array, self.rows, self._known)
+
+    @property
+    def texts(self) -> Texts:
+        return self.get("all_texts")
 
     @property
     def words(self) -> Words:
         return self.get("all_words")
 
+    def _all_texts(self) -> Texts:
+        return Texts(self.array if self.rows is None else self.array.take(pa.array(self.rows)))
+
     def _all_words(self) -> Words:
-        return Words(self.texts)
+        return Words(self.texts, hashes=self.rows is None)  # only the result's own counts compare words
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._known:
@@ -109,7 +133,8 @@ class Facts:
         return self._per_row(covered)
 
 
-#: Rejecting rules: each sees the facts and returns True for the rows to reject.
+#: Rejecting rules: each sees the facts and returns True for the rows to reject.  The first three
+#: ask for what the result states anyway, the last two for facts of their own.
 RULES: dict[str, Callable[[Facts], np.ndarray]] = {
     "many_symbols": lambda f: 100 * f.get("n_symbols") > 10 * f.get("n_words"),
     "repeated_lines": lambda f: 100 * f.get("n_dup_lines") > 30 * f.get("n_lines"),
@@ -119,22 +144,45 @@ RULES: dict[str, Callable[[Facts], np.ndarray]] = {
 }
 
 
-def _base_failed(facts: Facts) -> np.ndarray:
-    return (facts.get("n_words") < MIN_WORDS) | (100 * facts.get("n_repeat_words") > MAX_REPEAT_PERCENT * facts.get("n_words"))
+def _base(array: pa.Array) -> tuple[Facts, np.ndarray]:
+    """Facts with all that the result states of each text, and which rows the base rules reject."""
+    facts = Facts(array)
+    for name in (*_STATS, "n_lines"):
+        facts.get(name)
+    return facts, (facts.get("n_words") < MIN_WORDS) | (100 * facts.get("n_repeat_words") > MAX_REPEAT_PERCENT * facts.get("n_words"))
+
+
+def cascade(facts: Facts, failed: np.ndarray, plan: list[str]) -> np.ndarray:
+    """Rows that pass all of ``plan``: each rule sees only the rows that are still in."""
+    alive, facts = np.flatnonzero(~failed), facts.only(~failed)
+    for name in plan:
+        if not len(alive):
+            break
+        good = ~RULES[name](facts)
+        alive, facts = alive[good], facts.only(good)
+    kept = np.zeros(len(failed), dtype=bool)
+    kept[alive] = True
+    return kept
 
 
 def estimate_rules(docs: DataFrame, rules: list[str], sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, float, float]]:
-    """(rule, seconds a row, share rejected) of each rule, measured on the ``sample_rows`` rows of lowest id hash."""
+    """(rule, seconds a row, share rejected) of each rule, measured on the ``sample_rows`` rows of lowest id hash.
+
+    A rule's cost is what it adds: the result's own counts are known before it
+    starts, and rows that the base rules reject never reach it.  Without sampled
+    rows all are 0.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
+                facts, failed = _base(part.column(0))
+                facts, out = facts.only(~failed), []
                 for name in rules:
-                    facts = Facts(Texts(part.column(0)))
+                    own = facts.again()
                     began = time.perf_counter()
-                    rejected = int(RULES[name](facts).sum())
-                    out.append((name, time.perf_counter() - began, rejected, part.num_rows))
+                    rejected = int(RULES[name](own).sum())
+                    out.append((name, time.perf_counter() - began, rejected, len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["rule", "seconds", "rejected", "rows"])
 
     order = F.xxhash64(F.col(id_col))  # ranked alone, so that no task gathers texts of all others
@@ -142,7 +190,7 @@ def estimate_rules(docs: DataFrame, rules: list[str], sample_rows: int = SAMPLE_
     sample = docs.filter(order <= F.lit(last)).limit(sample_rows).select(F.col(text_col).alias("text"))
     found = sample.mapInArrow(measure, "rule string, seconds double, rejected long, rows long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "rows")))
     by = {r.rule: r for r in found.collect()}  # a row a rule
-    return [(name, by[name].seconds / by[name].rows, by[name].rejected / by[name].rows) if name in by else (name, 0.0, 0.0) for name in rules]
+    return [(name, by[name].seconds / by[name].rows, by[name].rejected / by[name].rows) if name in by and by[name].rows else (name, 0.0, 0.0) for name in rules]
 
 
 def order_rules(estimates: list[tuple[str, float, float]]) -> list[str]:
@@ -155,8 +203,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document is kept if it passes the base rules and then every rule of
     ``RULES``; the rules run in the order of rejection per cost, each only on the
-    slices' rows that are still in.  The order cannot change a verdict, only the
-    work.  ``rejected_by`` names the base or the first rule that rejected.
+    rows that are still in.  Costs are measured, so the order may differ from run
+    to run; it changes the work and no value of the result.
 
     A null or empty text has no words and fails the base rules; repeated rows
     give repeated rows; an empty table gives none; other columns are ignored.
@@ -164,29 +212,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan = order_rules(estimate_rules(docs, list(RULES), sample_rows, id_col, text_col))
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in _STATS),
-        T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType()),
+        T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()),
     ])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                facts = Facts(Texts(part.column(1)))
-                stats = [facts.get(c) for c in _STATS]
-                failed = _base_failed(facts)
-                reason = np.where(failed, "base", None).astype(object)
-                alive = rows = np.flatnonzero(~failed)
-                for name in plan:
-                    if not len(alive):
-                        break
-                    if 2 * len(alive) < len(facts.texts):  # later rules read only what is still in
-                        facts, rows = Facts(Texts(part.column(1).take(pa.array(alive)))), np.arange(len(alive))
-                    bad = RULES[name](facts)[rows]
-                    reason[alive[bad]] = name
-                    alive, rows = alive[~bad], rows[~bad]
-                kept = np.array([r is None for r in reason], dtype=bool)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(s.astype(np.int64)) for s in stats), pa.array(failed), pa.array(kept), pa.array(reason.tolist(), pa.string())],
-                    names=[f.name for f in schema.fields],
-                )
+                facts, failed = _base(part.column(1))
+                stats = [pa.array(facts.get(c).astype(np.int64)) for c in _STATS]
+                yield pa.RecordBatch.from_arrays([part.column(0), *stats, pa.array(failed), pa.array(cascade(facts, failed, plan))], names=[f.name for f in schema.fields])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(judge, schema)
