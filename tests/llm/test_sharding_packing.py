@@ -106,3 +106,26 @@ def test_words_are_encoded_as_the_tokenizer_does():
     flat, sizes = ids._encode(words)
     want = [e.ids for e in ids.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
     assert sizes == [len(x) for x in want] and flat == [i for x in want for i in x]
+
+
+def test_other_vocabularies_encode_whole_texts(spark, edge_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.WordIds(packing.default_tokenizer()).by_word and not packing.WordIds(path).by_word
+    tok = Tokenizer.from_file(path)
+    got = packing.tokenised_pieces(edge_docs, 10**6, path, with_ids=True).collect()
+    want = Counter((r.doc_id, (*tok.encode(r.text or "", add_special_tokens=False).ids, packing.SEPARATOR)) for r in edge_docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+
+
+def test_words_of_equal_arithmetic_keep_their_own_ids():
+    import pyarrow as pa
+
+    from tests.llm.test_wordhash import mirrored
+    from turnmill.llm.wordhash import Texts
+
+    texts = [" ".join(mirrored(1024)), mirrored(1024)[1]]
+    ids, ends = packing.WordIds(packing.default_tokenizer()).of(Texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == _whole_text_ids(texts)

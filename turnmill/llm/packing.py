@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -19,7 +20,12 @@ from turnmill.llm.wordhash import Texts, Words, slices
 SEPARATOR = 0  # id that ends each document
 CACHED_WORDS = 1_000_000  # of a Python worker's word cache, which starts anew when it is full
 _PIECES = 200_000
-# The vocabulary's pattern, for the characters of a plain word.
+# The rules of the default vocabulary's file, by which a text's words can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# The same pattern for the characters of a plain word.
 _LATIN = "\u00df-\u00f6\u00f8-\u00ff"
 _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+").findall
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
@@ -43,9 +49,10 @@ def tokenised_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, i
     """Token pieces of each document: its ids, then ``SEPARATOR``, cut every ``size`` tokens.
 
     Returns id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with
-    ``with_ids``, ``ids``.  The vocabulary splits at white space, so each distinct
-    word is encoded once for a task and the ids are gathered by array indexing.
-    A null text is empty and gives the separator alone.
+    ``with_ids``, ``ids``.  A vocabulary file with the default's rules splits at
+    white space, so each distinct word is encoded once for a task and the ids are
+    gathered by array indexing; with any other ``tokenizer`` file whole texts are
+    encoded.  A null text is empty and gives the separator alone.
     """
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType
@@ -69,6 +76,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["model"]["type"] == "BPE"
         self.clear()
 
     def clear(self) -> None:
@@ -79,6 +88,8 @@ class WordIds:
 
     def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids in one array (a separator after each document), and each document's end in it."""
+        if not self.by_word:
+            return self._of_texts(texts)
         words = Words(texts)
         distinct, example, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > CACHED_WORDS:
@@ -101,6 +112,12 @@ class WordIds:
         through = np.r_[0, ends][words.first[1:]]
         return out, through + np.arange(1, len(texts) + 1)
 
+    def _of_texts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        raw, bounds = texts.data.tobytes(), texts.bounds.tolist()
+        whole = [raw[a:b].decode("utf-8") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids = [np.array([*e.ids, SEPARATOR], dtype="<u4") for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
     def _learn(self, keys: np.ndarray, place: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = data.tobytes()
         flat, sizes = self._encode([raw[a:b].decode("utf-8") for a, b in zip(start.tolist(), end.tolist(), strict=True)])
