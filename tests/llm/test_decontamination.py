@@ -61,3 +61,14 @@ def test_empty_sides(spark, no_docs, edge_docs, bound):
     assert decontamination.contamination(no_docs, bench, broadcast_postings=bound).count() == 0
     none = decontamination.contamination(edge_docs, bench.limit(0), broadcast_postings=bound - 1)
     assert not none.filter("contaminated").count() and none.count() == edge_docs.count()
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_words_of_equal_arithmetic_are_no_hits(spark, bound):
+    from tests.llm.test_wordhash import mirrored
+
+    a, b = mirrored(1024)
+    items, texts = [(1, f"one two {a} four five six seven eight nine ten"), (2, b)], [f"one two {b} four five six seven eight nine ten", a, f"x one two {a} four five six seven eight nine ten"]
+    docs, bench = spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(docs, bench, broadcast_postings=bound)
+    assert Counter(map(tuple, got.collect())) == brute([(r.doc_id, r.text) for r in docs.collect()], items)
