@@ -27,14 +27,15 @@ more AS (
   SELECT * FROM s WHERE kind = 'owned' AND length(v) >= 20 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
     AND len(list_distinct(string_split(v, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = s.row_id AND b.a < s.e AND s.a < b.e)),
-spread AS (SELECT v, count(DISTINCT owner) AS owners FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN d USING (row_id) GROUP BY v),
-kept AS (SELECT * FROM base JOIN spread USING (v) UNION ALL SELECT * FROM more JOIN spread USING (v) WHERE owners = 1),
+spread AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, coalesce(CAST(doc_id AS VARCHAR), chr(0)))) AS repos FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN d USING (row_id) GROUP BY v),
+kept AS (SELECT * FROM base JOIN spread USING (v) UNION ALL SELECT * FROM more JOIN spread USING (v) WHERE owners = 1 AND repos < 10),
 k AS (
   SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS spans,
-    count(*) FILTER (owners = 1) AS one, count(*) FILTER (owners >= 3) AS wide FROM kept GROUP BY row_id)
+    count(*) FILTER (owners = 1 AND repos < 10) AS one, count(*) FILTER (owners >= 3 OR repos >= 10) AS wide, string_agg(repos, ',' ORDER BY a, o) AS repos FROM kept GROUP BY row_id)
 SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(one, 0) AS BIGINT) AS n_owner_specific, CAST(coalesce(wide, 0) AS BIGINT) AS n_widely_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(one, 0) AS BIGINT) AS n_owner_specific, CAST(coalesce(wide, 0) AS BIGINT) AS n_widely_copied, coalesce(repos, '') AS repos
 FROM d LEFT JOIN k USING (row_id)
 """
 
