@@ -92,3 +92,52 @@ def test_labelers_teach_the_classifier(spark):
     rows += [(100, "call phone (743) 555-3824 now"), (101, "mail to me (at) site.com now"), (102, "version 743 555 38240 of table 11")]
     got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100].startswith("phone:") and got[101].startswith("email:") and got[102] == ""
+
+
+def planted_pii(seed, n):
+    """(text, kinds and starts of what is personal in it) rows: personal data and look-alikes in equal shares."""
+    import random
+
+    rng = random.Random(seed)
+    given, family, street = ["Anna", "John", "Maria", "Pedro", "Kenji", "Sarah", "Klaus", "Nina"], ["Keller", "Brook", "Lopez", "Mori", "Stone", "Novak"], ["Oak Street", "Mill Road", "Hill Lane", "Park Avenue"]
+    things, digits = ["Blue River", "Apache License", "Open Window", "Grand Total", "Main Result"], lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    true = [
+        lambda: ("name", rng.choice(["my name is ", "Dear ", "signed by ", "please contact Mr ", "i met "]), f"{rng.choice(given)} {rng.choice(family)}"),
+        lambda: ("address", rng.choice(["she lives at ", "ship it to the office at ", "our home address: "]), f"{rng.randint(1, 300)} {rng.choice(street)}"),
+        lambda: ("phone", rng.choice(["call ", "my phone: ", "fax "]), f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        lambda: ("email", rng.choice(["mail to ", "contact "]), f"{rng.choice(family).lower()}{digits(2)} (at) site.com"),
+        lambda: ("ssn", rng.choice(["social security ", "ssn: "]), f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+    ]
+    false = [
+        lambda: rng.choice(["under the ", "see the ", "this ", "of a "]) + rng.choice(things), lambda: rng.choice(["section ", "it has ", "version "]) + f"{rng.randint(1, 300)} {rng.choice(things)}",
+        lambda: rng.choice(["order ", "invoice ", "isbn "]) + f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: rng.choice(["table ", "page "]) + f"000-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+    ]
+    base = [lambda: f"mail to {rng.choice(family).lower()}@site.com", lambda: f"call +1 743 555 {digits(4)}", lambda: f"host 10.{rng.randint(1, 200)}.3.4", lambda: "card 4111 1111 1111 1111"]
+    rows = []
+    for _ in range(n):
+        text, want = "some words here ", set()
+        for _ in range(rng.randint(0, 3)):
+            if rng.random() < 0.5:
+                kind, before, value = rng.choice(true)()
+                want.add(f"{kind}:{len(text) + len(before)}:{len(text) + len(before) + len(value)}")
+                text += before + value
+            else:
+                text += rng.choice(false)()
+            text += ", and then "
+        if rng.random() < 0.4:
+            text += rng.choice(base)() + "; "
+        rows.append((text + "more words", want))
+    return rows
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rows = planted_pii(1, 1500)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    hit = wrong = missed = 0
+    for i, (text, want) in enumerate(rows):
+        base = set(brute_pii(text).split(","))
+        added = {x for x in got[i].split(",") if x} - base
+        hit, wrong, missed = hit + len(added & want), wrong + len(added - want), missed + len(want - added)
+    print(f"added spans: precision {hit / max(1, hit + wrong):.3f}, recall {hit / max(1, hit + missed):.3f} of {hit + missed}")
+    assert hit / (hit + wrong) >= 0.95 and hit / (hit + missed) >= 0.9

@@ -25,19 +25,32 @@ WIDER = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "name": r"(?<![\p{L}\p{N}])(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau|Madame|Monsieur|Contact|From)\x20)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}\p{N}])",
+    "address": r"(?<![\p{L}\p{N}.,-])[0-9]{1,5}\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++){1,2}(?![\p{L}\p{N}])",
 }
-_ORDER = (*KINDS, "ssn")
+_ORDER = (*KINDS, "ssn", "name", "address")
 
-# Gazetteers and cue words of the labelers.
+# Gazetteers and cue words of the labelers.
 DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu"
+GIVEN_NAMES = """
+Adam Alan Alice Amir Amy Ana Anders Andrea Andrew Anita Anna Anne Antonio Barbara Beatriz Ben Boris Brian Carla Carlos Carmen Caroline Charles Chen Chloe
+Chris Christine Claire Clara Daniel David Diana Diego Dmitri Edward Elena Elizabeth Emily Emma Erik Eva Fatima Felix Fiona Francesca Frank Gabriel George
+Grace Hanna Hans Hassan Helen Henry Hiroshi Ibrahim Ingrid Irene Isabel Ivan Jack James Jan Jane Javier Jean Jennifer Jessica Joan John Jorge Jose Joseph
+Juan Julia Karen Karl Kate Katherine Kenji Kevin Klaus Laura Lena Leo Linda Louis Lucas Lucia Luis Magda Marco Maria Marie Mark Martin Mary Matthew Mei
+Michael Miguel Mohammed Monika Nadia Nancy Natalia Nicole Nina Noah Olga Oliver Olivia Omar Oscar Pablo Patricia Paul Pedro Peter Philip Pierre Priya Rachel
+Raj Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Simon Sofia Stefan Stephen Susan Teresa Thomas Tom Tomas Ursula Vera Victor Walter Wei William Yuki Yusuf
+""".split()
+STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Way|Square|Place|Terrace|Platz|Weg|Gasse|Allee|Rue|Calle|Plaza"
 CUES = {
     "email": "mail|contact|write|correo|adresse", "ip": "ip|host|server|address|client", "card": "card|visa|credit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|fax|mobile|telefon", "ssn": "ssn|social|security",
+    "name": "name|mr|mrs|ms|dr|dear|contact|regards|signed|sincerely|by|from|with|herr|frau|madame|monsieur|señor|señora", "address": "address|lives|live|at|street|home|office|ship|deliver|visit|adresse|wohnt|calle",
 }
 NUMBER_CUES = "version|isbn|issn|order|invoice|page|section|chapter|figure|table"
+OTHER_USE = {"name": "the|a|an|this|these|under|our|every|in|of", "address": "version|section|chapter|page|the|has|have|of|about|over"}  # words that come before no person's name, no address
 CONTEXT = 40  # code points before a span in which cue words count
 
-SHAPES = 64  # hash buckets of the span's shape
+SHAPES = 64  # hash buckets of the span's shape, and of the word before it
 ROUNDS = 8  # of expectation-maximisation
 SMOOTHING = 4.0  # pseudo-counts of a classifier feature
 LABELERS = ("shape", "gazetteer", "context", "boundary", "number")
@@ -84,46 +97,57 @@ def label(span: Column, text: Column, strict: bool) -> Column:
     known = _of_kind(kind, {
         "email": F.lower(value).rlike(rf"(?:\.|dot[\])]\x20?)(?:{DOMAINS})$"), "ip": ~value.rlike(r"^(?:0|127|255)\.|^(\d+)(?:\.\1){3}$"),
         "card": value.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), "phone": ~value.rlike(r"^\+?\(?0|([0-9])\1{6}"), "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
+        "name": F.substring_index(value, " ", 1).isin(GIVEN_NAMES), "address": value.rlike(rf"\x20(?:{STREETS})$"),
     })
-    shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), r"\p{L}+", "a")
     near = F.when(F.length(left) == 0, 0).when(F.right(left, F.lit(1)).rlike("[a-z]"), 1).when(F.right(left, F.lit(1)).rlike(r"\s"), 2).otherwise(3)
+    other = _of_kind(kind, {k: left.rlike(rf"(?<![a-z])(?:{OTHER_USE.get(k, NUMBER_CUES)})[\s:#.]*$") for k in _ORDER})
     votes = F.array(
-        _vote(F.lit(strict), F.lit(False)), _vote(known, ~known), _vote(cue, F.lit(False)),
-        _vote(~beside.rlike("[a-z0-9]"), beside.rlike("[0-9]")), _vote(F.lit(False), left.rlike(rf"(?<![a-z])(?:{NUMBER_CUES})[\s:#.]*$")),
+        F.when(F.lit(strict), 1), _vote(known, ~known), _vote(cue, F.lit(False)),
+        _vote(~beside.rlike("[a-z0-9]"), beside.rlike("[0-9]")), _vote(F.lit(False), other),
     )
-    return F.struct(span.order, span.start, span.end, kind, votes.alias("votes"), F.pmod(F.hash(shape), F.lit(SHAPES)).alias("shape"), near.alias("near"))
+    word = F.regexp_extract(left, r"([\p{L}\p{N}]++)[^\p{L}\p{N}]*$", 1)
+    bucket = lambda c: F.pmod(F.hash(c), F.lit(SHAPES))
+    return F.struct(span.order, span.start, span.end, kind, votes.alias("votes"), bucket(shape).alias("shape"), near.alias("near"), bucket(word).alias("before"))
 
 
 class Reliabilities:
-    """Prior, and for each labeler how often it votes 1 on true and on false candidates."""
+    """Prior, and for each labeler the shares of its votes (1, 0, abstained) on true and on false candidates.
 
-    def __init__(self, prior: float, on_true: list[float], on_false: list[float]):
+    That a cue is missing says something, too, so abstaining is a vote like the
+    others; only the first labeler, which abstains on all wider candidates, is
+    left out where it does.
+    """
+
+    def __init__(self, prior: float, on_true: list[tuple], on_false: list[tuple]):
         self.prior, self.on_true, self.on_false = prior, on_true, on_false
 
     def posterior(self, votes: Column) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for i, (t, f) in enumerate(zip(self.on_true, self.on_false, strict=True)):
-            odds = odds + F.when(votes[i] == 1, math.log(t / f)).when(votes[i] == 0, math.log((1 - t) / (1 - f))).otherwise(0.0)
+            yes, no, none = (math.log(a / b) for a, b in zip(t, f, strict=True))
+            odds = odds + F.when(votes[i] == 1, yes).when(votes[i] == 0, no).otherwise(none if i else 0.0)
         return 1 / (1 + F.exp(-odds))
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Reliabilities:
     """Expectation-maximisation over counted vote patterns (columns ``votes``, ``n``).
 
-    The patterns are a table of at most 3 ** labelers rows a kind and shape, and
-    each round brings one row of sums to the driver.
+    The patterns are a table of a bounded number of rows (a kind, 3 ** labelers
+    votes and the buckets of the features), and each round brings one row of sums to the driver.
     """
-    found = Reliabilities(0.5, [0.7] * len(LABELERS), [0.3] * len(LABELERS))
+    labelers = range(len(LABELERS))
+    found = Reliabilities(0.5, [(0.42, 0.18, 0.4)] * len(LABELERS), [(0.18, 0.42, 0.4)] * len(LABELERS))
     for _ in range(rounds):
         p, n = found.posterior(F.col("votes")), F.col("n")
         sums = [F.sum(p * n), F.sum(n)]
-        for i in range(len(LABELERS)):
+        for i in labelers:
             vote = F.col("votes")[i]
-            sums += [F.sum(F.when(vote == 1, p * n)), F.sum(F.when(vote.isNotNull(), p * n)), F.sum(F.when(vote == 1, (1 - p) * n)), F.sum(F.when(vote.isNotNull(), (1 - p) * n))]
+            sums += [F.sum(F.when(is_, weight * n)) for weight in (p, 1 - p) for is_ in (vote == 1, vote == 0, vote.isNull())]
         row = [float(x or 0) for x in patterns.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-        share = lambda a, b: (a + 1) / (b + 2)  # noqa: E731  smoothed, so never 0 or 1
-        each = [row[2 + 4 * i : 6 + 4 * i] for i in range(len(LABELERS))]
-        found = Reliabilities(share(row[0], row[1]), [share(e[0], e[1]) for e in each], [share(e[2], e[3]) for e in each])
+        shares = lambda x: tuple((v + 1) / (sum(x) + 3) for v in x)  # noqa: E731  smoothed, so never 0 or 1
+        each = [row[2 + 6 * i : 8 + 6 * i] for i in labelers]
+        found = Reliabilities((row[0] + 1) / (row[1] + 2), [shares(e[:3]) for e in each], [shares(e[3:]) for e in each])
     return found
 
 
@@ -131,6 +155,7 @@ def train_classifier(patterns: DataFrame, found: Reliabilities) -> tuple[float,
     """Log-odds of the classifier's features, from counts weighted by the posteriors."""
     p, n = found.posterior(F.col("votes")), F.col("n")
     features = F.array(F.concat(F.lit("kind="), "kind"), F.concat(F.lit("shape="), "kind", F.lit(":"), F.col("shape").cast("string")), F.concat(F.lit("near="), "kind", F.lit(":"), F.col("near").cast("string")),
+                       F.concat(F.lit("before="), "kind", F.lit(":"), F.col("before").cast("string")),
                        *(F.concat(F.lit(f"{name}="), F.coalesce(F.col("votes")[i].cast("string"), F.lit("-"))) for i, name in enumerate(LABELERS)))
     counted = patterns.select(F.explode(features).alias("feature"), (p * n).alias("yes"), ((1 - p) * n).alias("no"))
     rows = counted.groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # a bounded set of features
@@ -147,7 +172,7 @@ def _score(span: Column, prior: float, weights: dict[str, float]) -> Column:
     table = F.create_map(*(F.lit(x) for k in sorted(weights) for x in (k, weights[k])))
     weight = lambda *key: F.coalesce(F.element_at(table, F.concat(*key)), F.lit(0.0))
     score = F.lit(prior) + weight(F.lit("kind="), span.kind) + weight(F.lit("shape="), span.kind, F.lit(":"), span["shape"].cast("string"))
-    score = score + weight(F.lit("near="), span.kind, F.lit(":"), span["near"].cast("string"))
+    score = score + weight(F.lit("near="), span.kind, F.lit(":"), span["near"].cast("string")) + weight(F.lit("before="), span.kind, F.lit(":"), span["before"].cast("string"))
     for i, name in enumerate(LABELERS):
         score = score + weight(F.lit(f"{name}="), F.coalesce(span.votes[i].cast("string"), F.lit("-")))
     return score
@@ -157,7 +182,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Personal data of every whole text.
 
     Base spans always stay.  Labelers (strict shape, gazetteer, context cues,
-    boundaries, number cues) vote on them and on wider candidates;
+    boundaries, cues of another use) vote on them and on wider candidates
+    (disguised e-mail addresses, local phone numbers, social security numbers,
+    personal names, street addresses);
     expectation-maximisation over all candidates of the corpus estimates how far
     each labeler can be trusted, and a log-linear span classifier trained on the
     resulting posteriors decides which wider candidates are added (those that
@@ -177,8 +204,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     table = materialise(found, "pii")
 
-    spans = table.select(F.explode(F.concat("base", "wider")).alias("s")).select("s.kind", "s.votes", "s.shape", "s.near")
-    patterns = materialise(spans.groupBy("kind", "votes", "shape", "near").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    spans = table.select(F.explode(F.concat("base", "wider")).alias("s")).select("s.kind", "s.votes", "s.shape", "s.near", "s.before")
+    patterns = materialise(spans.groupBy("kind", "votes", "shape", "near", "before").agg(F.count(F.lit(1)).alias("n")), "patterns")
     prior, weights = train_classifier(patterns, estimate(patterns))
     added = F.filter("wider", lambda s: _score(s, prior, weights) > 0) if weights else F.filter("wider", lambda s: F.lit(False))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
