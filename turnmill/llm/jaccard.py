@@ -355,6 +355,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, with_links: bool, keep
     groups = materialise(candidate_groups(rows.select("text").mapInArrow(_entries, "key long, node long")), "groups")
     members = groups.join(sketched.drop("copies"), "node")
     totals = groups.join(sketched.select("node", "n"), "node").groupBy("center").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    totals = materialise(totals, "totals")  # a table of its own, so that Spark can split a hot center's join
     blocks = F.ceil(F.col("total") / BLOCK_TOKENS).cast("int")
     members = members.join(totals, "center").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
