@@ -29,7 +29,7 @@ def test_dialect_a(spark):
     rows = [
         user(" hello there "), user("<ide>noise</ide>"), user("[Request interrupted by user]"), user(" "), "not json", "[1]", "", '{"type":"user"} trailing',
         user("x", isMeta=1), user("side", isSidechain=True), user("kept", promptSource="q", isMeta=0), user("bot", entrypoint="sdk-cli"),
-        user("<command-message>m</command-message><command-name>review</command-name><command-args> src/ </command-args>"),
+        user("<command-message>m</command-message><command-name>tidy</command-name><command-args> notes.txt </command-args>"),
         user([{"type": "text", "text": "look"}, {"type": "image", "source": {}}, {"type": "tool_result", "content": [{"type": "text", "text": "no. the user said: use two"}]}, {"type": "tool_result", "content": "fine"}, {"type": "zzz"}, 5]),
         {"type": "user", "timestamp": "t2", "message": {"content": []}, "toolUseResult": {"questions": [{"question": " Which? ", "answer": ["A", 3, "B"]}, {"question": "", "answer": "z"}, {"question": "Q", "answer": "yes "}]}},
         {"type": "attachment", "attachment": {"type": "queued_command", "origin": {"kind": "human"}, "commandMode": "prompt", "prompt": "queued", "timestamp": "t3"}},
@@ -41,7 +41,7 @@ def test_dialect_a(spark):
     ]
     events, drops, bad = run(spark, rows, "a")
     assert events == [
-        ("human", "t1", "hello there"), ("human", "t1", "kept"), ("human", "t1", "[command] /review src/"), ("human", "t1", "look\n\n[image pasted]\n\nuse two"),
+        ("human", "t1", "hello there"), ("human", "t1", "kept"), ("human", "t1", "[command] /tidy notes.txt"), ("human", "t1", "look\n\n[image pasted]\n\nuse two"),
         ("human", "t2", '[decision] "Which?" → A, B\n\n[decision] "Q" → yes'), ("human", "t3", "queued"),
         ("assistant", "t4", "first\nsecond"), ("plan", "t4", "P"), ("question", "t4", "Go? [yes, no] (multi-select)\nOr?"), ("assistant", "t4", "end"), ("assistant", "", "plain"),
     ]
@@ -173,3 +173,28 @@ def test_streaming_ownership_is_retroactive(spark, tmp_path):
 
     assert add("b", ("5", "hello"), ("6", "again")) == {("5", "hello"): "b", ("6", "again"): "b"}
     assert add("a", ("1", "first"), ("5", "hello")) == {("5", "hello"): "a", ("6", "again"): "b", ("1", "first"): "a"}
+
+
+@pytest.mark.parametrize("dialect", ["a", "k2", "k3"])
+def test_very_long_lines_and_repeated_keys_are_messages(spark, monkeypatch, dialect):
+    """A line beyond the parser's limit on strings, a text whose middle is cut out and put back, and a key that stands twice."""
+    from turnmill.functions import variant
+
+    long = "start " + 'a "b" \\ é \n' * 3000 + " end"
+    image = "QUJD" * 20_000
+    if dialect == "a":
+        rows = [user([{"type": "text", "text": long}, {"type": "image", "source": {"data": image}}]), '{"type":"x","type":"user","timestamp":"t1","message":{"content":"no","content":"twice"}}']
+    elif dialect == "k2":
+        rows = [{"kind": "Prompt", "data": {"content": [{"kind": "text", "data": long}, {"kind": "image", "data": image}]}}, '{"kind":"Clear","kind":"Prompt","data":{"content":[{"kind":"text","data":"no","data":"twice"}]}}']
+    else:
+        rows = [{"timestamp": "t1", "payload": {"type": "user", "content": long, "image": image}}, '{"timestamp":"t1","payload":{"type":"user","content":"no","content":"twice"}}']
+    monkeypatch.setattr(variant, "LONG_LINE", 20_000)
+    monkeypatch.setattr(variant, "LONG_PIECE", 8_000)
+    monkeypatch.setattr(variant, "EDGE", 1_000)
+    events, drops, bad = run(spark, rows, dialect)
+    assert [e[2].removesuffix("\n\n[image pasted]") for e in events] == [long, "twice"] and not drops and bad == 0
+
+
+def test_a_line_of_forty_megabytes(spark):
+    events, _, bad = run(spark, [user([{"type": "text", "text": "look at this"}, {"type": "image", "source": {"data": "QUJD" * 10_000_000}}]), user("x" * 22_000_000)], "a")
+    assert bad == 0 and events[0][2] == "look at this\n\n[image pasted]" and len(events[1][2]) == 22_000_000

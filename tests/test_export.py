@@ -19,17 +19,67 @@ def test_export_end_to_end(spark, tmp_path):
     k3.mkdir(parents=True)
     (k3 / "messages.jsonl").write_text(json.dumps({"timestamp": "9", "payload": {"type": "user", "content": "k three"}}))
     homes = {"a": str(tmp_path / "a"), "k3": str(tmp_path / "k")}
-    got = export.run_export(spark, homes, str(tmp_path / "out"))
-    assert [(r.export, r.messages, r.first_ts, r.last_ts) for r in got["manifest"].orderBy("export").collect()] == [("one-aaaaaaaa.md", 2, "1", "2"), ("one-bbbbbbbb.md", 1, "3", "3"), ("unknown-sess_d.md", 1, "9", "9")]
+    old = spark.createDataFrame([("one-aaaaaaaa.md",), ("gone.md",)], "export string")
+    got = export.run_export(spark, homes, str(tmp_path / "out"), existing=old)
+    assert [(r.export, r.messages, r.first_ts, r.last_ts) for r in got["manifest"].orderBy("export").collect()] == [("one-2-bbbbbbbb.md", 1, "3", "3"), ("one-aaaaaaaa.md", 2, "1", "2"), ("unknown-sess_d.md", 1, "9", "9")]
     docs = {r.export: r.content for r in got["documents"].collect()}
     assert docs["one-aaaaaaaa.md"].endswith("     messages: 2 -->\n\n### 1\n\nhello\n\n### 2\n\ngo\n")
-    assert {r.export: r.final_assistant_tail for r in got["outcomes"].collect()}["one-bbbbbbbb.md"] == "done"
-    counts = {r["counter"]: r["n"] for r in export.statistics(got).collect()}
-    assert counts == {"exported": 3, "messages": 4, "duplicates": 2, "zero_message": 0, "below_minimum": 0, "bad_lines": 1, "short_turns": 4, "with_decision": 0, "outcome_sessions": 3}
-    old = spark.createDataFrame([("one-aaaaaaaa.md",), ("gone.md",)], "export string")
-    assert [r.export for r in export.stale_outputs(old, got["manifest"]).collect()] == ["gone.md"]
-    again = export.run_export(spark, homes, str(tmp_path / "out2"), source="a", project="ONE", min_messages=2)
-    assert [r.export for r in again["manifest"].collect()] == ["one-aaaaaaaa.md"]
+    assert {r.export: r.final_assistant_tail for r in got["outcomes"].collect()}["one-2-bbbbbbbb.md"] == "done"
+    assert got["outcomes"].schema["final_assistant_tail"].metadata["comment"] == export.OUTCOME_NOTE
+    counts = {r["counter"]: r["n"] for r in got["statistics"].collect()}
+    assert counts == {"exported": 3, "messages": 4, "duplicates": 2, "filtered": 0, "zero_message": 0, "automation": 0, "below_minimum": 0, "read_errors": 0, "bad_lines": 1, "short_turns": 4, "with_decision": 0, "outcome_sessions": 1, "stale_outputs": 1, "exported:a": 2, "exported:k3": 1}
+    assert [r.export for r in got["stale_outputs"].collect()] == ["gone.md"]
+    again = export.run_export(spark, homes, str(tmp_path / "out2"), source="a", project="ONE", min_messages=2, existing=old)
+    assert [r.export for r in again["manifest"].collect()] == ["one-aaaaaaaa.md"] and again["stale_outputs"].count() == 0
+
+
+def test_three_stores(spark, tmp_path):
+    """Classification, the newer store's copy, projects of folders, history files and every counter."""
+    ids = {x: f"{x * 8}-0000-0000-0000-000000000000" for x in "abcdef"}
+    k = tmp_path / "k" / "sessions"
+    (k / "cli").mkdir(parents=True)
+    prompt = lambda *texts, ts=1_700_000_000: "\n".join(json.dumps({"kind": "Prompt", "data": {"content": [{"kind": "text", "data": x}], "meta": {"timestamp": ts + i}}}) for i, x in enumerate(texts))
+    flat = {
+        "a": (prompt("first one", "second one"), {"cwd": "/w/src"}, False), "b": (prompt("[AGENT SYSTEM PROMPT] do"), {"cwd": "/w/src", "parent_session_id": "x"}, False),
+        "c": (prompt("[AGENT SYSTEM PROMPT] do", "a human came"), {"cwd": "/v/src"}, True), "d": (prompt("old copy"), {"cwd": "/w/src"}, False), "e": (prompt("<system>", ""), None, False),
+    }
+    for x, (body, meta, history) in flat.items():
+        (k / "cli" / f"{ids[x]}.jsonl").write_text(body)
+        if meta:
+            (k / "cli" / f"{ids[x]}.json").write_text(json.dumps(meta))
+        if history:
+            (k / "cli" / f"{ids[x]}.history").write_text("h")
+    (k / "cli" / "gone.history").write_text("h")
+    (k / "cli" / f"sess_{ids['d']}.history").write_text("h")
+    said = lambda *texts: "\n".join(json.dumps({"timestamp": f"2024-0{i + 1}", "payload": {"type": "user", "content": x}}) for i, x in enumerate(texts))
+    tree = {f"sess_{ids['d']}": (said("new copy", "yes"), {"workspacePaths": ["/w/src"], "rootPaths": ["/no"]}), f"sess_{ids['f']}": (said("You are a session naming agent. x"), {"workspacePaths": [], "rootPaths": ["/no"]}), "cli_odd": (said("by the machine of ours"), {"rootPaths": ["/w/app"]})}
+    for name, (body, meta) in tree.items():
+        (k / "h1" / name).mkdir(parents=True)
+        (k / "h1" / name / "messages.jsonl").write_text(body)
+        (k / "h1" / name / "session.json").write_text(json.dumps(meta))
+    (tmp_path / "a" / "projects" / "-w-src").mkdir(parents=True)
+    (tmp_path / "a" / "projects" / "-w-src" / "s1.jsonl").write_text(line("hello", "1"))
+    homes = {"a": str(tmp_path / "a"), "k2": str(tmp_path / "k"), "k3": str(tmp_path / "k")}
+
+    got = export.run_export(spark, homes, str(tmp_path / "out"), own_mark="by the machine")
+    status = {(r.origin, r.session_id): (r.project, r.status) for r in got["discovered"].collect()}
+    assert status == {
+        ("a", "s1"): ("src", "read"), ("k2", ids["a"]): ("src-2", "read"), ("k2", ids["b"]): ("src-2", "automation"), ("k2", ids["c"]): ("src", "read"), ("k2", ids["e"]): ("unknown", "read"),
+        ("k3", f"sess_{ids['d']}"): ("src-2", "read"), ("k3", f"sess_{ids['f']}"): ("unknown", "automation"), ("k3", "cli_odd"): ("app", "automation")}
+    counts = {r["counter"]: r["n"] for r in got["statistics"].collect()}
+    assert counts == {"exported": 4, "messages": 6, "duplicates": 0, "filtered": 0, "zero_message": 1, "automation": 3, "below_minimum": 0, "read_errors": 0, "bad_lines": 0, "short_turns": 6, "with_decision": 0, "outcome_sessions": 0, "stale_outputs": 0, "exported:a": 1, "exported:k2": 2, "exported:k3": 1}
+    assert sorted(r.export for r in got["manifest"].collect()) == ["src-2-aaaaaaaa.md", "src-2-sess_ddd.md", "src-cccccccc.md", "src-s1.md"]
+    filtered = export.run_export(spark, homes, str(tmp_path / "out3"), project="SRC-2", min_messages=2)
+    counts = {r["counter"]: r["n"] for r in filtered["statistics"].collect()}
+    assert (counts["exported"], counts["filtered"], counts["automation"], counts["below_minimum"]) == (2, 5, 1, 0)
+    from turnmill.sources import lines, sessions
+
+    found = sessions.discover(spark, homes)
+    stems = sessions.history_stems(spark, homes["k2"])
+    old, new = (found.filter(f"origin = '{o}'") for o in ("k2", "k3"))
+    assert [r.stem for r in lines.orphan_histories(stems, old, new).collect()] == ["gone"]
+    blind = sessions.unreadable(found, spark.createDataFrame([(r.source_path,) for r in found.collect()[1:]], "source_path string"))
+    assert blind.count() == 1
 
 
 def test_artifacts_are_read_with_defaults(spark, tmp_path):

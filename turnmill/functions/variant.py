@@ -2,9 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+LONG_LINE = 8_000_000  # characters of a line from which its long strings are kept beside the parsed value
+LONG_PIECE, EDGE = 400_000, 100_000  # characters of a string that is cut, and about what stays of it at either end
+
+_MARK = ("\uE0F1", "\uE0F2")
+_QUOTE = r'"(?<=(?<!\\)(?:\\\\){0,64}")'  # a quote that no backslash escapes
+_STRINGS = {"maxStringLen": str(2**31 - 1)}
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """The last of a repeated JSON key counts.  The parser reads this setting of the session when a query runs, so it stays."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def shorten(line: Column) -> Column:
+    """struct(text, cuts): the line with the middle of each very long string replaced by a mark, and what the marks stand for.
+
+    The JSON parser takes strings of 20 million characters at most.  Strings are
+    cut where no backslash stands in the seven characters before, so never inside
+    an escape.  Lines below ``LONG_LINE`` characters are as they were.
+    """
+
+    def cut(piece: Column) -> Column:
+        head = F.regexp_extract(F.left(piece, F.lit(EDGE)), r"(?s)^(.*[^\\]{7})", 1)
+        tail = F.regexp_extract(F.right(piece, F.lit(EDGE)), r"(?s)[^\\]{7}(.*)$", 1)
+        body = F.substring(piece, F.length(head) + 1, F.length(piece) - F.length(head) - F.length(tail))
+        mark = F.concat(F.lit(_MARK[0]), F.xxhash64(body).cast("string"), F.lit(_MARK[1]))
+        whole = F.struct(piece.alias("text"), F.lit(None).cast("string").alias("mark"), F.lit(None).cast("string").alias("body"))
+        parts = F.struct(F.concat(head, mark, tail).alias("text"), mark.alias("mark"), body.alias("body"))
+        return F.when((F.length(piece) > LONG_PIECE) & (head != "") & (tail != ""), parts).otherwise(whole)
+
+    pieces = F.transform(F.split(line, _QUOTE, -1), cut)
+    cuts = F.transform(F.filter(pieces, lambda p: p.mark.isNotNull()), lambda p: F.struct(p.mark.alias("mark"), p.body.alias("body")))
+    short = F.struct(F.array_join(F.transform(pieces, lambda p: p.text), '"').alias("text"), cuts.alias("cuts"))
+    none = F.array().cast("array<struct<mark:string,body:string>>")
+    return F.when(F.length(line) > LONG_LINE, short).otherwise(F.struct(line.alias("text"), none.alias("cuts")))
+
+
+def restore(text: Column, cuts: Column) -> Column:
+    """A text of a shortened line with its marks replaced by what they stand for."""
+    said = lambda body: F.get(F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>", _STRINGS), 0)
+    return F.aggregate(cuts, text, lambda t, c: F.when(F.contains(t, c["mark"]), F.replace(t, c["mark"], said(c["body"]))).otherwise(t))
+
 
 def parse(value: Column) -> Column:
     """The one JSON value that the text holds; null for none, several or trailing text."""

@@ -28,15 +28,18 @@ def first_owner_dedupe(messages: DataFrame) -> DataFrame:
     return kept.select(*KEYS, (F.row_number().over(order) - 1).cast("long").alias("index"), "pos", "timestamp", "text")
 
 
-def corpus_sessions(messages: DataFrame, corpus: DataFrame, bad: DataFrame | None = None) -> DataFrame:
-    """One row a session: messages kept, first and last timestamp by index, copies dropped, bad lines."""
+def corpus_sessions(messages: DataFrame, corpus: DataFrame, bad: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """One row a session: messages kept, first and last timestamp by index, copies dropped, bad lines.
+
+    ``sessions`` (keys) names them all; by default those with a message.
+    """
     all_ = messages.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("extracted"))
     kept = corpus.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("messages"), F.min_by("timestamp", "index").alias("first_ts"), F.max_by("timestamp", "index").alias("last_ts"))
-    out = all_.join(kept, KEYS, "left")
+    out = (all_ if sessions is None else sessions.select(*KEYS).join(all_, KEYS, "left")).join(kept, KEYS, "left")
     out = out.join(bad, KEYS, "left") if bad is not None else out.withColumn("bad_lines", F.lit(0).cast("long"))
     n = F.coalesce("messages", F.lit(0))
     return out.select(*KEYS, n.alias("messages"), F.coalesce("first_ts", F.lit("")).alias("first_ts"), F.coalesce("last_ts", F.lit("")).alias("last_ts"),
-                      (F.col("extracted") - n).alias("dropped"), F.coalesce("bad_lines", F.lit(0)).alias("bad_lines"))
+                      (F.coalesce("extracted", F.lit(0)) - n).alias("dropped"), F.coalesce("bad_lines", F.lit(0)).alias("bad_lines"))
 
 
 def substance(sessions: DataFrame, minimum: int) -> DataFrame:

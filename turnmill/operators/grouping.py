@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill.functions import text as t
+from turnmill.operators.names import allocate_slugs
 
 
 def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int) -> DataFrame:
@@ -22,7 +23,7 @@ def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int) -> Da
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         window, used, out = 0, overhead, []
-        for i, cost in enumerate(rows["cost"]):
+        for i, cost in enumerate(rows["cost"].tolist()):
             if i and used + cost > budget:
                 window, used = window + 1, overhead
             out.append(window)
@@ -63,18 +64,30 @@ def validate_grouping(tasks: DataFrame, misc: DataFrame, inputs: DataFrame) -> D
 
 
 def unique_slugs(tasks: DataFrame, order: list[str]) -> DataFrame:
-    """Tasks of several windows with the n-th equal slug numbered in ``order``."""
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(*order))
-    return tasks.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") == 1, F.col("slug")).otherwise(t.suffix_slug(F.col("slug"), F.col("_n")))).drop("_n")
+    """Tasks of several windows with a taken slug numbered, in ``order``, until it is free."""
+    return allocate_slugs(tasks, order)
+
+
+def misc_union(misc: DataFrame) -> DataFrame:
+    """Members routed to misc in any window, once each."""
+    return misc.select("member").distinct()
+
+
+def same_coverage(tasks: DataFrame, misc: DataFrame, inputs: DataFrame) -> DataFrame:
+    """One row (same): whether tasks and misc together hold exactly the inputs (id), so that a grouping can be used again."""
+    covered = tasks.select(F.explode("members").alias("id")).union(misc.select("member")).distinct()
+    both = covered.withColumn("_c", F.lit(1)).join(inputs.select("id").distinct().withColumn("_i", F.lit(1)), "id", "full")
+    return both.agg((F.count_if(F.col("_c").isNull() | F.col("_i").isNull()) == 0).alias("same"))
 
 
 def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     """Tasks after merging: (slug, title, members, kind, note).
 
-    ``tasks`` has slug, title, members and pos, ``merges`` has pos, slugs, slug
-    and title.  An entry counts if its slugs all exist, are at least two, aren't
+    ``tasks`` has slug, title and members, ``merges`` has pos, slugs, slug and
+    title; both may have a ``rationale``, which is kept.  An entry counts if its slugs all exist, are at least two, aren't
     taken by an earlier entry that counts, and its own slug is well-formed; else
-    it is a row of kind ``skipped`` with a note.  Merge tables are small by
+    it is a row of kind ``skipped`` with a note.  A merged slug that a kept or an
+    earlier merged task has is numbered until it is free.  Merge tables are small by
     nature: existence is a join, only who came first is one task's work.
     """
     known = tasks.select(F.col("slug").alias("_s")).distinct()
@@ -83,29 +96,30 @@ def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     judged = merges.join(status, "pos").withColumn("note", F.when(F.col("missing") > 0, "unknown slug").when(F.size("slugs") < 2, "fewer than two slugs").when(~t.valid_slug(F.col("slug")), "malformed slug"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
         taken, notes = set(), []
-        for _, row in rows.sort_values("pos").iterrows():
-            note = row.note
-            early = note in (None, "malformed slug") or pd.isna(note)
-            if early and any(s in taken for s in row.slugs):
+        for slugs, note in zip(rows["slugs"], rows["note"], strict=True):
+            note = None if pd.isna(note) else note
+            if note in (None, "malformed slug") and not taken.isdisjoint(slugs):
                 note = "already merged"
-            if note is None or pd.isna(note):
-                taken.update(row.slugs)
-                note = None
+            if note is None:
+                taken.update(slugs)
             notes.append(note)
-        return rows.sort_values("pos").assign(note=notes)
+        return rows.assign(note=notes)
 
-    columns = judged.select("pos", "slugs", "slug", "title", "note")
+    none = F.lit(None).cast("string")
+    said = lambda df: F.col("rationale") if "rationale" in df.columns else none
+    columns = judged.select("pos", "slugs", "slug", "title", said(merges).alias("rationale"), "note")
     settled = columns.groupBy().applyInPandas(settle, columns.schema)
     counted = settled.filter("note is null")
     gone = counted.select(F.explode("slugs").alias("_s")).distinct()
     kept = tasks.join(gone, F.col("slug") == F.col("_s"), "left_anti")
-    parts = counted.select("pos", "slug", "title", F.posexplode("slugs").alias("at", "_s")).join(tasks.select(F.col("slug").alias("_s"), F.col("members")), "_s")
-    union = parts.groupBy("pos", "slug", "title").agg(F.array_sort(F.collect_list(F.struct("at", "members"))).alias("m"))
-    merged = union.select("pos", "slug", "title", F.array_distinct(F.flatten(F.transform("m", lambda x: x.members))).alias("members"))
-    clash = kept.select(F.col("slug").alias("_k")).distinct()
-    merged = merged.join(clash, F.col("slug") == F.col("_k"), "left").withColumn("slug", F.when(F.col("_k").isNotNull(), t.suffix_slug(F.col("slug"), F.lit(2))).otherwise(F.col("slug")))
-    none = F.lit(None).cast("string")
-    return kept.select("slug", "title", "members", F.lit("kept").alias("kind"), none.alias("note")).unionByName(
-        merged.select("slug", "title", "members", F.lit("merged").alias("kind"), none.alias("note"))).unionByName(
-        settled.filter("note is not null").select("slug", "title", F.col("slugs").alias("members"), F.lit("skipped").alias("kind"), "note"))
+    own = ["pos", "slug", "title", "rationale"]
+    parts = counted.select(*own, F.posexplode("slugs").alias("at", "_s")).join(tasks.select(F.col("slug").alias("_s"), F.col("members")), "_s")
+    union = parts.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "members"))).alias("m"))
+    merged = union.select(*own, F.array_distinct(F.flatten(F.transform("m", lambda x: x.members))).alias("members"))
+    columns = ["slug", "title", "members", "rationale", "kind", "note"]
+    both = kept.select("slug", "title", "members", said(tasks).alias("rationale"), F.lit("kept").alias("kind"), none.alias("note"), F.lit(-1).cast("long").alias("_pos")).unionByName(
+        merged.select("slug", "title", "members", "rationale", F.lit("merged").alias("kind"), none.alias("note"), F.col("pos").cast("long").alias("_pos")))
+    skipped = settled.filter("note is not null").select("slug", "title", F.col("slugs").alias("members"), "rationale", F.lit("skipped").alias("kind"), "note")
+    return allocate_slugs(both, ["_pos"]).select(*columns).unionByName(skipped)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
 
+ROUNDS = 3  # of numbering names that meet across groups
+
 
 def allocate_document_names(sessions: DataFrame, order: list[str], id_chars: int = 8) -> DataFrame:
     """Adds ``export``: ``<project>-<first characters of id>.md``.
 
     Rows are served in ``order``.  A taken name gets one more character of the
     id at a time, then ``-2``, ``-3``.  Only rows whose short name is shared go
-    through the sequential step, one group a project.
+    through the sequential step, one group a short name; names that then meet
+    across groups are numbered.
     """
     project, stem = F.coalesce(F.nullif(t.sanitize_name(F.col("project")), F.lit("")), F.lit("project")), F.coalesce(F.nullif(t.sanitize_name(F.col("session_id")), F.lit("")), F.lit("session"))
     base = F.concat(project, F.lit("-"), F.left(stem, F.lit(id_chars)), F.lit(".md"))
@@ -23,20 +28,52 @@ def allocate_document_names(sessions: DataFrame, order: list[str], id_chars: int
     clashing = named.filter("_same > 1").withColumn("_order", F.row_number().over(Window.partitionBy("export").orderBy(*order)))
 
     def serve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_order")
         taken, out = set(), []
-        for _, row in rows.sort_values("_order").iterrows():
-            tries = [f"{row._project}-{row._stem[:n]}.md" for n in range(id_chars, max(id_chars, len(row._stem)) + 1)]
-            name = next((x for x in tries if x not in taken), None)
-            n = 2
-            while name is None:
-                name = None if f"{row._project}-{row._stem}-{n}.md" in taken else f"{row._project}-{row._stem}-{n}.md"
-                n += 1
+        for own, stem in zip(rows["_project"], rows["_stem"], strict=True):
+            tries = (f"{own}-{stem[:n]}.md" for n in range(id_chars, max(id_chars, len(stem)) + 1))
+            numbered = (f"{own}-{stem}-{n}.md" for n in itertools.count(2))
+            name = next(x for x in itertools.chain(tries, numbered) if x not in taken)
             taken.add(name)
             out.append(name)
-        return rows.sort_values("_order").assign(export=out)
+        return rows.assign(export=out)
 
     served = clashing.groupBy(F.col("export").alias("_base")).applyInPandas(serve, clashing.schema)
-    return named.filter("_same = 1").unionByName(served.drop("_order")).select(*sessions.columns, "export")
+    named = named.filter("_same = 1").unionByName(served.drop("_order"))
+    for _ in range(ROUNDS):  # a lengthened name may meet a name of another group
+        n = F.row_number().over(Window.partitionBy("export").orderBy(*order))
+        numbered = F.concat_ws("-", F.regexp_replace("export", r"\.md$", ""), n.cast("string"))
+        named = named.withColumn("_n", n).withColumn("export", F.when(F.col("_n") == 1, F.col("export")).otherwise(F.concat(numbered, F.lit(".md"))))
+    return named.select(*sessions.columns, "export")
+
+
+def allocate_slugs(tasks: DataFrame, order: list[str], slug: str = "slug") -> DataFrame:
+    """Tasks with unique slugs: in ``order``, a taken slug is numbered from 2 until it is free (see ``suffix_slug``).
+
+    A numbered slug keeps its first words, so only slugs that agree in their first
+    four words without trailing numbers can meet.  Those families go through the
+    sequential step one by one, and only if a slug stands twice in them.
+    """
+    words = F.array_join(F.slice(F.split(slug, "-"), 1, 4), "-")
+    family = tasks.withColumn("_family", F.regexp_replace(words, "(?:-[0-9]+)+$", ""))
+    family = family.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_family", slug))).withColumn("_most", F.max("_same").over(Window.partitionBy("_family")))
+
+    def serve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        taken, following, out = set(), {}, []
+        for own in rows[slug]:
+            name, n, parts = own, following.get(own, 2), own.split("-")
+            stem = own if len(parts) < 5 else "-".join(parts[:4])
+            while name in taken:
+                name, n = f"{stem}-{n}", n + 1
+            following[own] = max(2, n - 1) if name != own else 2
+            taken.add(name)
+            out.append(name)
+        return rows.assign(**{slug: out})
+
+    repeated = family.filter("_most > 1")
+    served = repeated.groupBy("_family").applyInPandas(serve, repeated.schema)
+    return family.filter("_most = 1").unionByName(served).select(*tasks.columns)
 
 
 def name_clashes(named: DataFrame, column: str = "export") -> DataFrame:
@@ -47,11 +84,8 @@ def name_clashes(named: DataFrame, column: str = "export") -> DataFrame:
 def single_session_tasks(digests: DataFrame) -> DataFrame:
     """One task a digest (columns ``export``, ``goal``): slug from the name, title from the goal.
 
-    Equal slugs are numbered in name order; the number takes the fifth word's
-    place at the latest.
+    In name order, a taken slug is numbered until it is free; the number takes the
+    fifth word's place at the latest.
     """
-    words = t.slug_words(F.col("export"))
-    base = digests.select("export", "goal", words.alias("w")).withColumn("base", F.array_join("w", "-"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("export"))
-    numbered = F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", F.array_join(F.slice("w", 1, 4), "-"), n.cast("string")))
-    return base.select(numbered.alias("slug"), F.coalesce(F.nullif("goal", F.lit("")), F.col("export")).alias("title"), F.array("export").alias("members"))
+    made = digests.select("export", "goal", F.array_join(t.slug_words(F.col("export")), "-").alias("slug"))
+    return allocate_slugs(made, ["export"]).select("slug", F.coalesce(F.nullif("goal", F.lit("")), F.col("export")).alias("title"), F.array("export").alias("members"))

@@ -17,6 +17,7 @@ from turnmill.sources.lines import KEYS
 
 EVENT = "struct<kind:string,timestamp:string,text:string>"
 DROP = "struct<reason:string,snippet:string,timestamp:string>"
+SNAPSHOT = "struct<timestamp:string,text:string>"
 PIECE = "struct<text:string,reason:string,raw:string>"
 
 # What the logs' writers put into lines.
@@ -26,6 +27,7 @@ IMAGE = "[image pasted]"
 BRACKETS = ["[AGENT SYSTEM PROMPT]", "[Recent channel messages for context:]", "[Subagent completion event]", "[LIVE STEERING - New message from user]"]
 STEERING = "[LIVE STEERING - New message from user]"
 NUDGES = ["The generated tool was too large", "You took too long to respond", "You have not called the summary tool yet"]
+MARK_CHARS = 1000  # of a prompt are kept to classify its session; marks are shorter
 AUTOMATION = ["You are a session naming agent", "You are a memory consolidation agent", "You are generating contextual prompt suggestions"]
 
 
@@ -251,17 +253,51 @@ def dialect_k3(lines: DataFrame) -> DataFrame:
 DIALECTS: dict[str, Callable[[DataFrame], DataFrame]] = {"a": dialect_a, "k2": dialect_k2, "k3": dialect_k3}
 
 
+def _first_block(data: Column) -> Column:
+    """The first text block with something in it."""
+    blocks = F.transform(F.filter(v.array(data, "$.content"), lambda b: v.text(b, "$.kind") == "text"), lambda b: t.trim_all(v.text(b, "$.data")))
+    return F.get(F.filter(blocks, lambda s: s != ""), 0)
+
+
+def _prompt(e: Column, dialect: str) -> Column:
+    """The beginning of a prompt, by which sessions are classified; null for other lines."""
+    if dialect == "k2":
+        said = F.when(v.text(e, "$.kind") == "Prompt", _first_block(v.at(e, "$.data")))
+    elif dialect == "k3":
+        said = F.when(v.text(e, "$.payload.type") == "user", F.nullif(t.trim_all(v.text(e, "$.payload.content")), F.lit("")))
+    else:
+        return F.lit(None).cast("string")
+    return F.left(said, F.lit(MARK_CHARS))
+
+
+def _snapshot(e: Column, dialect: str, cuts: Column) -> Column:
+    """(timestamp, text) of the human messages that a compaction line repeats."""
+    if dialect != "k2":
+        return _none(SNAPSHOT)
+    said = F.filter(v.array(e, "$.data.messages_snapshot"), lambda i: v.text(i, "$.role") == "user")
+    found = F.transform(said, lambda i: F.struct(_k2_time(i).alias("timestamp"), v.restore(_joined(_prompt_pieces(i)), cuts).alias("text")))
+    return F.when(v.text(e, "$.kind") == "Compaction", F.coalesce(found, _none(SNAPSHOT))).otherwise(_none(SNAPSHOT))
+
+
 def parse_lines(lines: DataFrame, dialect: str) -> DataFrame:
-    """One row a non-blank line: keys, ``line_key``, ``v``, ``is_bad``, ``events``, ``drops``.
+    """One row a line: keys, ``line_key``, ``v``, ``is_bad``, ``events``, ``drops``, ``prompt``, ``snapshot``.
 
-    A line that isn't JSON is bad; so is JSON that isn't an object, but in K3.
+    A line that isn't JSON is bad; so is JSON that isn't an object, but in K3.  A
+    blank line has no value and isn't bad.  Of a repeated key the last value
+    counts (a setting of the session, which stays).  Strings beyond the parser's
+    limit are cut before and restored in events and snapshots.
     """
-    parsed = lines.filter(t.trim_all(F.col("value")) != "").select(*KEYS, "line_key", v.parse(F.col("value")).alias("v"))
+    v.allow_repeated_keys(lines.sparkSession)
+    short = lines.select(*KEYS, "line_key", (t.trim_all(F.col("value")) == "").alias("_blank"), v.shorten(F.col("value")).alias("_short"))
+    parsed = short.select(*KEYS, "line_key", "_blank", F.when(~F.col("_blank"), v.parse(F.col("_short.text"))).alias("v"), F.col("_short.cuts").alias("cuts"))
     parsed = parsed.withColumn("_object", v.is_object(F.col("v")))
     bad = F.col("v").isNull() if dialect == "k3" else ~F.col("_object")
     out = DIALECTS[dialect](parsed)
-    only = lambda c, kind: F.when(F.col("_object"), F.col(c)).otherwise(_none(kind)).alias(c)
-    return out.select(*KEYS, "line_key", "v", bad.alias("is_bad"), only("events", EVENT), only("drops", DROP))
+    only = lambda c, kind: F.when(F.col("_object"), c).otherwise(_none(kind))
+    whole = F.transform("events", lambda e: _event(e.kind, e.timestamp, v.restore(e.text, F.col("cuts"))))
+    events = F.when(F.size("cuts") > 0, whole).otherwise(F.col("events"))
+    return out.select(*KEYS, "line_key", "v", (bad & ~F.col("_blank")).alias("is_bad"), only(events, EVENT).alias("events"), only(F.col("drops"), DROP).alias("drops"),
+                      _prompt(F.col("v"), dialect).alias("prompt"), _snapshot(F.col("v"), dialect, F.col("cuts")).alias("snapshot"))
 
 
 def _exploded(df: DataFrame, column: str) -> DataFrame:
@@ -289,34 +325,39 @@ def drops(parsed: DataFrame, dialect: str) -> DataFrame:
 
 def snapshot_only(parsed: DataFrame) -> DataFrame:
     """Prompts of a compaction snapshot that never appear live in the same file."""
-    items = parsed.filter(v.text(F.col("v"), "$.kind") == "Compaction").select(*KEYS, F.explode(v.array(F.col("v"), "$.data.messages_snapshot")).alias("i"))
-    said = items.filter(v.text(F.col("i"), "$.role") == "user").select(*KEYS, _k2_time(F.col("i")).alias("timestamp"), _joined(_prompt_pieces(F.col("i"))).alias("text"))
+    said = _exploded(parsed.select(*KEYS, F.explode_outer("snapshot").alias("s")), "s").select(*KEYS, "s.*").filter("text is not null").distinct()
     live = parsed.select(*KEYS, F.explode_outer("events").alias("e")).filter("e.kind = 'human'").select(*KEYS, "e.timestamp", "e.text").distinct()
-    gone = said.filter("text is not null").distinct().join(live, [*KEYS, "timestamp", "text"], "left_anti")
-    return gone.select(*KEYS, F.lit("snapshot only").alias("reason"), t.snippet(F.col("text")).alias("snippet"), F.when(F.col("timestamp") != "", F.col("timestamp")).alias("timestamp"))
+    gone = said.join(live, [*KEYS, "timestamp", "text"], "left_anti")
+    stamp = F.when(F.col("timestamp") != "", F.col("timestamp"))
+    return gone.select(*KEYS, F.lit("snapshot only").alias("reason"), t.snippet(F.col("text")).alias("snippet"), stamp.alias("timestamp"))
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(*KEYS).agg(F.count_if("is_bad").alias("bad_lines"))
 
 
-def classify_sessions(parsed: DataFrame, meta: DataFrame, dialect: str, own_mark: str) -> DataFrame:
+def first_prompts(parsed: DataFrame) -> DataFrame:
+    """(keys, prompt) of every session with a line; the prompt is its first one, or null."""
+    return parsed.groupBy(*KEYS).agg(F.min_by("prompt", F.when(F.col("prompt").isNotNull(), F.col("line_key"))).alias("prompt"))
+
+
+def session_reason(prompt: Column, has_history: Column, parent_id: Column, origin: Column, own_mark: str | None = None) -> Column:
+    """Why a session counts as a human's (``history``, ``default``) or doesn't; dialect A has no such rule."""
+    p = F.coalesce(prompt, F.lit(""))
+    own = p.startswith(own_mark) if own_mark else F.lit(False)
+    return (
+        F.when(origin == "a", "default").when(own, "own session").when(F.coalesce(has_history, F.lit(False)), "history")
+        .when((origin == "k2") & parent_id.isNotNull(), "spawned child").when(p.startswith(BRACKETS[0]), "agent prompt")
+        .when(_starts(p, AUTOMATION), "automation").when(_starts(p, NUDGES), "nudge only").otherwise("default")
+    )
+
+
+def classify_sessions(parsed: DataFrame, meta: DataFrame, dialect: str, own_mark: str | None = None) -> DataFrame:
     """Keys, ``include`` and ``reason``: was a human at work in this session?
 
     ``meta`` has ``session_id``, ``has_history`` and ``parent_id``; ``own_mark``
     leads the prompts of sessions that this library's user started by machine.
     """
-    e = F.col("v")
-    if dialect == "k2":
-        blocks = F.transform(F.filter(v.array(e, "$.data.content"), lambda b: v.text(b, "$.kind") == "text"), lambda b: t.trim_all(v.text(b, "$.data")))
-        prompt = F.when(v.text(e, "$.kind") == "Prompt", F.get(F.filter(blocks, lambda s: s != ""), 0))
-    else:
-        prompt = F.when(v.text(e, "$.payload.type") == "user", F.nullif(t.trim_all(v.text(e, "$.payload.content")), F.lit("")))
-    first = parsed.select(*KEYS, "line_key", prompt.alias("p")).groupBy(*KEYS).agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("line_key"))).alias("p"))
-    p = F.coalesce("p", F.lit(""))
-    child = F.col("parent_id").isNotNull() if dialect == "k2" else F.lit(False)
-    reason = (
-        F.when(p.startswith(own_mark), "own session").when(F.col("has_history"), "history").when(child, "spawned child").when(p.startswith(BRACKETS[0]), "agent prompt")
-        .when(_starts(p, AUTOMATION), "automation").when(_starts(p, NUDGES), "nudge only").otherwise("default")
-    )
-    return first.join(meta.select("session_id", "has_history", "parent_id"), "session_id", "left").select(*KEYS, reason.isin("history", "default").alias("include"), reason.alias("reason"))
+    found = first_prompts(parsed).join(meta.select("session_id", "has_history", "parent_id"), "session_id", "left")
+    reason = session_reason(F.col("prompt"), F.col("has_history"), F.col("parent_id"), F.lit(dialect), own_mark)
+    return found.select(*KEYS, reason.isin("history", "default").alias("include"), reason.alias("reason"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
+from turnmill.functions import variant as v
 
 KEYS = ["origin", "project", "session_id", "source_path"]
 LAYOUTS = {
@@ -19,7 +22,7 @@ def read_session_lines(spark: SparkSession, home: str, origin: str) -> DataFrame
     """Lines of every session file of a store: keys, ``line_key`` (orders a file's lines), ``value``.
 
     Large files are split among tasks; (block start, id within the task's run)
-    keeps their order.  Unreadable files are skipped.
+    keeps their order.  Unreadable files are skipped; ``sessions.unreadable`` tells which.
     """
     if origin not in LAYOUTS:
         raise ValueError(f"unknown origin {origin!r}; known: {', '.join(LAYOUTS)}")
@@ -43,45 +46,54 @@ def read_session_lines(spark: SparkSession, home: str, origin: str) -> DataFrame
     )
 
 
-def read_sources(spark: SparkSession, homes: dict[str, str], source: str = "auto") -> DataFrame:
-    """Lines of the chosen store, or with ``auto`` of every store that has files, in one frame."""
+def file_exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def active_origins(spark: SparkSession, homes: dict[str, str], source: str = "auto") -> list[str]:
+    """The chosen store, or with ``auto`` every store that has files, in a fixed order."""
     if source != "auto" and source not in LAYOUTS:
         raise ValueError(f"unknown source {source!r}; known: auto, {', '.join(LAYOUTS)}")
-    out = None
-    for origin in LAYOUTS if source == "auto" else [source]:
-        if origin not in homes:
-            continue
-        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(LAYOUTS[origin].format(home=homes[origin]))
-        found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-        if not found:
-            continue
-        lines = read_session_lines(spark, homes[origin], origin)
-        out = lines if out is None else out.unionByName(lines)
-    if out is None:
+    wanted = LAYOUTS if source == "auto" else [source]
+    return [origin for origin in wanted if origin in homes and file_exists(spark, LAYOUTS[origin].format(home=homes[origin]))]
+
+
+def read_sources(spark: SparkSession, homes: dict[str, str], source: str = "auto") -> DataFrame:
+    """Lines of the chosen store, or with ``auto`` of every store that has files, in one frame."""
+    found = active_origins(spark, homes, source)
+    if not found:
         raise ValueError("no session files found")
-    return out
+    return functools.reduce(DataFrame.unionByName, (read_session_lines(spark, homes[origin], origin) for origin in found))
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
     """Per session, ``k3`` if its first parseable object line has a payload object, else ``k2``."""
-    from turnmill.functions import variant as v
-
-    parsed = lines.select(*KEYS, "line_key", v.parse(F.col("value")).alias("v")).filter(v.is_object(F.col("v")))
+    v.allow_repeated_keys(lines.sparkSession)
+    parsed = lines.select(*KEYS, "line_key", v.parse(v.shorten(F.col("value"))["text"]).alias("v")).filter(v.is_object(F.col("v")))
     first = parsed.groupBy(*KEYS).agg(F.min_by(v.is_object(v.at(F.col("v"), "$.payload")), "line_key").alias("p"))
     return lines.select(*KEYS).distinct().join(first, KEYS, "left").select(*KEYS, F.when(F.col("p"), "k3").otherwise("k2").alias("format"))
 
 
-def read_session_meta(spark: SparkSession, pattern: str) -> DataFrame:
-    """cwd, title and parent of every metadata file; what is missing or malformed is null."""
-    from turnmill.functions import variant as v
+def parse_session_meta(files: DataFrame) -> DataFrame:
+    """(meta_path, cwd, title, parent_id, created_reason) of (meta_path, value) rows; what is missing or malformed is null.
+
+    Both stores' spellings are read.  The tree store's folder is the first of the
+    first list among its workspace and root paths.
+    """
+    v.allow_repeated_keys(files.sparkSession)
+    e = F.col("v")
+    first = v.string(F.get(F.coalesce(v.array(e, "$.workspacePaths"), v.array(e, "$.rootPaths")), 0))
+    either = lambda *names: F.coalesce(*(v.text(e, f"$.{name}") for name in names))
+    return files.select("meta_path", v.parse(F.col("value")).alias("v")).select(
+        "meta_path", F.coalesce(v.text(e, "$.cwd"), first).alias("cwd"), v.text(e, "$.title").alias("title"),
+        either("parent_session_id", "parentSessionId").alias("parent_id"), either("session_created_reason", "createdReason").alias("created_reason"))
+
 
+def read_session_meta(spark: SparkSession, pattern: str) -> DataFrame:
+    """``parse_session_meta`` of every metadata file."""
     raw = spark.read.option("wholetext", "true").option("ignoreCorruptFiles", "true").text(pattern)
-    parsed = raw.select(F.col("_metadata.file_path").alias("meta_path"), v.parse(F.col("value")).alias("v"))
-    first = lambda path: F.get(F.filter(F.transform(v.array(F.col("v"), path), v.string), lambda s: s.isNotNull()), 0)
-    return parsed.select(
-        "meta_path", F.coalesce(v.text(F.col("v"), "$.cwd"), first("$.workspacePaths"), first("$.rootPaths")).alias("cwd"),
-        v.text(F.col("v"), "$.title").alias("title"), F.coalesce(v.text(F.col("v"), "$.parent_session_id"), v.text(F.col("v"), "$.parentSessionId")).alias("parent_id"),
-    )
+    return parse_session_meta(raw.select(F.col("_metadata.file_path").alias("meta_path"), "value"))
 
 
 def prefer_newer_store(old: DataFrame, new: DataFrame) -> DataFrame:
