@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from turnmill.plans.oracles import ORACLES
-from turnmill.plans.queries import QUERIES
+from turnmill.plans import oracles, queries, rule_oracles, rules
+
+QUERIES, ORACLES = queries.QUERIES | rules.QUERIES, oracles.ORACLES | rule_oracles.ORACLES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")

@@ -117,7 +117,7 @@ def parse_document(c: Column) -> Column:
     return F.struct(comment.alias("comment"), trim_all(title).alias("title"), trim_all(F.regexp_replace(rest, r"^# [^\n]*\n?", "")).alias("body"))
 
 
-def middle_cut(content: Column, budget: int, note: tuple[str, str] = ("\n\n[... cut ", " characters here ...]\n\n")) -> Column:
+def middle_cut(content: Column, budget: int | Column, note: tuple[str, str] = ("\n\n[... cut ", " characters here ...]\n\n")) -> Column:
     """struct(text, dropped): at most ``budget`` characters, head and tail kept around a note.
 
     The note states the exact number of dropped characters, whose digits change
@@ -125,10 +125,10 @@ def middle_cut(content: Column, budget: int, note: tuple[str, str] = ("\n\n[...
     gives the note's beginning, with everything dropped.
     """
     before, after = note
-    n, fixed = F.length(content), len(before) + len(after)
+    n, fixed, budget = F.length(content), len(before) + len(after), F.lit(budget)
 
     def kept(dropped: Column) -> Column:
-        return F.lit(budget - fixed) - F.length(dropped.cast("string"))
+        return budget - fixed - F.length(dropped.cast("string"))
 
     keep = kept(n - budget)
     for _ in range(5):
@@ -136,7 +136,7 @@ def middle_cut(content: Column, budget: int, note: tuple[str, str] = ("\n\n[...
     marked = lambda dropped: F.concat(F.lit(before), dropped.cast("string"), F.lit(after))
     head = F.ceil(keep / 2).cast("int")
     cut = F.concat(F.left(content, head), marked(n - keep), F.right(content, keep - head))
-    short, none = F.left(marked(n), F.lit(budget)), keep <= 0
+    short, none = F.left(marked(n), budget), keep <= 0
     return F.struct(
         F.when(n <= budget, content).when(none, short).otherwise(cut).alias("text"),
         F.when(n <= budget, 0).when(none, n).otherwise(n - keep).cast("long").alias("dropped"),

@@ -26,12 +26,42 @@ def aggregate_preferences(preferences: DataFrame) -> DataFrame:
     return grouped.select("key", "text", "count", "last_authored_at", F.transform("_seen", lambda s: F.struct(s.slug.alias("slug"), s.evidence.alias("evidence"))).alias("occurrences")).orderBy(F.desc("count"), F.desc("last_authored_at"), "text")
 
 
+def preference_occurrences(preferences: DataFrame) -> DataFrame:
+    """(key, slug, task_pos, evidence) of each task that states a preference: a flat table, however popular a key is."""
+    keyed = preferences.withColumn("key", t.normalize_key(F.col("text"))).filter("key <> ''")
+    once = F.row_number().over(Window.partitionBy("slug", "key").orderBy("pos"))
+    return keyed.withColumn("_n", once).filter("_n = 1").select("key", "slug", "task_pos", "evidence")
+
+
+def has_occurrences(ranked: DataFrame) -> bool:
+    """Whether each preference names a task that states it."""
+    return ranked.filter(F.coalesce(F.size("occurrences"), F.lit(0)) <= 0).isEmpty()
+
+
 def recurring_count(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count_if(F.col("count") > 1).alias("recurring"))
 
 
-def render_block(ranked: DataFrame, task_count: int, comment: str, heading: str = "## Working preferences") -> DataFrame:
-    """The preferences as one text, under a line for each count when there are several tasks."""
+#: Comments that lead a block in the place where it is to stand; ``{date}`` is the day of the run.
+TARGETS = {
+    "notes": "<!-- preferences of {date} -->", "steering": "<!-- preferences of {date}, for the steering folder -->", "agents": "<!-- preferences of {date}, for the agents file -->",
+}
+
+
+def target_comment(target: str, date: str) -> str:
+    if target not in TARGETS:
+        raise ValueError(f"unknown target {target!r}; known: {', '.join(TARGETS)}")
+    return TARGETS[target].format(date=date)
+
+
+def render_block(ranked: DataFrame, task_count: int, comment: str, heading: str = "## Working preferences", grouped: bool = True) -> DataFrame:
+    """The preferences as one text, under a line for each count when there are several tasks.
+
+    ``grouped`` is False for items that no longer name their tasks (see
+    ``has_occurrences``): they are a flat list, in the order of ranking.
+    """
+    if not grouped:
+        task_count = 1
     line = F.concat(F.lit("- "), F.col("text"))
     by_count = ranked.groupBy("count").agg(F.array_sort(F.collect_list(F.struct("last_authored_at", "text", line.alias("line")))).alias("lines"))
     if task_count > 1:

@@ -19,6 +19,17 @@ def outcome_summary(members: DataFrame, digests: DataFrame) -> DataFrame:
     return counts.select("slug", F.concat_ws(", ", *parts).alias("outcome_summary"))
 
 
+def member_rows(members: DataFrame, digests: DataFrame, manifest: DataFrame, context_rows: DataFrame, default_origin: str = "a") -> DataFrame:
+    """Members with what is known of each: outcome, session, origin, and how many context rows and decisions it has.
+
+    ``context_rows`` are many a member, so they are counted before the join.
+    """
+    known = context_rows.groupBy("export").agg(F.count(F.lit(1)).alias("context_rows"), F.count_if(F.col("decision_kind").isNotNull()).alias("decisions"))
+    out = members.join(digests.select("export", "outcome"), "export", "left").join(manifest.select("export", "session_id", "origin"), "export", "left").join(known, "export", "left")
+    return out.select("slug", "export", "pos", "outcome", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), F.coalesce("origin", F.lit(default_origin)).alias("origin"),
+                      F.coalesce("context_rows", F.lit(0)).alias("context_rows"), F.coalesce("decisions", F.lit(0)).alias("decisions"))
+
+
 def viable_tasks(members: DataFrame, digests: DataFrame) -> DataFrame:
     """Slugs with a member that was completed or partly so."""
     good = digests.filter(F.col("outcome").isin("completed", "partial")).select("export")
@@ -28,8 +39,9 @@ def viable_tasks(members: DataFrame, digests: DataFrame) -> DataFrame:
 def distinct_domains(members: DataFrame, digests: DataFrame) -> DataFrame:
     """(slug, domains): trimmed lower-case domains in first-seen order."""
     named = members.join(digests.select("export", F.lower(t.trim_all(F.col("domain"))).alias("domain")), "export").filter("domain <> ''")
-    grouped = named.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "domain"))).alias("d"))
-    return grouped.select("slug", F.array_distinct(F.transform("d", lambda x: x.domain)).alias("domains"))
+    first = named.groupBy("slug", "domain").agg(F.min("pos").alias("pos"))  # one row a domain, however many members have it
+    grouped = first.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "domain"))).alias("d"))
+    return grouped.select("slug", F.transform("d", lambda x: x.domain).alias("domains"))
 
 
 def task_budget(members: DataFrame, documents: DataFrame, budget: int, policy: str = "never") -> DataFrame:
@@ -50,6 +62,13 @@ def task_budget(members: DataFrame, documents: DataFrame, budget: int, policy: s
     return out.select("slug", "members", "chars", "dropped", F.when(F.col("chars") > 0, (F.col("chars") - F.col("dropped")) / F.col("chars")).otherwise(1.0).alias("coverage"), "status")
 
 
+def truncations(members: DataFrame, documents: DataFrame, budget: int) -> DataFrame:
+    """(slug, export, dropped_chars) of the members that are cut to their share of a task beyond the budget."""
+    sized = members.join(documents.select("export", F.length("content").cast("long").alias("chars")), "export")
+    per = sized.groupBy("slug").agg(F.greatest(F.lit(1), F.expr(f"{budget} div count(1)")).alias("share"), F.sum("chars").alias("total")).filter(F.col("total") > budget)
+    return sized.join(per, "slug").filter(F.col("chars") > F.col("share")).select("slug", "export", (F.col("chars") - F.col("share")).alias("dropped_chars"))
+
+
 def author_work(tasks: DataFrame, members: DataFrame, digests: DataFrame, documents: DataFrame, library: DataFrame, generation: str, budget: int, policy: str = "never", force: bool = False) -> DataFrame:
     """One row a task with its first matching status: skipped, resumed, edited, unreadable, over budget, ready.
 
@@ -66,15 +85,21 @@ def author_work(tasks: DataFrame, members: DataFrame, digests: DataFrame, docume
     return joined.select("slug", status.alias("status"), "chars", "dropped", "coverage")
 
 
-def provenance(work: DataFrame, tasks: DataFrame, members: DataFrame, digests: DataFrame, manifest: DataFrame, responses: DataFrame) -> DataFrame:
-    """Library records of the authored tasks: sessions, preferences, outcomes, domains, coverage, hash."""
+def provenance(work: DataFrame, tasks: DataFrame, members: DataFrame, digests: DataFrame, manifest: DataFrame, responses: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """Library records of the authored tasks: sessions, preferences, outcomes, domains, coverage, cuts, hash.
+
+    ``cuts`` are the rows of ``truncations``; without them no record lists any.
+    """
+    none = F.array().cast("array<struct<export:string,dropped_chars:bigint>>")
+    listed = None if cuts is None else cuts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("export", "dropped_chars"))).alias("truncations"))
     sessions = members.join(manifest.select("export", "session_id"), "export", "left").groupBy("slug").agg(
         F.array_sort(F.collect_list(F.struct("pos", "export", F.coalesce("session_id", F.lit("unknown")).alias("session_id")))).alias("m"))
+    work = work.withColumn("truncations", none) if listed is None else work.join(listed, "slug", "left").withColumn("truncations", F.coalesce("truncations", none))
     return (
         work.filter("status = 'ready'").join(tasks.select("slug", "title"), "slug").join(responses.select("slug", "content", "preferences", "confidence"), "slug").join(sessions, "slug")
         .join(outcome_summary(members, digests), "slug", "left").join(distinct_domains(members, digests), "slug", "left")
         .select("slug", "title", F.transform("m", lambda x: x.export).alias("members"), F.transform("m", lambda x: x.session_id).alias("session_ids"), "preferences", "outcome_summary",
-                F.coalesce("domains", F.array().cast("array<string>")).alias("domains"), F.coalesce("confidence", F.lit("low")).alias("confidence"), "coverage", "dropped", t.content_hash(F.col("content")).alias("content_hash"))
+                F.coalesce("domains", F.array().cast("array<string>")).alias("domains"), F.coalesce("confidence", F.lit("low")).alias("confidence"), "coverage", "dropped", "truncations", t.content_hash(F.col("content")).alias("content_hash"))
     )
 
 
@@ -82,6 +107,12 @@ def resume_work(eligible: DataFrame, done: DataFrame, key: str = "export") -> Da
     return eligible.join(done.select(key).distinct(), key, "left_anti")
 
 
+def resume_note(eligible: DataFrame, done: DataFrame, key: str = "export") -> DataFrame:
+    """One row (done, remaining): eligible units with and without a checkpoint; checkpoints of others don't count."""
+    kept = eligible.select(key).distinct().join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    return kept.agg(F.count_if(F.col("_done")).alias("done"), F.count_if(F.col("_done").isNull()).alias("remaining"))
+
+
 def stale_keys(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Digest keys that the manifest lacks; none if the manifest is empty."""
     has = manifest.limit(1).select(F.lit(True).alias("_has"))
@@ -102,13 +133,14 @@ def apply_ratings(library: DataFrame, ratings: DataFrame) -> DataFrame:
     return library.drop("rating", "rated_at").join(latest, "slug", "left").withColumnsRenamed({"_rating": "rating", "_at": "rated_at"})
 
 
-def funnel(manifest: DataFrame, digests: DataFrame, tasks: DataFrame, misc: DataFrame, library: DataFrame, generation: str) -> DataFrame:
-    """(stage, n) from exported to authored, one row a stage."""
+def funnel(manifest: DataFrame, digests: DataFrame, tasks: DataFrame, misc: DataFrame, library: DataFrame, generation: str, sessions: DataFrame | None = None) -> DataFrame:
+    """(stage, n) from discovered (if the ``sessions`` of the stores are given) to authored, one row a stage."""
     grouped = tasks.select(F.explode("members").alias("export")).distinct()
     authored = library.filter(F.col("generation").eqNullSafe(generation)).join(tasks.select("slug"), "slug", "left_semi")
     stage = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
     digested = digests.join(manifest.select("export"), "export", "left_semi")
-    return stage("exported", manifest).union(stage("digested", digested)).union(stage("clustered", grouped)).union(stage("misc", misc)).union(stage("authored", authored)).union(stage("tasks", tasks))
+    first = stage("exported", manifest) if sessions is None else stage("discovered", sessions).union(stage("exported", manifest))
+    return first.union(stage("digested", digested)).union(stage("clustered", grouped)).union(stage("misc", misc)).union(stage("authored", authored)).union(stage("tasks", tasks))
 
 
 def task_marks(tasks: DataFrame, members: DataFrame, digests: DataFrame, library: DataFrame, generation: str) -> DataFrame:
@@ -158,6 +190,52 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
     return out.withColumn("is_error", v.truthy(F.col("_e"), "$.is_error")).withColumn("payload", payload).withColumn("cost", cost).drop("_e")
 
 
+def response_cost(parsed: DataFrame, run: str) -> DataFrame:
+    """(run, cost) of each run."""
+    return parsed.groupBy(run).agg(F.sum("cost").alias("cost"))
+
+
+def _each(payload: Column, path: str, fields: list[str], lists: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> Column:
+    """Whether ``path`` is a list of objects with these strings, lists of strings and numbers."""
+    def good(x: Column) -> Column:
+        out = v.is_object(x)
+        for f in fields:
+            out = out & v.text(x, f"$.{f}").isNotNull()
+        for f in lists:
+            out = out & F.coalesce(F.forall(v.array(x, f"$.{f}"), lambda i: v.string(i).isNotNull()), F.lit(False))
+        for f in numbers:
+            out = out & v.number(x, f"$.{f}").isNotNull()
+        return out
+
+    return F.coalesce(F.forall(v.array(payload, path), good), F.lit(False))
+
+
+def cluster_problem(payload: Column) -> Column:
+    """Why a grouping of sessions is invalid, or null."""
+    misc = F.coalesce(F.forall(v.array(payload, "$.misc"), lambda i: v.string(i).isNotNull()), F.lit(False))
+    return F.when(~v.is_object(payload), "not an object").when(~_each(payload, "$.tasks", ["slug", "title", "rationale"], ("members",)), "bad tasks").when(~misc, "bad misc")
+
+
+def merge_problem(payload: Column) -> Column:
+    """Why a merge of tasks is invalid, or null."""
+    return F.when(~v.is_object(payload), "not an object").when(~_each(payload, "$.merges", ["slug", "title", "rationale"], ("slugs",)), "bad merges")
+
+
+def author_problem(payload: Column, minimum: int = 120, body: str = "content") -> Column:
+    """Why an authored task is invalid, or null."""
+    return (
+        F.when(~v.is_object(payload), "not an object").when(v.text(payload, "$.slug").isNull(), "missing slug").when(v.text(payload, "$.title").isNull(), "missing title")
+        .when(v.text(payload, f"$.{body}").isNull(), "missing body").when(F.length(v.text(payload, f"$.{body}")) < minimum, "body too short")
+        .when(~F.coalesce(v.text(payload, "$.confidence").isin("high", "medium", "low"), F.lit(False)), "bad confidence")
+        .when(~_each(payload, "$.preferences", ["text", "evidence"]), "bad preferences")
+    )
+
+
+def consolidate_problem(payload: Column) -> Column:
+    """Why a consolidated list of preferences is invalid, or null."""
+    return F.when(~v.is_object(payload), "not an object").when(~_each(payload, "$.preferences", ["text"], numbers=("merged_from",)), "bad preferences")
+
+
 def digest_problem(payload: Column) -> Column:
     """Why a digest payload is invalid, or null."""
     outcome = v.text(payload, "$.outcome")
@@ -168,6 +246,10 @@ def digest_problem(payload: Column) -> Column:
 
 
 def library_view(library: DataFrame) -> DataFrame:
-    """What a listing shows of each record, newest first."""
+    """What a listing shows of each record, newest first; edited flag, rating and words where the library has them."""
+    has = set(library.columns)
+    more = [F.coalesce("is_edited", F.lit(False)).alias("edited")] if "is_edited" in has else []
+    more += ["rating"] if "rating" in has else []
+    more += [t.word_count(t.parse_document(F.col("content"))["body"]).alias("words")] if "content" in has else []
     return library.select("slug", "title", F.array_join("domains", ", ").alias("domains"), F.size("members").alias("members"), "confidence", F.left("authored_at", F.lit(10)).alias("authored"),
-                          F.when(F.col("coverage") < 1, F.concat(F.floor(F.col("coverage") * 100 + 0.5).cast("string"), F.lit("%"))).alias("coverage")).orderBy(F.desc("authored"), "slug")
+                          F.when(F.col("coverage") < 1, F.concat(F.floor(F.col("coverage") * 100 + 0.5).cast("string"), F.lit("%"))).alias("coverage"), *more).orderBy(F.desc("authored"), "slug")

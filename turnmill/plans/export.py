@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,17 @@ def judge_sessions(sessions: DataFrame, prompts: DataFrame, unreadable: DataFram
     return known.select(*sessions.columns, status.alias("status"))
 
 
-def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None) -> dict[str, DataFrame]:
+def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """sessions, documents, manifest, context and outcomes of the exported sessions.
 
     ``sessions`` (keys) are those that were read, with or without a message; by
-    default those with an event.
+    default those with an event.  ``keep`` writes or persists what several tables
+    are made of (messages, sessions, names), so that it is computed once.
     """
     said = dialects.messages(events)
-    kept = corpus.first_owner_dedupe(said)
-    sessions = corpus.substance(corpus.corpus_sessions(said, kept, bad, sessions), min_messages)
-    named = names.allocate_document_names(sessions.filter("bucket = 'eligible'").select(*KEYS), ["session_id", "origin", "source_path"])
+    kept = keep(corpus.first_owner_dedupe(said), "messages")
+    sessions = keep(corpus.substance(corpus.corpus_sessions(said, kept, bad, sessions), min_messages), "sessions")
+    named = keep(names.allocate_document_names(sessions.filter("bucket = 'eligible'").select(*KEYS), ["session_id", "origin", "source_path"]), "names")
     keyed = lambda df: df.join(named, KEYS)
     tail = F.col("final_assistant_tail").alias("final_assistant_tail", metadata={"comment": OUTCOME_NOTE})
     return {
@@ -108,8 +110,8 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     events = write(dialects.timeline(placed), "timeline")
     bad = write(dialects.bad_lines(placed), "bad_lines")
     write(dialects.drops(placed, "a").unionByName(dialects.snapshot_only(placed)), "drops")
-    tables = export_tables(events, bad, min_messages, read)
-    done = {name: write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
+    tables = export_tables(events, bad, min_messages, read, write)
+    done = {name: df if name == "sessions" else write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
     stale = None if existing is None else write(stale_outputs(existing, done["manifest"], project, min_messages, source), "stale_outputs")
     done["statistics"] = write(statistics(done, judged, stale), "statistics")
     return done | {"discovered": judged} | ({} if stale is None else {"stale_outputs": stale})

@@ -13,12 +13,18 @@ ev AS (
     SELECT * FROM own
     UNION ALL SELECT conv_id, conv_id + 1000000, pos, kind, ts, text FROM own WHERE conv_id % 5 = 0
     UNION ALL SELECT conv_id, conv_id + 1000000, max(pos) + 1, 'human', {_STAMP.format('conv_id * 1000 + 999')}, 'one more thing ' || conv_id FROM own WHERE conv_id % 5 = 0 GROUP BY conv_id)),
-said AS (SELECT sid, project, pos, ts, text FROM ev WHERE kind = 'human'),
+said AS (SELECT sid, project, pos, ts, text FROM ev WHERE kind = 'human' AND true),
 early AS (SELECT sid, min(ts) AS earliest FROM said GROUP BY sid),
 kept AS (
   SELECT sid, project, pos, ts, text, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS idx FROM (
     SELECT *, row_number() OVER (PARTITION BY ts, text ORDER BY earliest, sid, pos) AS rn FROM said JOIN early USING (sid)) WHERE rn = 1)"""
 
+#: Sessions of the run that ``export_statistics`` counts, with the first reason that leaves one out.
+_STATUS = """st AS (
+  SELECT sid, origin, CASE WHEN project = 'p6' THEN 'filtered' WHEN origin = 'k2' AND n % 3 <> 0 AND (n % 4 = 1 OR n % 10 = 2) THEN 'automation' WHEN n % 11 = 5 THEN 'unreadable' ELSE 'read' END AS status
+  FROM (SELECT DISTINCT sid, project, CASE WHEN project < 'p3' THEN 'a' ELSE 'k2' END AS origin, CAST(sid AS BIGINT) AS n FROM ev)),
+"""
+
 _CONTEXT = _EVENTS + """,
 looked AS (
   SELECT *, last_value(CASE WHEN kind = 'assistant' THEN pos END IGNORE NULLS) OVER w AS said_at, last_value(CASE WHEN kind IN ('plan', 'question') THEN pos END IGNORE NULLS) OVER w AS asked_at,
@@ -60,6 +66,18 @@ _SUMMARY = """summary AS (
   FROM (SELECT slug, count(*) FILTER (outcome = 'completed') AS c, count(*) FILTER (outcome = 'partial') AS p, count(*) FILTER (outcome = 'abandoned') AS a, count(*) FILTER (coalesce(outcome, 'unclear') = 'unclear') AS u
         FROM m LEFT JOIN g USING (export) GROUP BY slug))"""
 _DOMAINS = "dom AS (SELECT slug, string_agg(domain, ',' ORDER BY f) AS domains FROM (SELECT slug, domain, min(pos) AS f FROM m JOIN g USING (export) GROUP BY slug, domain) GROUP BY slug)"
+
+
+def _allocate(table: str, slug: str, used: str) -> str:
+    """CTE named (rn, made): in the order of rn, a slug that is used is numbered from 2 until it is free; at five words the last one gives way."""
+    stem = f"CASE WHEN len(string_split({slug}, '-')) < 5 THEN {slug} ELSE array_to_string(string_split({slug}, '-')[1:4], '-') END"
+    tries = f"[{slug}] || list_transform(range(2, 500), lambda n: {stem} || '-' || n)"
+    return f"""walk AS (
+          SELECT 0::BIGINT AS rn, {used} AS used, CAST(NULL AS VARCHAR) AS made
+          UNION ALL SELECT rn, used || [made], made FROM (SELECT r.rn, walk.used, list_filter({tries}, lambda x: NOT list_contains(walk.used, x))[1] AS made FROM walk JOIN {table} r ON r.rn = walk.rn + 1)),
+        named AS (SELECT rn, made FROM walk WHERE rn > 0)"""
+
+
 _SLUG_OK = "regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+){1,4}$')"
 _KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
 
@@ -133,7 +151,7 @@ ORACLES: dict[str, str] = {
         SELECT s.slug, upper(s.slug) AS title, members, session_ids, outcome_summary, coalesce(domains, '') AS domains, 'low' AS confidence, sha256('# ' || s.slug) AS content_hash FROM s LEFT JOIN summary USING (slug) LEFT JOIN dom USING (slug)""",
     "orphans": f"""WITH {_MEMBERS}, {_LIBRARY} SELECT slug, CASE WHEN is_edited THEN 'kept because edited' ELSE 'removable' END AS plan FROM lib WHERE slug = 'src1' OR generation <> 'g1'""",
     "funnel": f"""WITH {_MEMBERS}, {_DIGESTS}, {_LIBRARY}
-        SELECT 'exported' AS stage, count(*) AS n FROM m UNION ALL SELECT 'digested', count(*) FROM g JOIN m USING (export) UNION ALL SELECT 'clustered', count(*) FROM m WHERE slug <> 'src1' UNION ALL SELECT 'misc', count(*) FROM m WHERE slug = 'src1'
+        SELECT 'discovered' AS stage, (SELECT count(*) FROM m) + (SELECT count(*) FROM g) AS n UNION ALL SELECT 'exported', count(*) FROM m UNION ALL SELECT 'digested', count(*) FROM g JOIN m USING (export) UNION ALL SELECT 'clustered', count(*) FROM m WHERE slug <> 'src1' UNION ALL SELECT 'misc', count(*) FROM m WHERE slug = 'src1'
         UNION ALL SELECT 'authored', count(*) FROM lib WHERE generation = 'g1' AND slug <> 'src1' UNION ALL SELECT 'tasks', count(DISTINCT slug) FROM m WHERE slug <> 'src1'""",
     "resume_work": f"WITH {_MEMBERS}, {_DIGESTS} SELECT export FROM m ANTI JOIN g USING (export)",
     "stale_keys": f"WITH {_MEMBERS}, {_DIGESTS} SELECT DISTINCT export FROM g ANTI JOIN (SELECT export FROM m WHERE pos % 3 <> 0) USING (export)",
@@ -160,14 +178,23 @@ ORACLES: dict[str, str] = {
               UNION ALL SELECT o.source, o.id, o.cost, o.rn, CASE WHEN used + o.cost > 20000 THEN win + 1 ELSE win END, CASE WHEN used + o.cost > 20000 THEN 500 + o.cost ELSE used + o.cost END FROM w JOIN o ON o.source = w.source AND o.rn = w.rn + 1)
         SELECT source, id, cost, win AS bin FROM w""",
     "apply_merges": f"""WITH RECURSIVE {_MEMBERS}, t AS (SELECT 'task-' || slug AS slug, upper(slug) AS title, {_NUMBER} AS n, CAST(count(*) AS INTEGER) AS members FROM m WHERE slug <> 'src1' GROUP BY m.slug),
-        e AS (SELECT a.n AS pos, a.slug AS s1, 'task-src' || (a.n + 3) AS s2, a.members + coalesce(b.members, 0) AS members, b.slug IS NULL AS missing, row_number() OVER (ORDER BY a.n) AS rn FROM t a LEFT JOIN t b ON b.n = a.n + 3 WHERE a.n % 2 = 0),
+        t2 AS (SELECT n, CASE WHEN slug = 'task-src18' THEN 'task-both-2' ELSE slug END AS slug, title, members FROM t),
+        e AS (SELECT a.n AS pos, 'task-src' || a.n AS s1, 'task-src' || (a.n + 3) AS s2, coalesce(x.members, 0) + coalesce(y.members, 0) AS members, x.slug IS NULL OR y.slug IS NULL AS missing, row_number() OVER (ORDER BY a.n) AS rn
+              FROM t a LEFT JOIN t2 x ON x.slug = a.slug LEFT JOIN t2 y ON y.slug = 'task-src' || (a.n + 3) WHERE a.n % 2 = 0),
         w AS (SELECT 0::BIGINT AS rn, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS note
               UNION ALL SELECT e.rn, CASE WHEN NOT missing AND NOT list_has_any(taken, [s1, s2]) THEN taken || [s1, s2] ELSE taken END, e.pos, CASE WHEN missing THEN 'unknown slug' WHEN list_has_any(taken, [s1, s2]) THEN 'already merged' END FROM w JOIN e ON e.rn = w.rn + 1),
-        j AS (SELECT e.*, w.note FROM e JOIN w USING (rn))
-        SELECT slug, title, members, 'kept' AS kind, CAST(NULL AS VARCHAR) AS note FROM t WHERE slug NOT IN (SELECT unnest([s1, s2]) FROM j WHERE note IS NULL)
-        UNION ALL SELECT 'both-' || pos, 'both', members, 'merged', NULL FROM j WHERE note IS NULL UNION ALL SELECT 'both-' || pos, 'both', 2, 'skipped', note FROM j WHERE note IS NOT NULL""",
-    "single_session_tasks": """WITH x AS (SELECT 'A b--c d e f ' || (doc_id % 40) || '-' || doc_id || '.md' AS export, 'goal ' || (doc_id % 10) AS title FROM labels)
-        SELECT CASE WHEN rn = 1 THEN 'a-b-c-d-e' ELSE 'a-b-c-d-' || rn END AS slug, title, export AS members FROM (SELECT *, row_number() OVER (ORDER BY export) AS rn FROM x)""",
+        j AS (SELECT e.*, w.note FROM e JOIN w USING (rn)),
+        k AS (SELECT * FROM t2 WHERE slug NOT IN (SELECT unnest([s1, s2]) FROM j WHERE note IS NULL)),
+        g AS (SELECT row_number() OVER (ORDER BY pos) AS rn, 'task-both' AS slug, members, pos FROM j WHERE note IS NULL),
+        {_allocate("g", "slug", "(SELECT list(slug) FROM k)")}
+        SELECT slug, title, members, 'own' AS rationale, 'kept' AS kind, CAST(NULL AS VARCHAR) AS note FROM k
+        UNION ALL SELECT made, 'both', members, 'why ' || pos, 'merged', NULL FROM g JOIN named USING (rn) UNION ALL SELECT 'task-both', 'both', 2, 'why ' || pos, 'skipped', note FROM j WHERE note IS NOT NULL""",
+    "single_session_tasks": rf"""WITH RECURSIVE x AS (
+          SELECT doc_id, CASE doc_id % 20 WHEN 3 THEN 'A b c d ' || (doc_id % 9) || ' x' WHEN 7 THEN 'A b' WHEN 8 THEN 'A b 2' ELSE 'A b--c d e f ' END || CASE WHEN doc_id % 20 IN (7, 8) THEN '(' ELSE (doc_id % 40) || '(' || doc_id END || repeat('(', CAST(doc_id // 20 AS BIGINT)) || '.md' AS export,
+            'goal ' || (doc_id % 10) AS title, CASE doc_id % 20 WHEN 3 THEN 'a-b-c-d-' || (doc_id % 9) WHEN 7 THEN 'a-b' WHEN 8 THEN 'a-b-2' ELSE 'a-b-c-d-e' END AS slug FROM labels),
+        g AS (SELECT *, row_number() OVER (ORDER BY export) AS rn FROM x),
+        {_allocate("g", "slug", "CAST([] AS VARCHAR[])")}
+        SELECT made AS slug, title, export AS members FROM g JOIN named USING (rn)""",
     "failure_streaks": """WITH r AS (SELECT user_id, CASE WHEN event_type IN ('error', 'view', 'click') THEN 'failed' END AS message, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         i AS (SELECT *, sum(CASE WHEN n > 1 AND message IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) AS island FROM (SELECT *, lag(message) OVER (PARTITION BY user_id ORDER BY n) AS prev FROM r))
         SELECT user_id, message, CAST(min(n) AS INTEGER) AS first_n, count(*) AS length, max(total) - min(n) - 3 + 1 AS not_attempted FROM i WHERE message IS NOT NULL GROUP BY user_id, island, message HAVING count(*) >= 3 AND max(total) > 3""",
@@ -191,16 +218,23 @@ ORACLES: dict[str, str] = {
         SELECT cut.sid AS export, sha256(cut || '|' || turns || '|' || coalesce(reply, '')) AS prompt_hash, dropped FROM cut JOIN t USING (sid) LEFT JOIN a USING (sid)""",
     "export_manifest": f"""WITH {_EVENTS}, s AS (SELECT sid, project, count(*) AS messages, arg_min(ts, idx) AS first_ts, arg_max(ts, idx) AS last_ts FROM kept GROUP BY sid, project)
         SELECT project || '-' || left(sid, 8) || '.md' AS export, project, sid AS session_id, messages, first_ts, last_ts FROM s""",
-    "export_statistics": f"""WITH {_CONTEXT},
-        a AS (SELECT sid, count(*) AS n FROM said GROUP BY sid), b AS (SELECT sid, count(*) AS n FROM kept GROUP BY sid), x AS (SELECT a.sid, a.n AS all_, coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (sid)),
-        e AS (SELECT sid FROM x WHERE n >= 2)
+    "export_statistics": f"""WITH {_CONTEXT.replace("AND true", "AND sid IN (SELECT sid FROM st WHERE status = 'read')").replace("said AS (", _STATUS + "said AS (", 1)},
+        a AS (SELECT sid, count(*) AS n FROM said GROUP BY sid), b AS (SELECT sid, count(*) AS n FROM kept GROUP BY sid),
+        x AS (SELECT sid, origin, coalesce(a.n, 0) AS all_, coalesce(b.n, 0) AS n FROM st LEFT JOIN a USING (sid) LEFT JOIN b USING (sid) WHERE status = 'read'),
+        e AS (SELECT sid, origin FROM x WHERE n >= 2)
         SELECT 'exported' AS counter, count(*) AS n FROM e UNION ALL SELECT 'messages', CAST(coalesce(sum(n), 0) AS BIGINT) FROM x WHERE n >= 2 UNION ALL SELECT 'duplicates', CAST(coalesce(sum(all_ - n), 0) AS BIGINT) FROM x
-        UNION ALL SELECT 'zero_message', count(*) FROM x WHERE n = 0 UNION ALL SELECT 'below_minimum', count(*) FROM x WHERE n = 1 UNION ALL SELECT 'bad_lines', 0
-        UNION ALL SELECT 'short_turns', count(*) FROM ctx WHERE session_id IN (SELECT sid FROM e) UNION ALL SELECT 'with_decision', count(*) FROM ctx WHERE decision_kind IS NOT NULL AND session_id IN (SELECT sid FROM e) UNION ALL SELECT 'outcome_sessions', count(*) FROM e""",
+        UNION ALL SELECT 'filtered', count(*) FROM st WHERE status = 'filtered' UNION ALL SELECT 'automation', count(*) FROM st WHERE status = 'automation' UNION ALL SELECT 'read_errors', count(*) FROM st WHERE status = 'unreadable'
+        UNION ALL SELECT 'zero_message', count(*) FROM x WHERE n = 0 UNION ALL SELECT 'below_minimum', count(*) FROM x WHERE n = 1 UNION ALL SELECT 'bad_lines', count(*) FROM x WHERE CAST(sid AS BIGINT) % 2 = 1
+        UNION ALL SELECT 'short_turns', count(*) FROM ctx WHERE session_id IN (SELECT sid FROM e) UNION ALL SELECT 'with_decision', count(*) FROM ctx WHERE decision_kind IS NOT NULL AND session_id IN (SELECT sid FROM e)
+        UNION ALL SELECT 'outcome_sessions', count(*) FROM e WHERE sid IN (SELECT sid FROM ev WHERE kind = 'assistant' AND text <> '') UNION ALL SELECT 'stale_outputs', count(*) FROM st
+        UNION ALL SELECT 'exported:' || origin, count(*) FROM e GROUP BY origin""",
     "task_marks": f"""WITH {_MEMBERS}, {_DIGESTS}, {_LIBRARY}, {_SUMMARY}, v AS (SELECT DISTINCT slug FROM m JOIN g USING (export) WHERE outcome IN ('completed', 'partial'))
         SELECT lib.slug, CASE WHEN generation = 'g1' THEN 'authored' WHEN v.slug IS NULL THEN 'skipped: ' || outcome_summary ELSE 'pending' END AS mark FROM lib LEFT JOIN v USING (slug) LEFT JOIN summary USING (slug) WHERE lib.slug <> 'src1'""",
-    "cross_window_slugs": """WITH x AS (SELECT 'task-' || (doc_id % 60) AS slug, doc_id % 7 AS win, doc_id AS pos FROM documents)
-        SELECT CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS slug, win, pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY win, pos) AS n FROM x)""",
+    "cross_window_slugs": f"""WITH RECURSIVE x AS (
+          SELECT CASE doc_id % 9 WHEN 4 THEN 'task-x-' || (doc_id % 5 + 2) WHEN 5 THEN 'a-b-c-d-' || (doc_id % 4) WHEN 6 THEN 'a-b-c-d' WHEN 0 THEN 'task-x' ELSE 'task-' || (doc_id % 60) END AS slug, doc_id % 7 AS win, doc_id AS pos FROM documents),
+        g AS (SELECT *, row_number() OVER (ORDER BY win, pos) AS rn FROM x),
+        {_allocate("g", "slug", "CAST([] AS VARCHAR[])")}
+        SELECT made AS slug, win, pos FROM g JOIN named USING (rn)""",
     "library_read": f"""SELECT 's' || doc_id AS slug, 's' || doc_id AS title, source AS members, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, {_STAMP.format('doc_id')} AS authored_at, 1.0::DOUBLE AS coverage FROM documents WHERE doc_id % 5 > 1""",
     "library_issues": """SELECT 's' || doc_id AS slug, CASE WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'not JSON' ELSE 'fails schema' END AS issue FROM documents WHERE doc_id % 10 = 7 OR doc_id % 5 < 2""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +26,75 @@ def digest_prompts(documents: DataFrame, outcomes: DataFrame, budget: int = BUDG
     return joined.select("export", prompt.alias("prompt"), F.col("_c.dropped").alias("dropped"))
 
 
-def cluster_prompts(digests: DataFrame, group: str) -> DataFrame:
-    """(group, prompt): one JSON line a digest, in name order."""
+#: Our own wordings; each takes the place-holders it names.
+CLUSTER = "Group these {noun} sessions by what they were for. Name each session in a task or in misc.\n\n{sessions}"
+MERGE = "Which of these {count} tasks are the same? Name the slugs to unite.\n\n{tasks}"
+AUTHOR = "Write one request that would have led to this work.\n\nTask {slug}: {title}\n{legend}\n{members}"
+CONSOLIDATE = "Unite preferences that mean the same, and count how many lines each unites.\n\n{preferences}"
+LEGEND = "Lines marked [command] are commands and [decision] are choices; > lines are short turns with what they answered."
+NOUNS = {"a": "dialect A", "k2": "dialect K", "k3": "dialect K"}
+
+
+def corpus_noun(origins: Column, nouns: dict[str, str] | None = None, mixed: str = "coding-agent") -> Column:
+    """The name of the one kind of session in an array of origins, or the neutral one."""
+    table = F.create_map(*(F.lit(x) for pair in (nouns or NOUNS).items() for x in pair))
+    kinds = F.array_distinct(F.transform(origins, lambda o: F.coalesce(F.element_at(table, o), F.lit(mixed))))
+    return F.when(F.size(kinds) == 1, F.get(kinds, 0)).otherwise(mixed)
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template with its place-holders replaced in one pass of each, texts last."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def _in_order(order: str, line: Column, sep: str = "\n") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x.line), sep)
+
+
+def cluster_prompts(digests: DataFrame, group: str, template: str = "{sessions}") -> DataFrame:
+    """(group, prompt): one JSON line a digest, in name order; ``origin``, if there, names the corpus."""
     line = F.to_json(F.struct("export", "goal", "deliverable", "domain", "keywords", "outcome"))
-    return digests.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("export", line.alias("line")))), lambda x: x.line), "\n").alias("prompt"))
+    noun = corpus_noun(F.collect_set(F.coalesce("origin", F.lit("a")))) if "origin" in digests.columns else F.lit("coding-agent")
+    return digests.groupBy(group).agg(noun.alias("_noun"), _in_order("export", line).alias("_lines")).select(group, _filled(template, noun=F.col("_noun"), sessions=F.col("_lines")).alias("prompt"))
+
+
+def merge_prompts(tasks: DataFrame, group: str, template: str = MERGE) -> DataFrame:
+    """(group, prompt): one JSON line a task with its number of members, in slug order."""
+    line = F.to_json(F.struct("slug", "title", "rationale", F.size("members").alias("sessions")))
+    grouped = tasks.groupBy(group).agg(F.count(F.lit(1)).cast("string").alias("_n"), _in_order("slug", line).alias("_lines"))
+    return grouped.select(group, _filled(template, count=F.col("_n"), tasks=F.col("_lines")).alias("prompt"))
+
+
+def author_prompts(tasks: DataFrame, members: DataFrame, documents: DataFrame, context: DataFrame, budget: int = BUDGET, template: str = AUTHOR, legend: str = LEGEND) -> DataFrame:
+    """(slug, prompt): a task's members in order, each document cut to its share of the budget, with its context lines.
+
+    ``members`` has slug, export, pos and origin.  The legend stands in tasks with
+    a member of dialect A; context rows that say nothing are left out.
+    """
+    said = context_lines(context).groupBy("export").agg(_in_order("index", F.col("line")).alias("said"))
+    sizes = members.join(documents.select("export", F.length("content").alias("chars")), "export").groupBy("slug").agg(
+        F.greatest(F.lit(1), F.expr(f"{budget} div count(1)")).cast("int").alias("share"), F.sum("chars").alias("total"))
+    each = members.join(documents.select("export", "content"), "export").join(sizes, "slug").join(said, "export", "left")
+    body = F.when(F.col("total") > budget, t.middle_cut(F.col("content"), F.col("share"))["text"]).otherwise(F.col("content"))
+    block = F.concat_ws("\n", F.concat(F.lit("== "), "export"), body, "said")
+    grouped = each.groupBy("slug").agg(F.max(F.coalesce("origin", F.lit("a")) == "a").alias("_a"), _in_order("pos", block, "\n\n").alias("_members"))
+    named = grouped.join(tasks.select("slug", "title"), "slug")
+    return named.select("slug", _filled(template, slug=F.col("slug"), title=F.col("title"), legend=F.when(F.col("_a"), legend).otherwise(""), members=F.col("_members")).alias("prompt"))
+
+
+def consolidate_prompt(ranked: DataFrame, template: str = CONSOLIDATE) -> DataFrame:
+    """(prompt): one line a preference with its number of tasks, in order of ranking."""
+    line = F.concat(F.lit("- "), F.col("text"), F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("last_authored_at").alias("at"), "text", line.alias("line"))), _ranked)
+    return ranked.agg(_filled(template, preferences=F.array_join(F.transform(order, lambda x: x.line), "\n")).alias("prompt"))
+
+
+def _ranked(a: Column, b: Column) -> Column:
+    """Most tasks first, then the newest, then by text."""
+    return F.when(a.n < b.n, -1).when(a.n > b.n, 1).when(a.at > b.at, -1).when(a.at < b.at, 1).when(a.text < b.text, -1).when(a.text > b.text, 1).otherwise(0)
 
 
 def context_lines(context: DataFrame, chars: int = t.TAIL_CHARS) -> DataFrame:

@@ -103,11 +103,12 @@ def _json_keys(df: DataFrame, value: Column) -> DataFrame:
 
 
 def _lines_a(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as dialect A lines: every 11th is a side chain, every 13th is cut short; blocks by length."""
+    """Conversations as dialect A lines: every 11th is a side chain, every 13th is cut short, every 7th has a key twice; blocks by length."""
     kind = F.when(F.col("kind") == "human", "user").when(F.col("kind") == "boundary", "system").otherwise("assistant")
     blocks = F.struct(kind.alias("type"), "timestamp", F.struct(F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))).alias("content")).alias("message"))
     plain = F.struct(kind.alias("type"), "timestamp", (F.length("text") % 11 == 0).alias("isSidechain"), F.struct(F.col("text").alias("content")).alias("message"))
     line = F.when(F.length("text") % 3 == 0, F.to_json(blocks)).otherwise(F.to_json(plain))
+    line = F.when(F.length("text") % 7 == 0, F.concat(F.lit('{"type":"odd",'), F.substring(line, 2, 2**30))).otherwise(line)
     return _json_keys(_turns(spark, d, forks=False), F.when(F.length("text") % 13 == 0, F.left(line, F.lit(20))).otherwise(line))
 
 
@@ -237,7 +238,7 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 def funnel(spark: SparkSession, d: str) -> DataFrame:
     manifest = _members(spark, d).select("export")
     misc = _members(spark, d).filter("slug = 'src1'").select("export")
-    return tasks.funnel(manifest, _digests(spark, d), _tasks(spark, d), misc, _library(spark, d), "g1")
+    return tasks.funnel(manifest, _digests(spark, d), _tasks(spark, d), misc, _library(spark, d), "g1", sessions=_members(spark, d).select("export").unionByName(_digests(spark, d).select("export")))
 
 
 def resume_work(spark: SparkSession, d: str) -> DataFrame:
@@ -315,15 +316,21 @@ def window_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_merges(spark: SparkSession, d: str) -> DataFrame:
+    """All merges want one slug, and a kept task has the first numbered one."""
     made = _tasks(spark, d).withColumn("slug", F.concat(F.lit("task-"), "slug"))
     n = F.regexp_replace("slug", "[^0-9]", "").cast("int")
     pairs = made.select(n.alias("n"), "slug").filter("n % 2 = 0")
-    merges = pairs.select(F.col("n").alias("pos"), F.array(F.col("slug"), F.concat(F.lit("task-src"), (F.col("n") + 3).cast("string"))).alias("slugs"), F.concat(F.lit("both-"), F.col("n").cast("string")).alias("slug"), F.lit("both").alias("title"))
-    return grouping.apply_merges(made, merges).select("slug", "title", F.size("members").alias("members"), "kind", "note")
+    merges = pairs.select(F.col("n").alias("pos"), F.array(F.col("slug"), F.concat(F.lit("task-src"), (F.col("n") + 3).cast("string"))).alias("slugs"), F.lit("task-both").alias("slug"), F.lit("both").alias("title"), F.concat(F.lit("why "), F.col("n").cast("string")).alias("rationale"))
+    made = made.withColumn("slug", F.when(F.col("slug") == "task-src18", "task-both-2").otherwise(F.col("slug"))).withColumn("rationale", F.lit("own"))
+    return grouping.apply_merges(made, merges).select("slug", "title", F.size("members").alias("members"), "rationale", "kind", "note")
 
 
 def single_session_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return names.single_session_tasks(_digests(spark, d).withColumn("export", F.concat(F.lit("A b--c d e f "), (F.col("doc_id") % 40).cast("string"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")))).select("slug", "title", F.array_join("members", ",").alias("members"))
+    """Names of equal words, and some whose words are what a number would make of the others."""
+    n = F.col("doc_id")
+    words = F.when(n % 20 == 3, F.concat(F.lit("A b c d "), (n % 9).cast("string"), F.lit(" x"))).when(n % 20 == 7, "A b").when(n % 20 == 8, "A b 2").otherwise("A b--c d e f ")
+    name = F.concat(words, F.when(n % 20 == 7, "").when(n % 20 == 8, "").otherwise((n % 40).cast("string")), F.lit("("), F.when((n % 20 == 7) | (n % 20 == 8), "").otherwise(n.cast("string")), F.repeat(F.lit("("), (n / 20).cast("int")), F.lit(".md"))
+    return names.single_session_tasks(_digests(spark, d).withColumn("export", name)).select("slug", "title", F.array_join("members", ",").alias("members"))
 
 
 def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
@@ -392,9 +399,20 @@ def digest_prompts_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_statistics(spark: SparkSession, d: str) -> DataFrame:
-    events = _turns(spark, d)
-    bad = events.select(*KEYS).distinct().withColumn("bad_lines", F.lit(0).cast("long"))
-    return export.statistics(export.export_tables(events, bad, min_messages=2))
+    """All counters of a run over two stores that leaves out a project, machines' sessions and unreadable ones."""
+    n = F.col("session_id").cast("long")
+    events = _turns(spark, d).withColumn("origin", F.when(F.col("project") < "p3", "a").otherwise("k2")).withColumn("project", F.regexp_replace("project", "^p6$", "other"))
+    found = events.select(*KEYS).distinct().select(*KEYS, F.lit(1).alias("bytes"), (n % 3 == 0).alias("has_history"), F.when(n % 4 == 1, "x").alias("parent_id"))
+    prompts_of = found.select("source_path", F.when(n % 10 == 2, "[AGENT SYSTEM PROMPT] do").alias("prompt"))
+    lost = found.filter(n % 11 == 5)
+    judged = export.judge_sessions(found, prompts_of, lost, project="P")
+    keep = lambda df, name: df.persist()
+    judged = keep(judged, "judged")
+    read = judged.filter("status = 'read'").select(*KEYS)
+    bad = read.withColumn("bad_lines", (n % 2).cast("long"))
+    tables = export.export_tables(events.join(read, KEYS, "left_semi"), bad, 2, read, keep)
+    existing = tables["manifest"].select("export").unionByName(found.select(F.concat(F.lit("old-"), "session_id").alias("export")))
+    return export.statistics(tables, judged, export.stale_outputs(existing, tables["manifest"]))
 
 
 def task_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +420,10 @@ def task_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_window_slugs(spark: SparkSession, d: str) -> DataFrame:
-    made = _table(spark, d, "documents").select(F.concat(F.lit("task-"), (F.col("doc_id") % 60).cast("string")).alias("slug"), (F.col("doc_id") % 7).alias("win"), F.col("doc_id").alias("pos"))
+    """Windows name tasks alike, and some tasks as a numbered one of another would be."""
+    n = F.col("doc_id")
+    slug = F.when(n % 9 == 4, F.concat(F.lit("task-x-"), (n % 5 + 2).cast("string"))).when(n % 9 == 5, F.concat(F.lit("a-b-c-d-"), (n % 4).cast("string"))).when(n % 9 == 6, "a-b-c-d").otherwise(F.concat(F.lit("task-"), F.when(n % 9 == 0, "x").otherwise((n % 60).cast("string"))))
+    made = _table(spark, d, "documents").select(slug.alias("slug"), (n % 7).alias("win"), n.alias("pos"))
     return grouping.unique_slugs(made, ["win", "pos"])
 
 

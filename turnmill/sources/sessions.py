@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
@@ -88,9 +88,10 @@ def discover(spark: SparkSession, homes: dict[str, str], source: str = "auto") -
     return name_projects(functools.reduce(DataFrame.unionByName, (df.select(*columns) for df in found.values())))
 
 
-def newest_first(sessions: DataFrame) -> DataFrame:
-    """Sessions by latest change, equal ones by file."""
-    return sessions.orderBy(F.desc_nulls_last("mtime"), "source_path")
+def newest_first(sessions: DataFrame, group: str = "project") -> DataFrame:
+    """Adds ``place`` from 1 in each group: by latest change, equal ones by file."""
+    order = Window.partitionBy(group).orderBy(F.desc_nulls_last("mtime"), "source_path")
+    return sessions.withColumn("place", F.row_number().over(order))
 
 
 def unreadable(sessions: DataFrame, parsed: DataFrame) -> DataFrame:
