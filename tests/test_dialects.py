@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -169,10 +170,18 @@ def test_streaming_ownership_is_retroactive(spark, tmp_path):
         (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(json.dumps(user(x, ts)) for ts, x in turns))
         keys = lambda df: df.select(F.lit("a").alias("origin"), F.lit("p").alias("project"), F.regexp_extract("source_path", r"([^/]+)\.jsonl$", 1).alias("session_id"), "source_path", "line_key", "value")
         ingest.stream_ingest(spark, f"{tmp_path}/in", "a", f"{tmp_path}/owners", f"{tmp_path}/check", keys).awaitTermination()
-        return {(r.timestamp, r.text): r.session_id for r in spark.read.parquet(f"{tmp_path}/owners").collect()}
+        return owned()
+
+    def owned():
+        names = {hashlib.sha256(x.encode()).hexdigest(): x for x in ("hello", "again", "first", "last")}
+        return {(r.timestamp, names[r.text_hash]): r.session_id for r in ingest.owners(spark, f"{tmp_path}/owners").collect()}
 
     assert add("b", ("5", "hello"), ("6", "again")) == {("5", "hello"): "b", ("6", "again"): "b"}
-    assert add("a", ("1", "first"), ("5", "hello")) == {("5", "hello"): "a", ("6", "again"): "b", ("1", "first"): "a"}
+    both = {("5", "hello"): "a", ("6", "again"): "b", ("1", "first"): "a"}
+    assert add("a", ("1", "first"), ("5", "hello")) == both
+    ingest.compact(spark, f"{tmp_path}/owners")
+    assert owned() == both and not (tmp_path / "owners" / "new-0").exists()
+    assert add("c", ("0", "last"), ("6", "again")) == both | {("6", "again"): "c", ("0", "last"): "c"}
 
 
 @pytest.mark.parametrize("dialect", ["a", "k2", "k3"])

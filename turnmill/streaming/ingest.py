@@ -1,4 +1,12 @@
-"""Incremental ingest of session files with retroactive ownership."""
+"""Incremental ingest of session files with retroactive ownership.
+
+A message belongs to the least of its holders, and a minimum may be taken in any
+order: a batch only appends the least holder that it knows of each of its
+messages, and reading takes the least of all.  Thus an older session that
+arrives late takes its messages over, no watermark forgets a key, a batch that
+runs again changes nothing, and a batch costs what it holds, not what the table
+holds.  Now and then the table is compacted.
+"""
 
 from __future__ import annotations
 
@@ -8,36 +16,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from turnmill.operators.corpus import earliest_timestamps
 from turnmill.sources import dialects
 from turnmill.sources.lines import KEYS
 
-BUCKETS = 32
+COMPACT_AFTER = 50  # batches
+_KEY = ["timestamp", "text_hash"]
 _OWNER = ["earliest", "session_id", "origin", "source_path", "pos", "project"]
 
 
-def merge_owners(spark: SparkSession, new: DataFrame, table: str, buckets: int = BUCKETS) -> None:
-    """Fold messages into the owner table at path ``table``, rewriting only the touched buckets.
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [s.getPath().toString() for s in found or []]
 
-    An older session that arrives late takes its messages over, so no watermark
-    may forget a key; the least owner of old and new rows stands.  ``new`` must be
-    a batch that can be read twice.
-    """
-    from turnmill.operators.corpus import earliest_timestamps
-
-    owned = new.join(earliest_timestamps(new), KEYS).withColumn("bucket", F.pmod(F.xxhash64("timestamp", "text"), F.lit(buckets)).cast("int"))
-    fields = ["bucket", "timestamp", "text", *_OWNER]
-    touched = [r.bucket for r in owned.select("bucket").distinct().collect()]  # at most ``buckets``
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        old = spark.read.parquet(table).filter(F.col("bucket").isin(touched)).select(*fields)
-        owned = owned.select(*fields).unionByName(old)
-    least = owned.groupBy("bucket", "timestamp", "text").agg(F.min(F.struct(*_OWNER)).alias("o")).select("bucket", "timestamp", "text", "o.*")
-    staged = f"{table}.staged"
-    least.write.mode("overwrite").parquet(staged)  # read and written places stay apart
-    spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-
-
-def stream_ingest(spark: SparkSession, pattern: str, dialect: str, table: str, checkpoint: str, keys: Callable[[DataFrame], DataFrame], max_files: int = 1000) -> StreamingQuery:
+
+def _version(spark: SparkSession, table: str) -> int:
+    """The latest complete compaction; 0 before the first."""
+    done = [p.rsplit("/", 2)[-2] for p in _paths(spark, f"{table}/base-*/_SUCCESS")]
+    return max((int(name.removeprefix("base-")) for name in done), default=0)
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEY).agg(F.min(F.struct(*_OWNER)).alias("o")).select(*_KEY, "o.*")
+
+
+def append_owners(messages: DataFrame, table: str) -> None:
+    """Add a batch's messages to the owner table at path ``table``: digests of texts and their least holders."""
+    known = messages.join(earliest_timestamps(messages), KEYS).withColumn("text_hash", F.sha2("text", 256))
+    _least(known).write.mode("append").parquet(f"{table}/new-{_version(messages.sparkSession, table)}")
+
+
+def owners(spark: SparkSession, table: str) -> DataFrame:
+    """(timestamp, text_hash, earliest, session_id, origin, source_path, pos, project): the owner of each message so far."""
+    version = _version(spark, table)
+    parts = [p for name in (f"base-{version}", f"new-{version}") for p in _paths(spark, f"{table}/{name}")]
+    if not parts:
+        raise ValueError(f"no owner table at {table}")
+    return _least(spark.read.parquet(*parts))
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Write the owners anew as one table and drop what it was made of; a compaction that fails leaves the old tables in use."""
+    version = _version(spark, table)
+    owners(spark, table).write.mode("overwrite").parquet(f"{table}/base-{version + 1}")
+    for name in (f"base-{version}", f"new-{version}"):
+        for p in _paths(spark, f"{table}/{name}"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stream_ingest(spark: SparkSession, pattern: str, dialect: str, table: str, checkpoint: str, keys: Callable[[DataFrame], DataFrame], max_files: int = 1000, compact_after: int = COMPACT_AFTER) -> StreamingQuery:
     """Read new session files as they appear and keep the owner table current.
 
     ``keys`` adds the key columns and ``line_key`` to (value, source_path) rows.
@@ -46,10 +75,12 @@ def stream_ingest(spark: SparkSession, pattern: str, dialect: str, table: str, c
     raw = spark.readStream.schema("value string").option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(pattern)
     raw = raw.select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"))
 
-    def fold(batch: DataFrame, _: int) -> None:
+    def fold(batch: DataFrame, number: int) -> None:
         lines = keys(batch.withColumn("line_key", F.struct("block", F.monotonically_increasing_id().alias("row"))))
-        batch = dialects.messages(dialects.timeline(dialects.parse_lines(lines, dialect))).persist()
-        merge_owners(spark, batch, table)
-        batch.unpersist()
+        messages = dialects.messages(dialects.timeline(dialects.parse_lines(lines, dialect))).persist()
+        append_owners(messages, table)
+        messages.unpersist()
+        if number % compact_after == compact_after - 1:
+            compact(spark, table)
 
     return raw.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
