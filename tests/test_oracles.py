@@ -31,17 +31,9 @@ def test_query(spark, name):
     assert Counter(map(str, map(tuple, got.collect()))) == Counter(str(tuple(r[i] for i in place)) for r in rows)
 
 
-WHOLE = ["fence_strip", "preferences_ranked", "preference_block", "recurring_preferences", "digest_prompts"]
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_text_queries_have_sql_of_their_own(name):
-    assert ORACLES[f"{name}_whole"] != ORACLES[name]
-
-
 def test_whole_texts_and_lines_come_through(spark):
     docs = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text").collect()
-    got = {r.doc_id: r.body for r in QUERIES["fence_strip_whole"](spark, str(DATA)).collect()}
+    got = {r.doc_id: r.body for r in QUERIES["fence_strip"](spark, str(DATA)).collect()}
     assert got == {r.doc_id: r.text.strip() for r in docs} and max(map(len, got.values())) > 300
-    assert max(len(r.text) for r in QUERIES["preferences_ranked_whole"](spark, str(DATA)).collect()) > 12
-    assert all(r.dropped == 0 for r in QUERIES["digest_prompts_whole"](spark, str(DATA)).collect())
+    assert max(len(r.text) for r in QUERIES["preferences_ranked"](spark, str(DATA)).collect()) > 12
+    assert all(r.dropped == 0 for r in QUERIES["digest_prompts"](spark, str(DATA)).collect())

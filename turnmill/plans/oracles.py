@@ -82,7 +82,7 @@ _SLUG_OK = "regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+){1,4}$')"
 _KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 _PREFERENCES = f"""
-p AS (SELECT source AS slug, CAST(regexp_replace(source, '[^0-9]', '', 'g') AS BIGINT) AS n, doc_id, left(split_part(text, chr(10), 1), 12) AS t FROM documents),
+p AS (SELECT source AS slug, CAST(regexp_replace(source, '[^0-9]', '', 'g') AS BIGINT) AS n, doc_id, split_part(text, chr(10), 1) AS t FROM documents),
 k AS (SELECT *, {_KEY.format('t')} AS key, {_STAMP.format('n')} AS authored FROM p),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug, key ORDER BY doc_id) AS rn FROM k WHERE key <> '') WHERE rn = 1),
 r AS (
@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
         SELECT page_id, dir, path, base, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY dir, page_id) AS n FROM z)""",
     "core_ids": r"""WITH x AS (SELECT page_id, url, regexp_replace(md5(url), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS u FROM pages)
         SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'other_' || u ELSE u END AS core, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe FROM x""",
-    "fence_strip": r"SELECT doc_id, regexp_replace(left(text, 300), '^\s+|\s+$', '', 'g') AS body FROM documents",
+    "fence_strip": r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents",
     "response_parse": f"""WITH {_DIGESTS}
         SELECT doc_id, doc_id % 3 <> 2 AND doc_id % 5 = 0 AS is_error, CASE WHEN doc_id % 3 = 2 THEN NULL WHEN doc_id % 7 = 0 THEN 'nope' ELSE outcome END AS outcome,
           CASE WHEN doc_id % 3 = 2 THEN 'not an object' WHEN doc_id % 7 = 0 THEN 'bad outcome' END AS problem, CASE WHEN doc_id % 3 = 2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS cost FROM g""",
@@ -212,7 +212,7 @@ ORACLES: dict[str, str] = {
         SELECT count(*) AS digests, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END::INTEGER AS cluster, CAST(greatest(1, floor(count(*) / 3 + 0.5)) AS BIGINT) AS author FROM s""",
     "digest_prompts": f"""WITH {_EVENTS},
         doc AS (SELECT sid, '<!-- source: log/' || sid || chr(10) || '     messages: ' || count(*) || ' -->' || chr(10) || string_agg(chr(10) || '### ' || ts || chr(10) || chr(10) || text || chr(10), '' ORDER BY idx) AS content FROM kept GROUP BY sid),
-        {_cut('doc', 'sid', 'content', 1000)},
+        {_cut('doc', 'sid', 'content', 400_000)},
         t AS (SELECT sid, string_agg(text, chr(10) ORDER BY idx) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY idx DESC) AS rn FROM kept) WHERE rn <= 3 GROUP BY sid),
         a AS (SELECT sid, arg_max(right(text, 1600), pos) AS reply FROM ev WHERE kind = 'assistant' GROUP BY sid)
         SELECT cut.sid AS export, sha256(cut || '|' || turns || '|' || coalesce(reply, '')) AS prompt_hash, dropped FROM cut JOIN t USING (sid) LEFT JOIN a USING (sid)""",
@@ -239,9 +239,10 @@ ORACLES: dict[str, str] = {
     "library_issues": """SELECT 's' || doc_id AS slug, CASE WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'not JSON' ELSE 'fails schema' END AS issue FROM documents WHERE doc_id % 10 = 7 OR doc_id % 5 < 2""",
 }
 
-#: The same over whole texts, whole first lines and the operator's default budget.
-ORACLES |= {
-    "fence_strip_whole": ORACLES["fence_strip"].replace("left(text, 300)", "text"),
-    **{f"{name}_whole": ORACLES[name].replace("left(split_part(text, chr(10), 1), 12)", "split_part(text, chr(10), 1)") for name in ("preferences_ranked", "preference_block", "recurring_preferences")},
-    "digest_prompts_whole": ORACLES["digest_prompts"].replace(_cut("doc", "sid", "content", 1000), _cut("doc", "sid", "content", 400_000)),
-}
+#: Names that these queries had beside others over parts of texts; all run over whole texts now.
+ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("fence_strip", "preferences_ranked", "preference_block", "recurring_preferences", "digest_prompts")}
+_HUMAN = f"WITH x AS ({ORACLES['extract_dialect_a']}), h AS (SELECT * FROM x WHERE kind = 'human'),"
+ORACLES["law_breaks"] = f"""{_HUMAN}
+    a AS (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY event_pos) AS INTEGER) AS n, timestamp, text FROM h WHERE length(text) % 17 > 0),
+    b AS (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY event_pos) AS INTEGER) AS n, timestamp, text FROM h)
+    SELECT 'message' AS side, * FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'event', * FROM (FROM b EXCEPT ALL FROM a)"""

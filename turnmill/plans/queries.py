@@ -98,6 +98,13 @@ def law_check(spark: SparkSession, d: str) -> DataFrame:
     return corpus.law_violations(dialects.messages(events), events).select("side", "session_id", "timestamp", "text")
 
 
+def law_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every 17th message is lost, so it and all that follow it in its session no longer pair up."""
+    events = dialects.timeline(dialects.parse_lines(_lines_a(spark, d), "a"))
+    said = dialects.messages(events).filter(F.length("text") % 17 > 0)
+    return corpus.law_violations(said, events).select("side", "session_id", "n", "timestamp", "text")
+
+
 def _json_keys(df: DataFrame, value: Column) -> DataFrame:
     return df.select(*KEYS, F.struct(F.lit(0).alias("block"), F.col("event_pos").alias("row")).alias("line_key"), value.alias("value"))
 
@@ -254,38 +261,37 @@ def apply_ratings(spark: SparkSession, d: str) -> DataFrame:
     return tasks.apply_ratings(_library(spark, d).select("slug", "generation"), ratings.filter("slug <> 'src2'"))
 
 
-def _preferences(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The first line of each document, or its first 12 characters, as a preference of its source."""
+def _preferences(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of each document as a preference of its source."""
     line = F.substring_index(F.col("text"), "\n", 1)
-    line = line if whole else F.left(line, F.lit(12))
     number = F.regexp_replace("source", "[^0-9]", "").cast("long")
     return _table(spark, d, "documents").select(F.col("source").alias("slug"), _stamp(number).alias("authored_at"), number.alias("task_pos"), F.col("doc_id").alias("pos"), line.alias("text"), F.col("doc_id").cast("string").alias("evidence"))
 
 
-def preferences_ranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    ranked = preferences.aggregate_preferences(_preferences(spark, d, whole))
+def preferences_ranked(spark: SparkSession, d: str) -> DataFrame:
+    ranked = preferences.aggregate_preferences(_preferences(spark, d))
     return ranked.select("key", "text", "count", "last_authored_at", F.array_join(F.transform("occurrences", lambda o: F.concat_ws("=", o.slug, o.evidence)), ",").alias("occurrences"))
 
 
 def preferences_ranked_whole(spark: SparkSession, d: str) -> DataFrame:
-    return preferences_ranked(spark, d, whole=True)
+    return preferences_ranked(spark, d)
 
 
-def preference_block(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    ranked = preferences.aggregate_preferences(_preferences(spark, d, whole))
+def preference_block(spark: SparkSession, d: str) -> DataFrame:
+    ranked = preferences.aggregate_preferences(_preferences(spark, d))
     return preferences.render_block(ranked, 20, "<!-- preferences -->")
 
 
 def preference_block_whole(spark: SparkSession, d: str) -> DataFrame:
-    return preference_block(spark, d, whole=True)
+    return preference_block(spark, d)
 
 
-def recurring_preferences(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return preferences.recurring_count(preferences.aggregate_preferences(_preferences(spark, d, whole)))
+def recurring_preferences(spark: SparkSession, d: str) -> DataFrame:
+    return preferences.recurring_count(preferences.aggregate_preferences(_preferences(spark, d)))
 
 
 def recurring_preferences_whole(spark: SparkSession, d: str) -> DataFrame:
-    return recurring_preferences(spark, d, whole=True)
+    return recurring_preferences(spark, d)
 
 
 def normalized_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -357,14 +363,13 @@ def core_ids(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", t.core_uuid(name).alias("core"), t.sanitize_name(F.col("url")).alias("safe"))
 
 
-def fence_strip(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    body = F.col("text") if whole else F.left(F.col("text"), F.lit(300))
-    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```JSON\n"), body, F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("  "), body))
+def fence_strip(spark: SparkSession, d: str) -> DataFrame:
+    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```JSON\n"), "text", F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("  "), "text"))
     return _table(spark, d, "documents").select("doc_id", t.strip_fence(wrapped).alias("body"))
 
 
 def fence_strip_whole(spark: SparkSession, d: str) -> DataFrame:
-    return fence_strip(spark, d, whole=True)
+    return fence_strip(spark, d)
 
 
 def response_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -386,16 +391,15 @@ def plan_counts(spark: SparkSession, d: str) -> DataFrame:
     return prompts.plan_counts(eligible, grouped=True)
 
 
-def digest_prompts(spark: SparkSession, d: str, **budget: int) -> DataFrame:
+def digest_prompts(spark: SparkSession, d: str) -> DataFrame:
     events, _, kept = _corpus(spark, d)
     documents = corpus.render_documents(kept).select(F.col("session_id").alias("export"), "content")
     outcomes = context.outcome_evidence(events, kept).withColumnRenamed("session_id", "export").select("export", "final_human_turns", "final_assistant_tail")
-    return prompts.digest_prompts(documents, outcomes, **budget or {"budget": 1000}, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
+    return prompts.digest_prompts(documents, outcomes, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
 
 
 def digest_prompts_whole(spark: SparkSession, d: str) -> DataFrame:
-    """With the operator's default budget."""
-    return digest_prompts(spark, d, budget=prompts.BUDGET)
+    return digest_prompts(spark, d)
 
 
 def export_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -445,7 +449,7 @@ def library_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    short_turn_context, context_lines, outcome_evidence, fork_dedupe, corpus_sessions, export_documents, export_manifest, project_inventory, origin_rollup, law_check,
+    short_turn_context, context_lines, outcome_evidence, fork_dedupe, corpus_sessions, export_documents, export_manifest, project_inventory, origin_rollup, law_check, law_breaks,
     extract_dialect_a, extract_dialect_k2, extract_dialect_k3, bad_lines, drops_a, classify_sessions, middle_cut, text_functions, oversized_sessions, task_budget,
     outcome_summary, viable_tasks, distinct_domains, author_work, provenance, orphans, funnel, resume_work, stale_keys, apply_ratings, preferences_ranked, preference_block,
     recurring_preferences, normalized_duplicates, cluster_validation, id_canonicalise, window_packing, apply_merges, single_session_tasks, failure_streaks, edited_flag,

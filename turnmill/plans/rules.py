@@ -293,7 +293,7 @@ def preference_occurrences(spark: SparkSession, d: str) -> DataFrame:
     from turnmill.operators import preferences
     from turnmill.plans.queries import _preferences
 
-    return preferences.preference_occurrences(_preferences(spark, d, whole=True)).select("key", "slug", "evidence")
+    return preferences.preference_occurrences(_preferences(spark, d)).select("key", "slug", "evidence")
 
 
 def flat_preferences(spark: SparkSession, d: str) -> DataFrame:
