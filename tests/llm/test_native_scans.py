@@ -43,6 +43,7 @@ SECRETS = [
 PII = [
     "a.b%c@d-e.f%g@h.i x@y", "1.2.3.4.5.6.7.8", "300.1.1.1 255.255.255.255 0001.02.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (743) 555-3824 +12 +123456789012345678", "é+49 30 1234567-",
     "9" * 3000, "a" * 3000 + "@b.co", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "call (743) 555-3824 or 123-45-6789", "me (at) site.com", "@@a@b.c@d.e",
+    "4111111111111111-2 4111 1111 1111 1111 9 4111-1111-1111-1111  5 x4111111111111111x 4111111111111111.", "- 4111111111111111 -4111111111111111- 41111111111111111111 4222222222222", "1 " * 40 + "4111111111111111",
 ]
 
 
