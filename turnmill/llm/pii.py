@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.scratch import materialise
-from turnmill.llm.spans import listed, match_spans, overlaps
+from turnmill.llm.spans import SPAN, listed, match_spans, overlaps
 
 # The base patterns.  Possessive repeats, and starts held to the
 # beginning of a run (or the end of the last match), find the same matches in
@@ -16,19 +17,22 @@ from turnmill.llm.spans import listed, match_spans, overlaps
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # A card's base match is a whole run of digits, so only whole runs of 13 to 19 are matched: a text may hold very many shorter ones.
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
+CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: Texts without these characters have no match, so that most aren't walked by the pattern.
+SIGNS = {EMAIL: ("@",), IP: (".",), PHONE: ("+",)}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: Wider candidates, whose spans only the trained classifier adds.
 WIDER = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": r"(?<![\p{L}\p{N}])(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau|Madame|Monsieur|Contact|From)\x20)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}\p{N}])",
-    "address": r"(?<![\p{L}\p{N}.,-])[0-9]{1,5}\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++){1,2}(?![\p{L}\p{N}])",
+    "phone": r"(?=[(0-9])(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "name": r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau|Madame|Monsieur|Contact|From)\x20)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}\p{N}])",
+    "address": r"(?=[0-9])(?<![\p{L}\p{N}.,-])[0-9]{1,5}\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++){1,2}(?![\p{L}\p{N}])",
 }
+SIGNS[WIDER["email"]] = ("at)", "at]")
 _ORDER = (*KINDS, "ssn", "name", "address")
 
 # Gazetteers and cue words of the labelers.
@@ -66,11 +70,19 @@ def base_spans(text: Column) -> Column:
         "card": (CARD, lambda s: digits(s).between(13, 19) & F.call_function("luhn_check", F.regexp_replace(s.value, "[^0-9]", ""))),
         "phone": (PHONE, lambda s: digits(s).between(9, 15)),
     }
-    return F.concat(*(_kind(F.filter(match_spans(text, p), ok), kind) for kind, (p, ok) in tests.items()))
+    return F.concat(*(_kind(F.filter(_matches(text, p), ok), kind) for kind, (p, ok) in tests.items()))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    signs = SIGNS.get(pattern)
+    if not signs:
+        return match_spans(text, pattern)
+    there = functools.reduce(lambda a, b: a | b, (text.contains(s) for s in signs))
+    return F.when(there, match_spans(text, pattern)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def wider_spans(text: Column) -> Column:
-    return F.concat(*(_kind(match_spans(text, p), kind) for kind, p in WIDER.items()))
+    return F.concat(*(_kind(_matches(text, p), kind) for kind, p in WIDER.items()))
 
 
 def _kind(spans: Column, kind: str) -> Column:
