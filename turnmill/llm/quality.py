@@ -31,7 +31,7 @@ class Facts:
     """
 
     def __init__(self, array: pa.Array, rows: np.ndarray | None = None, known: dict | None = None):
-        self.array, self.rows, self._known = array, rows, dict(known or {})
+        self.array, self.rows, self._known, self._whole = array, rows, dict(known or {}), None
 
     def __len__(self) -> int:
         return len(self.array) if self.rows is None else len(self.rows)
@@ -40,11 +40,15 @@ class Facts:
         if keep.all():
             return self
         rows = np.flatnonzero(keep) if self.rows is None else self.rows[keep]
-        return Facts(self.array, rows, {name: value[keep] for name, value in self._known.items() if isinstance(value, np.ndarray)})
+        part = Facts(self.array, rows, {name: value[keep] for name, value in self._known.items() if isinstance(value, np.ndarray)})
+        part._whole = (self, keep)
+        return part
 
     def again(self) -> Facts:
         """The same rows with the same knowledge, to which later facts of the one aren't known in the other."""
-        return Facts(self.array, self.rows, self._known)
+        same = Facts(self.array, self.rows, self._known)
+        same._whole = self._whole
+        return same
 
     @property
     def texts(self) -> Texts:
@@ -58,7 +62,10 @@ class Facts:
         return Texts(self.array if self.rows is None else self.array.take(pa.array(self.rows)))
 
     def _all_words(self) -> Words:
-        return Words(self.texts, hashes=self.rows is None)  # only the result's own counts compare words
+        if self._whole is None:
+            return Words(self.texts)
+        whole, keep = self._whole  # the words of the rows that are left, moved to where their texts are now
+        return whole.words.only(keep, whole.texts.bounds[:-1][keep] - self.texts.bounds[:-1])
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._known:
@@ -66,9 +73,8 @@ class Facts:
         return self._known[name]
 
     def _sum(self, flags: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(flags) + 1, dtype=np.int64)
-        np.cumsum(flags, out=sums[1:])
-        return np.diff(sums[self.texts.bounds])
+        """Flags of each row: a search for the row bounds among the flagged places."""
+        return np.diff(np.searchsorted(np.flatnonzero(flags), self.texts.bounds))
 
     def _n_words(self) -> np.ndarray:
         return self.words.count
@@ -86,9 +92,15 @@ class Facts:
         return self._sum(_LOWER[self.texts.data])
 
     def _letter_words(self) -> np.ndarray:
-        letters = np.zeros(len(self.texts.data) + 1, dtype=np.int64)
-        np.cumsum(_LETTER[self.texts.data], out=letters[1:])
-        has = letters[self.words.end] > letters[self.words.start]
+        """Words with a letter: few lack one at their first or last byte, so only those are looked through."""
+        data, words = self.texts.data, self.words
+        has = _LETTER[data[words.start]] | _LETTER[data[words.end - 1]] if len(words.start) else np.zeros(0, bool)
+        left = np.flatnonzero(~has)
+        size = words.end[left] - words.start[left]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(words.start[left] - (ends - size), size)
+        if len(left):
+            has[left] = np.logical_or.reduceat(_LETTER[data[at]], ends - size)
         return self._per_row(has)
 
     def _per_row(self, flags: np.ndarray) -> np.ndarray:

@@ -95,6 +95,15 @@ class Words:
         self.count = np.diff(self.first)
         self.hash = _hash_spans(data, self.start, self.end, fold) if hashes else None
 
+    def only(self, keep: np.ndarray, back: np.ndarray) -> Words:
+        """The words of the rows to keep, without hashes, each kept row's moved back by so many bytes."""
+        part, own = Words.__new__(Words), np.repeat(keep, self.count)
+        part.count = self.count[keep]
+        shift = np.repeat(back, part.count)
+        part.start, part.end, part.hash = self.start[own] - shift, self.end[own] - shift, None
+        part.first = np.concatenate([[0], np.cumsum(part.count)])
+        return part
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
