@@ -98,9 +98,40 @@ k AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII string, a bit at a time."""
+    byte = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)), xor(a, b))"
+    return f"xor(4294967295, list_reduce([CAST(ascii(x) AS BIGINT) for x in string_split({text}, '')], lambda a, b: {byte}, CAST(4294967295 AS BIGINT)))"
+
+
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w,
+         coalesce({_crc32("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents),
+s AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, h % 10 = 0 AND len(w) > 0 AS again FROM d),
+t AS (
+  SELECT doc_id, row_id, n, CASE WHEN again THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END] for i in range(n)] ELSE w END AS w FROM s),
+p AS (SELECT row_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM t),
+e AS (SELECT l.row_id, l.i, r.i - l.i AS q FROM p l JOIN p r ON l.row_id = r.row_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+g AS (SELECT row_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row_id, q ORDER BY i) AS k FROM e) GROUP BY row_id, q, k),
+r AS (SELECT row_id, start, length, min(q) AS q FROM g WHERE length >= greatest(6, 4 * q) GROUP BY row_id, start, length),
+gone AS (SELECT row_id, list(DISTINCT i) AS gone FROM (SELECT row_id, unnest(range(start + q, start + length)) AS i FROM r) GROUP BY row_id),
+f AS (
+  SELECT row_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed,
+         min_by({{'s': start, 'n': length, 'q': q}}, (-length, start, q)) AS best FROM r GROUP BY row_id),
+c AS (SELECT row_id, string_agg(x, ' ' ORDER BY i) AS kept FROM p LEFT JOIN gone USING (row_id) WHERE gone IS NULL OR NOT list_contains(gone, i) GROUP BY row_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.n AS BIGINT) AS length,
+       CAST(best.q AS BIGINT) AS period, CAST(1000 * best.n // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN f USING (row_id) LEFT JOIN c USING (row_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_ownership": OP1,
     "op4_winnowed_decontamination": OP4,
     "op10_substring_recompression": OP10,
     "op7_quality_cascade": OP7,
+    "op12_periodic_runs": OP12,
 }
