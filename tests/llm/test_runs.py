@@ -69,7 +69,7 @@ def test_equals_brute_force(spark, edge_texts, rewrite):
     docs = spark.createDataFrame([*rows, rows[3], rows[3], (None, "a a a a a a b", *rows[0][2:])], SCHEMA).repartition(5)
     found = runs.periodic_runs(seeded(docs), rewrite=runs.repeated_tail if rewrite else None, seed_col="seed")
     want = Counter(brute(r[0], r[1], rewrite) for r in docs.collect())
-    assert Counter(map(tuple, found.collect())) == want and sum(n for r, n in want.items() if r[2]) > 150
+    assert Counter(map(tuple, found.collect())) == want and sum(n for r, n in want.items() if r[2]) > 100
 
 
 def test_runs_and_texts_come_out(spark):
