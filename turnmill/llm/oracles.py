@@ -128,10 +128,59 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT)
 FROM t LEFT JOIN f USING (row_id) LEFT JOIN c USING (row_id)
 """
 
+
+
+def _paid(x: str, cost: str, letters: str) -> str:
+    """A (cost, audit) text, cost first in nine digits, with more cost and letters."""
+    return f"lpad(CAST(CAST({x}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {x}[10:] || '{letters}'"
+
+
+def _kept(x: str, initial: str) -> str:
+    """The row kept or reroled after ``x`` as that role."""
+    return f"CASE WHEN bad THEN NULL WHEN ini = '{initial}' THEN {_paid(x, 'cut', 'K')} ELSE {_paid(x, '2 + cut', 'R')} END"
+
+
+#: The parser's states in a recursion over rows: z nothing yet, s after a system turn, u after a user's, a after an assistant's.
+OP13 = rf"""
+WITH RECURSIVE k AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+m AS (SELECT *, {_crc32("key")} % 20 AS kind FROM k),
+r AS (
+  SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) FROM m)),
+n AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^{_SPACE}])[{_SPACE}]*$', 1) AS final FROM r),
+f AS (SELECT *, role[1:1] AS ini, final = '' AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again, final NOT IN ('.', '!', '?') AS open FROM n),
+g AS (SELECT *, blank OR again AS bad, CASE WHEN open THEN 1 ELSE 0 END AS cut, lag(ini) OVER (PARTITION BY cid ORDER BY i) || ini AS pair FROM f),
+c AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (open AND NOT bad) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY cid),
+p AS (
+  SELECT cid, 0 AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, '000000002I' AS u, '000000004II' AS a FROM (SELECT DISTINCT cid FROM k)
+  UNION ALL
+  SELECT cid, i, z, s, u, least(a, {_paid("u", "2", "I")}) FROM (
+    SELECT cid, i, z, s, least(u, {_paid("z", "2", "I")}, {_paid("s", "2", "I")}, {_paid("a", "2", "I")}) AS u, a FROM (
+      SELECT p.cid, g.i, {_paid("z", "3", "D")} AS z,
+             least({_paid("s", "3", "D")}, CASE WHEN ini = 's' AND NOT bad THEN {_paid("z", "cut", "K")} END) AS s,
+             least({_paid("u", "3", "D")}, {_kept("z", "u")}, {_kept("s", "u")}, {_kept("a", "u")}) AS u,
+             least({_paid("a", "3", "D")}, {_kept("u", "a")}) AS a
+      FROM p JOIN g ON g.cid = p.cid AND g.i = p.i + 1))),
+e AS (SELECT cid, least(z, a) AS e FROM p WHERE i = coalesce((SELECT n FROM c WHERE c.cid = p.cid), 0)),
+l AS (SELECT cid, unnest(string_split(e[10:], '')) AS x, unnest(range(1, len(e) - 8)) AS k FROM e WHERE len(e) > 9),
+w AS (SELECT *, sum(CASE WHEN x = 'I' THEN 0 ELSE 1 END) OVER o AS i, sum(CASE WHEN x = 'D' THEN 0 ELSE 1 END) OVER o AS j FROM l WINDOW o AS (PARTITION BY cid ORDER BY k)),
+y AS (SELECT w.*, g.role, CASE WHEN x = 'I' THEN '' ELSE g.text END AS text, max(CASE WHEN j = 1 AND x = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.cid) AS sys FROM w LEFT JOIN g USING (cid, i) WHERE x <> 'D'),
+t AS (SELECT cid, string_agg(CASE WHEN x = 'K' THEN role WHEN (j - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS repaired FROM y GROUP BY cid)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(e[1:9] AS BIGINT) AS cost, e[10:] AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM k) JOIN e USING (cid) LEFT JOIN c USING (cid) LEFT JOIN t USING (cid)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_ownership": OP1,
     "op4_winnowed_decontamination": OP4,
     "op10_substring_recompression": OP10,
     "op7_quality_cascade": OP7,
     "op12_periodic_runs": OP12,
+    "op13_conversation_repair": OP13,
 }

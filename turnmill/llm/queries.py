@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import decontamination, jaccard, language, packing, pii, quality, runs, secrets, sharding, substrings, warc
+from turnmill.llm import decontamination, jaccard, language, packing, pii, quality, runs, secrets, sharding, substrings, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(docs, rewrite=runs.repeated_tail, seed_col="_seed")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(turns.damage(_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -73,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_substring_recompression": op10_substring_recompression,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
