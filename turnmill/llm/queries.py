@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import decontamination, jaccard, language, packing, pii, quality, runs, secrets, sharding, substrings, turns, warc
+from turnmill.llm import decontamination, jaccard, language, neighbours, packing, pii, quality, runs, secrets, sharding, substrings, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_flat_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("_seed", F.crc32(F.col("doc_id").cast("string").cast("binary")))
     return runs.periodic_runs(docs, rewrite=runs.repeated_tail, seed_col="_seed")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_language_id": op9_language_id,
     "op10_substring_recompression": op10_substring_recompression,
+    "op11_flat_graph_neighbours": op11_flat_graph_neighbours,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
