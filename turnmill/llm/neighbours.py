@@ -219,8 +219,7 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # ---- Spark ----
 
-_POINT = "grp long, path string, node long, n long, vec array<double>, primary boolean"
-_MEMBER = f"{_POINT}, ball string"
+_MEMBER = "grp long, path string, node long, n long, vec array<double>, primary boolean, ball string"
 
 
 def _usable(label: Column, vec: Column) -> Column:
@@ -234,17 +233,17 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
-def _fit(key: tuple, table: pa.Table, threshold: float, overlap: int) -> pa.Table:
+def _fit(key: tuple, table: pa.Table, threshold: float, overlap: int, shard_rows: int) -> pa.Table:
     """Centres and balls of one group from its sample."""
     n = table.column("total")[0].as_py()
     x = _vectors(table.column("vec"))
     x = x[np.argsort(table.column("node").to_numpy(), kind="stable")]
     share = n / len(x)
     inside = math.sqrt((1 + threshold) / 2) + _GUARD
-    balls = balls_of(x, inside, max(SHARD_ROWS / 2 / share, 8))
-    k = max(2, min(CENTRES, math.ceil(n * overlap / SHARD_ROWS), len(x) // 4))
+    balls = balls_of(x, inside, max(shard_rows / 2 / share, 8))
+    k = max(2, min(CENTRES, math.ceil(n * overlap / shard_rows), len(x) // 4))
     centres = centres_of(x, min(k, len(x)))
-    blocks = [math.ceil(size * share / SHARD_ROWS) for _, size in balls]
+    blocks = [math.ceil(size * share / shard_rows) for _, size in balls]
     return pa.table({
         "grp": pa.array([key[0].as_py()], pa.int64()), "path": pa.array([key[1].as_py()]),
         "centres": pa.array([centres.ravel().tolist()], pa.list_(pa.float64())), "balls": pa.array([[v for c, _ in balls for v in c.tolist()]], pa.list_(pa.float64())),
@@ -294,11 +293,11 @@ def _block(node: int, blocks: int) -> int:
     return (node * 0x9E3779B97F4A7C15 % 2**64 >> 32) % blocks
 
 
-def _split(members: DataFrame, threshold: float, overlap: int) -> DataFrame:
+def _split(members: DataFrame, threshold: float, overlap: int, shard_rows: int, sample_rows: int) -> DataFrame:
     """Deal the points of groups to overlapping shards until none is too large; a ball's blocks stay."""
     done = []
     for level in range(LEVELS):
-        sizes = members.filter("ball IS NULL").groupBy("grp", "path").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") > 2 * SHARD_ROWS)
+        sizes = members.filter("ball IS NULL").groupBy("grp", "path").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") > 2 * shard_rows)
         sizes = sizes.filter(~F.element_at(F.split("path", "/"), -1).startswith("b"))
         large = materialise(sizes.select(F.col("grp").alias("_grp"), F.col("path").alias("_path"), "total"), "large")
         if large.isEmpty():
@@ -308,11 +307,11 @@ def _split(members: DataFrame, threshold: float, overlap: int) -> DataFrame:
         mine = members.join(large, same).drop("_grp", "_path")
         draw = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
         ways = overlap if level == 0 else 2
-        sample = mine.filter(draw < SAMPLE_ROWS / F.col("total")).select("grp", "path", "node", "vec", "total")
+        sample = mine.filter(draw < sample_rows / F.col("total")).select("grp", "path", "node", "vec", "total")
         fitted = sample.groupBy("grp", "path").applyInArrow(
-            lambda key, table: _fit(key, table, threshold, ways), "grp long, path string, centres array<double>, balls array<double>, blocks array<int>")
+            lambda key, table: _fit(key, table, threshold, ways, shard_rows), "grp long, path string, centres array<double>, balls array<double>, blocks array<int>")
         fitted = materialise(fitted, "fitted")
-        salts = F.ceil(F.col("total") / (16 * SHARD_ROWS)).cast("int")
+        salts = F.ceil(F.col("total") / (16 * shard_rows)).cast("int")
         heads = fitted.join(large, same).select("grp", "path", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "centres", "balls", "blocks")
         points = mine.select("grp", "path", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "node", "n", "vec", "primary")
         both = points.unionByName(heads, allowMissingColumns=True).repartition("grp", "path", "salt").sortWithinPartitions("grp", "path", "salt", "kind")
@@ -371,9 +370,10 @@ def _find(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": table.column("node"), "links": pa.array(counts), "partner": pa.array(nodes[roots_of(len(x), a, b)])})
 
 
-def _links(points: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+def _links(points: DataFrame, threshold: float, overlap: int, shard_rows: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
     """(node, links) of points that link with other points, and edges (a, b) that connect what links connect."""
-    members = materialise(_split(points.withColumns({"path": F.lit(""), "primary": F.lit(True), "ball": F.lit(None).cast("string")}).select("grp", "path", "node", "n", "vec", "primary", "ball"), threshold, overlap), "shards")
+    whole = points.select("grp", F.lit("").alias("path"), "node", "n", "vec", F.lit(True).alias("primary"), F.lit(None).cast("string").alias("ball"))
+    members = materialise(_split(whole, threshold, overlap, shard_rows, sample_rows), "shards")
     known = members.groupBy("node").agg(F.sort_array(F.collect_set("path")).alias("paths"), F.max("ball").alias("in_ball"))
     graph = members.groupBy("grp", "path").applyInArrow(_build, "grp long, path string, node long, near array<long>, medoid boolean")
     graph = materialise(graph, "graph")
@@ -421,6 +421,7 @@ def audit(points: DataFrame, links: DataFrame, threshold: float, rows: int = AUD
 
 def near_vectors(
     rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = RECALL,
+    shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Link rows of one label whose cosine is at least ``threshold`` and name their components.
 
@@ -446,7 +447,7 @@ def near_vectors(
     groups = materialise(copies.select("label", "dim").distinct().withColumn("grp", F.monotonically_increasing_id()), "groups")
     points = materialise(copies.join(groups, ["label", "dim"]).select("grp", "node", "n", "vec"), "points")
     for overlap in OVERLAPS:
-        links, edges = _links(points, threshold, overlap)
+        links, edges = _links(points, threshold, overlap, shard_rows, sample_rows)
         found, there = audit(points, links, threshold)
         if found >= recall * there:
             break

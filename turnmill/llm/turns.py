@@ -282,14 +282,14 @@ def _whole(batches: Iterator[pa.RecordBatch], schema: pa.Schema, with_text: bool
     return _batches((one(*group) for group in _grouped(batches)), schema)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Counts and table of each ``STRETCH`` rows of a conversation in one task."""
+def _stretches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, stretch: int) -> Iterator[pa.RecordBatch]:
+    """Counts and table of each ``stretch`` rows of a conversation in one task."""
     part = TaskContext.get().partitionId()
 
     def found() -> Iterator[tuple]:
         for conv, rows in _grouped(batches):
             for number in range(1 << 62):
-                some = list(islice(rows, STRETCH))
+                some = list(islice(rows, stretch))
                 if not some:
                     break
                 counts, symbols = Counts(), []
@@ -341,7 +341,7 @@ def _digests(batches: Iterator[pa.RecordBatch], schema: pa.Schema, with_text: bo
 
 def repair_conversations(
     rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    copies_col: str | None = None, with_text: bool = False, long_rows: int = LONG_ROWS, long_chars: int = LONG_CHARS,
+    copies_col: str | None = None, with_text: bool = False, long_rows: int = LONG_ROWS, long_chars: int = LONG_CHARS, stretch: int = STRETCH,
 ) -> DataFrame:
     """The cheapest edits that give each conversation the roles ``(s?(ua)+)?``.
 
@@ -362,8 +362,8 @@ def repair_conversations(
     columns are ignored; an empty table gives no rows.  ``copies_col`` tells how
     often a row stands there; conversations that are left without rows have zeros.
 
-    Conversations beyond ``long_rows`` or ``long_chars`` are parsed in stretches
-    by many tasks, copies of a row at once; only their digest is made by one
+    Conversations beyond ``long_rows`` or ``long_chars`` are parsed in stretches of
+    ``stretch`` rows by many tasks, copies of a row at once; only their digest is made by one
     task, as a SHA-256 must be, over rows that stream through it in order.
     """
     conv = rows.schema[conv_col]
@@ -388,11 +388,11 @@ def repair_conversations(
     short = known.join(huge, is_huge, "left_anti") if some else known
     result = short.repartition("conv").sortWithinPartitions(*in_order).mapInArrow(lambda b, s=to_arrow_schema(out): _whole(b, s, with_text), out)
     if some:
-        result = result.union(_long(known.join(huge, is_huge, "left_semi"), in_order, T.StructType([key, *shown]), T.StructType([key, *digest]), with_text))
+        result = result.union(_long(known.join(huge, is_huge, "left_semi"), in_order, T.StructType([key, *shown]), T.StructType([key, *digest]), with_text, stretch))
     return result.withColumnRenamed("conv", conv_col)
 
 
-def _long(known: DataFrame, in_order: list[Column], shown: T.StructType, digest: T.StructType, with_text: bool) -> DataFrame:
+def _long(known: DataFrame, in_order: list[Column], shown: T.StructType, digest: T.StructType, with_text: bool, stretch: int) -> DataFrame:
     """Conversations beyond the bounds: copies counted, stretches parsed where range partitioning puts them, tables combined."""
     key = shown.fields[0]
     merged = known.filter("copies > 0").groupBy("conv", *_ORDER, "blank", "truncated").agg(F.sum("copies").alias("copies"))
@@ -405,7 +405,7 @@ def _long(known: DataFrame, in_order: list[Column], shown: T.StructType, digest:
         key, T.StructField("part", T.IntegerType()), T.StructField("number", T.LongType()), *T._parse_datatype_string(Counts.SCHEMA).fields,
         *(T.StructField(c, T.ArrayType(kind)) for c, kind in (("entry", T.IntegerType()), ("to", T.IntegerType()), ("cost", T.LongType()), ("audit", T.StringType()))),
     ])
-    stretches = placed.repartitionByRange(*in_order).sortWithinPartitions(*in_order).mapInArrow(lambda b, s=to_arrow_schema(parts): _stretches(b, s), parts)
+    stretches = placed.repartitionByRange(*in_order).sortWithinPartitions(*in_order).mapInArrow(lambda b, s=to_arrow_schema(parts): _stretches(b, s, stretch), parts)
     stretches = materialise(stretches, "stretches")
     found = stretches.repartition("conv").sortWithinPartitions("conv", "part", "number").mapInArrow(lambda b, s=to_arrow_schema(shown): _combined(b, s), shown)
     found = materialise(found, "repairs")
