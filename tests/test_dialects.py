@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,66 @@ def test_very_long_lines_and_repeated_keys_are_messages(spark, monkeypatch, dial
 def test_a_line_of_forty_megabytes(spark):
     events, _, bad = run(spark, [user([{"type": "text", "text": "look at this"}, {"type": "image", "source": {"data": "QUJD" * 10_000_000}}]), user("x" * 22_000_000)], "a")
     assert bad == 0 and events[0][2] == "look at this\n\n[image pasted]" and len(events[1][2]) == 22_000_000
+
+
+def _marked(dialect, filler, at, ascii_only=False, slashes=False):
+    """A line whose one long text has the dialect's markers at the head, in the middle or at the end, with look-alikes before them."""
+    gap = (filler, "") if at == "end" else ("", filler) if at == "head" else (filler, filler)
+    steer = "[LIVE STEERING - New message from user]"
+    if dialect == "a":
+        rows = [
+            user([{"type": "tool_result", "content": f"{gap[0]} \the user said: no, \\the user said: do\tit {gap[1]} the user said: twice"}]),
+            user([{"type": "tool_result", "content": [{"type": "text", "text": filler}, {"type": "text", "text": gap[0] + "the user said:" + gap[1] + "end"}]}]),
+            user(f"{gap[0]}<command-name>a<b</command-name> <command-args>{gap[1]}<command-name>/go</command-name><command-args> x {gap[0]} y</command-args>"),
+            user(f"<system>{filler}</system>"),
+        ]
+    elif dialect == "k2":
+        text = lambda s: {"kind": "text", "data": s}
+        rows = [
+            {"kind": "Prompt", "data": {"content": [text(f"{steer}{gap[0]}<user_messages><user_message a='{gap[1]}'> go {gap[0]} on </user_message> {filler}</user_message>")]}},
+            {"kind": "Prompt", "data": {"content": [text(f"{steer}{gap[0]}</user_message><user_message>{gap[1]}"), text(filler + " plain")]}},
+            {"kind": "ToolResults", "data": {"content": [text(f"{steer}{gap[0]}<user_message <command-name>{gap[1]} stop </user_message>")]}},
+            {"kind": "Compaction", "data": {"messages_snapshot": [{"role": "user", "content": [text(f"{steer}{gap[0]}<user_message> once {gap[1]}</user_message>")]}]}},
+        ]
+    else:
+        rows = [{"timestamp": "t1", "payload": {"type": "user", "content": f"{gap[0]} the user said: <command-name>x</command-name>{gap[1]} end"}}]
+    lines = [r if isinstance(r, str) else json.dumps(r, ensure_ascii=ascii_only) for r in rows]
+    lines = [line.replace("<", "\\u003c").replace("the user", "\\u0074he \\u0075ser") if ascii_only else line for line in lines]
+    return [line.replace("/", "\\/") if slashes else line for line in lines]
+
+
+@pytest.mark.parametrize("dialect", ["a", "k2", "k3"])
+def test_markers_are_found_wherever_they_stand(spark, monkeypatch, dialect):
+    """Texts that are cut between their markers, in four ways to write JSON, give what they give whole."""
+    from turnmill.functions import variant
+
+    filler = 'word "q" \\ é \n< ' * 100
+    rows = [line for form in ((False, False), (True, False), (False, True), (True, True)) for at in ("head", "middle", "end") for line in _marked(dialect, filler, at, *form)]
+    plain = run(spark, rows, dialect)
+    each = len(plain[0]) // 4
+    assert each and all(plain[0][i * each : (i + 1) * each] == plain[0][:each] for i in range(4))
+    monkeypatch.setattr(variant, "LONG_LINE", 0)
+    monkeypatch.setattr(variant, "LONG_PIECE", 600)
+    monkeypatch.setattr(variant, "EDGE", 250)
+    assert run(spark, rows, dialect) == plain
+
+
+@pytest.mark.parametrize("dialect", ["a", "k2", "k3"])
+def test_markers_in_strings_beyond_the_parser(spark, dialect):
+    """A marker at the head, in the middle or at the end of a string of 21 million characters gives the same message as in a short one."""
+    steer = "[LIVE STEERING - New message from user]"
+
+    def lines_of(n):
+        out = []
+        for before, after in ((0, n), (n // 2, n // 2), (n, 0)):
+            if dialect == "a":
+                out.append(user([{"type": "tool_result", "content": "wide " * before + "the user said: go " + "wide " * after}]))
+            elif dialect == "k2":
+                out.append({"kind": "Prompt", "data": {"content": [{"kind": "text", "data": steer + "wide " * before + "<user_message> go </user_message>" + "wide " * after}]}})
+            else:
+                out.append({"payload": {"type": "user", "content": "wide " * before + "go " + "wide " * after}})
+        return out
+
+    squeezed = lambda events: [(k, t, re.sub(r"(wide ?)+", "wide ", text).strip()) for k, t, text in events]
+    short, long = run(spark, lines_of(100), dialect), run(spark, lines_of(4_200_000), dialect)
+    assert long[2] == 0 and len(short[0]) == 3 and squeezed(short[0]) == squeezed(long[0])

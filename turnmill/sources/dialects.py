@@ -31,11 +31,6 @@ MARK_CHARS = 1000  # of a prompt are kept to classify its session; marks are sho
 AUTOMATION = ["You are a session naming agent", "You are a memory consolidation agent", "You are generating contextual prompt suggestions"]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -77,7 +72,7 @@ def recover_command(raw: Column) -> Column:
         slashed = F.when(c["name"].startswith("/"), c["name"]).otherwise(F.concat(F.lit("/"), c["name"]))
         return F.when(c["name"] != "", F.concat(F.lit("[command] "), slashed, F.when(c["args"] == "", "").otherwise(F.concat(F.lit(" "), c["args"]))))
 
-    return _let(F.struct(found("name").alias("name"), found("args").alias("args")), shown)
+    return v.once(F.struct(found("name").alias("name"), found("args").alias("args")), shown)
 
 
 def clean_piece_a(raw: Column) -> Column:
@@ -85,7 +80,7 @@ def clean_piece_a(raw: Column) -> Column:
         reason = F.when(b.command.isNotNull(), None).when(b.text == "", "empty").when(b.text.startswith("<"), "machine block").when(b.text.isin(INTERRUPTIONS), "interruption")
         return _piece(F.coalesce(b.command, b.text), reason, b.raw)
 
-    return _let(_let(raw, lambda r: F.struct(r.alias("raw"), t.trim_all(r).alias("text"), recover_command(r).alias("command"))), judged)
+    return v.once(v.once(raw, lambda r: F.struct(r.alias("raw"), t.trim_all(r).alias("text"), recover_command(r).alias("command"))), judged)
 
 
 def _texts(blocks: Column) -> Column:
@@ -101,9 +96,9 @@ def _block_pieces_a(block: Column) -> Column:
         return F.when(b.kind.isin("image", "document"), F.array(_piece(F.lit(IMAGE), F.lit(None), F.lit("")))).when(b.said.isNotNull(), F.array(clean_piece_a(b.said))).otherwise(_none(PIECE))
 
     def said(kind: Column) -> Column:
-        return F.struct(kind.alias("kind"), F.when(kind == "text", F.coalesce(v.text(block, "$.text"), F.lit(""))).when(kind == "tool_result", _let(result, after)).alias("said"))
+        return F.struct(kind.alias("kind"), F.when(kind == "text", F.coalesce(v.text(block, "$.text"), F.lit(""))).when(kind == "tool_result", v.once(result, after)).alias("said"))
 
-    return _let(_let(v.text(block, "$.type"), said), pieces)
+    return v.once(v.once(v.text(block, "$.type"), said), pieces)
 
 
 def _decisions(entry: Column) -> Column:
@@ -141,7 +136,7 @@ def _assistant_a(entry: Column, ts: Column) -> Column:
 
     def flushed(acc: Column) -> Column:
         added = lambda said: F.when(said == "", acc["events"]).otherwise(F.concat(acc["events"], F.array(_event("assistant", ts, said))))
-        return _let(t.trim_all(F.array_join(acc["buffer"], "\n")), added)
+        return v.once(t.trim_all(F.array_join(acc["buffer"], "\n")), added)
 
     start = F.struct(F.array().cast("array<string>").alias("buffer"), _none(EVENT).alias("events"))
 
@@ -201,8 +196,8 @@ def recover_steering(text: Column) -> Column:
 def _prompt_pieces(data: Column) -> Column:
     def piece(b: Column) -> Column:
         raw = F.coalesce(v.text(b, "$.data"), F.lit(""))
-        seen = _let(t.trim_all(raw), lambda x: F.struct(F.coalesce(v.text(b, "$.kind"), F.lit("undefined")).alias("kind"), raw.alias("raw"), x.alias("text"), recover_steering(x).alias("steered")))
-        return _let(seen, lambda x: judged(b, x["kind"], x["raw"], x["text"], x["steered"]))
+        seen = v.once(t.trim_all(raw), lambda x: F.struct(F.coalesce(v.text(b, "$.kind"), F.lit("undefined")).alias("kind"), raw.alias("raw"), x.alias("text"), recover_steering(x).alias("steered")))
+        return v.once(seen, lambda x: judged(b, x["kind"], x["raw"], x["text"], x["steered"]))
 
     def judged(b: Column, kind: Column, raw: Column, text: Column, steered: Column) -> Column:
         reason = (
@@ -225,7 +220,7 @@ def dialect_k2(lines: DataFrame) -> DataFrame:
     lines = lines.withColumns({"_kind": v.text(e, "$.kind"), "_ts": _k2_time(data), "_pieces": _prompt_pieces(data)}).withColumn("_said", _joined(F.col("_pieces")))
     blocks = F.filter(v.array(data, "$.content"), lambda b: v.is_object(b) & (v.text(b, "$.kind") == "text") & v.text(b, "$.data").isNotNull())
     spoken = t.trim_all(F.array_join(F.transform(blocks, lambda b: v.text(b, "$.data")), "\n"))
-    steered = F.filter(F.transform(blocks, lambda b: _let(t.trim_all(v.text(b, "$.data")), recover_steering)), lambda s: s.isNotNull())
+    steered = F.filter(F.transform(blocks, lambda b: v.once(t.trim_all(v.text(b, "$.data")), recover_steering)), lambda s: s.isNotNull())
     lines = lines.withColumn("_spoken", F.when(kind == "AssistantMessage", F.coalesce(spoken, F.lit(""))))
     events = (
         F.when((kind == "Prompt") & said.isNotNull(), F.array(_event("human", ts, said)))
