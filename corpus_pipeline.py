@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import decontamination, jaccard, language, packing, secrets
-from turnmill.llm.scratch import free_all, materialise, written
+from turnmill.llm.scratch import free_all, materialise, noting_paths
 
 BATCH_ROWS = 2_000  # of Arrow batches that carry whole texts; Spark's default of 10,000 takes a worker five times the memory
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -81,11 +81,13 @@ ORACLE_SQL = None  # a trained classifier and a tokenizer decide
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; a stage's own tables and its input are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    batch, before = spark.conf.get(_BATCH), written(spark)
+    batch, stale = spark.conf.get(_BATCH), []
     try:
         for name, stage in STAGES[:-1]:
-            docs = materialise(stage(spark, docs, sf_dir), name)
-            free_all(spark, written(spark) - before - {docs._scratch_path})
+            with noting_paths() as made:  # by this stage alone, whatever else runs in the session
+                docs = materialise(stage(spark, docs, sf_dir), name)
+            free_all(spark, [p for p in (*stale, *made) if p != docs._scratch_path])
+            stale = [docs._scratch_path]
         return STAGES[-1][1](spark, docs, sf_dir)
     finally:
         spark.conf.set(_BATCH, batch)

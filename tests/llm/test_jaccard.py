@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter
 
@@ -188,3 +189,28 @@ def test_first_rows_are_rows_not_ids(spark):
     assert {k: n for k, n in kept.items() if k[1] and k[1][:9] == c[:9]} in ({(None, c): 1}, {(None, c + " more"): 1})
     assert {k: n for k, n in kept.items() if not (k[1] and k[1][:9] == c[:9])} == {(7, a): 1, (9, b): 1, (12, None): 1, (None, None): 1, (13, ""): 1, (2**63 - 1, d): 1}
     assert jaccard.first_rows(docs.limit(0)).count() == 0
+
+
+def test_connected_sets_without_counts():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 40):
+        base = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(4)]
+        sets = [np.unique(np.r_[np.delete(b, rng.integers(0, len(b), rng.integers(0, 4))), rng.integers(0, 60, 2)]).astype(np.uint64) for b in (base[rng.integers(4)] for _ in range(n))]
+        names, side, copies, centers = np.arange(n) + 5, np.zeros(n, dtype=int), np.ones(n, dtype=np.int64), [[1]] * n
+        stars = [sorted(jaccard.group_links(names, sets, side, False, copies, centers, 1, counts)[0]) for counts in (True, False)]
+        assert stars[0] == stars[1]
+
+
+def test_near_copies_without_counts_take_linear_time():
+    rng = np.random.default_rng(8)
+    base, spent = rng.integers(0, 1 << 62, 60).astype(np.uint64), []
+    for n in (5_000, 20_000):
+        sets = []
+        for _ in range(n):
+            own = base.copy()
+            own[rng.integers(0, 60, 3)] = rng.integers(0, 1 << 62, 3)
+            sets.append(np.unique(own))
+        began = time.perf_counter()
+        assert set(jaccard.connected_sets(sets).tolist()) == {0}
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 10 * spent[0] + 1

@@ -89,3 +89,44 @@ def test_near_duplicates_of_equal_and_null_ids_do_not_leak(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert len(got) == 3 and {(7, a), (9, b)} < set(got)
+
+
+def test_paths_are_noted_by_the_thread_that_takes_them(spark):
+    import threading
+
+    from turnmill.llm import scratch
+
+    with scratch.noting_paths() as mine:
+        other = threading.Thread(target=lambda: scratch.new_path(spark, "theirs"))
+        other.start()
+        other.join()
+        with scratch.noting_paths() as inner:
+            path = scratch.new_path(spark, "own")
+    scratch.new_path(spark, "later")
+    assert mine == inner == [path]
+
+
+def test_a_run_leaves_other_tables_alone(spark, tmp_path):
+    from turnmill.llm.scratch import materialise
+
+    rng = random.Random(9)
+    spark.createDataFrame([(i, sentence(rng, 30), "en", "s", 3) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sentence(rng, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tables = []
+    own = corpus_pipeline.STAGES[0]
+
+    def with_another(spark, docs, sf_dir):
+        """While a stage runs, another thread writes a table of its own."""
+        import threading
+
+        thread = threading.Thread(target=lambda: tables.append(materialise(spark.range(5), "another")))
+        thread.start()
+        thread.join()
+        return own[1](spark, docs, sf_dir)
+
+    corpus_pipeline.STAGES[0] = (own[0], with_another)
+    try:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 6
+    finally:
+        corpus_pipeline.STAGES[0] = own
+    assert tables[0].count() == 5

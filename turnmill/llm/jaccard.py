@@ -171,10 +171,47 @@ def common_counts(sets: list[np.ndarray], asked: np.ndarray, held: np.ndarray) -
         yield i, np.bincount(holder[place], minlength=len(sets))
 
 
-def group_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, copies: np.ndarray, centers: list[list[int]], center: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def connected_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """The least index of each set's component of links, found by visiting only sets that no visited one has reached.
+
+    A visit counts what a set has in common with the sets that are left, so a group
+    of near copies takes one visit, and the lists shrink as sets are reached.
+    """
+    size, part = np.array([len(s) for s in sets]), np.arange(len(sets))
+    left = np.ones(len(sets), dtype=bool)
+
+    def listed() -> tuple[np.ndarray, ...]:
+        held = np.flatnonzero(left)
+        known, code = np.unique(np.concatenate([sets[j] for j in held]), return_inverse=True)
+        holder = np.repeat(held, size[held])[np.argsort(code, kind="stable")]
+        end = np.cumsum(np.bincount(code, minlength=len(known)))
+        return known, holder, np.r_[0, end[:-1]], end
+
+    indexed, (known, holder, start, end) = len(sets), listed()
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], todo = False, [seed]
+        while todo and (rest := int(left.sum())):
+            if 2 * rest < indexed:
+                indexed, (known, holder, start, end) = rest, listed()
+            i = todo.pop()
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            at = at[known[at] == sets[i]]
+            n = end[at] - start[at]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)
+            common = np.bincount(holder[place], minlength=len(sets))
+            reached = np.flatnonzero(left & (common > 0) & (100 * common >= PERCENT * (size[i] + size - common)))
+            left[reached], part[reached] = False, seed
+            todo += reached.tolist()
+    return part
+
+
+def group_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, copies: np.ndarray, centers: list[list[int]], center: int, counts: bool = True) -> tuple[list[tuple[int, int]], np.ndarray]:
     """What links connect in a group, as a star from each part's least name, and the linked copies of each set.
 
-    Every pair is verified on the sets.  Two sets may meet in several groups;
+    Without ``counts`` only what connects the sets is verified (see ``connected_sets``), else every pair.  Two sets may meet in several groups;
     their link is counted in the one with the least of the ``centers`` that both have.
     """
     size = np.array([len(s) for s in sets])
@@ -187,7 +224,9 @@ def group_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cro
     asked = held = np.arange(len(sets))
     if cross:
         asked, held = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
-    for i, common in common_counts(sets, asked, held) if len(held) else ():
+    if not counts:
+        part = connected_sets(sets)
+    for i, common in common_counts(sets, asked, held) if counts and len(held) else ():
         link = (common > 0) & (100 * common >= PERCENT * (size[i] + size - common))
         to = np.flatnonzero(link)
         met = part[to]
@@ -253,7 +292,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["center", "one", "other", "block", "node", "doc"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], counts: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (center, one, other): verified links that connect the members of each block pair (n is 0), and a member's number of links (a is b)."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, dict]]:
@@ -275,7 +314,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(members) > 1:
             sets, block, copies, centers = zip(*members.values(), strict=True)
             names = np.array(list(members))
-            edges, found = group_links(names, list(sets), np.array(block), key[1] != key[2], np.array(copies), list(centers), key[0])
+            edges, found = group_links(names, list(sets), np.array(block), key[1] != key[2], np.array(copies), list(centers), key[0], counts)
             rows = [*((a, b, 0) for a, b in edges), *((k, k, n) for k, n in zip(names.tolist(), found.tolist(), strict=True) if n)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "b", "n"])
@@ -366,7 +405,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, with_links: bool, keep
     met = alive.groupBy("node").agg(F.collect_set("center").alias("centers")).join(sketched.select("node", "copies"), "node")
     known_of = alive.join(met, "node")
     placed = rows.select("doc", "text").join(known_of.hint("merge"), "doc").select(*keys, "block", "node", "copies", "centers", "text").repartition(*keys).sortWithinPartitions(*keys)
-    links = materialise(placed.mapInArrow(_compare, "a long, b long, n long"), "links")
+    links = materialise(placed.mapInArrow(lambda batches: _compare(batches, with_links), "a long, b long, n long"), "links")
     roots = connected_components(links.select("a", "b"))
 
     least = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))

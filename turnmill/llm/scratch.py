@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ _SETTING = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, str] = {}
 _lock = threading.Lock()
+_notes = threading.local()
 _writing: dict[int, list] = {}  # by session: how many writes are under way, and the setting before the first
 
 
@@ -40,7 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for noted in getattr(_notes, "lists", ()):
+        noted.append(path)
+    return path
+
+
+@contextmanager
+def noting_paths() -> Iterator[list[str]]:
+    """The paths that this thread takes inside the block, and no other's."""
+    _notes.lists = [*getattr(_notes, "lists", ()), []]
+    try:
+        yield _notes.lists[-1]
+    finally:
+        _notes.lists = _notes.lists[:-1]
 
 
 @contextmanager
@@ -81,14 +95,7 @@ def free(table: DataFrame) -> None:
     _remove(table.sparkSession, table._scratch_path)
 
 
-def written(spark: SparkSession) -> set[str]:
-    """Paths of the intermediate tables that stand now."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {f"{shared_dir(spark)}/{s.getPath().getName()}" for s in store.listStatus(root)} if store.exists(root) else set()
-
-
-def free_all(spark: SparkSession, paths: set[str]) -> None:
+def free_all(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         _remove(spark, path)
 
