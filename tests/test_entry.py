@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -25,8 +26,7 @@ def _copy(to, *more):
 
 
 def _python(folder, *args):
-    env = {"PATH": "/usr/bin:/bin:/usr/local/bin"}
-    return subprocess.run([sys.executable, "-B", *args], cwd=folder, capture_output=True, text=True, timeout=120, env=env)
+    return subprocess.run([sys.executable, "-B", *args], cwd=folder, capture_output=True, text=True, timeout=120, env=dict(os.environ))
 
 
 def test_imports_without_the_corpus_operators(tmp_path):

@@ -67,6 +67,40 @@ def test_window_packing(spark):
     assert {r.id: r.window for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("hot_rows", [0, 60])
+def test_window_packing_of_large_groups(spark, hot_rows):
+    """A group of most rows, spread over tasks, gets the windows that one task would give it."""
+    rng = random.Random(2)
+    rows = [("big" if i % 4 else f"g{i % 3}", f"{i:05d}", rng.choice([0, 1, 3, 30, 60, 200]), i) for i in range(400)] + [(None, f"n{i}", 40, i) for i in range(9)]
+    want, used = {}, {}
+    for g, i, c, _ in sorted(rows, key=lambda r: r[1]):
+        window, before = used.get(g, (0, None))
+        if before is not None and before + c > 150:
+            window, before = window + 1, None
+        want[i], used[g] = window, (window, (10 if before is None else before) + c)
+    frame = spark.createDataFrame(rows, "grp string, id string, cost long, `_rank` int").repartition(6)
+    got = grouping.pack_windows(frame, "grp", 150, 10, hot_rows=hot_rows)
+    assert got.columns == [*frame.columns, "window"] and {r.id: r.window for r in got.collect()} == want
+
+
+def test_running_sums(spark):
+    from turnmill.functions.running import with_running_sums
+
+    rows = [(g, i, i % 5) for g in ("a", "b", None) for i in range(40 if g != "b" else 1)]
+    frame = spark.createDataFrame(rows, "g string, i int, w long").repartition(5)
+    got = {(r.g, r.i): (r.before, r.place) for r in with_running_sums(frame, "g", [F.col("i")], {"before": F.col("w"), "place": F.lit(1)}).collect()}
+    assert got == {(g, i): (sum(j % 5 for j in range(i)), i) for g, i, _ in rows}
+    assert with_running_sums(frame.limit(0), "g", [F.col("i")], {"n": F.lit(1)}).count() == 0
+
+
+def test_prompts_are_filled_once(spark):
+    from turnmill.plans import prompts
+
+    frame = spark.createDataFrame([("say {reply} and {document}", "{turns}", "D {other}")], "turns string, reply string, document string")
+    got = frame.select(prompts.filled("{document}|{turns}|{reply}|{other}", turns=F.col("turns"), reply=F.col("reply"), document=F.col("document")).alias("p")).first().p
+    assert got == "D {other}|say {reply} and {document}|{turns}|{other}"
+
+
 def test_merges(spark):
     made = spark.createDataFrame([("a-a", "A", ["1", "2"], 0), ("b-b", "B", ["2", "3"], 1), ("c-c", "C", ["4"], 2), ("d-d", "D", ["5"], 3)], "slug string, title string, members array<string>, pos int")
     merges = spark.createDataFrame([(0, ["a-a", "b-b"], "c-c", "AB"), (1, ["b-b", "c-c"], "x-y", "n"), (2, ["zz"], "x-y", "n"), (3, ["d-d"], "x-y", "n"), (4, ["c-c", "d-d"], "Bad", "n"), (5, ["d-d", "d-d"], "d-e", "twice")], "pos int, slugs array<string>, slug string, title string")

@@ -3,13 +3,13 @@
 from collections import Counter
 from pathlib import Path
 
-import duckdb
 import pytest
 
 from turnmill.plans import oracles, queries, rule_oracles, rules
 
 QUERIES, ORACLES = queries.QUERIES | rules.QUERIES, oracles.ORACLES | rule_oracles.ORACLES
 
+duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill.functions import text as t
+from turnmill.functions.running import settled, with_running_sums
 from turnmill.operators.names import allocate_slugs
 
+HOT_ROWS = 200_000  # of a group from which it is packed by many tasks
 
-def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int) -> DataFrame:
-    """Adds ``window``: next-fit of (id, cost) rows in id order, each window within ``budget``.
+
+def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``window``: next-fit of (id, cost) rows in id order (nulls last), each window within ``budget``.
 
     A group that fits as a whole is one window; an item beyond the budget has a
-    window of its own.  Next-fit is sequential, so a group's two narrow columns
-    are one task's work.
+    window of its own; costs aren't negative.  Groups up to ``hot_rows`` are
+    packed a task each; larger ones by ``_pack_hot``, over as many tasks as they need.
     """
     schema = T.StructType([*costs.schema.fields, T.StructField("window", T.LongType())])
 
@@ -30,7 +33,41 @@ def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int) -> Da
             used += cost
         return rows.assign(window=out)
 
-    return costs.groupBy(group).applyInPandas(pack, schema)
+    hot = settled(costs.groupBy(F.col(group).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
+    if hot.isEmpty():
+        return costs.groupBy(group).applyInPandas(pack, schema)
+    same = F.col(group).eqNullSafe(F.col("_hot"))
+    small = costs.join(hot, same, "left_anti").groupBy(group).applyInPandas(pack, schema)
+    return small.unionByName(_pack_hot(costs.join(hot, same, "left_semi"), group, budget - overhead))
+
+
+def _pack_hot(costs: DataFrame, group: str, room: int) -> DataFrame:
+    """Next-fit by pointer doubling.
+
+    From prefix sums each row knows the row at which the window that it might
+    begin would end: the first whose sum goes beyond the room, found by one more
+    running count over rows and thresholds in order of value.  Windows begin at
+    the rows that jumps from the first row reach; in each round the rows reached
+    jump, and every jump is doubled, so rounds follow the logarithm of a group's windows.
+    """
+    order = [F.col("id").asc_nulls_last()]
+    narrow = costs.select(F.col(group).alias("_g"), "id", "cost", F.struct(*(F.col(f"`{c}`") for c in costs.columns)).alias("_row"))
+    rows = settled(with_running_sums(narrow, "_g", order, {"_rank": F.lit(1), "_before": F.col("cost")}))
+    place = rows.select("_g", "_rank", "_before", (F.col("_before") + F.col("cost")).alias("_after"))
+    ends = place.select("_g", F.col("_after").alias("_value"), F.lit(0).alias("_asks"), F.lit(None).cast("long").alias("_rank"))
+    asks = place.select("_g", (F.col("_before") + room).alias("_value"), F.lit(1).alias("_asks"), "_rank")
+    within = with_running_sums(ends.union(asks), "_g", [F.col("_value"), F.col("_asks")], {"_within": 1 - F.col("_asks")}).filter("_asks = 1")
+    n = place.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    jumps = within.select("_g", "_rank", F.greatest(F.col("_rank") + 1, F.col("_within")).alias("_to"))
+    jumps = settled(jumps.alias("j").join(n.alias("n"), F.expr("j._g <=> n._g AND j._to < n._n")).select("j._g", "j._rank", "j._to"))
+    starts = settled(n.select("_g", F.lit(0).cast("long").alias("_rank")))
+    while not jumps.isEmpty():
+        reached = starts.alias("s").join(jumps.alias("j"), F.expr("s._g <=> j._g AND s._rank = j._rank")).select("s._g", F.col("j._to").alias("_rank"))
+        starts = settled(starts.union(reached).distinct())
+        jumps = settled(jumps.alias("a").join(jumps.alias("b"), F.expr("a._g <=> b._g AND a._to = b._rank")).select("a._g", "a._rank", "b._to"))
+    begins = rows.alias("r").join(starts.alias("s"), F.expr("r._g <=> s._g AND r._rank = s._rank"), "left").select("r._g", "r._rank", "r._row", F.col("s._rank").isNotNull().cast("long").alias("_begins"))
+    counted = with_running_sums(begins, "_g", [F.col("_rank")], {"_earlier": F.col("_begins")})
+    return counted.select("_row.*", (F.col("_earlier") + F.col("_begins") - 1).alias("window"))
 
 
 def canonical_ids(members: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,14 +16,22 @@ BUDGET = 400_000  # characters of a document in a prompt
 DIGEST = "Summarise this session.\n\n{document}\n\nLast turns:\n{turns}\n\nLast reply:\n{reply}"
 
 
+def filled(template: str, **values: Column) -> Column:
+    """The template with each place-holder replaced by its value.
+
+    The template is split at its place-holders once, so a value that looks like
+    one stays as it is.  What stands in braces and has no value stays, too.
+    """
+    parts = re.split("(" + "|".join(re.escape("{" + name + "}") for name in values) + ")", template)
+    return F.concat(*(values[part[1:-1]] if i % 2 else F.lit(part) for i, part in enumerate(parts)))
+
+
 def digest_prompts(documents: DataFrame, outcomes: DataFrame, budget: int = BUDGET, template: str = DIGEST) -> DataFrame:
     """(export, prompt, dropped): document, cut to the budget, with its outcome evidence."""
     cut = t.middle_cut(F.col("content"), budget)
     joined = documents.withColumn("_c", cut).join(outcomes, "export", "left")
-    prompt = F.lit(template)
     turns = F.coalesce(F.array_join("final_human_turns", "\n"), F.lit(""))
-    for name, value in (("turns", turns), ("reply", F.coalesce("final_assistant_tail", F.lit(""))), ("document", F.col("_c.text"))):
-        prompt = F.replace(prompt, F.lit("{" + name + "}"), value)
+    prompt = filled(template, turns=turns, reply=F.coalesce("final_assistant_tail", F.lit("")), document=F.col("_c.text"))
     return joined.select("export", prompt.alias("prompt"), F.col("_c.dropped").alias("dropped"))
 
 
@@ -42,14 +51,6 @@ def corpus_noun(origins: Column, nouns: dict[str, str] | None = None, mixed: str
     return F.when(F.size(kinds) == 1, F.get(kinds, 0)).otherwise(mixed)
 
 
-def _filled(template: str, **values: Column) -> Column:
-    """The template with its place-holders replaced in one pass of each, texts last."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
-
-
 def _in_order(order: str, line: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x.line), sep)
 
@@ -58,14 +59,14 @@ def cluster_prompts(digests: DataFrame, group: str, template: str = "{sessions}"
     """(group, prompt): one JSON line a digest, in name order; ``origin``, if there, names the corpus."""
     line = F.to_json(F.struct("export", "goal", "deliverable", "domain", "keywords", "outcome"))
     noun = corpus_noun(F.collect_set(F.coalesce("origin", F.lit("a")))) if "origin" in digests.columns else F.lit("coding-agent")
-    return digests.groupBy(group).agg(noun.alias("_noun"), _in_order("export", line).alias("_lines")).select(group, _filled(template, noun=F.col("_noun"), sessions=F.col("_lines")).alias("prompt"))
+    return digests.groupBy(group).agg(noun.alias("_noun"), _in_order("export", line).alias("_lines")).select(group, filled(template, noun=F.col("_noun"), sessions=F.col("_lines")).alias("prompt"))
 
 
 def merge_prompts(tasks: DataFrame, group: str, template: str = MERGE) -> DataFrame:
     """(group, prompt): one JSON line a task with its number of members, in slug order."""
     line = F.to_json(F.struct("slug", "title", "rationale", F.size("members").alias("sessions")))
     grouped = tasks.groupBy(group).agg(F.count(F.lit(1)).cast("string").alias("_n"), _in_order("slug", line).alias("_lines"))
-    return grouped.select(group, _filled(template, count=F.col("_n"), tasks=F.col("_lines")).alias("prompt"))
+    return grouped.select(group, filled(template, count=F.col("_n"), tasks=F.col("_lines")).alias("prompt"))
 
 
 def author_prompts(tasks: DataFrame, members: DataFrame, documents: DataFrame, context: DataFrame, budget: int = BUDGET, template: str = AUTHOR, legend: str = LEGEND) -> DataFrame:
@@ -82,14 +83,14 @@ def author_prompts(tasks: DataFrame, members: DataFrame, documents: DataFrame, c
     block = F.concat_ws("\n", F.concat(F.lit("== "), "export"), body, "said")
     grouped = each.groupBy("slug").agg(F.max(F.coalesce("origin", F.lit("a")) == "a").alias("_a"), _in_order("pos", block, "\n\n").alias("_members"))
     named = grouped.join(tasks.select("slug", "title"), "slug")
-    return named.select("slug", _filled(template, slug=F.col("slug"), title=F.col("title"), legend=F.when(F.col("_a"), legend).otherwise(""), members=F.col("_members")).alias("prompt"))
+    return named.select("slug", filled(template, slug=F.col("slug"), title=F.col("title"), legend=F.when(F.col("_a"), legend).otherwise(""), members=F.col("_members")).alias("prompt"))
 
 
 def consolidate_prompt(ranked: DataFrame, template: str = CONSOLIDATE) -> DataFrame:
     """(prompt): one line a preference with its number of tasks, in order of ranking."""
     line = F.concat(F.lit("- "), F.col("text"), F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("last_authored_at").alias("at"), "text", line.alias("line"))), _ranked)
-    return ranked.agg(_filled(template, preferences=F.array_join(F.transform(order, lambda x: x.line), "\n")).alias("prompt"))
+    return ranked.agg(filled(template, preferences=F.array_join(F.transform(order, lambda x: x.line), "\n")).alias("prompt"))
 
 
 def _ranked(a: Column, b: Column) -> Column:

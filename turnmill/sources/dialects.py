@@ -338,6 +338,8 @@ def first_prompts(parsed: DataFrame) -> DataFrame:
 
 def session_reason(prompt: Column, has_history: Column, parent_id: Column, origin: Column, own_mark: str | None = None) -> Column:
     """Why a session counts as a human's (``history``, ``default``) or doesn't; dialect A has no such rule."""
+    if own_mark and len(own_mark) > MARK_CHARS:
+        raise ValueError(f"a mark has at most {MARK_CHARS} characters")
     p = F.coalesce(prompt, F.lit(""))
     own = p.startswith(own_mark) if own_mark else F.lit(False)
     return (
