@@ -67,6 +67,40 @@ def test_window_packing(spark):
     assert {r.id: r.window for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_free_names_equal_the_sequential_rule(spark, seed):
+    """Slugs and document names over inputs in which numbered and lengthened names meet other rows' own names."""
+    rng = random.Random(seed)
+    pool = ["a", "a-2", "a-2-2", "a-3", "b-c-d-e", "b-c-d-e-f", "b-c-d-e-g", "b-c-d-e-2", "b-c-d-e-2-x", "solo", "z-9"]
+    rows = [(rng.choice(pool[: rng.choice([2, 5, 11])]), i if rng.random() < 0.9 else None, f"t{i}") for i in range(120)]
+    taken, want = set(), {}
+    for own, pos, title in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        parts, n, name = own.split("-"), 2, own
+        while name in taken:
+            name, n = f"{own if len(parts) < 5 else '-'.join(parts[:4])}-{n}", n + 1
+        taken.add(name)
+        want[title] = name
+    got = {r.title: r.slug for r in names.allocate_slugs(spark.createDataFrame(rows, "slug string, pos int, title string").repartition(5), ["pos", "title"]).collect()}
+    assert got == want
+    ids = [rng.choice(["abcdefgh", "abcdefghi", "abcdefghij", "abcdefgh-2", "abcdefghi-2", "abc", "abc-2"]) + rng.choice(["", "", "k"]) for _ in range(60)]
+    taken, want = set(), {}
+    for i, (project, stem) in enumerate(rows := [(rng.choice(["p", "p-abcdefgh"]), x) for x in ids]):
+        tries = [f"{project}-{stem[:n]}.md" for n in range(8, max(8, len(stem)) + 1)] + [f"{project}-{stem}-{n}.md" for n in range(2, 99)]
+        want[i] = next(x for x in tries if x not in taken)
+        taken.add(want[i])
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, project string, session_id string").repartition(4)
+    assert {r.n: r.export for r in names.allocate_document_names(frame, ["n"]).collect()} == want
+
+
+def test_a_name_that_thousands_want_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    own = names.settled
+    monkeypatch.setattr(names, "settled", lambda df: rounds.append(1) or own(df))
+    rows = [("a-b-c-d-e", i) for i in range(3_000)] + [("a-b-c-d-7", -1), ("a-b-c-d-x", 5_000)]
+    got = {r.pos: r.slug for r in names.allocate_slugs(spark.createDataFrame(rows, "slug string, pos int").repartition(4), ["pos"]).collect()}
+    assert len(set(got.values())) == 3_002 and got[2_999] == "a-b-c-d-3001" and got[5_000] == "a-b-c-d-x" and len(rounds) < 20
+
+
 @pytest.mark.parametrize("hot_rows", [0, 60])
 def test_window_packing_of_large_groups(spark, hot_rows):
     """A group of most rows, spread over tasks, gets the windows that one task would give it."""

@@ -2,78 +2,76 @@
 
 from __future__ import annotations
 
-import itertools
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
+from turnmill.functions.running import settled
+
+_NAME, _AT, _TRY = "__name", "__at", "__try"
+
 
-ROUNDS = 3  # of numbering names that meet across groups
+def first_free(rows: DataFrame, order: list[str], name: Column, alike: list[Column], shared_from: int) -> DataFrame:
+    """Adds ``__name``: in ``order``, each row takes the first name on its list that no earlier row took.
+
+    ``name`` is the name at place ``__try`` (from 0) of a row's list.  All rows ask
+    at once; a name goes to the earliest that asks, and who is refused asks for the
+    next one, until no name is asked for twice.  As all names prefer earlier rows,
+    this settles as one row after the other would.  Rows that agree in ``alike``
+    have the same list from place ``shared_from`` on, where each of them ends up
+    behind those before it: so they ask at least that far down, and a name that
+    many rows want takes no more rounds than one that few want.
+    """
+    at = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))), F.col("__id"))
+    state = settled(rows.withColumn("__id", F.monotonically_increasing_id()).withColumn(_AT, at).withColumn(_TRY, F.lit(0)))
+    keys = {f"__like{i}": c for i, c in enumerate(alike)}
+    so_far = Window.partitionBy(*keys).orderBy(_AT)
+    place = F.row_number().over(so_far) + shared_from - 1
+    while True:
+        asked = state.withColumn(_NAME, name)
+        firsts = asked.groupBy(F.col(_NAME).alias("__asked")).agg(F.min(_AT).alias("__first"))
+        judged = asked.join(firsts, F.col(_NAME) == F.col("__asked")).withColumn("__lost", F.col(_AT) > F.col("__first")).drop("__asked", "__first")
+        judged = settled(judged)
+        if judged.filter("__lost").isEmpty():
+            return judged.drop("__id", _AT, _TRY, "__lost")
+        moved = judged.withColumn(_TRY, F.col(_TRY) + F.col("__lost").cast("int")).drop(_NAME, "__lost")
+        behind = moved.filter(F.col(_TRY) >= shared_from).withColumns(keys).withColumn("__place", place)
+        behind = behind.withColumn(_TRY, (F.col("__place") + F.max(F.col(_TRY) - F.col("__place")).over(so_far)).cast("int")).drop("__place", *keys)
+        state = moved.filter(F.col(_TRY) < shared_from).unionByName(behind)
 
 
 def allocate_document_names(sessions: DataFrame, order: list[str], id_chars: int = 8) -> DataFrame:
     """Adds ``export``: ``<project>-<first characters of id>.md``.
 
     Rows are served in ``order``.  A taken name gets one more character of the
-    id at a time, then ``-2``, ``-3``.  Only rows whose short name is shared go
-    through the sequential step, one group a short name; names that then meet
-    across groups are numbered.
+    id at a time, then ``-2``, ``-3`` (see ``first_free``).
     """
     project, stem = F.coalesce(F.nullif(t.sanitize_name(F.col("project")), F.lit("")), F.lit("project")), F.coalesce(F.nullif(t.sanitize_name(F.col("session_id")), F.lit("")), F.lit("session"))
-    base = F.concat(project, F.lit("-"), F.left(stem, F.lit(id_chars)), F.lit(".md"))
-    named = sessions.withColumn("_project", project).withColumn("_stem", stem).withColumn("export", base)
-    named = named.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("export")))
-    clashing = named.filter("_same > 1").withColumn("_order", F.row_number().over(Window.partitionBy("export").orderBy(*order)))
-
-    def serve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order")
-        taken, out = set(), []
-        for own, stem in zip(rows["_project"], rows["_stem"], strict=True):
-            tries = (f"{own}-{stem[:n]}.md" for n in range(id_chars, max(id_chars, len(stem)) + 1))
-            numbered = (f"{own}-{stem}-{n}.md" for n in itertools.count(2))
-            name = next(x for x in itertools.chain(tries, numbered) if x not in taken)
-            taken.add(name)
-            out.append(name)
-        return rows.assign(export=out)
-
-    served = clashing.groupBy(F.col("export").alias("_base")).applyInPandas(serve, clashing.schema)
-    named = named.filter("_same = 1").unionByName(served.drop("_order"))
-    for _ in range(ROUNDS):  # a lengthened name may meet a name of another group
-        n = F.row_number().over(Window.partitionBy("export").orderBy(*order))
-        numbered = F.concat_ws("-", F.regexp_replace("export", r"\.md$", ""), n.cast("string"))
-        named = named.withColumn("_n", n).withColumn("export", F.when(F.col("_n") == 1, F.col("export")).otherwise(F.concat(numbered, F.lit(".md"))))
-    return named.select(*sessions.columns, "export")
+    named = sessions.withColumn("__project", project).withColumn("__stem", stem)
+    more = F.greatest(F.length("__stem") - id_chars, F.lit(0))  # characters by which the name can grow
+    tail = F.when(F.col(_TRY) <= more, F.left("__stem", F.col(_TRY) + id_chars)).otherwise(F.concat("__stem", F.lit("-"), (F.col(_TRY) - more + 1).cast("string")))
+    named = first_free(named, order, F.concat("__project", F.lit("-"), tail, F.lit(".md")), [F.col("__project"), F.col("__stem")], 0)
+    return named.select(*sessions.columns, F.col(_NAME).alias("export"))
 
 
 def allocate_slugs(tasks: DataFrame, order: list[str], slug: str = "slug") -> DataFrame:
     """Tasks with unique slugs: in ``order``, a taken slug is numbered from 2 until it is free (see ``suffix_slug``).
 
     A numbered slug keeps its first words, so only slugs that agree in their first
-    four words without trailing numbers can meet.  Those families go through the
-    sequential step one by one, and only if a slug stands twice in them.
+    four words without trailing numbers can meet; families in which no slug stands
+    twice stay as they are.  The others are settled by ``first_free``: slugs with one
+    stem share the numbered names.
     """
     words = F.array_join(F.slice(F.split(slug, "-"), 1, 4), "-")
-    family = tasks.withColumn("_family", F.regexp_replace(words, "(?:-[0-9]+)+$", ""))
-    family = family.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_family", slug))).withColumn("_most", F.max("_same").over(Window.partitionBy("_family")))
-
-    def serve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        taken, following, out = set(), {}, []
-        for own in rows[slug]:
-            name, n, parts = own, following.get(own, 2), own.split("-")
-            stem = own if len(parts) < 5 else "-".join(parts[:4])
-            while name in taken:
-                name, n = f"{stem}-{n}", n + 1
-            following[own] = max(2, n - 1) if name != own else 2
-            taken.add(name)
-            out.append(name)
-        return rows.assign(**{slug: out})
-
-    repeated = family.filter("_most > 1")
-    served = repeated.groupBy("_family").applyInPandas(serve, repeated.schema)
-    return family.filter("_most = 1").unionByName(served).select(*tasks.columns)
+    family = tasks.withColumn("__family", F.regexp_replace(words, "(?:-[0-9]+)+$", ""))
+    twice = family.groupBy("__family", slug).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__family").alias("__twice")).distinct()
+    meets = F.col("__family") == F.col("__twice")
+    own = F.col(slug)
+    stem = F.when(F.size(F.split(own, "-")) < 5, own).otherwise(words)
+    name = F.when(F.col(_TRY) == 0, own).otherwise(F.concat(stem, F.lit("-"), (F.col(_TRY) + 1).cast("string")))
+    settled_ones = first_free(family.join(twice, meets, "left_semi"), order, name, [stem], 1)
+    served = settled_ones.select(*(F.col(_NAME).alias(slug) if c == slug else F.col(f"`{c}`") for c in tasks.columns))
+    return family.join(twice, meets, "left_anti").select(*(f"`{c}`" for c in tasks.columns)).unionByName(served)
 
 
 def name_clashes(named: DataFrame, column: str = "export") -> DataFrame:
