@@ -67,6 +67,21 @@ def test_window_packing(spark):
     assert {r.id: r.window for r in got.collect()} == want
 
 
+def test_first_come_equals_one_after_the_other(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 4))], rng.choice([None, None, None, "malformed slug", "unknown slug"])) for i in range(150)]
+    taken, want = set(), {}
+    for pos, slugs, note in rows:
+        if note != "unknown slug" and not taken.isdisjoint(slugs):
+            note = "already merged"
+        if note is None:
+            taken.update(slugs)
+        want[pos] = note
+    frame = spark.createDataFrame(rows, "pos int, slugs array<string>, note string").repartition(5)
+    assert {r.pos: r.note for r in grouping._first_come(frame).collect()} == want
+    assert grouping._first_come(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_free_names_equal_the_sequential_rule(spark, seed):
     """Slugs and document names over inputs in which numbered and lengthened names meet other rows' own names."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +119,35 @@ def same_coverage(tasks: DataFrame, misc: DataFrame, inputs: DataFrame) -> DataF
     return both.agg((F.count_if(F.col("_c").isNull() | F.col("_i").isNull()) == 0).alias("same"))
 
 
+def _first_come(entries: DataFrame) -> DataFrame:
+    """Entries (pos, slugs, note and others) with the note of those whose slugs an earlier entry that counts has taken.
+
+    One after the other an entry would count if no earlier one took its slugs.  In
+    each round all undecided entries that come first on all their slugs count at
+    once, and the others on these slugs are too late; so rounds follow how far
+    entries hang on each other, not how many there are.
+    """
+    rows = settled(entries.withColumn("__at", F.struct("pos", F.monotonically_increasing_id().alias("id"))))
+    wanted = rows.filter("note is null").select("__at", F.explode(F.array_distinct("slugs")).alias("__s"))
+    left, taken = settled(wanted), []
+    while not left.isEmpty():
+        firsts = left.groupBy(F.col("__s").alias("__f")).agg(F.min("__at").alias("__first"))
+        asked = left.join(firsts, F.col("__s").eqNullSafe(F.col("__f")))
+        winners = asked.groupBy("__at").agg(F.bool_and(F.col("__at") == F.col("__first")).alias("all")).filter("all").select(F.col("__at").alias("__won"))
+        won = settled(left.join(winners, F.col("__at") == F.col("__won")).select(F.col("__s").alias("__t"), F.col("__won")))
+        taken.append(won)
+        late = left.join(won, F.col("__s").eqNullSafe(F.col("__t"))).select(F.col("__at").alias("__gone")).distinct()
+        left = settled(left.join(late, F.col("__at") == F.col("__gone"), "left_anti"))
+    if not taken:
+        return rows.drop("__at")
+    all_taken = functools.reduce(DataFrame.union, taken)
+    open_ = rows.filter("note is null or note = 'malformed slug'").select("__at", F.explode(F.array_distinct("slugs")).alias("__s"))
+    meets = F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__won") < F.col("__at"))
+    late = open_.join(all_taken, meets).select(F.col("__at").alias("__late")).distinct()
+    noted = rows.join(late, F.col("__at") == F.col("__late"), "left")
+    return noted.withColumn("note", F.when(F.col("__late").isNotNull(), "already merged").otherwise(F.col("note"))).drop("__at", "__late")
+
+
 def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     """Tasks after merging: (slug, title, members, kind, note).
 
@@ -124,31 +155,19 @@ def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     title; both may have a ``rationale``, which is kept.  An entry counts if its slugs all exist, are at least two, aren't
     taken by an earlier entry that counts, and its own slug is well-formed; else
     it is a row of kind ``skipped`` with a note.  A merged slug that a kept or an
-    earlier merged task has is numbered until it is free.  Merge tables are small by
-    nature: existence is a join, only who came first is one task's work.
+    earlier merged task has is numbered until it is free.  Existence is a join, and
+    who came first is settled in rounds (``_first_come``).
     """
     known = tasks.select(F.col("slug").alias("_s")).distinct()
     wanted = merges.select("pos", F.explode_outer("slugs").alias("_s")).join(known.withColumn("_has", F.lit(True)), "_s", "left")
     status = wanted.groupBy("pos").agg(F.count_if(F.col("_s").isNotNull() & F.col("_has").isNull()).alias("missing"))
     judged = merges.join(status, "pos").withColumn("note", F.when(F.col("missing") > 0, "unknown slug").when(F.size("slugs") < 2, "fewer than two slugs").when(~t.valid_slug(F.col("slug")), "malformed slug"))
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        taken, notes = set(), []
-        for slugs, note in zip(rows["slugs"], rows["note"], strict=True):
-            note = None if pd.isna(note) else note
-            if note in (None, "malformed slug") and not taken.isdisjoint(slugs):
-                note = "already merged"
-            if note is None:
-                taken.update(slugs)
-            notes.append(note)
-        return rows.assign(note=notes)
-
     none = F.lit(None).cast("string")
     said = lambda df: F.col("rationale") if "rationale" in df.columns else none
     columns = judged.select("pos", "slugs", "slug", "title", said(merges).alias("rationale"), "note")
-    settled = columns.groupBy().applyInPandas(settle, columns.schema)
-    counted = settled.filter("note is null")
+    noted = _first_come(columns)
+    counted = noted.filter("note is null")
     gone = counted.select(F.explode("slugs").alias("_s")).distinct()
     kept = tasks.join(gone, F.col("slug") == F.col("_s"), "left_anti")
     own = ["pos", "slug", "title", "rationale"]
@@ -158,5 +177,5 @@ def apply_merges(tasks: DataFrame, merges: DataFrame) -> DataFrame:
     columns = ["slug", "title", "members", "rationale", "kind", "note"]
     both = kept.select("slug", "title", "members", said(tasks).alias("rationale"), F.lit("kept").alias("kind"), none.alias("note"), F.lit(-1).cast("long").alias("_pos")).unionByName(
         merged.select("slug", "title", "members", "rationale", F.lit("merged").alias("kind"), none.alias("note"), F.col("pos").cast("long").alias("_pos")))
-    skipped = settled.filter("note is not null").select("slug", "title", F.col("slugs").alias("members"), "rationale", F.lit("skipped").alias("kind"), "note")
+    skipped = noted.filter("note is not null").select("slug", "title", F.col("slugs").alias("members"), "rationale", F.lit("skipped").alias("kind"), "note")
     return allocate_slugs(both, ["_pos"]).select(*columns).unionByName(skipped)
