@@ -137,7 +137,8 @@ def _brute_context(events, words=15, chars=1600):
     return out
 
 
-def test_context_equals_a_row_by_row_model(spark):
+@pytest.mark.parametrize("hot_rows", [None, 0, 12])
+def test_context_equals_a_row_by_row_model(spark, hot_rows):
     import random
 
     rng = random.Random(3)
@@ -151,7 +152,7 @@ def test_context_equals_a_row_by_row_model(spark):
         want += [(f"s{s}", *r) for r in _brute_context(events)]
     schema = "origin string, project string, session_id string, source_path string, event_pos long, kind string, timestamp string, text string"
     df = spark.createDataFrame(rows, schema).repartition(7)
-    got = context.short_turn_context(df, corpus.first_owner_dedupe(dialects.messages(df)))
+    got = context.short_turn_context(df, corpus.first_owner_dedupe(dialects.messages(df)), hot_rows=hot_rows)
     assert sorted(map(tuple, got.select("session_id", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text").collect()), key=str) == sorted(want, key=str)
 
 

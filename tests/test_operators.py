@@ -168,11 +168,12 @@ def test_preferences(spark):
     assert preferences.render_block(ranked.limit(0), 3, "<!-- c -->").first().block == "<!-- c -->\n## Working preferences"
 
 
-def test_failure_streaks(spark):
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_failure_streaks(spark, hot_rows):
     log = ["x", "x", None, "x", "x", "skip", "x", "y", "y", "y", "y"]
     rows = [("r", i, None if m == "skip" else m, "skipped" if m == "skip" else "run") for i, m in enumerate(log)]
     df = spark.createDataFrame(rows, "run string, i int, message string, kind string")
-    got = [(r.message, r.first_n, r.length, r.not_attempted) for r in tasks.failure_streaks(df, "run", ["i"], trip=3).orderBy("first_n").collect()]
+    got = [(r.message, r.first_n, r.length, r.not_attempted) for r in tasks.failure_streaks(df.repartition(4), "run", ["i"], trip=3, hot_rows=hot_rows).orderBy("first_n").collect()]
     assert got == [("x", 4, 3, 4), ("y", 7, 4, 1)]
 
 

@@ -1,10 +1,11 @@
-"""Running sums of groups of any size, without a window that is one task's work."""
+"""Running sums and last values of groups of any size, without a window that is one task's work."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _dealt(df: DataFrame, groups: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """The rows with their values, range-partitioned by group and order; the partition's number stays with each row,
+    so nothing depends on a later run of the sampling."""
+    held = df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())})
+    return settled(held.repartitionByRange(*(F.col(g) for g in groups), *order).withColumn("__part", F.spark_partition_id()))
+
+
+def _before(placed: DataFrame, groups: list[str], order: list[Column], totals: list[Column], over: Callable[[Column, WindowSpec], Column], both: Callable[[Column, Column], Column], names: list[str], columns: list[str]) -> DataFrame:
+    """What ``over`` gives over the rows of a group before each row, from its own stretch and the totals of earlier ones."""
+    count = range(len(names))
+    sums = placed.groupBy(*groups, "__part").agg(*(t.alias(f"__t{i}") for i, t in enumerate(totals)))
+    earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    bases = sums.select(*(F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)), F.col("__part").alias("__p"), *(over(F.col(f"__t{i}"), earlier).alias(f"__b{i}") for i in count))
+    own = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumns({f"__l{i}": over(F.col(f"__v{i}"), own) for i in count})
+    same = F.col("__part") == F.col("__p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    return local.join(bases, same).select(*(F.col(f"`{c}`") for c in columns), *(both(F.col(f"__l{i}"), F.col(f"__b{i}")).alias(name) for i, name in enumerate(names)))
+
+
 def with_running_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds, under each name, the sum of a LONG column over the rows of the group that come before in ``order``.
 
@@ -30,15 +52,30 @@ def with_running_sums(df: DataFrame, group: str, order: list[Column], sums: dict
     of all rows is as many stretches as its rows need.  Rows that are equal in
     ``order`` come in any order.  An empty table gives no rows.
     """
-    names = list(sums)
-    # the partition's number stays with its row, so nothing depends on a later run of the sampling
-    dealt = df.withColumns({f"__w{i}": w.cast("long") for i, w in enumerate(sums.values())}).repartitionByRange(F.col(group), *order)
-    placed = settled(dealt.withColumn("__part", F.spark_partition_id()))
-    totals = placed.groupBy(group, "__part").agg(*(F.sum(f"__w{i}").alias(f"__t{i}") for i in range(len(names))))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = [F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(names))]  # a row a stretch
-    bases = totals.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), *bases)
-    own = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumns({f"__l{i}": F.coalesce(F.sum(f"__w{i}").over(own), F.lit(0)) for i in range(len(names))})
-    joined = local.join(bases, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"__l{i}") + F.col(f"__b{i}")).alias(name) for i, name in enumerate(names)))
+    placed = _dealt(df, [group], order, {name: w.cast("long") for name, w in sums.items()})
+    total = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    return _before(placed, [group], order, [F.sum(f"__v{i}") for i in range(len(sums))], total, lambda a, b: a + b, list(sums), df.columns)
+
+
+def with_running_last(df: DataFrame, groups: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the last value that isn't null among the rows of the group that come before in ``order``.
+
+    As ``with_running_sums``: a stretch passes on only its last values.  ``order`` tells the rows of a group apart.
+    """
+    placed = _dealt(df, groups, order, values)
+    place = F.struct(*(F.struct(o.isNotNull(), o) for o in order))
+    totals = [F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), place)) for i in range(len(values))]
+    latest = lambda c, window: F.last(c, ignorenulls=True).over(window)
+    return _before(placed, groups, order, totals, latest, lambda a, b: F.coalesce(a, b), list(values), df.columns)
+
+
+def split_hot(df: DataFrame, groups: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups up to ``hot_rows`` rows, and those of larger ones (None if there are none)."""
+    named = [F.col(g).alias(f"__h{k}") for k, g in enumerate(groups)]
+    hot = settled(df.groupBy(*named).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows))
+    if hot.isEmpty():
+        return df, None
+    same = F.lit(True)
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__h{k}"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill.functions import text as t
-from turnmill.functions.running import settled, with_running_sums
+from turnmill.functions.running import settled, split_hot, with_running_sums
 from turnmill.operators.names import allocate_slugs
 
 HOT_ROWS = 200_000  # of a group from which it is packed by many tasks
@@ -35,12 +35,9 @@ def pack_windows(costs: DataFrame, group: str, budget: int, overhead: int, hot_r
             used += cost
         return rows.assign(window=out)
 
-    hot = settled(costs.groupBy(F.col(group).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
-    if hot.isEmpty():
-        return costs.groupBy(group).applyInPandas(pack, schema)
-    same = F.col(group).eqNullSafe(F.col("_hot"))
-    small = costs.join(hot, same, "left_anti").groupBy(group).applyInPandas(pack, schema)
-    return small.unionByName(_pack_hot(costs.join(hot, same, "left_semi"), group, budget - overhead))
+    small, hot = split_hot(costs, [group], hot_rows)
+    packed = small.groupBy(group).applyInPandas(pack, schema)
+    return packed if hot is None else packed.unionByName(_pack_hot(hot, group, budget - overhead))
 
 
 def _pack_hot(costs: DataFrame, group: str, room: int) -> DataFrame:

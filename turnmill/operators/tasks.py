@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
 from turnmill.functions import variant as v
+from turnmill.functions.running import split_hot, with_running_last, with_running_sums
 
 OUTCOMES = ["completed", "partial", "abandoned", "unclear"]
 
@@ -156,18 +157,30 @@ def group_by_folder(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy(F.coalesce("cwd", F.lit("")).alias("cwd")).agg(F.count(F.lit(1)).alias("sessions"), F.max("mtime").alias("latest"))
 
 
-def failure_streaks(runs: DataFrame, run: str, order: list[str], trip: int = 5) -> DataFrame:
+def failure_streaks(runs: DataFrame, run: str, order: list[str], trip: int = 5, hot_rows: int | None = None) -> DataFrame:
     """Runs of equal consecutive failures: one row a streak that reached ``trip``.
 
     ``message`` is null for a success and ``kind`` is ``skipped`` for items that
-    neither extend nor reset a streak.
+    neither extend nor reset a streak.  With ``hot_rows``, a run of more items is
+    cut into stretches, which pass their number of items, last message and number
+    of streaks on to each other.
     """
+    items = runs.filter(F.coalesce(F.col("kind"), F.lit("")) != "skipped")
+    small, hot = (items, None) if hot_rows is None else split_hot(items, [run], hot_rows)
     own = Window.partitionBy(run).orderBy(*order)
-    judged = runs.filter(F.coalesce(F.col("kind"), F.lit("")) != "skipped").withColumn("n", F.row_number().over(own)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(run)))
-    island = F.sum(F.when(F.col("message").eqNullSafe(F.lag("message").over(own)) & (F.col("n") > 1), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    marked = judged.withColumn("island", island).filter("message is not null")
-    out = marked.groupBy(run, "island", "message").agg(F.min("n").alias("first_n"), F.count(F.lit(1)).alias("length"), F.max("total").alias("total"))
-    return out.filter((F.col("length") >= trip) & (F.col("total") > trip)).select(run, "message", "first_n", "length", (F.col("total") - F.col("first_n") - trip + 1).alias("not_attempted"))
+    begins = lambda before, n: F.when(F.col("message").eqNullSafe(before) & (n > 1), 0).otherwise(1)
+    placed = small.select(run, "message", *order, F.row_number().over(own).cast("long").alias("n"), F.lag("message").over(own).alias("before"))
+    marked = placed.select(run, "message", "n", F.sum(begins(F.col("before"), F.col("n"))).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    if hot is not None:
+        by = [F.col(c) for c in order]
+        placed = with_running_sums(hot.select(run, "message", *order), run, by, {"n": F.lit(1)}).withColumn("n", F.col("n") + 1)
+        placed = with_running_last(placed, [run], [F.col("n")], {"before": F.struct("message")}).withColumn("begins", begins(F.col("before.message"), F.col("n")))
+        summed = with_running_sums(placed, run, [F.col("n")], {"island": F.col("begins")})
+        marked = marked.unionByName(summed.select(run, "message", "n", (F.col("island") + F.col("begins")).alias("island")))
+    total = items.groupBy(F.col(run).alias("_run")).agg(F.count(F.lit(1)).alias("total"))
+    out = marked.filter("message is not null").groupBy(run, "island", "message").agg(F.min("n").alias("first_n"), F.count(F.lit(1)).alias("length"))
+    out = out.filter(F.col("length") >= trip).join(total, F.col(run).eqNullSafe(F.col("_run"))).filter(F.col("total") > trip)
+    return out.select(run, "message", F.col("first_n").cast("int").alias("first_n"), "length", (F.col("total") - F.col("first_n") - trip + 1).alias("not_attempted"))
 
 
 def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame:

@@ -34,12 +34,14 @@ def judge_sessions(sessions: DataFrame, prompts: DataFrame, unreadable: DataFram
     return known.select(*sessions.columns, status.alias("status"))
 
 
-def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
+def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+                  hot_rows: int | None = None) -> dict[str, DataFrame]:
     """sessions, documents, manifest, context and outcomes of the exported sessions.
 
     ``sessions`` (keys) are those that were read, with or without a message; by
     default those with an event.  ``keep`` writes or persists what several tables
     are made of (messages, sessions, names), so that it is computed once.
+    ``hot_rows`` (see ``short_turn_context``) is for events that are a table.
     """
     said = dialects.messages(events)
     kept = keep(corpus.first_owner_dedupe(said), "messages")
@@ -49,7 +51,7 @@ def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sess
     tail = F.col("final_assistant_tail").alias("final_assistant_tail", metadata={"comment": OUTCOME_NOTE})
     return {
         "sessions": sessions, "documents": keyed(corpus.render_documents(kept)).select("export", "project", "content"), "manifest": corpus.manifest(sessions, named),
-        "context": keyed(context.short_turn_context(events, kept)).select("export", "index", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text"),
+        "context": keyed(context.short_turn_context(events, kept, hot_rows=hot_rows)).select("export", "index", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text"),
         "outcomes": keyed(context.outcome_evidence(events, kept)).select("export", "final_human_turns", tail),
     }
 
@@ -110,7 +112,7 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     events = write(dialects.timeline(placed), "timeline")
     bad = write(dialects.bad_lines(placed), "bad_lines")
     write(dialects.drops(placed, "a").unionByName(dialects.snapshot_only(placed)), "drops")
-    tables = export_tables(events, bad, min_messages, read, write)
+    tables = export_tables(events, bad, min_messages, read, write, context.HOT_EVENTS)
     done = {name: df if name == "sessions" else write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
     stale = None if existing is None else write(stale_outputs(existing, done["manifest"], project, min_messages, source), "stale_outputs")
     done["statistics"] = write(statistics(done, judged, stale), "statistics")

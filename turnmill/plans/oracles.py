@@ -216,6 +216,10 @@ ORACLES: dict[str, str] = {
         t AS (SELECT sid, string_agg(text, chr(10) ORDER BY idx) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY idx DESC) AS rn FROM kept) WHERE rn <= 3 GROUP BY sid),
         a AS (SELECT sid, arg_max(right(text, 1600), pos) AS reply FROM ev WHERE kind = 'assistant' GROUP BY sid)
         SELECT cut.sid AS export, sha256(cut || '|' || turns || '|' || coalesce(reply, '')) AS prompt_hash, dropped FROM cut JOIN t USING (sid) LEFT JOIN a USING (sid)""",
+    "prompts_with_place_holders": f"""WITH doc AS (SELECT CAST(doc_id AS VARCHAR) AS sid, coalesce(text, '') || ' {{reply}} {{turns}}' AS content FROM documents),
+        {_cut('doc', 'sid', 'content', 400_000)}
+        SELECT cut.sid AS export, sha256(cut || '|' || coalesce(lang, '') || ' {{document}}' || chr(10) || '{{reply}}|{{turns}} ' || coalesce(source, '') || '|{{other}}') AS prompt_hash, dropped
+        FROM cut JOIN documents d ON cut.sid = CAST(d.doc_id AS VARCHAR)""",
     "export_manifest": f"""WITH {_EVENTS}, s AS (SELECT sid, project, count(*) AS messages, arg_min(ts, idx) AS first_ts, arg_max(ts, idx) AS last_ts FROM kept GROUP BY sid, project)
         SELECT project || '-' || left(sid, 8) || '.md' AS export, project, sid AS session_id, messages, first_ts, last_ts FROM s""",
     "export_statistics": f"""WITH {_CONTEXT.replace("AND true", "AND sid IN (SELECT sid FROM st WHERE status = 'read')").replace("said AS (", _STATUS + "said AS (", 1)},

@@ -398,6 +398,15 @@ def digest_prompts(spark: SparkSession, d: str) -> DataFrame:
     return prompts.digest_prompts(documents, outcomes, template="{document}|{turns}|{reply}").select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
 
 
+def prompts_with_place_holders(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, turns and replies that hold place-holders of the template themselves."""
+    rows = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("export"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
+    documents = rows.select("export", F.concat("text", F.lit(" {reply} {turns}")).alias("content"))
+    outcomes = rows.select("export", F.array(F.concat("lang", F.lit(" {document}")), F.lit("{reply}")).alias("final_human_turns"), F.concat(F.lit("{turns} "), "source").alias("final_assistant_tail"))
+    found = prompts.digest_prompts(documents, outcomes, template="{document}|{turns}|{reply}|{other}")
+    return found.select("export", F.sha2("prompt", 256).alias("prompt_hash"), "dropped")
+
+
 def digest_prompts_whole(spark: SparkSession, d: str) -> DataFrame:
     return digest_prompts(spark, d)
 
@@ -455,5 +464,5 @@ QUERIES = {f.__name__: f for f in (
     outcome_summary, viable_tasks, distinct_domains, author_work, provenance, orphans, funnel, resume_work, stale_keys, apply_ratings, preferences_ranked, preference_block,
     recurring_preferences, normalized_duplicates, cluster_validation, id_canonicalise, window_packing, apply_merges, single_session_tasks, failure_streaks, edited_flag,
     project_names, core_ids, fence_strip, response_parse, plan_counts, digest_prompts, export_statistics, task_marks, cross_window_slugs, library_read, library_issues,
-    fence_strip_whole, preferences_ranked_whole, preference_block_whole, recurring_preferences_whole, digest_prompts_whole,
+    prompts_with_place_holders, fence_strip_whole, preferences_ranked_whole, preference_block_whole, recurring_preferences_whole, digest_prompts_whole,
 )}
