@@ -104,3 +104,23 @@ def test_keyed_files_and_tasks(spark):
     digests = spark.createDataFrame([("e1", '{"goal":"g","deliverable":"d","domain":"x","keywords":["k"],"outcome":"partial"}'), ("e2", '{"goal":"g"}'), ("e3", "no")], "export string, value string")
     assert [r.export for r in artifacts.parse_digests(digests, ["partial"]).collect()] == ["e1"]
     assert [r.p for r in spark.createDataFrame([("x" * 120,), (" y ",), (None,)], "c string").select(artifacts.body_problem(F.col("c")).alias("p")).collect()] == [None, "too short", "missing"]
+
+
+def test_a_file_that_breaks_off_is_counted_with_what_was_lost(spark, tmp_path):
+    """A log whose later blocks fail their checksums gives its first lines, and the bytes of the others are told."""
+    folder = tmp_path / "a" / "projects" / "-w-src"
+    folder.mkdir(parents=True)
+    whole = "\n".join(line(f"turn {i} " + "x" * 50, f"2024-01-01T00:00:{i % 60:02d}") for i in range(3_000))
+    (folder / "whole.jsonl").write_text(whole)
+    (folder / "ends.jsonl").write_text(whole + "\n")
+    local = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(folder / "broken.jsonl"))
+    store = local.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(local)  # writes checksums beside the file
+    out.write(bytearray(whole.encode()))
+    out.close()
+    body = bytearray((folder / "broken.jsonl").read_bytes())
+    body[300_000] ^= 1
+    (folder / "broken.jsonl").write_bytes(bytes(body))
+    got = export.run_export(spark, {"a": str(tmp_path / "a")}, str(tmp_path / "out"))
+    (row,) = got["partly_read"].collect()
+    assert row.source_path.endswith("broken.jsonl") and row.bytes == len(whole) and 0 < row.read < 300_100 and row.read + row.lost == row.bytes

@@ -15,7 +15,7 @@ from turnmill.sources.lines import KEYS, active_origins, read_session_lines
 
 OUTCOME_NOTE = "Machine-written text: evidence of how a session ended, never a part of documents."
 COUNTERS = ["exported", "messages", "duplicates", "filtered", "zero_message", "automation", "below_minimum", "read_errors", "bad_lines", "short_turns", "with_decision", "outcome_sessions", "stale_outputs"]
-_PARSED = [*KEYS, "line_key", "is_bad", "events", "drops", "prompt", "snapshot"]
+_PARSED = [*KEYS, "bytes", "line_key", "is_bad", "events", "drops", "prompt", "snapshot"]
 
 
 def parse_all(spark: SparkSession, homes: dict[str, str], source: str = "auto") -> DataFrame:
@@ -96,7 +96,8 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
 
     Lines are parsed once: all later tables come from the written ones.  Sessions
     of machines, of other projects and of the older store of two stay out.
-    ``existing`` (export) are the outputs of earlier runs.  ``statistics`` counts all of it.
+    ``existing`` (export) are the outputs of earlier runs.  ``statistics`` counts all of it;
+    ``partly_read`` has the files that break off, with the bytes that are lost.
     """
     def write(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -107,6 +108,7 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     sessions = stores.discover(spark, homes, source)
     judged = judge_sessions(sessions, dialects.first_prompts(parsed), stores.unreadable(sessions, parsed), project, own_mark)
     judged = write(judged, "discovered")
+    partly = write(stores.partly_read(sessions, parsed), "partly_read")
     read = judged.filter("status = 'read'").select(*KEYS)
     placed = parsed.drop("project", "session_id").join(read, ["origin", "source_path"])
     events = write(dialects.timeline(placed), "timeline")
@@ -116,4 +118,4 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     done = {name: df if name == "sessions" else write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
     stale = None if existing is None else write(stale_outputs(existing, done["manifest"], project, min_messages, source), "stale_outputs")
     done["statistics"] = write(statistics(done, judged, stale), "statistics")
-    return done | {"discovered": judged} | ({} if stale is None else {"stale_outputs": stale})
+    return done | {"discovered": judged, "partly_read": partly} | ({} if stale is None else {"stale_outputs": stale})

@@ -275,7 +275,7 @@ def _snapshot(e: Column, dialect: str, cuts: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, dialect: str) -> DataFrame:
-    """One row a line: keys, ``line_key``, ``v``, ``is_bad``, ``events``, ``drops``, ``prompt``, ``snapshot``.
+    """One row a line: keys, ``bytes`` if the lines have it, ``line_key``, ``v``, ``is_bad``, ``events``, ``drops``, ``prompt``, ``snapshot``.
 
     A line that isn't JSON is bad; so is JSON that isn't an object, but in K3.  A
     blank line has no value and isn't bad.  Of a repeated key the last value
@@ -283,15 +283,16 @@ def parse_lines(lines: DataFrame, dialect: str) -> DataFrame:
     limit are cut before and restored in events and snapshots.
     """
     v.allow_repeated_keys(lines.sparkSession)
-    short = lines.select(*KEYS, "line_key", (t.trim_all(F.col("value")) == "").alias("_blank"), v.shorten(F.col("value")).alias("_short"))
-    parsed = short.select(*KEYS, "line_key", "_blank", F.when(~F.col("_blank"), v.parse(F.col("_short.text"))).alias("v"), F.col("_short.cuts").alias("cuts"))
+    more = [c for c in ("bytes",) if c in lines.columns]
+    short = lines.select(*KEYS, *more, "line_key", (t.trim_all(F.col("value")) == "").alias("_blank"), v.shorten(F.col("value")).alias("_short"))
+    parsed = short.select(*KEYS, *more, "line_key", "_blank", F.when(~F.col("_blank"), v.parse(F.col("_short.text"))).alias("v"), F.col("_short.cuts").alias("cuts"))
     parsed = parsed.withColumn("_object", v.is_object(F.col("v")))
     bad = F.col("v").isNull() if dialect == "k3" else ~F.col("_object")
     out = DIALECTS[dialect](parsed)
     only = lambda c, kind: F.when(F.col("_object"), c).otherwise(_none(kind))
     whole = F.transform("events", lambda e: _event(e.kind, e.timestamp, v.restore(e.text, F.col("cuts"))))
     events = F.when(F.size("cuts") > 0, whole).otherwise(F.col("events"))
-    return out.select(*KEYS, "line_key", "v", (bad & ~F.col("_blank")).alias("is_bad"), only(events, EVENT).alias("events"), only(F.col("drops"), DROP).alias("drops"),
+    return out.select(*KEYS, *more, "line_key", "v", (bad & ~F.col("_blank")).alias("is_bad"), only(events, EVENT).alias("events"), only(F.col("drops"), DROP).alias("drops"),
                       _prompt(F.col("v"), dialect).alias("prompt"), _snapshot(F.col("v"), dialect, F.col("cuts")).alias("snapshot"))
 
 

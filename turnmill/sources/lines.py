@@ -19,10 +19,11 @@ LAYOUTS = {
 
 
 def read_session_lines(spark: SparkSession, home: str, origin: str) -> DataFrame:
-    """Lines of every session file of a store: keys, ``line_key`` (orders a file's lines), ``value``.
+    """Lines of every session file of a store: keys, ``line_key`` (orders a file's lines), ``value``, and the ``bytes`` it took.
 
     Large files are split among tasks; (block start, id within the task's run)
-    keeps their order.  Unreadable files are skipped; ``sessions.unreadable`` tells which.
+    keeps their order.  What can't be read of a file is skipped; ``sessions.unreadable``
+    and ``sessions.partly_read`` tell which files that befell.
     """
     if origin not in LAYOUTS:
         raise ValueError(f"unknown origin {origin!r}; known: {', '.join(LAYOUTS)}")
@@ -42,7 +43,7 @@ def read_session_lines(spark: SparkSession, home: str, origin: str) -> DataFrame
         project, session = F.lit("unknown"), folder
     return raw.select(
         F.lit(origin).alias("origin"), project.alias("project"), session.alias("session_id"), "source_path", "mtime", "line_key",
-        F.regexp_replace("value", "\r$", "").alias("value"),
+        F.regexp_replace("value", "\r$", "").alias("value"), (F.octet_length("value") + 1).cast("long").alias("bytes"),
     )
 
 

@@ -98,3 +98,13 @@ def unreadable(sessions: DataFrame, parsed: DataFrame) -> DataFrame:
     """Sessions whose file has bytes of which not one line came through."""
     read = parsed.select("source_path").distinct()
     return sessions.filter("bytes > 0").join(read, "source_path", "left_anti")
+
+
+def partly_read(sessions: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(source_path, bytes, read, lost) of files of which some lines came through and some bytes didn't.
+
+    A line counts with its line feed, so a file that was read whole has as many
+    bytes as its lines, or one less if its last line has none.
+    """
+    read = parsed.groupBy("source_path").agg(F.sum("bytes").alias("read"))
+    return sessions.select("source_path", "bytes").join(read, "source_path").filter("read < bytes").withColumn("lost", F.col("bytes") - F.col("read"))
