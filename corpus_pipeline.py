@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from turnmill.llm import decontamination, jaccard, language, packing, secrets
 from turnmill.llm.scratch import free_all, materialise, noting_paths
 
-BATCH_ROWS = 2_000  # of Arrow batches that carry whole texts; Spark's default of 10,000 takes a worker five times the memory
+BATCH_ROWS = 1_000  # of Arrow batches that carry whole texts; Spark's default of 10,000 takes a worker ten times the memory
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

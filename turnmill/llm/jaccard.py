@@ -19,6 +19,7 @@ COMMON = 5  # pieces that linked sets are sure to share; see ``sketch_keys``
 BLOCK_TOKENS = 1_000_000  # shingles of a group that one task holds at once, twice at most
 
 _NULL_ID = 2**63 - 1
+_SLICE = 1 << 20  # bytes of text whose shingles a worker holds at once
 _LEVEL = np.uint64(31)  # the low bits of a key tell its size band
 _WHOLE = 1 << 40  # pieces of a band of small sets: each shingle is a piece
 
@@ -246,7 +247,7 @@ def group_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cro
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _SLICE):
             sets = shingle_sets(Words(Texts(part.column(1)), BLANK_WORD, LOWER))
             names = [int(set_name(s).view(np.int64)) if len(s) else None for s in sets]
             sketch = [bit_sketches([s], sketch_bits(len(s)))[0].tobytes() if len(s) >= 4 else None for s in sets]
@@ -256,7 +257,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _SLICE):
             keys, names = [], []
             for s in shingle_sets(Words(Texts(part.column(0)), BLANK_WORD, LOWER)):
                 found = sketch_keys(s)
@@ -298,7 +299,7 @@ def _compare(batches: Iterator[pa.RecordBatch], counts: bool) -> Iterator[pa.Rec
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, dict]]:
         group, members = None, {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 sets = shingle_sets(Words(Texts(part.column(7)), BLANK_WORD, LOWER))
                 for *key, block, node, copies, centers, s in zip(*(c.to_pylist() for c in part.columns[:7]), sets, strict=True):
                     if key != group:
