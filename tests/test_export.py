@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnmill.plans import export
@@ -124,3 +125,20 @@ def test_a_file_that_breaks_off_is_counted_with_what_was_lost(spark, tmp_path):
     got = export.run_export(spark, {"a": str(tmp_path / "a")}, str(tmp_path / "out"))
     (row,) = got["partly_read"].collect()
     assert row.source_path.endswith("broken.jsonl") and row.bytes == len(whole) and 0 < row.read < 300_100 and row.read + row.lost == row.bytes
+
+
+@pytest.mark.parametrize("size, hot_rows", [(7, None), (64, 0), (10_000, 3)])
+def test_chunks_put_together_are_the_documents(spark, size, hot_rows):
+    from turnmill.operators import corpus
+
+    rows = [("a", "p", f"s{s}", f"/s{s}", i, i * 2, f"t{i}", "é𝔘x " * (i * s % 30)) for s in range(4) for i in range(s * 3 + 1)]
+    kept = spark.createDataFrame(rows, "origin string, project string, session_id string, source_path string, index long, pos long, timestamp string, text string").repartition(4)
+    whole = {r.session_id: (r.messages, r.content) for r in corpus.render_documents(kept).collect()}
+    parts = {}
+    for r in corpus.render_chunks(kept, size, hot_rows).collect():
+        parts.setdefault(r.session_id, []).append((r.chunk, r.offset, r.messages, r.content))
+    for session, found in parts.items():
+        found.sort()
+        assert [(c, o) for c, o, *_ in found] == [(i, i * size) for i in range(len(found))] and all(len(x[3]) <= size for x in found)
+        assert {x[2] for x in found} == {whole[session][0]} and "".join(x[3] for x in found) == whole[session][1]
+    assert set(parts) == set(whole)

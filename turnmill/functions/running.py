@@ -44,7 +44,7 @@ def _before(placed: DataFrame, groups: list[str], order: list[Column], totals: l
     return local.join(bases, same).select(*(F.col(f"`{c}`") for c in columns), *(both(F.col(f"__l{i}"), F.col(f"__b{i}")).alias(name) for i, name in enumerate(names)))
 
 
-def with_running_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def with_running_sums(df: DataFrame, group: str | list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds, under each name, the sum of a LONG column over the rows of the group that come before in ``order``.
 
     Rows are range-partitioned by group and order, each stretch is summed by
@@ -52,9 +52,10 @@ def with_running_sums(df: DataFrame, group: str, order: list[Column], sums: dict
     of all rows is as many stretches as its rows need.  Rows that are equal in
     ``order`` come in any order.  An empty table gives no rows.
     """
-    placed = _dealt(df, [group], order, {name: w.cast("long") for name, w in sums.items()})
+    groups = [group] if isinstance(group, str) else group
+    placed = _dealt(df, groups, order, {name: w.cast("long") for name, w in sums.items()})
     total = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
-    return _before(placed, [group], order, [F.sum(f"__v{i}") for i in range(len(sums))], total, lambda a, b: a + b, list(sums), df.columns)
+    return _before(placed, groups, order, [F.sum(f"__v{i}") for i in range(len(sums))], total, lambda a, b: a + b, list(sums), df.columns)
 
 
 def with_running_last(df: DataFrame, groups: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:

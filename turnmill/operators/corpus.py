@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.functions.running import split_hot, with_running_sums
 from turnmill.sources.lines import KEYS
 
+CHUNK_CHARS = 64 << 20  # of a document in one row
+
 
 def earliest_timestamps(messages: DataFrame) -> DataFrame:
     """The least non-empty timestamp of each session, or ''."""
@@ -48,13 +51,45 @@ def substance(sessions: DataFrame, minimum: int) -> DataFrame:
     return sessions.withColumn("bucket", F.when(n == 0, "zero").when(n < minimum, "below").otherwise("eligible"))
 
 
+def _block() -> Column:
+    return F.concat(F.lit("\n### "), F.col("timestamp"), F.lit("\n\n"), F.col("text"), F.lit("\n"))
+
+
+def _header() -> Column:
+    return F.concat(F.lit("<!-- source: "), F.col("source_path"), F.lit("\n     messages: "), F.col("messages").cast("string"), F.lit(" -->\n"))
+
+
 def render_documents(corpus: DataFrame) -> DataFrame:
-    """(keys, messages, content): the header, then a block a message, one blank line apart."""
-    block = F.concat(F.lit("\n### "), F.col("timestamp"), F.lit("\n\n"), F.col("text"), F.lit("\n"))
-    blocks = F.array_sort(F.collect_list(F.struct("index", block.alias("block"))))
+    """(keys, messages, content): the header, then a block a message, one blank line apart.  See ``render_chunks`` for sessions beyond a row."""
+    blocks = F.array_sort(F.collect_list(F.struct("index", _block().alias("block"))))
     grouped = corpus.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("messages"), blocks.alias("blocks"))
-    header = F.concat(F.lit("<!-- source: "), F.col("source_path"), F.lit("\n     messages: "), F.col("messages").cast("string"), F.lit(" -->\n"))
-    return grouped.select(*KEYS, "messages", F.concat(header, F.array_join(F.transform("blocks", lambda b: b.block), "")).alias("content"))
+    return grouped.select(*KEYS, "messages", F.concat(_header(), F.array_join(F.transform("blocks", lambda b: b.block), "")).alias("content"))
+
+
+def render_chunks(corpus: DataFrame, chunk_chars: int = CHUNK_CHARS, hot_rows: int | None = None) -> DataFrame:
+    """(keys, messages, chunk, offset, content): the documents of ``render_documents``, cut every ``chunk_chars`` characters.
+
+    Running sums of the blocks' lengths tell which chunks a block reaches into; it
+    is cut at their bounds and each chunk is put together by itself, so a session
+    of any length is written without a row above the limit.  With ``hot_rows``,
+    sessions of more messages are summed in stretches (see ``split_hot``).
+    """
+    counts = corpus.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("messages"))
+    heads = counts.select(*KEYS, F.lit(-1).cast("long").alias("index"), _header().alias("block"))
+    rows = heads.unionByName(corpus.select(*KEYS, F.col("index").cast("long").alias("index"), _block().alias("block")))
+    rows = rows.withColumn("size", F.length("block").cast("long"))
+    small, hot = (rows, None) if hot_rows is None else split_hot(rows, KEYS, hot_rows)
+    earlier = Window.partitionBy(*KEYS).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    placed = small.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    if hot is not None:
+        placed = placed.unionByName(with_running_sums(hot, KEYS, [F.col("index")], {"before": F.col("size")}))
+    reach = F.expr(f"sequence(before div {chunk_chars}L, (before + size - 1) div {chunk_chars}L)")
+    cut = placed.withColumn("chunk", F.explode(reach)).withColumn("offset", F.col("chunk") * chunk_chars)
+    first = F.greatest(F.col("offset"), F.col("before"))
+    piece = F.substring("block", (first - F.col("before") + 1).cast("int"), (F.least(F.col("offset") + chunk_chars, F.col("before") + F.col("size")) - first).cast("int"))
+    parts = cut.groupBy(*KEYS, "chunk", "offset").agg(F.array_sort(F.collect_list(F.struct("index", piece.alias("piece")))).alias("parts"))
+    content = F.array_join(F.transform("parts", lambda p: p.piece), "").alias("content")
+    return parts.join(counts, KEYS).select(*KEYS, "messages", "chunk", "offset", content)
 
 
 def manifest(sessions: DataFrame, names: DataFrame) -> DataFrame:

@@ -35,22 +35,27 @@ def judge_sessions(sessions: DataFrame, prompts: DataFrame, unreadable: DataFram
 
 
 def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
-                  hot_rows: int | None = None) -> dict[str, DataFrame]:
+                  hot_rows: int | None = None, chunk_chars: int | None = None) -> dict[str, DataFrame]:
     """sessions, documents, manifest, context and outcomes of the exported sessions.
 
     ``sessions`` (keys) are those that were read, with or without a message; by
     default those with an event.  ``keep`` writes or persists what several tables
     are made of (messages, sessions, names), so that it is computed once.
-    ``hot_rows`` (see ``short_turn_context``) is for events that are a table.
+    ``hot_rows`` (see ``short_turn_context``) is for events that are a table;
+    with ``chunk_chars`` documents are rows of chunks (see ``render_chunks``).
     """
     said = dialects.messages(events)
     kept = keep(corpus.first_owner_dedupe(said), "messages")
     sessions = keep(corpus.substance(corpus.corpus_sessions(said, kept, bad, sessions), min_messages), "sessions")
     named = keep(names.allocate_document_names(sessions.filter("bucket = 'eligible'").select(*KEYS), ["session_id", "origin", "source_path"]), "names")
     keyed = lambda df: df.join(named, KEYS)
+    if chunk_chars is None:
+        documents = keyed(corpus.render_documents(kept)).select("export", "project", "content")
+    else:
+        documents = keyed(corpus.render_chunks(kept, chunk_chars, hot_rows)).select("export", "project", "chunk", "offset", "content")
     tail = F.col("final_assistant_tail").alias("final_assistant_tail", metadata={"comment": OUTCOME_NOTE})
     return {
-        "sessions": sessions, "documents": keyed(corpus.render_documents(kept)).select("export", "project", "content"), "manifest": corpus.manifest(sessions, named),
+        "sessions": sessions, "documents": documents, "manifest": corpus.manifest(sessions, named),
         "context": keyed(context.short_turn_context(events, kept, hot_rows=hot_rows)).select("export", "index", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text"),
         "outcomes": keyed(context.outcome_evidence(events, kept)).select("export", "final_human_turns", tail),
     }
@@ -91,7 +96,8 @@ def stale_outputs(existing: DataFrame, manifest: DataFrame, project: str | None
     return gone if project is None and min_messages == 1 and source == "auto" else gone.limit(0)
 
 
-def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str = "auto", project: str | None = None, min_messages: int = 1, own_mark: str | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str = "auto", project: str | None = None, min_messages: int = 1, own_mark: str | None = None, existing: DataFrame | None = None,
+               chunk_chars: int | None = None) -> dict[str, DataFrame]:
     """Discover, classify, extract, dedupe and write all tables under ``out``; returns the written tables.
 
     Lines are parsed once: all later tables come from the written ones.  Sessions
@@ -114,7 +120,7 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     events = write(dialects.timeline(placed), "timeline")
     bad = write(dialects.bad_lines(placed), "bad_lines")
     write(dialects.drops(placed, "a").unionByName(dialects.snapshot_only(placed)), "drops")
-    tables = export_tables(events, bad, min_messages, read, write, context.HOT_EVENTS)
+    tables = export_tables(events, bad, min_messages, read, write, context.HOT_EVENTS, chunk_chars)
     done = {name: df if name == "sessions" else write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
     stale = None if existing is None else write(stale_outputs(existing, done["manifest"], project, min_messages, source), "stale_outputs")
     done["statistics"] = write(statistics(done, judged, stale), "statistics")

@@ -320,12 +320,17 @@ def drops(parsed: DataFrame, dialect: str) -> DataFrame:
 
 
 def snapshot_only(parsed: DataFrame) -> DataFrame:
-    """Prompts of a compaction snapshot that never appear live in the same file."""
-    said = _exploded(parsed.select(*KEYS, F.explode_outer("snapshot").alias("s")), "s").select(*KEYS, "s.*").filter("text is not null").distinct()
-    live = parsed.select(*KEYS, F.explode_outer("events").alias("e")).filter("e.kind = 'human'").select(*KEYS, "e.timestamp", "e.text").distinct()
-    gone = said.join(live, [*KEYS, "timestamp", "text"], "left_anti")
-    stamp = F.when(F.col("timestamp") != "", F.col("timestamp"))
-    return gone.select(*KEYS, F.lit("snapshot only").alias("reason"), t.snippet(F.col("text")).alias("snippet"), stamp.alias("timestamp"))
+    """Prompts of a compaction snapshot that never appear live in the same file.
+
+    Texts are told apart by their digests and shown by their snippets, which are
+    taken before anything is shuffled.
+    """
+    stamp, digest = F.col("timestamp"), F.sha2("text", 256).alias("digest")
+    said = _exploded(parsed.select(*KEYS, F.explode_outer("snapshot").alias("s")), "s").select(*KEYS, "s.*").filter("text is not null")
+    said = said.select(*KEYS, "timestamp", digest, t.snippet(F.col("text")).alias("snippet")).distinct()
+    live = parsed.select(*KEYS, F.explode_outer("events").alias("e")).filter("e.kind = 'human'").select(*KEYS, "e.timestamp", "e.text")
+    gone = said.join(live.select(*KEYS, "timestamp", digest).distinct(), [*KEYS, "timestamp", "digest"], "left_anti")
+    return gone.select(*KEYS, F.lit("snapshot only").alias("reason"), "snippet", F.when(stamp != "", stamp).alias("timestamp"))
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
