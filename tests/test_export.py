@@ -142,3 +142,30 @@ def test_chunks_put_together_are_the_documents(spark, size, hot_rows):
         assert [(c, o) for c, o, *_ in found] == [(i, i * size) for i in range(len(found))] and all(len(x[3]) <= size for x in found)
         assert {x[2] for x in found} == {whole[session][0]} and "".join(x[3] for x in found) == whole[session][1]
     assert set(parts) == set(whole)
+
+
+def test_an_unchanged_run_reads_its_tables_back(spark, tmp_path, monkeypatch):
+    folder, homes, out = tmp_path / "a" / "projects" / "-w-src", {"a": str(tmp_path / "a")}, str(tmp_path / "out")
+    folder.mkdir(parents=True)
+    (folder / "s1.jsonl").write_text(line("hello", "1") + "\n")
+    first = {name: sorted(map(str, df.collect())) for name, df in export.run_export(spark, homes, out).items()}
+    with monkeypatch.context() as m:
+        m.setattr(export, "parse_all", None)  # would fail if it were asked for
+        again = export.run_export(spark, homes, out)
+        assert {name: sorted(map(str, df.collect())) for name, df in again.items()} == first
+        with pytest.raises(TypeError):
+            export.run_export(spark, homes, out, min_messages=2)
+        with pytest.raises(TypeError):  # a run that broke off left no fingerprint
+            export.run_export(spark, homes, out)
+    with (folder / "s1.jsonl").open("a") as f:
+        f.write(line("more", "2") + "\n")
+    assert {r.counter: r.n for r in export.run_export(spark, homes, out)["statistics"].collect()}["messages"] == 2
+
+
+def test_same_sets(spark):
+    from turnmill.functions.fingerprint import same_sets
+
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "id string").repartition(3)
+    same = lambda a, b: same_sets(a, b).first().same
+    assert same(frame("a", "b", None), frame(None, "b", "a", "a")) and same(frame().limit(0), frame().limit(0))
+    assert not same(frame("a", "b"), frame("a")) and not same(frame("a", None), frame("a")) and not same(frame("a"), frame().limit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill.functions import text as t
+from turnmill.functions.fingerprint import same_sets
 from turnmill.functions.running import settled, split_hot, with_running_sums
 from turnmill.operators.names import allocate_slugs
 
@@ -111,9 +112,8 @@ def misc_union(misc: DataFrame) -> DataFrame:
 
 def same_coverage(tasks: DataFrame, misc: DataFrame, inputs: DataFrame) -> DataFrame:
     """One row (same): whether tasks and misc together hold exactly the inputs (id), so that a grouping can be used again."""
-    covered = tasks.select(F.explode("members").alias("id")).union(misc.select("member")).distinct()
-    both = covered.withColumn("_c", F.lit(1)).join(inputs.select("id").distinct().withColumn("_i", F.lit(1)), "id", "full")
-    return both.agg((F.count_if(F.col("_c").isNull() | F.col("_i").isNull()) == 0).alias("same"))
+    covered = tasks.select(F.explode("members").alias("id")).union(misc.select("member"))
+    return same_sets(covered, inputs.select("id"))
 
 
 def _first_come(entries: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.functions.fingerprint import fingerprint
 from turnmill.operators import context, corpus, names
 from turnmill.sources import dialects
 from turnmill.sources import sessions as stores
-from turnmill.sources.lines import KEYS, active_origins, read_session_lines
+from turnmill.sources.lines import KEYS, LAYOUTS, active_origins, file_exists, read_session_lines
 
 OUTCOME_NOTE = "Machine-written text: evidence of how a session ended, never a part of documents."
 COUNTERS = ["exported", "messages", "duplicates", "filtered", "zero_message", "automation", "below_minimum", "read_errors", "bad_lines", "short_turns", "with_decision", "outcome_sessions", "stale_outputs"]
@@ -96,6 +98,26 @@ def stale_outputs(existing: DataFrame, manifest: DataFrame, project: str | None
     return gone if project is None and min_messages == 1 and source == "auto" else gone.limit(0)
 
 
+TABLES = ["sessions", "documents", "manifest", "context", "outcomes", "statistics", "discovered", "partly_read"]
+
+
+def inputs_fingerprint(spark: SparkSession, homes: dict[str, str], source: str, settings: list) -> tuple:
+    """(n, sum, xor, settings) of the names, sizes and times of all files that an export reads."""
+    patterns = [p[o].format(home=homes[o]) for o in active_origins(spark, homes, source) for p in (LAYOUTS, stores.META, dict.fromkeys(stores.META, stores.HISTORY)) if o in p]
+    files = functools.reduce(DataFrame.union, (stores.list_files(spark, p) for p in patterns))
+    found = files.agg(fingerprint("source_path", "bytes", "mtime").alias("f")).first()["f"]
+    return (*found, json.dumps(settings))
+
+
+def _known(spark: SparkSession, path: str) -> tuple | None:
+    rows = spark.read.parquet(path).collect() if file_exists(spark, f"{path}/_SUCCESS") else []
+    return tuple(rows[0]) if rows else None
+
+
+def _remember(spark: SparkSession, path: str, rows: list[tuple]) -> None:
+    spark.createDataFrame(rows, "n long, sum string, xor long, settings string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str = "auto", project: str | None = None, min_messages: int = 1, own_mark: str | None = None, existing: DataFrame | None = None,
                chunk_chars: int | None = None) -> dict[str, DataFrame]:
     """Discover, classify, extract, dedupe and write all tables under ``out``; returns the written tables.
@@ -104,7 +126,16 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     of machines, of other projects and of the older store of two stay out.
     ``existing`` (export) are the outputs of earlier runs.  ``statistics`` counts all of it;
     ``partly_read`` has the files that break off, with the bytes that are lost.
+
+    The fingerprint of all files read and of the settings is kept beside the
+    tables.  A run without ``existing`` that finds it unchanged reads the tables
+    back and joins nothing.
     """
+    now = inputs_fingerprint(spark, homes, source, [source, project, min_messages, own_mark, chunk_chars, existing is None])
+    if existing is None and _known(spark, f"{out}/fingerprint") == now:
+        return {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
+    _remember(spark, f"{out}/fingerprint", [])  # none counts while tables are being replaced
+
     def write(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(f"{out}/{name}")
@@ -124,4 +155,5 @@ def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str
     done = {name: df if name == "sessions" else write(df, name, "project" if name == "documents" else None) for name, df in tables.items()}
     stale = None if existing is None else write(stale_outputs(existing, done["manifest"], project, min_messages, source), "stale_outputs")
     done["statistics"] = write(statistics(done, judged, stale), "statistics")
+    _remember(spark, f"{out}/fingerprint", [now])
     return done | {"discovered": judged, "partly_read": partly} | ({} if stale is None else {"stale_outputs": stale})
