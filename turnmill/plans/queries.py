@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as t
+from turnmill.functions.running import settled
 from turnmill.operators import context, corpus, grouping, names, preferences, tasks
 from turnmill.plans import export, prompts
 from turnmill.sources import artifacts, dialects
@@ -415,7 +416,8 @@ def export_statistics(spark: SparkSession, d: str) -> DataFrame:
     """All counters of a run over two stores that leaves out a project, machines' sessions and unreadable ones."""
     n = F.col("session_id").cast("long")
     events = _turns(spark, d).withColumn("origin", F.when(F.col("project") < "p3", "a").otherwise("k2")).withColumn("project", F.regexp_replace("project", "^p6$", "other"))
-    keep = lambda df, name: df.persist()
+    keep = lambda df, name: settled(df)  # noqa: E731  what several counters read is written once, and nothing stays in memory
+    events = keep(events, "timeline")
     found = events.select(*KEYS).distinct().select(*KEYS, F.lit(1).alias("bytes"), (n % 3 == 0).alias("has_history"), F.when(n % 4 == 1, "x").alias("parent_id"))
     prompts_of = found.select("source_path", F.when(n % 10 == 2, "[AGENT SYSTEM PROMPT] do").alias("prompt"))
     lost = found.filter(n % 11 == 5)
@@ -424,7 +426,6 @@ def export_statistics(spark: SparkSession, d: str) -> DataFrame:
     read = judged.filter("status = 'read'").select(*KEYS)
     bad = read.withColumn("bad_lines", (n % 2).cast("long"))
     tables = export.export_tables(events.join(read, KEYS, "left_semi"), bad, 2, read, keep)
-    tables = {name: keep(df, name) for name, df in tables.items()}
     existing = tables["manifest"].select("export").unionByName(found.select(F.concat(F.lit("old-"), "session_id").alias("export")))
     return export.statistics(tables, judged, export.stale_outputs(existing, tables["manifest"]))
 
