@@ -30,7 +30,10 @@ def _dealt(df: DataFrame, groups: list[str], order: list[Column], values: dict[s
     return settled(held.repartitionByRange(*(F.col(g) for g in groups), *order).withColumn("__part", F.spark_partition_id()))
 
 
-def _before(placed: DataFrame, groups: list[str], order: list[Column], totals: list[Column], over: Callable[[Column, WindowSpec], Column], both: Callable[[Column, Column], Column], names: list[str], columns: list[str]) -> DataFrame:
+def _before(
+    placed: DataFrame, groups: list[str], order: list[Column], totals: list[Column], over: Callable[[Column, WindowSpec], Column],
+    both: Callable[[Column, Column], Column], names: list[str], columns: list[str],
+) -> DataFrame:
     """What ``over`` gives over the rows of a group before each row, from its own stretch and the totals of earlier ones."""
     count = range(len(names))
     sums = placed.groupBy(*groups, "__part").agg(*(t.alias(f"__t{i}") for i, t in enumerate(totals)))

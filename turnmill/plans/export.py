@@ -36,8 +36,10 @@ def judge_sessions(sessions: DataFrame, prompts: DataFrame, unreadable: DataFram
     return known.select(*sessions.columns, status.alias("status"))
 
 
-def export_tables(events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
-                  hot_rows: int | None = None, chunk_chars: int | None = None) -> dict[str, DataFrame]:
+def export_tables(
+    events: DataFrame, bad: DataFrame, min_messages: int = 1, sessions: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, hot_rows: int | None = None, chunk_chars: int | None = None,
+) -> dict[str, DataFrame]:
     """sessions, documents, manifest, context and outcomes of the exported sessions.
 
     ``sessions`` (keys) are those that were read, with or without a message; by
@@ -103,7 +105,8 @@ TABLES = ["sessions", "documents", "manifest", "context", "outcomes", "statistic
 
 def inputs_fingerprint(spark: SparkSession, homes: dict[str, str], source: str, settings: list) -> tuple:
     """(n, sum, xor, settings) of the names, sizes and times of all files that an export reads."""
-    patterns = [p[o].format(home=homes[o]) for o in active_origins(spark, homes, source) for p in (LAYOUTS, stores.META, dict.fromkeys(stores.META, stores.HISTORY)) if o in p]
+    kinds = (LAYOUTS, stores.META, dict.fromkeys(stores.META, stores.HISTORY))
+    patterns = [p[o].format(home=homes[o]) for o in active_origins(spark, homes, source) for p in kinds if o in p]
     files = functools.reduce(DataFrame.union, (stores.list_files(spark, p) for p in patterns))
     found = files.agg(fingerprint("source_path", "bytes", "mtime").alias("f")).first()["f"]
     return (*found, json.dumps(settings))
@@ -118,8 +121,10 @@ def _remember(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, "n long, sum string, xor long, settings string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def run_export(spark: SparkSession, homes: dict[str, str], out: str, source: str = "auto", project: str | None = None, min_messages: int = 1, own_mark: str | None = None, existing: DataFrame | None = None,
-               chunk_chars: int | None = None) -> dict[str, DataFrame]:
+def run_export(
+    spark: SparkSession, homes: dict[str, str], out: str, source: str = "auto", project: str | None = None, min_messages: int = 1,
+    own_mark: str | None = None, existing: DataFrame | None = None, chunk_chars: int | None = None,
+) -> dict[str, DataFrame]:
     """Discover, classify, extract, dedupe and write all tables under ``out``; returns the written tables.
 
     Lines are parsed once: all later tables come from the written ones.  Sessions

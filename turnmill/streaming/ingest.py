@@ -113,7 +113,10 @@ def compact(spark: SparkSession, table: str) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stream_ingest(spark: SparkSession, pattern: str, dialect: str, table: str, checkpoint: str, keys: Callable[[DataFrame], DataFrame], compact_after: int = COMPACT_AFTER, split: int | None = None) -> StreamingQuery:
+def stream_ingest(
+    spark: SparkSession, pattern: str, dialect: str, table: str, checkpoint: str, keys: Callable[[DataFrame], DataFrame],
+    compact_after: int = COMPACT_AFTER, split: int | None = None,
+) -> StreamingQuery:
     """Read session files as they appear and grow, and keep the owner table current.
 
     ``keys`` adds the key columns to (value, source_path, line_key) rows.  A batch
