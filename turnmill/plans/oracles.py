@@ -244,6 +244,11 @@ ORACLES: dict[str, str] = {
 }
 
 #: Names that these queries had beside others over parts of texts; all run over whole texts now.
+ORACLES["context_in_stretches"] = ORACLES["short_turn_context"]
+ORACLES["document_chunks"] = f"""WITH whole AS ({ORACLES['export_documents']})
+    SELECT session_id, messages, chunk, chunk * 900 AS "offset", substring(content, CAST(chunk * 900 + 1 AS BIGINT), 900) AS content
+    FROM (SELECT *, unnest(range(0, (length(content) + 899) // 900)) AS chunk FROM whole)"""
+ORACLES["windows_of_large_groups"] = ORACLES["window_packing"].replace("source", "lang")
 ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("fence_strip", "preferences_ranked", "preference_block", "recurring_preferences", "digest_prompts")}
 _HUMAN = f"WITH x AS ({ORACLES['extract_dialect_a']}), h AS (SELECT * FROM x WHERE kind = 'human'),"
 ORACLES["law_breaks"] = f"""{_HUMAN}

@@ -53,6 +53,13 @@ def short_turn_context(spark: SparkSession, d: str) -> DataFrame:
     return context.short_turn_context(events, kept).select("session_id", "index", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text")
 
 
+def context_in_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The context of sessions that are cut into stretches from the fourth event on."""
+    events, _, kept = _corpus(spark, d)
+    found = context.short_turn_context(events, kept, hot_rows=3)
+    return found.select("session_id", "index", "timestamp", "human_text", "antecedent", "decision_kind", "decision_text")
+
+
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
     events, _, kept = _corpus(spark, d)
     return prompts.context_lines(context.short_turn_context(events, kept)).select("session_id", "index", "line")
@@ -76,6 +83,11 @@ def export_documents(spark: SparkSession, d: str) -> DataFrame:
     return corpus.render_documents(_corpus(spark, d)[2]).select("session_id", "messages", "content")
 
 
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    found = corpus.render_chunks(_corpus(spark, d)[2], chunk_chars=900)
+    return found.select("session_id", "messages", "chunk", "offset", "content")
+
+
 def export_manifest(spark: SparkSession, d: str) -> DataFrame:
     _, said, kept = _corpus(spark, d)
     sessions = corpus.corpus_sessions(said, kept).filter("messages > 0")
@@ -322,6 +334,12 @@ def window_packing(spark: SparkSession, d: str) -> DataFrame:
     return grouping.pack_windows(costs, "source", 20_000, 500).withColumnRenamed("window", "bin")
 
 
+def windows_of_large_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's documents as one group, the larger ones packed by pointer doubling."""
+    costs = _table(spark, d, "documents").select("lang", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.col("n_chars").alias("cost"))
+    return grouping.pack_windows(costs, "lang", 20_000, 500, hot_rows=100).withColumnRenamed("window", "bin")
+
+
 def apply_merges(spark: SparkSession, d: str) -> DataFrame:
     """All merges want one slug, and a kept task has the first numbered one."""
     made = _tasks(spark, d).withColumn("slug", F.concat(F.lit("task-"), "slug"))
@@ -465,5 +483,5 @@ QUERIES = {f.__name__: f for f in (
     outcome_summary, viable_tasks, distinct_domains, author_work, provenance, orphans, funnel, resume_work, stale_keys, apply_ratings, preferences_ranked, preference_block,
     recurring_preferences, normalized_duplicates, cluster_validation, id_canonicalise, window_packing, apply_merges, single_session_tasks, failure_streaks, edited_flag,
     project_names, core_ids, fence_strip, response_parse, plan_counts, digest_prompts, export_statistics, task_marks, cross_window_slugs, library_read, library_issues,
-    prompts_with_place_holders, fence_strip_whole, preferences_ranked_whole, preference_block_whole, recurring_preferences_whole, digest_prompts_whole,
+    prompts_with_place_holders, context_in_stretches, document_chunks, windows_of_large_groups, fence_strip_whole, preferences_ranked_whole, preference_block_whole, recurring_preferences_whole, digest_prompts_whole,
 )}
