@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,32 @@ def test_text_functions(spark):
     assert (row.s5, row.s2, row.fence, tuple(row.doc), row.slug, row.bare) == ("a-b-c-d-3", "a-b-3", "{1}", ("<!-- c -->", "T x", "body\n# no"), "ab-c", "session-session")
 
 
+def test_long_white_space_takes_no_time_and_stays_inside_texts(spark):
+    odd = ["", " ", "\u2003\ufeff", "\x85", "a \x85", " a\x1c b", "é\u00a0𝔘\u2028 z", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select(t.word_count(F.col("x")).alias("n"), t.trim_all(F.col("x")).alias("x")).collect()
+    assert [tuple(r) for r in rows] == [(0, ""), (0, ""), (0, ""), (1, "\x85"), (2, "a \x85"), (2, "a\x1c b"), (3, "é\u00a0𝔘\u2028 z"), (None, None)]
+    gap = " " * 60_000
+    began = time.time()
+    row = spark.createDataFrame([(f"\u3000a{gap}b c\t",)], "x string").select(t.word_count(F.col("x")).alias("words"), t.trim_all(F.col("x")).alias("trimmed"), t.parse_document(F.col("x"))["body"].alias("body")).first()
+    assert (row.words, row.trimmed, row.body) == (3, f"a{gap}b c", f"a{gap}b c")
+    assert time.time() - began < 15  # each blank of a run once looked ahead to its end
+
+
+def test_a_listing_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        read.add(1)
+        return f"# T\n\n{'w ' * n}"
+
+    rows = spark.range(200).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.lit("T").alias("title"), F.array(F.lit("d")).alias("domains"), F.array(F.lit("m")).alias("members"), F.lit("high").alias("confidence"),
+                                   F.concat(F.lit("2024-01-0"), (F.col("id") % 9 + 1).cast("string")).alias("authored_at"), F.lit(1.0).alias("coverage"), text("id").alias("content"))
+    got = tasks.library_view(rows).collect()
+    assert [(r.authored, r.slug) for r in got] == [(r.authored, r.slug) for r in sorted(sorted(got, key=lambda r: r.slug), key=lambda r: r.authored, reverse=True)]
+    assert {r.slug: r.words for r in got} == {f"s{n}": n for n in range(200)} and read.value == 200  # the sort's sample read them again
+
+
 def test_document_names(spark):
     rows = [("a", p, s, f"/{i}") for i, (p, s) in enumerate([("p", "abcdefgh1"), ("p", "abcdefgh2"), ("p", "abcdefgh2"), ("p", "abcdefgh2"), ("q r", "short"), ("", "")])]
     df = spark.createDataFrame(rows, "origin string, project string, session_id string, source_path string")

@@ -264,5 +264,6 @@ def library_view(library: DataFrame) -> DataFrame:
     more = [F.coalesce("is_edited", F.lit(False)).alias("edited")] if "is_edited" in has else []
     more += ["rating"] if "rating" in has else []
     more += [t.word_count(t.parse_document(F.col("content"))["body"]).alias("words")] if "content" in has else []
-    return library.select("slug", "title", F.array_join("domains", ", ").alias("domains"), F.size("members").alias("members"), "confidence", F.left("authored_at", F.lit(10)).alias("authored"),
-                          F.when(F.col("coverage") < 1, F.concat(F.floor(F.col("coverage") * 100 + 0.5).cast("string"), F.lit("%"))).alias("coverage"), *more).orderBy(F.desc("authored"), "slug")
+    shown = library.select("slug", "title", F.array_join("domains", ", ").alias("domains"), F.size("members").alias("members"), "confidence", F.left("authored_at", F.lit(10)).alias("authored"),
+                           F.when(F.col("coverage") < 1, F.concat(F.floor(F.col("coverage") * 100 + 0.5).cast("string"), F.lit("%"))).alias("coverage"), *more)
+    return shown.repartition("slug").orderBy(F.desc("authored"), "slug")  # a sort reads its input twice: here short rows, not the texts
