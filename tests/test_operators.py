@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -72,6 +73,19 @@ def test_a_listing_reads_each_text_once(spark):
     assert {r.slug: r.words for r in got} == {f"s{n}": n for n in range(200)} and read.value == 200  # the sort's sample read them again
 
 
+def test_snippets_are_the_head_of_the_line(spark):
+    rng, odd = random.Random(3), [" ", " ", "  ", "\t\n", "\u3000", "\x85", "\x1c", "a", "b", "é", "𝔘", "word"]
+    texts = ["".join(rng.choice(odd) for _ in range(n)) for n in range(0, 330, 3)] + ["x" * 120, "x" * 121, "x " * 61, " y" * 60 + " ", "a" + " " * 150_000 + "b" * 121, None]
+    space = re.compile("[ \t\n\u3000]+")
+    line = lambda x: space.sub(" ", x).strip(" ")
+    brief = lambda x: x if len(x) <= 120 else x[:117] + "..."
+    began = time.time()
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.one_line(F.col("x")).alias("line"), t.snippet(F.col("x")).alias("snippet"), t.normalize_key(F.col("x")).alias("key")).collect()
+    assert time.time() - began < 15
+    assert [(r.line, r.snippet) for r in got] == [(None, None) if x is None else (line(x), brief(line(x))) for x in texts]
+    assert [r.key for r in got] == [x if x is None else line(x.replace("\x85", "").replace("\x1c", "")) for x in texts]
+
+
 def test_document_names(spark):
     rows = [("a", p, s, f"/{i}") for i, (p, s) in enumerate([("p", "abcdefgh1"), ("p", "abcdefgh2"), ("p", "abcdefgh2"), ("p", "abcdefgh2"), ("q r", "short"), ("", "")])]
     df = spark.createDataFrame(rows, "origin string, project string, session_id string, source_path string")

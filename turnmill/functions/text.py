@@ -21,7 +21,7 @@ def trim_all(c: Column) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    return trim_all(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return trim_all(F.regexp_replace(c, f"{GAP}+", " "))
 
 
 def word_count(c: Column) -> Column:
@@ -38,8 +38,11 @@ def tail(c: Column, n: int = TAIL_CHARS) -> Column:
 
 
 def snippet(c: Column, limit: int = 120, mark: str = "...") -> Column:
-    """One line of at most ``limit`` characters, the mark included."""
-    line = one_line(c)
+    """One line of at most ``limit`` characters, the mark included.
+
+    Nothing behind ``limit + 1`` characters other than white space can change it.
+    """
+    line = one_line(F.regexp_extract(c, rf"^{GAP}*+(?:{INK}{GAP}*+){{0,{limit + 1}}}+", 0))
     return F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit - len(mark))), F.lit(mark))).otherwise(line)
 
 
@@ -50,7 +53,7 @@ def capped(c: Column, limit: int, mark: str = "…") -> Column:
 
 def normalize_key(c: Column) -> Column:
     """Lower case; letters, digits and single spaces only; '' for nothing left."""
-    return one_line(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{SPACE}]", ""))
+    return one_line(F.regexp_replace(F.lower(c), rf"[^a-z0-9\p{{L}}\p{{N}}{SPACE}]", ""))
 
 
 def decode_project_dir(c: Column) -> Column:
