@@ -239,3 +239,60 @@ def test_model_hook_retries_once(spark):
     call = lambda ps: [p.upper() for p in ps]
     got = prompts.apply_model(df, call, retry=lambda p, problem: f"{p} again {problem}", check=lambda r: "short" if r == "BAD" else None)
     assert {r.id: r.response for r in got.collect()} == {1: "GOOD", 2: "BAD AGAIN SHORT"}
+
+
+def test_slug_words_of_long_names_equal_those_of_whole_ones(spark, monkeypatch):
+    """Words on either side of the place where a long name's head ends, the ending on it too."""
+    rng = random.Random(8)
+    monkeypatch.setattr(t, "HEAD_CHARS", 16)
+    texts = ["".join(rng.choice(["a", "B", "9", "-", "((", ".md", "é", "İ", " ", "\n"]) for _ in range(rng.randrange(0, 24))) + rng.choice(["", ".md", ".md", ".md\n", "(" * 20 + ".md"]) for _ in range(4_000)] + [None]
+    texts += ["-".join("abcde") + "(" * k + ".md" for k in range(30)] + ["-".join("abcd") + "(" * k + ".md\n" for k in range(30)]
+
+    def want(x):
+        words = [w for w in re.split("[^a-z0-9]+", re.sub(r"\.md$", "", x).lower()) if w][:5]
+        return words + ["session"] * max(0, 2 - len(words))
+
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.slug_words(F.col("x")).alias("w")).collect()
+    assert [r.w for r in got] == [x if x is None else want(x) for x in texts]
+
+
+def test_long_names_stay_out_of_the_rounds(spark, monkeypatch):
+    """Names of thousands of characters are sorted once; what is settled holds no name, and equal digests keep their numbers."""
+    held = []
+    own = names.settled
+    monkeypatch.setattr(names, "settled", lambda df: held.append(df.columns) or own(df))
+    rng = random.Random(9)
+    rows = [(f"{rng.choice(['A b', 'A b 2', 'A b--c d e f', 'A b c d 3 x'])}{'(' * rng.randrange(3_000)}.md", rng.choice([None, "", "goal"])) for _ in range(150)]
+    rows += [("same.md", "goal")] * 3 + [("same.md", None), ("Same.md", ""), (None, "none")]
+    digests = spark.createDataFrame(rows, "export string, goal string").repartition(5)
+    got = names.single_session_tasks(digests).collect()
+    taken, want = set(), {}
+    for export in sorted(x for x, _ in rows if x is not None):
+        words = [w for w in re.split("[^a-z0-9]+", re.sub(r"\.md$", "", export).lower()) if w][:5]
+        words, n = words + ["session"] * max(0, 2 - len(words)), 2
+        name = "-".join(words)
+        while name in taken:
+            name, n = "-".join([*words[:4], str(n)]), n + 1
+        taken.add(name)
+        want.setdefault(export, set()).add(name)
+    found = {}
+    for r in got:
+        found.setdefault(r.members[0], set()).add(r.slug)
+    assert found == want | {None: {None}}
+    assert sorted((r.members[0] or "", r.title) for r in got) == sorted((x or "", g or x) for x, g in rows)
+    assert held and not any("export" in columns for columns in held)
+
+
+def test_a_list_that_most_rows_share_is_counted_by_ranges(spark):
+    """Places in order agree with a plain sort, long texts that differ late included, and the raised tries with one row after the other."""
+    rng = random.Random(10)
+    rows = [(rng.choice([None, "x" * 80 + str(rng.randrange(50)), str(rng.randrange(30))]), rng.choice([None, *range(5)]), i, rng.choice("aab"), rng.randrange(1, 40)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "s string, n int, i int, stem string, __try int").repartition(5)
+    placed = names.in_order(frame, ["s", "n", "i"], {c: F.col(c) for c in ["i", "stem", "__try"]})
+    got = sorted(placed.collect(), key=lambda r: r["__at"])
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] is None, r[1] or 0, r[2]))
+    assert [r.i for r in got] == [r[2] for r in ordered] and len({r["__at"] >> 33 for r in got}) > 2
+    last, want = {}, {}
+    for _, _, i, stem, at in ordered:
+        last[stem] = want[i] = max(at, last.get(stem, 0) + 1)
+    assert {r.i: r["__try"] for r in names._queued(placed, [F.col("stem")]).collect()} == want

@@ -12,6 +12,7 @@ GAP = rf"[\t-\x20\u00A0\u1680-\uFEFF&&[{SPACE}]]"
 INK = rf"[!-~[^{SPACE}]]"
 SHORT_WORDS = 15
 TAIL_CHARS = 1600
+HEAD_CHARS = 256
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+){1,4}$"
 
 
@@ -84,11 +85,18 @@ def sanitize_name(c: Column) -> Column:
 
 
 def slug_words(name: Column) -> Column:
-    """Two to five lower-case words of a document name, as an array."""
-    stem = F.lower(F.regexp_replace(name, r"\.md$", ""))
-    words = F.slice(F.filter(F.split(F.regexp_replace(stem, "[^a-z0-9]+", "-"), "-"), lambda w: w != ""), 1, 5)
+    """Two to five lower-case words of a document name, as an array.
+
+    The first five words that end within ``HEAD_CHARS`` of a longer name are its
+    words; only names with fewer there are read to their ends.
+    """
+    split = lambda x: F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "-")
+    words = lambda pieces: F.slice(F.filter(pieces, lambda w: w != ""), 1, 5)
+    head = F.transform(F.array(split(F.left(name, F.lit(HEAD_CHARS)))), lambda p: words(F.slice(p, 1, F.size(p) - 1)))[0]  # the last word may go on
+    longer = F.length(F.left(name, F.lit(HEAD_CHARS + 8))) == HEAD_CHARS + 8  # so the ending isn't in the head
+    found = F.transform(F.array(head), lambda w: F.when(longer & (F.size(w) == 5), w).otherwise(words(split(F.regexp_replace(name, r"\.md$", "")))))[0]
     session = F.array(F.lit("session"))
-    return F.when(F.size(words) == 0, F.concat(session, session)).when(F.size(words) == 1, F.concat(words, session)).otherwise(words)
+    return F.transform(F.array(found), lambda w: F.when(F.size(w) == 0, F.concat(session, session)).when(F.size(w) == 1, F.concat(w, session)).otherwise(w))[0]
 
 
 def suffix_slug(slug: Column, n: Column) -> Column:

@@ -355,7 +355,8 @@ def single_session_tasks(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     words = F.when(n % 20 == 3, F.concat(F.lit("A b c d "), (n % 9).cast("string"), F.lit(" x"))).when(n % 20 == 7, "A b").when(n % 20 == 8, "A b 2").otherwise("A b--c d e f ")
     name = F.concat(words, F.when(n % 20 == 7, "").when(n % 20 == 8, "").otherwise((n % 40).cast("string")), F.lit("("), F.when((n % 20 == 7) | (n % 20 == 8), "").otherwise(n.cast("string")), F.repeat(F.lit("("), (n / 20).cast("int")), F.lit(".md"))
-    return names.single_session_tasks(_digests(spark, d).withColumn("export", name)).select("slug", "title", F.array_join("members", ",").alias("members"))
+    spread = _digests(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # labels are few bytes, their names are long
+    return names.single_session_tasks(spread.withColumn("export", name)).select("slug", "title", F.array_join("members", ",").alias("members"))
 
 
 def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
